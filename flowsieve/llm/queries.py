@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, rules, sharding
+from . import chat, jaccard, lines, rules, sharding
 from .workspace import Workspace, documents
 
 N_SHARDS = 24
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), percent=80, width=5).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
     return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -50,6 +54,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op10_chat": op10_chat,
@@ -58,6 +63,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
 
 SQL: dict[str, str] = {
+    "op5_jaccard_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+g as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[(i + 1)::bigint:(i + 5)::bigint], ' ')) end) s from w),
+n as (select doc_id, len(s)::bigint n_shingles from g),
+x as (select doc_id, unnest(s) h from g),
+c as (select a.doc_id a, b.doc_id b, count(*) common from x a join x b on a.h = b.h and a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * common >= 80 * (na.n_shingles + nb.n_shingles - common)),
+r as (select doc_id a, doc_id b from n union select r.a, l.b from r join l on r.b = l.a)
+select n.doc_id, n.n_shingles, min(r.b)::bigint component_id from n join r on n.doc_id = r.a group by all
+""",
     "op6_line_dedup": r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) pos from d),

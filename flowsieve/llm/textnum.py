@@ -104,9 +104,9 @@ def sums_between(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words, from the words' hashes."""
+    """Hashes of all runs of ``width`` words, from the words' hashes. Each place has an odd factor of its own, drawn at random."""
     n = max(0, len(words) - width + 1)
     out = np.zeros(n, U64)
-    for k in range(width):
-        out += words[k : k + n] * U64((2 * k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
+    for k, factor in enumerate(mix64(np.arange(1, width + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)):
+        out += words[k : k + n] * factor
     return mix64(out)
