@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, rules, sharding
+from . import bpe, chat, jaccard, lines, rules, sharding
 from .workspace import Workspace, documents
 
 N_SHARDS = 24
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_file(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 
@@ -33,6 +40,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file()
+    tokens = bpe.bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    both = bpe.bpe_decode(tokens, path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -57,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
+    "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }
 
