@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, lines, mixing, rules, sharding
+from . import bpe, chat, jaccard, lines, lz, mixing, rules, sharding
 from .workspace import Workspace, documents
 
 N_SHARDS = 24
@@ -45,6 +45,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.edited_likeness(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file()
     tokens = bpe.bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }

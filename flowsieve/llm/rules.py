@@ -77,12 +77,13 @@ def chunk_stats(chunk: tn.Chunk) -> dict[str, np.ndarray]:
 def text_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all but those named like a count) with the COUNTS of the text; null counts as empty."""
     names = [c for c in docs.columns if c not in COUNTS] if keep is None else keep
-    source = docs.select(*[F.col(c) for c in names], F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(*names, *([] if text in names else [F.col(text).alias("__text")]))
+    at = names.index(text) if text in names else len(names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tn.string_chunks(batch.column(len(names))):
+            for chunk in tn.string_chunks(batch.column(at)):
                 stats = chunk_stats(chunk)
                 part = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[pa.array(stats[c], pa.int64()) for c in COUNTS]], [*names, *COUNTS])
@@ -228,15 +229,25 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, doc_id: str
     return learn_list(feature_values(counts), got["__label"].to_numpy() == 0, got["__fold"].to_numpy(zero_copy_only=False).astype(bool), **options)
 
 
+def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_rows: int = 20_000) -> list[Rule]:
+    """The decision list of a labelled sample of ``docs``; only the sample's texts are counted."""
+    bare = docs.select(F.col(doc_id), F.col(text).alias("text"))
+    known = labels.filter(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id)).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows)
+    sample = bare.join(F.broadcast(known), doc_id, "left_semi")  # at most max_rows ids
+    return fit(text_stats(sample, keep=[doc_id]), labels, max_rows, doc_id)
+
+
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_rows: int = 20_000) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept for every row of ``docs``.
 
     Null or empty texts have no words and fail the base rules, as do all of fewer than 50 words. Repeated rows are judged alike.
     Without labels (or labels of one kind) the list is empty and only the base rules reject. Only the labelled sample's texts
     are read to learn; every text is read to be judged. An empty table gives an empty result."""
-    bare = docs.select(F.col(doc_id), F.col(text).alias("text"))
-    known = labels.filter(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id)).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows)
-    sample = bare.join(F.broadcast(known), doc_id, "left_semi")  # at most max_rows ids
-    rules = fit(text_stats(sample, keep=[doc_id]), labels, max_rows, doc_id)
-    stats = text_stats(bare, keep=[doc_id])
+    rules = learn_from(docs, labels, doc_id, text, max_rows)
+    stats = text_stats(docs.select(F.col(doc_id), F.col(text).alias("text")), keep=[doc_id])
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that pass the base rules and the list, in one pass and without a join. Columns named like a count are lost."""
+    return text_stats(docs, text).filter(~base_failed() & verdict(rules)).drop(*COUNTS)
