@@ -33,4 +33,5 @@ def components(links: DataFrame, space: Workspace, tag: str = "cc") -> DataFrame
         near = _lowest(large, large)
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         edges = space.write(small, f"{tag}{n}")
+        space.drop(f"{tag}{n - 1}")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

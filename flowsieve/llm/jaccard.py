@@ -5,14 +5,17 @@ into bands whose ends have the ratio p, so similar sets share a band or are neig
 its own band and the next. For a band that allows t differences, shingles are dealt by hash over P > t cells, and
 each cell is the XOR of its shingles' hashes: the number of cells that differ is at most the number of shingles
 that differ, so at least P - t cells agree. Of two sets of P cells that agree in P - t, the first t + 1 in any one
-order of all possible cells meet. The order puts cells of many shingles first (the most telling), empty ones last;
-only those t + 1 cells are join keys. Candidates then face the Hamming distance of 1024-bit parity sketches, which
+order of all possible cells meet. The order depends on a cell's content alone: cells with many shingles that are not
+common come first (the most telling), cells of common passages and empty ones last; only those t + 1 cells are join
+keys. Which shingles are common is learned from a bounded sample; it decides how fast the join is, never what it finds. Candidates then face the Hamming distance of 1024-bit parity sketches, which
 is at most the number of differing shingles as well, and at last the sets themselves. Every step but the last
 only rules out pairs that cannot be similar, so no link is lost.
 
 Equal sets meet as one class before any join. Keys are packed per map task and bucket and joined with numpy by
-sorting. In a group of more than ``PAIRED`` classes with one key, each is first held against the lowest; those
-that turn out not to be in its component are then held against all of the group (``late`` below).
+sorting. In a group of more than ``PAIRED`` classes with one key, each is first held against the most central one, that
+with the smallest share of uncommon shingles (``late`` below). Members that turn out not to be in its component are
+then held against all that met the same central class, sketch against sketch and block by block; only pairs whose
+sketches allow a link leave a block.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from .workspace import Workspace, shuffle_width
 
 WIDTH = 5
 PAIRED = 8
-#: Keys that a map task gathers before it writes them out, and members of a group in one row.
-FLUSH_KEYS, ROW_MEMBERS = 1 << 21, 4096
+#: Keys that a map task gathers before it writes them out; sketches on either side of a block.
+FLUSH_KEYS, BLOCK = 1 << 21, 4096
 SKETCH_WORDS = 16
 _U = tn.U64
 
@@ -89,8 +92,8 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def cell_keys(shingles: np.ndarray, band: int, t: int, cells: int) -> np.ndarray:
-    """The first t + 1 cells of a set in the common order, as 64-bit keys."""
+def cell_keys(shingles: np.ndarray, rare: np.ndarray, band: int, t: int, cells: int) -> np.ndarray:
+    """The first t + 1 cells of a set in the common order, as 64-bit keys. ``rare``: 1 for shingles that are not common."""
     cell = ((shingles >> _U(32)) * _U(cells)) >> _U(32)
     order = np.argsort(cell.astype(np.uint16) if cells < 65536 else cell, kind="stable")
     cell = cell[order]
@@ -98,7 +101,7 @@ def cell_keys(shingles: np.ndarray, band: int, t: int, cells: int) -> np.ndarray
     count = np.diff(np.append(first, len(cell)))
     keys = tn.mix64(np.bitwise_xor.reduceat(shingles[order], first) ^ tn.mix64(cell[first] * _U(1 << 20) + _U(band)) ^ (count.astype(_U) << _U(40)))
     if len(keys) > t + 1:
-        return keys[np.lexsort((keys, -count))[: t + 1]]
+        return keys[np.lexsort((keys, -count, -np.add.reduceat(rare[order], first)))[: t + 1]]
     if len(keys) < t + 1:
         empty = np.setdiff1d(np.arange(cells, dtype=_U), cell[first])
         none = np.sort(tn.mix64(tn.mix64(empty * _U(1 << 20) + _U(band))))
@@ -106,35 +109,57 @@ def cell_keys(shingles: np.ndarray, band: int, t: int, cells: int) -> np.ndarray
     return keys
 
 
-#: kind 0: a document; 1: packed keys of a bucket, later a candidate pair of classes; 2: members of a large group of one key.
+#: kind 0: a document; 1: packed keys of a bucket, later a candidate pair of classes.
 _SCHEMA = pa.schema([
     ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
-    ("bits", pa.list_(pa.int64())), ("keys", pa.binary()), ("sets", pa.binary()), ("runs", pa.binary()),
+    ("bits", pa.list_(pa.int64())), ("keys", pa.binary()), ("sets", pa.binary()), ("runs", pa.binary()), ("ranks", pa.binary()),
 ])
-_DDL = "kind int, bucket int, doc_id long, th long, n long, a long, b long, bits array<long>, keys binary, sets binary, runs binary"
+_DDL = "kind int, bucket int, doc_id long, th long, n long, a long, b long, bits array<long>, keys binary, sets binary, runs binary, ranks binary"
 
 
 def _rows(length: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def _sketcher(percent: int, width: int, buckets: int):
-    def flush(keys: list, marks: list) -> pa.RecordBatch:
+def common_shingles(docs: DataFrame, width: int, docs_sampled: int = 4000, least_docs: int = 4, most: int = 1 << 16) -> np.ndarray:
+    """Sorted hashes of at most ``most`` shingles that at least ``least_docs`` of ``docs_sampled`` documents hold (those with the lowest text hashes)."""
+    chosen = docs.select("__th").distinct().orderBy("__th").limit(docs_sampled)
+    texts = docs.join(F.broadcast(chosen), "__th", "left_semi").dropDuplicates(["__th"]).select("__text")  # at most docs_sampled hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, s in shingle_sets(batch.column(0), width):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
+
+    counted = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
+    top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"].to_numpy()
+    return np.sort(top.view(_U))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _sketcher(percent: int, width: int, buckets: int, common):
+    def flush(keys: list, marks: list, ranks: list) -> pa.RecordBatch:
         sizes = np.array([len(k) for k in keys])
         key, doc = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
-        mark = np.array(marks, np.int64)
+        mark, rank = np.array(marks, np.int64), np.array(ranks, np.uint16)
         bucket = (key % _U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         key, doc, bucket = key[order] >> _U(16), doc[order], bucket[order]
         low = key.view(np.uint8).reshape(-1, 8)[:, :6]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        out = {"kind": [], "bucket": [], "keys": [], "sets": [], "runs": []}
+        out = {"kind": [], "bucket": [], "keys": [], "sets": [], "runs": [], "ranks": []}
         for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
             run = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
             out["kind"].append(1)
             out["bucket"].append(int(bucket[a]))
             out["keys"].append(low[a:b].tobytes())
             out["sets"].append(mark[doc[a:b][run]].tobytes())
+            out["ranks"].append(rank[doc[a:b][run]].tobytes())
             out["runs"].append(np.diff(np.append(run, b - a)).astype(np.uint32).tobytes())
         return _rows(len(out["kind"]), **out)
 
@@ -142,6 +167,7 @@ def _sketcher(percent: int, width: int, buckets: int):
         bands, seen = Bands(percent), set()
         keys: list[np.ndarray] = []
         marks: list[int] = []
+        ranks: list[int] = []
         held = 0
         for batch in batches:
             ns, own, bits = [], [], []
@@ -154,37 +180,39 @@ def _sketcher(percent: int, width: int, buckets: int):
                     continue  # its class has spoken in this flush
                 seen.add(mark)
                 band = bands.of(len(s))
-                mine = np.concatenate([cell_keys(s, k, *bands.scheme(k)) for k in (band, band + 1)])
+                rare = (~_among(s, common.value)).astype(np.int32)
+                mine = np.concatenate([cell_keys(s, rare, k, *bands.scheme(k)) for k in (band, band + 1)])
                 keys.append(mine)
                 marks.append(mark)
+                ranks.append(int(rare.sum()) * 65535 // len(s))
                 held += len(mine)
                 if held >= FLUSH_KEYS:
-                    yield flush(keys, marks)
-                    keys, marks, held = [], [], 0
+                    yield flush(keys, marks, ranks)
+                    keys, marks, ranks, held = [], [], [], 0
                     seen = set()
             if ns:
                 spots = (np.array(own, np.int64).view(_U) % _U(buckets)).astype(np.int32)
                 yield _rows(len(ns), kind=np.zeros(len(ns), np.int32), bucket=spots, doc_id=batch.column(0), th=batch.column(1), n=ns, a=own, bits=bits)
         if keys:
-            yield flush(keys, marks)
+            yield flush(keys, marks, ranks)
 
     return run
 
 
-def group_pairs(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Candidates of keyed classes: a, b, whether the pair came from a large group, and the large groups (key, members)."""
+def group_pairs(key: np.ndarray, mark: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of keyed classes: a, b and whether the pair came from a large group. a is before b by (rank, mark)."""
     order = np.argsort(key, kind="stable")
-    key, mark = key[order], mark[order]
+    key, mark, rank = key[order], mark[order], rank[order]
     same = key[1:] == key[:-1]
     more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    key, mark = key[more], mark[more]
-    order = np.lexsort((mark, key))
+    key, mark, rank = key[more], mark[more], rank[more]
+    order = np.lexsort((mark, rank, key))
     key, mark = key[order], mark[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])[: len(key)]
     key, mark = key[new], mark[new]
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
     sizes = np.diff(np.append(cuts, len(key)))
-    a, b, late, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
+    a, b, late = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRED)]):
         at = cuts[sizes == size]
         for i, j in combinations(range(size), 2):
@@ -195,16 +223,15 @@ def group_pairs(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarr
         b.append(mark[at + 1 : at + size])
         a.append(np.full(size - 1, mark[at]))
         late.append(np.ones(size - 1, bool))
-        large.append((int(key[at]), mark[at : at + size]))
     a, b, late = np.concatenate(a), np.concatenate(b), np.concatenate(late)
     order = np.lexsort((late, b, a))
     a, b, late = a[order], b[order], late[order]
     last = np.concatenate([(a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])[: len(a)]  # the one from a large group, if any
-    return a[last], b[last], late[last], large
+    return a[last], b[last], late[last]
 
 
 def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, marks = [], []
+    keys, marks, ranks = [], [], []
     for batch in batches:
         kind = np.asarray(batch.column(0))
         if (kind == 0).any():
@@ -214,17 +241,16 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             full = np.zeros((len(low), 8), np.uint8)
             full[:, :6] = low
             keys.append(full.view(_U).ravel())
-            marks.append(np.repeat(np.frombuffer(batch.column(9)[i].as_py(), np.int64), np.frombuffer(batch.column(10)[i].as_py(), np.uint32)))
+            runs = np.frombuffer(batch.column(10)[i].as_py(), np.uint32)
+            marks.append(np.repeat(np.frombuffer(batch.column(9)[i].as_py(), np.int64), runs))
+            ranks.append(np.repeat(np.frombuffer(batch.column(11)[i].as_py(), np.uint16), runs))
     if keys:
-        a, b, late, large = group_pairs(np.concatenate(keys), np.concatenate(marks))
-        del keys, marks
+        a, b, late = group_pairs(np.concatenate(keys), np.concatenate(marks), np.concatenate(ranks))
+        del keys, marks, ranks
         for i in range(0, len(a), 50_000):
             to = slice(i, i + 50_000)
             n = len(a[to])
             yield _rows(n, kind=np.ones(n, np.int32), a=a[to], b=b[to], n=late[to].astype(np.int64))
-        for key, members in large:
-            for i in range(0, len(members), ROW_MEMBERS):
-                yield _rows(1, kind=[2], a=[key], sets=[members[i : i + ROW_MEMBERS].tobytes()])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -265,14 +291,43 @@ def verified_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space:
     full = maybe.select("a", "b", "late").join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("x")), "a")
     known = full.select("a", "b", "late", "x", "y").mapInArrow(_common, "a long, b long, late boolean, common long, na long, nb long")
     found = known.select("a", "b", "late", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
-    return space.write(found.unionByName(near.filter("not maybe").select("a", "b", "late", F.lit(False).alias("linked"))), f"links{tag}")
+    links = space.write(found.unionByName(near.filter("not maybe").select("a", "b", "late", F.lit(False).alias("linked"))), f"links{tag}")
+    space.drop(f"near{tag}")
+    space.drop(f"sets{tag}")
+    return links
+
+
+def _block_pairs(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        column = lambda name, to: table[name].to_numpy()[side == to]
+        bits = table["bits"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(_U).reshape(-1, SKETCH_WORDS)
+        ym, yn, yc, yb = column("mark", 1), column("n", 1), column("component", 1), bits[side == 1]
+        xm, xn, xc, xb = column("mark", 0), column("n", 0), column("component", 0), bits[side == 0]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(ym) if len(xm) else 0):
+            apart = np.bitwise_count(xb ^ yb[i]).sum(axis=1, dtype=np.int64)
+            fits = (apart * (100 + percent) <= (xn + yn[i]) * (100 - percent)) & (100 * np.minimum(xn, yn[i]) >= percent * np.maximum(xn, yn[i])) & (xc != yc[i])
+            a.append(np.minimum(xm[fits], ym[i]))
+            b.append(np.maximum(xm[fits], ym[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
+    return run
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, members in zip(batch.column(0), batch.column(1), strict=True):
-            marks = np.frombuffer(members.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), key.as_py()), pa.int64()), pa.array(marks)], ["key", "mark"])
+
+def second_look(links: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that a link may still join: members that failed their central class, against all that met the same one.
+
+    Sides are cut into blocks of about BLOCK sketches, so no task holds a whole group."""
+    label = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
+    met = links.filter("late").join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", F.col("b").alias("mark"), F.coalesce("cb", "b").alias("component"), (~F.col("linked") & (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).alias("odd"))
+    size = met.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("xs"), F.expr(f"cast(ceil(count_if(odd) / {BLOCK}) as int)").alias("ys")).filter("ys > 0")
+    met = met.join(size, "a").join(classes.select("mark", "n", "bits"), "mark")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
+    kept = ["a", "mark", "component", "n", "bits"]
+    rows = met.select(*kept, other("ys").alias("y"), own("xs").alias("x"), F.lit(0).alias("side")).unionByName(met.filter("odd").select(*kept, own("ys").alias("y"), other("xs").alias("x"), F.lit(1).alias("side")))
+    return rows.groupBy("a", "y", "x").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,7 +340,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_
     space = Workspace(docs.sparkSession, "jaccard")
     bare = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
     buckets = shuffle_width(docs.sparkSession)
-    packed = bare.mapInArrow(_sketcher(percent, width, buckets), _DDL).repartition(buckets, "bucket")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(bare, width))
+    packed = bare.mapInArrow(_sketcher(percent, width, buckets, common), _DDL).repartition(buckets, "bucket")
     table = space.write(packed.mapInArrow(_join_buckets, _DDL), "joined")
     rows = table.filter("kind = 0").select("doc_id", "th", "n", F.col("a").alias("mark"), "bits")
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
@@ -293,19 +349,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_
     pairs = table.filter("kind = 1").groupBy("a", "b").agg(F.max(F.col("n") > 0).alias("late"))
     links = verified_links(pairs, classes, bare, space, percent, width, "1")
     comps = space.write(components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), space, "cc1"), "comps1")
-    label = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
-    failed = links.filter("late and not linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    failed = failed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    if not failed.isEmpty():  # members of large groups outside their leader's component meet the whole group
-        odd = failed.select(F.col("b").alias("mark")).distinct()
-        members = table.filter("kind = 2").select(F.col("a").alias("key"), "sets").mapInArrow(_members, "key long, mark long")
-        members = members.join(comps.select(F.col("id").alias("mark"), "component"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        members = space.write(members.join(mixed, "key", "left_semi"), "members")
-        left = members.join(odd, "mark", "left_semi").select("key", F.col("mark").alias("x"), F.col("component").alias("cx"))
-        met = left.join(members, "key").filter("cx <> component").select(F.least("x", "mark").alias("a"), F.greatest("x", "mark").alias("b")).distinct()
-        met = met.join(links.select("a", "b"), ["a", "b"], "left_anti").withColumn("late", F.lit(False))
-        again = verified_links(met, classes, bare, space, percent, width, "2")
+    near = space.write(second_look(links, comps, classes, percent), "second")
+    ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    near = near.join(links.select(*ordered), ["a", "b"], "left_anti").withColumn("late", F.lit(False))
+    again = verified_links(near, classes, bare, space, percent, width, "2")
+    if not again.filter("linked").isEmpty():
         every = links.filter("linked").select("a", "b").unionByName(again.filter("linked").select("a", "b"))
         comps = space.write(components(every.select(F.col("a").alias("u"), F.col("b").alias("v")), space, "cc2"), "comps2")
     of_class = classes.join(comps.select(F.col("id").alias("mark"), "component"), "mark", "left").select("mark", "at", F.coalesce("component", "mark").alias("component"))
