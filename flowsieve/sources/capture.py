@@ -68,9 +68,9 @@ def read_flows(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def stream_flows(spark: SparkSession, folder: str, max_files: int | None = None, strict: bool = False) -> DataFrame:
-    """Flows of files as they come into a folder. seq orders rows within a micro-batch."""
+    """Flows of files as they come into a folder. seq is 0 here: ``streaming.live`` numbers the rows of each micro-batch."""
     reader = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
-    return flows(parse(reader.text(folder).withColumn("seq", F.monotonically_increasing_id()), strict))
+    return flows(parse(reader.text(folder).withColumn("seq", F.lit(0).cast("long")), strict))
 
 
 def in_namespaces(names: Sequence[str]) -> Column:
