@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .workspace import Workspace, shuffle_width
+from .workspace import Workspace, arrow_map, even_buckets, shuffle_width
 
 WIDTH = 5
 PAIRED = 8
 #: Keys that a map task gathers before it writes them out; sketches on either side of a block.
-FLUSH_KEYS, BLOCK = 1 << 21, 4096
+FLUSH_KEYS, BLOCK = 1 << 19, 4096
 SKETCH_WORDS = 16
 _U = tn.U64
 
@@ -131,7 +131,7 @@ def common_shingles(docs: DataFrame, width: int, docs_sampled: int = 4000, least
             for _, s in shingle_sets(batch.column(0), width):
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
 
-    counted = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
+    counted = arrow_map(texts, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
     top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"].to_numpy()
     return np.sort(top.view(_U))
 
@@ -142,7 +142,9 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _sketcher(percent: int, width: int, buckets: int, common):
+def _sketcher(percent: int, width: int, codes: list[int], common):
+    buckets, numbers = len(codes), np.array(codes, np.int32)
+
     def flush(keys: list, marks: list, ranks: list) -> pa.RecordBatch:
         sizes = np.array([len(k) for k in keys])
         key, doc = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
@@ -156,7 +158,7 @@ def _sketcher(percent: int, width: int, buckets: int, common):
         for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
             run = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
             out["kind"].append(1)
-            out["bucket"].append(int(bucket[a]))
+            out["bucket"].append(int(numbers[bucket[a]]))
             out["keys"].append(low[a:b].tobytes())
             out["sets"].append(mark[doc[a:b][run]].tobytes())
             out["ranks"].append(rank[doc[a:b][run]].tobytes())
@@ -191,7 +193,7 @@ def _sketcher(percent: int, width: int, buckets: int, common):
                     keys, marks, ranks, held = [], [], [], 0
                     seen = set()
             if ns:
-                spots = (np.array(own, np.int64).view(_U) % _U(buckets)).astype(np.int32)
+                spots = numbers[(np.array(own, np.int64).view(_U) % _U(buckets)).astype(np.int32)]
                 yield _rows(len(ns), kind=np.zeros(len(ns), np.int32), bucket=spots, doc_id=batch.column(0), th=batch.column(1), n=ns, a=own, bits=bits)
         if keys:
             yield flush(keys, marks, ranks)
@@ -201,11 +203,11 @@ def _sketcher(percent: int, width: int, buckets: int, common):
 
 def group_pairs(key: np.ndarray, mark: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of keyed classes: a, b and whether the pair came from a large group. a is before b by (rank, mark)."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    sorted_key = key[order]
+    same = sorted_key[1:] == sorted_key[:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # keys of one class alone go at once
     key, mark, rank = key[order], mark[order], rank[order]
-    same = key[1:] == key[:-1]
-    more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    key, mark, rank = key[more], mark[more], rank[more]
     order = np.lexsort((mark, rank, key))
     key, mark = key[order], mark[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])[: len(key)]
@@ -245,8 +247,10 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             marks.append(np.repeat(np.frombuffer(batch.column(9)[i].as_py(), np.int64), runs))
             ranks.append(np.repeat(np.frombuffer(batch.column(11)[i].as_py(), np.uint16), runs))
     if keys:
-        a, b, late = group_pairs(np.concatenate(keys), np.concatenate(marks), np.concatenate(ranks))
-        del keys, marks, ranks
+        key, mark, rank = np.concatenate(keys), np.concatenate(marks), np.concatenate(ranks)
+        keys, marks, ranks = [], [], []
+        a, b, late = group_pairs(key, mark, rank)
+        del key, mark, rank
         for i in range(0, len(a), 50_000):
             to = slice(i, i + 50_000)
             n = len(a[to])
@@ -286,10 +290,10 @@ def verified_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space:
     maybe = near.filter("maybe")
     wanted = maybe.select(F.col("a").alias("mark"), F.col("ata").alias("at")).unionByName(maybe.select(F.col("b").alias("mark"), F.col("atb").alias("at"))).distinct()
     texts = docs.join(wanted.select("at.id", F.col("at.th").alias("wth")).distinct(), docs["__id"].eqNullSafe(F.col("id")) & (docs["__th"] == F.col("wth")), "left_semi").select("__text")
-    sets = texts.mapInArrow(lambda it: _sets_of(it, width), "mark long, shingles binary")
+    sets = arrow_map(texts, lambda it: _sets_of(it, width), "mark long, shingles binary")
     sets = space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"sets{tag}")
     full = maybe.select("a", "b", "late").join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("x")), "a")
-    known = full.select("a", "b", "late", "x", "y").mapInArrow(_common, "a long, b long, late boolean, common long, na long, nb long")
+    known = arrow_map(full.select("a", "b", "late", "x", "y"), _common, "a long, b long, late boolean, common long, na long, nb long")
     found = known.select("a", "b", "late", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
     links = space.write(found.unionByName(near.filter("not maybe").select("a", "b", "late", F.lit(False).alias("linked"))), f"links{tag}")
     space.drop(f"near{tag}")
@@ -341,8 +345,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_
     bare = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
     buckets = shuffle_width(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(bare, width))
-    packed = bare.mapInArrow(_sketcher(percent, width, buckets, common), _DDL).repartition(buckets, "bucket")
-    table = space.write(packed.mapInArrow(_join_buckets, _DDL), "joined")
+    packed = arrow_map(bare, _sketcher(percent, width, even_buckets(docs.sparkSession, buckets), common), _DDL).repartition(buckets, "bucket")
+    table = space.write(arrow_map(packed, _join_buckets, _DDL), "joined")
     rows = table.filter("kind = 0").select("doc_id", "th", "n", F.col("a").alias("mark"), "bits")
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
     classes = space.write(rows.filter("n > 0").groupBy("mark").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .workspace import arrow_map
 from .toxicity import remainder
 
 BITS = 17
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, most_languages: int = 64
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([held[k].astype(np.int32).tobytes()], pa.binary())], ["k", "counts"])
 
     total = np.zeros((n, 1 << BITS))
-    for r in rows.mapInArrow(count, "k long, counts binary").toLocalIterator():
+    for r in arrow_map(rows, count, "k long, counts binary").toLocalIterator():
         total[r["k"]] += np.frombuffer(r["counts"], np.int32)
     seen = max(1, int((total.sum(axis=0) > 0).sum()))
     tables = np.log((total + smoothing) / (total.sum(axis=1, keepdims=True) + smoothing * seen))
@@ -181,7 +182,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], [*rest, "lang_pred", "score", "lang_shares"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, lang_shares map<string,double>"]))
+    return arrow_map(source, run, ", ".join([*fields, "lang_pred string, score double, lang_shares map<string,double>"]))
 
 
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:

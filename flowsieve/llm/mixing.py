@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .sharding import number_within
-from .workspace import Workspace, shuffle_width
+from .workspace import Workspace, arrow_map, shuffle_width
 
 WEIGHTS = (5, 2, 1)
 #: Documents beyond the first of the order that close a source's gap.
@@ -40,7 +40,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, th (hash of the text), source and size in words of every row; a null text has none."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(source).cast("string").alias("source"), F.col(text))
-    return rows.mapInArrow(_count_words, "doc_id long, th long, source string, size long")
+    return arrow_map(rows, _count_words, "doc_id long, th long, source string, size long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = 3) -> DataFrame:

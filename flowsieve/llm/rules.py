@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .workspace import arrow_map
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +89,7 @@ def text_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
                 part = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[pa.array(stats[c], pa.int64()) for c in COUNTS]], [*names, *COUNTS])
 
-    return source.mapInArrow(run, f"{schema}, {STAT_SCHEMA}" if schema else STAT_SCHEMA)
+    return arrow_map(source, run, f"{schema}, {STAT_SCHEMA}" if schema else STAT_SCHEMA)
 
 
 def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:

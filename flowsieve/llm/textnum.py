@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 

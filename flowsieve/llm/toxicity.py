@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .workspace import arrow_map
 
 BITS = 20
 GRAM = 5
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_any: int
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(seen), pa.array([h.tobytes() for h in held], pa.binary())], ["kind", "seen", "df"])
 
     df, seen = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in rows.mapInArrow(frequencies, "kind long, seen long, df binary").toLocalIterator():
+    for r in arrow_map(rows, frequencies, "kind long, seen long, df binary").toLocalIterator():
         df[r["kind"]] += np.frombuffer(r["df"], np.int32)
         seen[r["kind"]] += r["seen"]
     if not seen[0] or not seen[1]:
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_any: int
                     ["id", "kind", "feats", "counts"],
                 )
 
-    got = rows.mapInArrow(values, "id long, kind int, feats array<long>, counts array<long>").toArrow().sort_by([("kind", "ascending"), ("id", "ascending")])
+    got = arrow_map(rows, values, "id long, kind int, feats array<long>, counts array<long>").toArrow().sort_by([("kind", "ascending"), ("id", "ascending")])
     sides = []
     for kind in (1, 0):
         part = got.filter(pa.compute.equal(got["kind"], kind)).combine_chunks()
@@ -186,7 +187,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "scor
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*rest, out])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    return arrow_map(source, run, ", ".join([*fields, f"`{out}` double"]))
 
 
 def remainder(doc_id: str, parts: int):

@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,5 +50,30 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of one Arrow batch on its way to Python; Spark's own limit lets a task hold several times 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_BYTES (or one row), with this package on the workers' path.
+
+    Lowers the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` where it is higher."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = (spark.conf.get(key) or "").rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES or int(size) <= 0:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if HOME not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (HOME, paths) if x)
+    return df.mapInArrow(run, schema)
+
+
+def even_buckets(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that ``repartition(n, number)`` deals to n different partitions, in the partitions' order."""
+    tried = spark.range(60 * n).select(F.col("id").cast("int").alias("x"))
+    found = tried.groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("p")).agg(F.min("x").alias("x")).collect()  # n rows
+    return [r["x"] for r in sorted(found, key=lambda r: r["p"])]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
