@@ -67,18 +67,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     never dropped. Repeated rows count as documents each. Null ids are ids like any other. Columns named like the
     results are replaced. An empty table gives an empty result."""
     space = Workspace(docs.sparkSession, "lines")
-    drop = dropped_lines(docs, space, min_docs, min_chars, keep, doc_id, text)
+    drop = dropped_lines(docs, space, min_docs, min_chars, keep, doc_id, text).withColumnRenamed("drop", "__drop")
     clean = docs.drop("n_lines", "n_dropped", "keep_bitmap")
     rows = clean.withColumn("__rt", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = rows.join(drop.hint("shuffle_hash"), rows[doc_id].eqNullSafe(drop["__id"]) & (rows["__rt"] == drop["__th"]), "left")
     lines = split_lines(F.col(text))
-    bit = lambda i: F.coalesce(F.getbit(F.col("drop")[(i / 64).cast("int")], i % 64), F.lit(0)) == 1
-    left = F.when(F.col("drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~bit(i)), "\n"))
+    bit = lambda i: F.coalesce(F.getbit(F.col("__drop")[(i / 64).cast("int")], i % 64), F.lit(0)) == 1
+    left = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~bit(i)), "\n"))
     n_lines = F.size(lines)
-    bitmap = F.transform(F.sequence(F.lit(0), F.floor((n_lines - 1) / 64).cast("int")), lambda w: F.bitwise_not(F.coalesce(F.col("drop")[w], F.lit(0).cast("long"))))
+    bitmap = F.transform(F.sequence(F.lit(0), F.floor((n_lines - 1) / 64).cast("int")), lambda w: F.bitwise_not(F.coalesce(F.col("__drop")[w], F.lit(0).cast("long"))))
     return joined.select(
         *[left.alias(text) if c == text else F.col(c) for c in clean.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate(F.map_values("drop"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.aggregate(F.map_values("__drop"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
         bitmap.alias("keep_bitmap"),
     )
