@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import arrow_map
+
 #: Fixed value: the cutting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 #: Pretokens of more bytes get a tree of their own; distinct pretokens that a worker remembers; characters of text at once.
-ROW_BYTES, CACHE, CHUNK = 64, 400_000, 1 << 20
+ROW_BYTES, CACHE, CHUNK = 64, 160_000, 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -204,12 +206,12 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of up to CACHE distinct pretokens."""
+    """Encodes texts; remembers the ids of about CACHE distinct pretokens, those met last."""
 
     def __init__(self, vocab: Vocabulary):
         import regex
 
-        self.vocab, self.known = vocab, {}
+        self.vocab, self.known, self.older = vocab, {}, {}
         self.words = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) + ")").split if vocab.special else None
 
@@ -226,10 +228,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pretokens(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in set(chain.from_iterable(cut)) if w not in known]
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in set(chain.from_iterable(cut)):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         plain = []
         for w in new:
             if w.startswith("\0special") and w[8:] in self.vocab.special:
@@ -248,9 +256,15 @@ def worker_encoder(path: str) -> Encoder:
     return Encoder(vocabulary(path))
 
 
-def _encoder(path: str, at: int, names: list[str], out: str):
+def decode_all(pieces: np.ndarray, ids: list[np.ndarray]) -> list[str]:
+    """Texts of id arrays; bytes that are no UTF-8 become U+FFFD."""
+    return [b"".join(pieces[x].tolist()).decode("utf-8", "replace") for x in ids]
+
+
+def _encoder(path: str, at: int, names: list[str], out: str, decoded: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
+        pieces = np.array(encoder.vocab.pieces, dtype=object)
         for batch in batches:
             texts = batch.column(at).fill_null("")
             sizes = np.cumsum(np.asarray(pa.compute.utf8_length(texts)))
@@ -260,22 +274,26 @@ def _encoder(path: str, at: int, names: list[str], out: str):
                 part = batch.slice(a, b - a)
                 ids = encoder.encode(texts.slice(a, b - a).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != at], values], [*names, out])
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
+                if decoded:
+                    made.append(pa.array(decode_all(pieces, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != at], *made], [*names, out, *([decoded] if decoded else [])])
                 a = b
 
     return run
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the text replaced by its token ids (array of int); null or empty texts have none.
 
-    ``path`` is a file that every executor can open. Each distinct text is encoded on its own, whole, however long; repeated rows
-    alike. A column named ``out`` is replaced. An empty table gives an empty result."""
-    rest = [c for c in docs.columns if c not in (text, out)]
+    ``decoded`` names a further column for the text that the ids decode to, made in the same pass. ``path`` is a file that every
+    executor can open. Every text is encoded whole, however long; repeated rows alike. Columns named like the results are
+    replaced. An empty table gives an empty result."""
+    rest = [c for c in docs.columns if c not in (text, out, decoded)]
     source = docs.select(*rest, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(_encoder(path, len(rest), rest, out), ", ".join([*fields, f"`{out}` array<int>"]))
+    made = [f"`{out}` array<int>", *([f"`{decoded}` string"] if decoded else [])]
+    return arrow_map(source, _encoder(path, len(rest), rest, out, decoded), ", ".join([*fields, *made]))
 
 
 def _decoder(path: str, at: int, names: list[str], out: str):
@@ -285,8 +303,8 @@ def _decoder(path: str, at: int, names: list[str], out: str):
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 ids = part.column(at)
-                texts = [b"".join(pieces[np.asarray(x.values)].tolist()).decode("utf-8", "replace") if x.is_valid else None for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, out])
+                texts = decode_all(pieces, [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t if x.is_valid else None for t, x in zip(texts, ids, strict=True)], pa.string())], [*names, out])
 
     return run
 
@@ -296,7 +314,7 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decod
     source = tokens.drop(out)
     at = source.columns.index(ids)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
-    return source.mapInArrow(_decoder(path, at, source.columns, out), ", ".join([*fields, f"`{out}` string"]))
+    return arrow_map(source, _decoder(path, at, source.columns, out), ", ".join([*fields, f"`{out}` string"]))
 
 
 def id_digest(ids: str = "ids"):

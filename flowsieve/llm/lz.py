@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .workspace import shuffle_width
+from .workspace import arrow_map, even_buckets, shuffle_width
 
 SIGNATURE = 128
 
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(prints, pa.string())], [*rest, out])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out}` string"]))
+    return arrow_map(source, run, ", ".join([*fields, f"`{out}` string"]))
 
 
 def fingerprint_likeness(a: str, b: str, size: int = SIGNATURE) -> float:
@@ -112,7 +112,9 @@ def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
     own = docs.withColumn("bucket", bucket).withColumn("first", F.coalesce(F.col("doc_id") == top[F.col("bucket")], F.col("text") == F.lit(bare), F.lit(False)))
     sent = F.when(F.col("first"), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")), F.struct(goes[F.col("bucket")].alias("b"), F.lit(1).alias("guest"))))
     rows = own.withColumn("to", F.explode(sent.otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))))))
-    return rows.select(F.col("to.b").alias("bucket"), F.col("to.guest").alias("guest"), "doc_id", "text")
+    codes = even_buckets(docs.sparkSession, parts + 2)  # one for the null ids, one more for rounding
+    number = F.element_at(F.array(*[F.lit(c) for c in codes]), F.col("to.b") + 2)
+    return rows.select(number.alias("bucket"), F.col("to.guest").alias("guest"), "doc_id", "text").repartition(parts + 2, "bucket")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -179,5 +181,5 @@ def edited_likeness(docs: DataFrame, size: int = SIGNATURE, doc_id: str = "doc_i
     not read. An empty table gives an empty result."""
     bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = shuffle_width(docs.sparkSession)
-    placed = _neighbours(bare, parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
-    return placed.mapInArrow(_edited_pairs(size), _OUT)
+    placed = _neighbours(bare, parts).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    return arrow_map(placed, _edited_pairs(size), _OUT)

@@ -58,9 +58,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file()
-    tokens = bpe.bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    both = bpe.bpe_decode(tokens, path)
+    both = bpe.bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(), decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
