@@ -42,9 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; ``exact`` says that they decode to its text again."""
-    path = tokenizer_file()
-    tokens = bpe.bpe_encode(docs.select("doc_id", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), path)
-    back = bpe.bpe_decode(tokens, path).withColumn("exact", F.xxhash64("decoded") == F.col("text_hash"))
+    hashed = docs.select("doc_id", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    back = bpe.bpe_encode(hashed, tokenizer_file(), decoded="decoded").withColumn("exact", F.xxhash64("decoded") == F.col("text_hash"))
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
