@@ -29,25 +29,25 @@ def rules(atoms: DataFrame) -> DataFrame:
     """One row per rule in order: POLICY, direction, rule_no, form (ports, icmp, fqdn, companion), the peer, and ports, icmps or names.
 
     Order: entities, address ranges, endpoints, each by first flow with ports before ICMP; then DNS rules; then the companion.
-    Ports are one entry unless one of them has HTTP rules (``per_port``)."""
+    Ports are one entry unless one of them has HTTP rules (``per_port``). One aggregation by peer gathers all of its atoms."""
     peer = [*POLICY, "direction", "peer_type", "peer_key"]
-    http = atoms.filter("kind = 'http'").groupBy(*peer, "port", "protocol").agg(F.array_sort(F.collect_list(F.struct("first_seq", "method", "path"))).alias("h"))
-    http = http.select(*peer, "port", "protocol", F.transform("h", lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path"))).alias("http"))
-    ports = atoms.filter("kind = 'port'").join(http, [*peer, "port", "protocol"], "left")
-    ports = ports.groupBy(*peer).agg(
-        F.min("first_seq").alias("first_seq"),
-        F.min_by("selector", "first_seq").alias("selector"),
-        F.array_sort(F.collect_list(F.struct(F.col("first_seq").alias("seq"), "port", "protocol", F.coalesce("http", F.array().cast("array<struct<method:string,path:string>>")).alias("http")))).alias("ports"),
-    ).withColumn("form", F.lit("ports"))
-    icmps = atoms.filter("kind = 'icmp'").groupBy(*peer).agg(
-        F.min("first_seq").alias("first_seq"),
-        F.min_by("selector", "first_seq").alias("selector"),
-        F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "protocol", "port"))), lambda x: F.struct(F.when(x["protocol"] == "ICMPv6", "IPv6").otherwise("IPv4").alias("family"), x["port"].alias("type"))).alias("icmps"),
-    ).withColumn("form", F.lit("icmp"))
-    fqdn = atoms.filter("kind = 'fqdn'").groupBy(*peer).agg(F.array_sort(F.collect_set("name")).alias("names")).withColumn("form", F.lit("fqdn"))
-    begun = atoms.groupBy(*peer).agg(F.min("first_seq").alias("begun"), F.min_by("selector", "first_seq").alias("peer_selector"))
-    found = ports.unionByName(icmps, allowMissingColumns=True).unionByName(fqdn, allowMissingColumns=True).join(begun, peer).withColumn("selector", F.when(F.col("form") != "fqdn", F.col("peer_selector")))
-    every = found.drop("peer_selector", "first_seq").unionByName(_companions(found), allowMissingColumns=True)
+    of = lambda kind, *parts: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("first_seq").alias("seq"), *parts))))
+    by = atoms.groupBy(*peer).agg(
+        F.min("first_seq").alias("begun"), F.min_by("selector", "first_seq").alias("selector"),
+        of("port", "port", "protocol").alias("p"), of("icmp", "protocol", "port").alias("i"), of("http", "port", "protocol", "method", "path").alias("h"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "fqdn", F.col("name")))).alias("n"),
+    )
+
+    def http(p: Column) -> Column:
+        own = F.filter("h", lambda x: (x["port"] == p["port"]) & (x["protocol"] == p["protocol"]))
+        return F.transform(own, lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path")))
+
+    ports = F.transform("p", lambda p: F.struct(p["seq"].alias("seq"), p["port"].alias("port"), p["protocol"].alias("protocol"), http(p).alias("http")))
+    icmps = F.transform("i", lambda x: F.struct(F.when(x["protocol"] == "ICMPv6", "IPv6").otherwise("IPv4").alias("family"), x["port"].alias("type")))
+    forms = F.array_compact(F.array(*[F.when(F.size(held) > 0, F.lit(form)) for form, held in (("ports", "p"), ("icmp", "i"), ("fqdn", "n"))]))
+    only = lambda form, c: F.when(F.col("form") == form, c)
+    found = by.withColumn("form", F.explode(forms)).select(*peer, "begun", "form", F.when(F.col("form") != "fqdn", F.col("selector")).alias("selector"), only("ports", ports).alias("ports"), only("icmp", icmps).alias("icmps"), only("fqdn", F.col("n")).alias("names"))
+    every = found.unionByName(_companions(found), allowMissingColumns=True)
     rank = F.when(F.col("form") == "companion", 8).when(F.col("form") == "fqdn", F.lit(4) + _type_rank()).otherwise(_type_rank())
     order = Window.partitionBy(*POLICY, "direction").orderBy(rank, "begun", "peer_key", F.when(F.col("form") == "icmp", 1).otherwise(0))
     return every.withColumn("rule_no", F.row_number().over(order)).withColumn("per_port", F.exists(F.coalesce("ports", F.array().cast(_PORTS)), lambda p: F.size(p["http"]) > 0))
@@ -59,13 +59,12 @@ def _type_rank() -> Column:
 
 def _companions(found: DataFrame) -> DataFrame:
     """The rule towards the name service for policies with DNS rules and without one of their own that allows both protocols."""
-    names = found.filter("form = 'fqdn'").select(*POLICY, F.explode("names").alias("name")).groupBy(*POLICY).agg(F.array_sort(F.collect_set("name")).alias("names"))
     both = lambda proto: F.exists("ports", lambda p: (p["port"] == "53") & (p["protocol"] == proto))
-    asks = F.lit(True)
+    asks = (F.col("form") == "ports") & (F.col("direction") == "egress") & (F.col("peer_type") == "endpoint") & both("UDP") & both("TCP")
     for label in DNS_LABELS:
         asks = asks & F.array_contains(F.split("selector", ","), label)
-    has = found.filter((F.col("form") == "ports") & (F.col("direction") == "egress") & (F.col("peer_type") == "endpoint") & asks & both("UDP") & both("TCP")).select(*POLICY).distinct()
-    return names.join(has, POLICY, "left_anti").withColumns({"direction": F.lit("egress"), "peer_type": F.lit("endpoint"), "peer_key": F.lit(DNS_SELECTOR), "selector": F.lit(DNS_SELECTOR), "form": F.lit("companion"), "begun": F.lit(None).cast("long")})
+    by = found.groupBy(*POLICY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.bool_or(F.coalesce(asks, F.lit(False))).alias("has"))
+    return by.filter("size(names) > 0 and not has").drop("has").withColumns({"direction": F.lit("egress"), "peer_type": F.lit("endpoint"), "peer_key": F.lit(DNS_SELECTOR), "selector": F.lit(DNS_SELECTOR), "form": F.lit("companion"), "begun": F.lit(None).cast("long")})
 
 
 def traffic_text() -> Column:
