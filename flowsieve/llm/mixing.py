@@ -62,13 +62,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
 
 
 def _order_hash(seed: int, *keys: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 32)
+    """Number in [0, 2^32) from a seed and keys, by a hash that other engines have as well."""
+    text = F.concat_ws(":", F.lit("mix"), F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def _running(rows: DataFrame, seed: int) -> DataFrame:
     """``rows`` with h, k (place in the source's order, from 0) and start (words before it)."""
     parts = shuffle_width(rows.sparkSession)
-    cut = rows.withColumn("h", _order_hash(seed, "doc_id", "th")).withColumn("r", F.floor(F.col("h") * F.lit(parts) / F.lit(2**32)).cast("int"))
+    cut = rows.withColumn("h", _order_hash(seed, F.col("doc_id"))).withColumn("r", F.floor(F.col("h") * F.lit(parts) / F.lit(2**32)).cast("int"))
     sums = cut.groupBy("source", "r").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(F.col("source").alias("g"), F.col("r").alias("gr"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
@@ -134,7 +136,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3,
     runs = F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)))
     each = taken.withColumn("epoch", runs).withColumn("block", F.expr(f"start div {block_words}"))
     blocks = each.filter("epoch is not null").select("source", "epoch", "block").distinct()
-    blocks = space.write(number_within(blocks, "source", _order_hash(seed + 1, "epoch", "block"), [F.col("epoch"), F.col("block")], "place"), "blocks")
+    blocks = space.write(number_within(blocks, "source", _order_hash(seed + 1, F.col("source"), F.col("epoch"), F.col("block")), [F.col("epoch"), F.col("block")], "place"), "blocks")
     quotas = sorted(((r["source"], r["n"]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     dealt = splitting_tree(np.array([n for _, n in quotas], np.int64), shards, seed).cumsum(axis=0).T if quotas else np.zeros((0, shards))
     ends = spark.createDataFrame([(s, [int(x) for x in row]) for (s, _), row in zip(quotas, dealt, strict=True)], "g string, ends array<long>")

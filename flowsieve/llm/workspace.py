@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +16,21 @@ HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "flowsieve-shared")
-    return root.rstrip("/")
+    """``spark.checkpoint.dir`` of the session; a local folder of this process only where that is unset (tests)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_root() -> str:
+    path = tempfile.mkdtemp(prefix="flowsieve-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Removes all intermediate tables; results that were not yet computed can no longer be."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/flowsieve")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Workspace:
