@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,9 @@ VALID_REASONS = sorted(CLASS_OF)
 
 def reasons(spark: SparkSession) -> DataFrame:
     """The dimension (reason, class, hint): 76 rows, fixed, so it may be broadcast."""
-    return spark.createDataFrame([(r, c, HINTS.get(r)) for r, c in sorted(CLASS_OF.items())], "reason string, class string, hint string")
+    names = sorted(CLASS_OF)
+    table = pa.table({"reason": pa.array(names, pa.string()), "class": pa.array([CLASS_OF[n] for n in names], pa.string()), "hint": pa.array([HINTS.get(n) for n in names], pa.string())})
+    return spark.createDataFrame(table)  # a local relation: no task makes it
 
 
 def with_class(flows: DataFrame, reason: Column) -> DataFrame:

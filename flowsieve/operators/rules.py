@@ -16,7 +16,6 @@ from ..functions.labels import label_key, peer_selector, workload_name
 
 ATOM_KEY = ["namespace", "workload", "direction", "peer_type", "peer_key", "kind", "port", "protocol", "method", "path", "name"]
 TYPE_RANK = {"entity": 0, "cidr": 1, "endpoint": 2}
-_PARTS = 64
 
 
 def observations(disposed: DataFrame, l7: bool = False) -> DataFrame:
@@ -62,16 +61,12 @@ def atoms(observed: DataFrame) -> DataFrame:
     return each.groupBy(*ATOM_KEY).agg(F.min("seq").alias("first_seq"), F.min_by("selector", "seq").alias("selector"))
 
 
-def newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Column) -> DataFrame:
+def newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The last ``n`` rows of each key by ``order`` (descending columns), as column place (1 = last). n <= 0 keeps all.
 
-    Each key is cut into parts by ``spread`` and thinned to ``n`` rows a part first, so that no task sorts a key with a third of all rows."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    if n <= 0:
-        return rows.withColumn("place", place)
-    first = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
-    thin = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(_PARTS))).withColumn("__k", first).filter(F.col("__k") <= n).drop("__part", "__k")
-    return thin.withColumn("place", place).filter(F.col("place") <= n)
+    Spark thins every key to ``n`` rows a task before the shuffle (WindowGroupLimit), so no task gets a key with a third of all rows."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed if n <= 0 else placed.filter(F.col("place") <= n)
 
 
 RULE = ["namespace", "workload", "rule_key"]
@@ -85,6 +80,5 @@ def attribution(observed: DataFrame) -> DataFrame:
 
 def samples(observed: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` flows of each rule by arrival: RULE, seq, sample and place (1 = last)."""
-    if n <= 0:
-        return newest(observed.select(*RULE, "seq", "sample"), RULE, [F.desc("seq")], 1, F.col("seq")).limit(0)
-    return newest(observed.select(*RULE, "seq", "sample"), RULE, [F.desc("seq")], n, F.col("seq"))
+    rows = observed.select(*RULE, "seq", "sample")
+    return newest(rows if n > 0 else rows.limit(0), RULE, [F.desc("seq")], n)
