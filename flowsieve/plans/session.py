@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import dropclass
 from ..operators import disposition, evidence, health, merge, policies, rules
 from ..operators.policies import POLICY
+from ..operators.rules import ATOM_KEY
+from ..sources import stored as documents
 from . import render
 
 
@@ -91,6 +93,19 @@ def _grouped(df: DataFrame, keys: list[str]) -> Iterator[tuple[tuple, list[dict[
         yield key, list(own)
 
 
+def _with_documents(spark: SparkSession, stored: DataFrame, out: Path, keys: list[tuple]) -> DataFrame:
+    """Stored atoms and those of policy documents that no stored table knows, as another program may have written them."""
+    files = {k: p for k in keys if (p := out / k[0] / f"{k[1]}.yaml").exists()}
+    if files:
+        for r in stored.select(*POLICY).distinct().toLocalIterator():
+            files.pop(tuple(r), None)
+    found = [a for (namespace, workload), p in sorted(files.items()) for a in documents.policy_atoms(documents.load_policy(p), namespace, workload)]
+    if not found:
+        return stored
+    read = spark.createDataFrame([tuple(a[c] for c in [*ATOM_KEY, "first_seq", "selector"]) for a in found], documents.ATOMS)
+    return stored.unionByName(read.select(*stored.columns))
+
+
 def run(flows: DataFrame, options: Options, live: DataFrame | None = None) -> Result:
     """Flows to documents. ``live`` has the atoms of policies in the cluster; equal ones are not written again."""
     spark = flows.sparkSession
@@ -102,7 +117,9 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None) -> Re
     result.stats = disposition.session_stats(disposed).first().asDict()
     seen = rules.observations(disposed, options.l7)
     fresh = rules.atoms(seen).persist()
-    stored = _stored(spark, out / ".atoms", fresh.schema)
+    chosen = policies.selectors(disposed).persist()
+    selector = {tuple(r[k] for k in POLICY): r["selector"] for r in chosen.toLocalIterator()}
+    stored = _with_documents(spark, _stored(spark, out / ".atoms", fresh.schema), out, list(selector))
     merged = merge.merge(stored, fresh)
     dry = fresh.limit(0)
     fates = merge.dispositions(merge.fingerprints(fresh), merge.fingerprints(live if live is not None else dry), merge.fingerprints(dry))
@@ -110,8 +127,6 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None) -> Re
     built = policies.rules(merged)
     words = policies.comments(built)
     full = built.join(words, [*POLICY, "direction", "rule_no"])
-    chosen = policies.selectors(disposed).persist()
-    selector = {tuple(r[k] for k in POLICY): r["selector"] for r in chosen.toLocalIterator()}
     made = dict(_grouped(full.join(chosen.select(*POLICY), POLICY, "left_semi"), POLICY))
     for key in sorted(selector):
         namespace, workload = key

@@ -1,14 +1,18 @@
-"""Evidence documents read back as rules, and targets of explain."""
+"""Evidence and policy documents read back as rules and atoms, and targets of explain."""
 
 from __future__ import annotations
 
 import re
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import NAMESPACE_KEY
 from ..operators import evidence
+from ..operators.policies import DNS_SELECTOR
+from ..operators.rules import ATOM_KEY
 
 _END = "struct<namespace:string,workload:string,pod:string,ip:string>"
 EVIDENCE = (
@@ -48,3 +52,51 @@ def target(text: str, prefix: str) -> tuple[str, str]:
     if len(parts) != 2 or not all(parts):
         raise ValueError("a target is NAMESPACE/WORKLOAD or a policy file")
     return parts[0], parts[1]
+
+
+ATOMS = ", ".join(f"{k} string" for k in ATOM_KEY) + ", first_seq long, selector string"
+
+
+def load_policy(path: Path) -> dict[str, Any]:
+    """A policy document. Reading YAML needs PyYAML; without it this raises, so that nothing stored is overwritten unread."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError(f"{path} was not written from a stored table; merging into it needs PyYAML") from e
+    return yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+
+
+def _selectors(endpoints: list[dict[str, Any]]) -> list[str]:
+    bare = lambda k: re.sub("^(any|k8s):", "", k)
+    return [",".join(sorted(f"{bare(k)}={v}" for k, v in (e.get("matchLabels") or {}).items())) for e in endpoints]
+
+
+def policy_atoms(doc: dict[str, Any], namespace: str, workload: str) -> list[dict[str, Any]]:
+    """Atoms of a policy document, in its order. The rule towards the name service that goes with DNS rules is made anew, so it is left out."""
+    out: list[dict[str, Any]] = []
+    spec = doc.get("spec") or {}
+    for way, side in (("ingress", "from"), ("egress", "to")):
+        rules = spec.get(way) or []
+        dns = any(r.get("toFQDNs") for r in rules)
+        for rule in rules:
+            peers = [("entity", e, None) for e in rule.get(f"{side}Entities") or []] + [("cidr", c, None) for c in rule.get(f"{side}CIDR") or []]
+            for text in _selectors(rule.get(f"{side}Endpoints") or []):
+                peers.append(("endpoint", ",".join(p for p in text.split(",") if not p.startswith(f"{NAMESPACE_KEY}=")), text))
+            if dns and any(text == DNS_SELECTOR for _, _, text in peers) and any((p.get("rules") or {}).get("dns") for p in rule.get("toPorts") or []):
+                continue
+            parts = [("fqdn", "53", "ANY", "", "", f["matchName"]) for f in rule.get("toFQDNs") or []]
+            if parts:
+                peers = [("endpoint", "", None)]
+            else:
+                for entry in rule.get("toPorts") or []:
+                    for p in entry.get("ports") or []:
+                        port = (str(p["port"]), p.get("protocol", "ANY"))
+                        parts.append(("port", *port, "", "", ""))
+                        parts += [("http", *port, h.get("method", ""), h.get("path", ""), "") for h in (entry.get("rules") or {}).get("http") or []]
+                for block in rule.get("icmps") or []:
+                    parts += [("icmp", str(f["type"]), "ICMPv6" if f.get("family") == "IPv6" else "ICMPv4", "", "", "") for f in block.get("fields") or []]
+            for kind, key, selector in peers:
+                for part in parts:
+                    values = (namespace, workload, way, kind, key, *part, len(out), selector)
+                    out.append(dict(zip([*ATOM_KEY, "first_seq", "selector"], values, strict=True)))
+    return out

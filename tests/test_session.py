@@ -55,6 +55,24 @@ def test_dry_run_writes_nothing_and_shows_the_difference(spark, place):
     assert len(got.diffs) == 1 and "+kind: CiliumNetworkPolicy" in got.diffs[0]
 
 
+def test_merges_into_a_document_of_another_program(spark, place):
+    pytest.importorskip("yaml")
+    path = place / "out/prod/server.yaml"
+    path.parent.mkdir(parents=True)
+    path.write_text(
+        "apiVersion: cilium.io/v2\nkind: CiliumNetworkPolicy\nmetadata: {name: fs-server, namespace: prod}\nspec:\n  endpointSelector: {matchLabels: {app: server}}\n  ingress:\n"
+        "  - fromEndpoints: [{matchLabels: {'k8s:app': client, 'k8s:io.kubernetes.pod.namespace': default}}]\n    toPorts: [{ports: [{port: '1', protocol: TCP}, {port: '8080', protocol: TCP}]}]\n"
+        "  - fromEntities: [host]\n    icmps: [{fields: [{family: IPv4, type: 8}]}]\n"
+    )
+    replay(spark, place)
+    text = path.read_text()
+    assert text.count("fromEndpoints") == 1 and "fromEntities" in text and "type: 8" in text
+    for port in ("1", "8080", "8443"):
+        assert text.count(f'port: "{port}"') == 1
+    again = replay(spark, place)
+    assert again.written == [] and path.read_text() == text
+
+
 def test_live_policies_are_skipped(spark, place):
     from flowsieve.operators import disposition, rules
 
