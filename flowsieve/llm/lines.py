@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, shuffle_width
 
 BLANKS = " \t\n\x0b\x0c\r"
+SALTS = 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -52,7 +53,10 @@ def dropped_lines(docs: DataFrame, space: Workspace, min_docs: int = 10, min_cha
     each = each.select("k.a", "k.b", F.struct("__id", "__th", F.array_position("keys", F.col("k")).alias("pos")).alias("at")) if keep == "first" else each.select("k.a", "k.b", F.lit(None).cast("int").alias("at"))
     counted = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("first")).filter(F.col("docs") >= min_docs).drop("docs")
     at = hashed.select("__id", "__th", F.posexplode("keys").alias("pos", "k")).filter("k is not null").select("k.a", "k.b", "__id", "__th", "pos")
-    hits = at.join(counted, ["a", "b"]).repartitionByRange(shuffle_width(docs.sparkSession), "a", "b", "__id").sortWithinPartitions("a", "b", "__id", "pos")
+    # one line may be in a third of all documents: its occurrences meet its count in several tasks
+    counted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = at.withColumn("salt", F.pmod(F.xxhash64("__id", "__th", "pos"), F.lit(SALTS)).cast("int"))
+    hits = at.join(counted, ["a", "b", "salt"]).repartitionByRange(shuffle_width(docs.sparkSession), "a", "b", "__id").sortWithinPartitions("a", "b", "__id", "pos")
     if keep == "first":
         hits = hits.filter(~(F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__th") == F.col("first.__th")) & (F.col("pos") + 1 == F.col("first.pos"))))
     words = hits.groupBy("__id", "__th", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
