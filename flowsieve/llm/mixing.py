@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .sharding import number_within
-from .workspace import Workspace, arrow_map, shuffle_width
+from .workspace import Workspace, arrow_map, even_buckets, shuffle_width
 
 WEIGHTS = (5, 2, 1)
 #: Documents beyond the first of the order that close a source's gap.
@@ -149,7 +149,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3,
 
 
 def mix(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", extra: bool = False) -> DataFrame:
-    """The mixed corpus: each document as often as ``plan`` says, dealt by shard and shuffled within it. ``extra`` keeps mix_shard and mix_epoch."""
+    """The mixed corpus: each document as often as ``plan`` says, one partition for each shard, shuffled within it. ``shards`` is the plan's number. ``extra`` keeps mix_shard and mix_epoch."""
     shared = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("__pid"), F.col("th").alias("__pth")).agg(F.flatten(F.collect_list("shards")).alias("__to"), F.count(F.lit(1)).alias("__rows"))
     shared = Workspace(docs.sparkSession, "mix").write(shared, "plan")
     rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
@@ -158,5 +158,6 @@ def mix(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 7, doc_i
     joined = rows.join(shared.hint("shuffle_hash"), rows[doc_id].cast("long").eqNullSafe(F.col("__pid")) & (rows["__th"] == F.col("__pth")))
     copies = joined.select(*docs.columns, "__th", F.posexplode("__to").alias("mix_epoch", "mix_shard"))
     order = F.xxhash64(F.lit(seed + 2), F.col(doc_id), F.col("__th"), F.col("mix_epoch"))
-    mixed = copies.withColumn("__o", order).repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "__o")
+    home = F.element_at(F.array(*[F.lit(b) for b in even_buckets(docs.sparkSession, shards)]), F.col("mix_shard") + 1)
+    mixed = copies.withColumn("__o", order).repartition(shards, home).sortWithinPartitions("mix_shard", "__o")
     return mixed.select(*docs.columns, *(["mix_shard", "mix_epoch"] if extra else []))
