@@ -36,6 +36,7 @@ WIDTH = 5
 PAIRED = 8
 #: Keys that a map task gathers before it writes them out; sketches on either side of a block.
 FLUSH_KEYS, BLOCK = 1 << 19, 4096
+SALTS = 16
 SKETCH_WORDS = 16
 _U = tn.U64
 
@@ -193,7 +194,8 @@ def _sketcher(percent: int, width: int, codes: list[int], common):
                     keys, marks, ranks, held = [], [], [], 0
                     seen = set()
             if ns:
-                spots = numbers[(np.array(own, np.int64).view(_U) % _U(buckets)).astype(np.int32)]
+                place = np.asarray(batch.column(0).fill_null(0)).astype(np.int64) ^ np.asarray(batch.column(1))  # copies of one text go apart
+                spots = numbers[(tn.mix64(place.view(_U)) % _U(buckets)).astype(np.int32)]
                 yield _rows(len(ns), kind=np.zeros(len(ns), np.int32), bucket=spots, doc_id=batch.column(0), th=batch.column(1), n=ns, a=own, bits=bits)
         if keys:
             yield flush(keys, marks, ranks)
@@ -326,7 +328,9 @@ def second_look(links: DataFrame, comps: DataFrame, classes: DataFrame, percent:
     label = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
     met = links.filter("late").join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", F.col("b").alias("mark"), F.coalesce("cb", "b").alias("component"), (~F.col("linked") & (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).alias("odd"))
     size = met.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("xs"), F.expr(f"cast(ceil(count_if(odd) / {BLOCK}) as int)").alias("ys")).filter("ys > 0")
-    met = met.join(size, "a").join(classes.select("mark", "n", "bits"), "mark")
+    # a central class may have met a third of all: its members meet its sizes in several tasks
+    met = met.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"])
+    met = met.join(classes.select("mark", "n", "bits"), "mark")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
     kept = ["a", "mark", "component", "n", "bits"]
