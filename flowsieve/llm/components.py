@@ -8,17 +8,11 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 
-def _lowest(edges: DataFrame, joined: DataFrame) -> DataFrame:
-    """``joined`` (u, v) with m, the lowest of u and all its v in ``edges``; minima combine before the shuffle."""
-    low = edges.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("m"))
-    return joined.join(low, joined["u"] == low["__u"]).select("u", "v", F.least("u", "m").alias("m"))
-
-
 def components(links: DataFrame, space: Workspace, tag: str = "cc") -> DataFrame:
     """(id, component) of every id in ``links`` (u, v); the component is its lowest id.
 
-    Links stay in tables: each round writes them once, and the rounds end when the table no longer changes. A
-    star of any size is a minimum and a join, never a list of neighbours."""
+    Links stay in tables, higher id first; the rounds end when the table no longer changes. A star of any size is a
+    minimum, combined before the shuffle, and a join, never a list of neighbours."""
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, mark, n = space.write(edges, f"{tag}0"), None, 0
     while True:
@@ -26,12 +20,15 @@ def components(links: DataFrame, space: Workspace, tag: str = "cc") -> DataFrame
         if seen == mark or seen[0] == 0:
             break
         mark, n = seen, n + 1
+        # large star: the higher neighbours of an id, and itself, go to the lowest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both, both.filter("v > u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(
-            _lowest(both, both.select("u", F.col("u").alias("v")).distinct()).filter("u <> m").select("u", F.col("m").alias("v"))
-        ).distinct()
-        near = _lowest(large, large)
-        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
-        edges = space.write(small, f"{tag}{n}")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        higher = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = space.write(higher.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))), f"{tag}large{n}")
+        # small star: the lower neighbours of an id, and itself, go to the lowest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = space.write(lower.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{tag}{n}")
+        space.drop(f"{tag}large{n}")
         space.drop(f"{tag}{n - 1}")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
