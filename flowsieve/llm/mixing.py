@@ -2,8 +2,8 @@
 
 1. Sizes (words) are summed by source; targets share the total by weight, stopping at ``cap`` times a source's size.
 2. Each source's documents are put in an order by hash, with running word counts. A source takes every document as
-   often as its target holds its size, then documents from the start of the order until the rest is filled, then the few
-   further documents that best fit the gap that is left.
+   often as its target holds its size, then documents from the start of the order until one does not fit, then the few
+   that best fit the gap that is left, then in rounds whatever else lessens it, until no document does.
 3. The copies that a source takes lie in blocks (runs of ``block_words`` in the order, one set of blocks per round). The
    tree halves the output shards again and again: a node's blocks of every source are dealt between its halves by one
    multivariate-hypergeometric draw, so quotas stay exact at every node down to the shards.
@@ -16,6 +16,7 @@ Only sizes and keys are shuffled for the plan; the driver sees one row per sourc
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .sharding import number_within
 from .workspace import Workspace, arrow_map, even_buckets, shuffle_width
 
 WEIGHTS = (5, 2, 1)
-#: Documents beyond the first of the order that close a source's gap.
+#: Documents beyond the first of the order that are picked singly, by fit; rounds over the order take the others.
 FITS = 3
 
 
@@ -67,17 +68,41 @@ def _order_hash(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def _running(rows: DataFrame, seed: int) -> DataFrame:
-    """``rows`` with h, k (place in the source's order, from 0) and start (words before it)."""
+def _running(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with k (place in the source's order by h and ``order``, from 0) and start (words before it)."""
     parts = shuffle_width(rows.sparkSession)
-    cut = rows.withColumn("h", _order_hash(seed, F.col("doc_id"))).withColumn("r", F.floor(F.col("h") * F.lit(parts) / F.lit(2**32)).cast("int"))
+    cut = rows.withColumn("r", F.floor(F.col("h") * F.lit(parts) / F.lit(2**32)).cast("int"))
     sums = cut.groupBy("source", "r").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(F.col("source").alias("g"), F.col("r").alias("gr"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "th", "size")
+    inside = Window.partitionBy("source", "r").orderBy("h", *order)
     local = cut.withColumn("k", F.row_number().over(inside) - 1).withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     joined = local.join(first, local["source"].eqNullSafe(first["g"]) & (local["r"] == first["gr"]))
-    return joined.select(*rows.columns, "h", (F.col("k") + F.col("n0")).alias("k"), (F.col("start") + F.col("s0")).alias("start"))
+    return joined.select(*rows.columns, (F.col("k") + F.col("n0")).alias("k"), (F.col("start") + F.col("s0")).alias("start"))
+
+
+def _fill(space: Workspace, placed: DataFrame, gaps: DataFrame, fits: DataFrame) -> DataFrame:
+    """f (source) and fit (k) of the documents beyond ``fits`` that lessen the sources' gaps; in the end no document left would.
+
+    A round goes through the order with the documents of half the gap or less; a source without any takes the one that fits best.
+    So a round halves the gap or leaves only documents over half of it, of which one fits: rounds grow with the gap's logarithm."""
+    left = placed.filter("not extra and size > 0 and rest > 0").select("source", "k", "size", "h")
+    done, rounds = fits, fits.limit(0)
+    for n in count():
+        apart = left.join(done, left["source"].eqNullSafe(done["f"]) & (left["k"] == done["fit"]), "left_anti")
+        near = apart.join(gaps, apart["source"].eqNullSafe(gaps["g"])).withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter("off < gap")
+        left = space.write(near.select("source", "k", "size", "h", "gap", "off"), f"left{n}")
+        if left.isEmpty():
+            return rounds
+        order = _running(left.filter("size <= gap / 2").select("source", F.col("k").alias("at"), "size", "h", "gap"), ["at"]).filter("start + size <= gap")
+        best = left.groupBy("source", "gap").agg(F.min("size").alias("least"), F.min(F.struct("off", "k", "size")).alias("best")).filter("least > gap / 2")
+        picked = order.select(F.col("source").alias("f"), F.col("at").alias("fit"), "size").unionByName(best.select(F.col("source").alias("f"), F.col("best.k").alias("fit"), "best.size"))
+        picked = space.write(picked, f"picked{n}")
+        sums = picked.groupBy("f").agg(F.sum("size").alias("f_size"))
+        gaps = space.write(gaps.join(sums, gaps["g"].eqNullSafe(sums["f"])).select("g", (F.col("gap") - F.col("f_size")).alias("gap")), f"left_gaps{n}")
+        done = picked.select("f", "fit")
+        rounds = rounds.unionByName(done)
+        left = left.select("source", "k", "size", "h")
 
 
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -117,7 +142,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3,
     targets = space.write(source_targets(sizes, weights, cap), "targets")
     rounds = targets.select(F.col("source").alias("g"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("full"))
     rounds = rounds.withColumn("rest", F.when(F.col("full") < cap, F.col("target") - F.col("full") * F.col("source_size")).otherwise(F.lit(0.0)))
-    placed = _running(sizes, seed)
+    placed = _running(sizes.withColumn("h", _order_hash(seed, F.col("doc_id"))), ["doc_id", "th", "size"])
     placed = space.write(placed.join(rounds, placed["source"].eqNullSafe(rounds["g"])).drop("g").withColumn("extra", (F.col("start") + F.col("size") <= F.col("rest")) & (F.col("rest") > 0) & (F.col("size") > 0)), "placed")
     filled = placed.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)).alias("filled"), F.first("rest").alias("g_rest")).select(F.col("source").alias("g"), (F.col("g_rest") - F.col("filled")).alias("gap"))
     gaps, fits = space.write(filled, "gaps0"), None
@@ -129,6 +154,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3,
         best = space.write(near.groupBy("source").agg(F.min(F.struct("off", "k", "size")).alias("best")).select(F.col("source").alias("f"), F.col("best.k").alias("fit"), F.col("best.size").alias("f_size")), f"fits{n}")
         gaps = space.write(gaps.join(best, gaps["g"].eqNullSafe(best["f"])).select("g", (F.col("gap") - F.col("f_size")).alias("gap")), f"gaps{n + 1}")
         fits = best.select("f", "fit") if fits is None else fits.unionByName(best.select("f", "fit"))
+    fits = fits.unionByName(_fill(space, placed, gaps, fits))
     taken = placed.join(fits, placed["source"].eqNullSafe(fits["f"]) & (placed["k"] == fits["fit"]), "left").drop("f")
     copies = F.when(F.col("size") > 0, F.col("full") + F.when(F.col("extra") | F.col("fit").isNotNull(), 1).otherwise(0)).otherwise(0).cast("int")
     taken = space.write(taken.select("doc_id", "th", "source", "size", "source_size", "target", "k", "start", copies.alias("copies")), "taken")

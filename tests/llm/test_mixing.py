@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -38,6 +39,39 @@ def test_plan(spark):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_plan(docs.repartition(3)).collect()), key=repr)
 
 
+def place(doc_id):
+    return int(hashlib.md5(f"mix:7:{doc_id}".encode()).hexdigest()[:8], 16)
+
+
+def filled(spark, b):
+    """Plan of source b's documents of so many words by id, beside a source a of 108,000 words; target and words taken of b."""
+    rows = [(i, "a", 3000) for i in range(1_000_000, 1_000_036)] + [(i, "b", n) for i, n in b.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('x ', n) text", "'en' lang")
+    plan = [r for r in mixing.mix_plan(docs).collect() if r["source"] == "b"]
+    return plan, plan[0]["target"], sum(r["taken"] for r in plan)
+
+
+def test_a_very_long_document_at_the_boundary(spark):
+    short = sorted(range(300), key=place)
+    low, high = place(short[149]), place(short[154])
+    long = next(i for i in range(1000, 1_000_000) if low < place(i) < high)  # too long for the gap, which is left to the short ones
+    plan, target, taken = filled(spark, {i: 300 for i in short} | {long: 60_000})
+    assert next(r for r in plan if r["doc_id"] == long)["copies"] == 0
+    assert abs(taken - target) <= 150
+
+
+def test_no_document_left_would_lessen_the_gap(spark):
+    short = sorted(range(200), key=place)
+    sizes = {i: 2 + i * i % 977 for i in short}
+    low, high = place(short[90]), place(short[92])
+    long = next(i for i in range(1000, 1_000_000) if low < place(i) < high)
+    plan, target, taken = filled(spark, sizes | {long: sum(sizes.values()) * 5 // 4})
+    assert next(r for r in plan if r["doc_id"] == long)["copies"] == 0
+    gap = target - taken
+    assert not [r for r in plan if r["copies"] == 0 and abs(r["size"] - gap) < gap]
+    assert abs(gap) < 50
+
+
 def test_mix_has_the_copies_of_the_plan(spark):
     docs = awkward(spark)
     plan = mixing.mix_plan(docs, shards=4, block_words=500)
