@@ -24,6 +24,8 @@ BITS = 17
 #: Each byte of a word is in three trigrams, so their likelihoods count a word three times over.
 OVERLAP = 3.0
 UNKNOWN = "und"
+#: Words times languages whose likelihoods are held at once; a document beyond that goes alone.
+CELLS = 1 << 21
 _MAP = tn.LOWER.copy()
 _MAP[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
@@ -58,12 +60,19 @@ def _has_letter(chunk: tn.Chunk) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    tables: np.ndarray  # languages x 2^BITS log-likelihoods
+    unseen: np.ndarray  # log-likelihood, in each language, of a trigram that it does not have
+    cuts: np.ndarray  # the trigrams of language k are grams[cuts[k]:cuts[k + 1]], and their log-likelihoods logs[...]
+    grams: np.ndarray
+    logs: np.ndarray
 
     def word_likelihoods(self, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         """words x languages."""
         out = np.empty((len(first), len(self.languages)))
-        for k, table in enumerate(self.tables):
+        table = np.empty(1 << BITS, np.float32)
+        for k, unseen in enumerate(self.unseen):
+            own = slice(self.cuts[k], self.cuts[k + 1])
+            table.fill(unseen)
+            table[self.grams[own]] = self.logs[own]
             out[:, k] = np.add.reduceat(table[grams], first) if len(first) else 0
         return out / OVERLAP
 
@@ -71,10 +80,17 @@ class Model:
         """documents x languages: shares after selection (rows of documents without letters are 0), and the chosen set."""
         grams, first, words_of = _trigrams(chunk)
         shares = np.zeros((chunk.n, len(self.languages)))
-        counts = np.diff(words_of)
-        docs = np.flatnonzero(_has_letter(chunk) & (counts > 0))
-        if len(docs) and len(self.languages):
-            shares[docs] = mixtures(self.word_likelihoods(grams, first), words_of, docs)
+        known = _has_letter(chunk) & (np.diff(words_of) > 0)
+        ends = np.append(first, len(grams))
+        most, at = max(1, CELLS // max(1, len(self.languages))), 0
+        while at < chunk.n and len(self.languages):
+            to = max(at + 1, int(np.searchsorted(words_of, words_of[at] + most, side="right")) - 1)
+            docs = np.flatnonzero(known[at:to])
+            if len(docs):
+                low, high = words_of[at], words_of[to]
+                like = self.word_likelihoods(grams[ends[low] : ends[high]], first[low:high] - ends[low])
+                shares[at + docs] = mixtures(like, words_of[at : to + 1] - low, docs)
+            at = to
         return shares, shares > 0
 
 
@@ -126,38 +142,37 @@ def mixtures(word_log: np.ndarray, words_of: np.ndarray, docs: np.ndarray, steps
     return chosen
 
 
-def fit(docs: DataFrame, docs_per_language: int = 2000, most_languages: int = 64, parts: int = 8, smoothing: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Trigram counts of about ``docs_per_language`` documents of each language, taken by the hash of their id; of more than ``most_languages`` languages those with most documents."""
+def fit(docs: DataFrame, docs_per_language: int = 2000, parts: int = 8, smoothing: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+    """Trigram counts of about ``docs_per_language`` documents of each language, taken by the hash of their id. Every value of ``lang`` but null is a language."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    sizes = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
-    languages = sorted(r[0] for r in sizes)
-    if not languages:
-        return Model([], np.zeros((0, 1 << BITS)))
-    place = {name: k for k, name in enumerate(languages)}
-    part = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], docs_per_language / r[1])])
-    number = F.create_map(*[F.lit(x) for name, k in place.items() for x in (name, k)])
-    draw = F.pmod(F.xxhash64(F.lit("language"), doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = known.filter(F.col(lang).isin(languages)).filter(draw < part[F.col(lang)]).select(F.col(doc_id).alias("id"), number[F.col(lang)].alias("k"), F.col(text).alias("text")).repartition(parts, "id")
+    sizes = dict(known.groupBy(lang).count().collect())  # a row for each language
+    languages = sorted(sizes)
     n = len(languages)
+    if not n:
+        return Model([], np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    shares = docs.sparkSession.createDataFrame([(name, k, docs_per_language / sizes[name]) for k, name in enumerate(languages)], "lang string, k long, share double")
+    draw = F.pmod(F.xxhash64(F.lit("language"), doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw")).join(F.broadcast(shares), "lang")
+    rows = rows.filter("draw < share").select("id", "k", "text").repartition(max(parts, n // 8), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((n, 1 << BITS), np.int64)
         for batch in batches:
             kinds = np.asarray(batch.column(1))
             for chunk in tn.string_chunks(batch.column(2)):
                 grams, first, words_of = _trigrams(chunk)
                 ends = np.append(first, len(grams))[words_of]
-                for i in range(chunk.n):
-                    held[kinds[chunk.first + i]] += np.bincount(grams[ends[i] : ends[i + 1]], minlength=1 << BITS)
-        for k in range(n):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([held[k].astype(np.int32).tobytes()], pa.binary())], ["k", "counts"])
+                keys, counts = np.unique(np.repeat(kinds[chunk.first : chunk.first + chunk.n], np.diff(ends)) << BITS | grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
 
-    total = np.zeros((n, 1 << BITS))
-    for r in arrow_map(rows, count, "k long, counts binary").toLocalIterator():
-        total[r["k"]] += np.frombuffer(r["counts"], np.int32)
-    seen = max(1, int((total.sum(axis=0) > 0).sum()))
-    tables = np.log((total + smoothing) / (total.sum(axis=1, keepdims=True) + smoothing * seen))
-    return Model(languages, tables.astype(np.float32))
+    counted = arrow_map(rows, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # the trigrams that the languages have
+    keys, counts = counted["key"].to_numpy(), counted["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(float)
+    of, grams = keys >> BITS, (keys & ((1 << BITS) - 1)).astype(np.int32)
+    seen = max(1, len(np.unique(grams)))
+    whole = np.bincount(of, counts, n) + smoothing * seen
+    logs = np.log((counts + smoothing) / whole[of]).astype(np.float32)
+    return Model(languages, np.log(smoothing / whole).astype(np.float32), np.searchsorted(of, np.arange(n + 1)), grams, logs)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -166,7 +181,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Texts that are null or have no letter are ``und`` with score 0, as are all without a trained language. Columns named like the results are replaced."""
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "lang_shares")]
     source = docs.select(*rest, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_languages tables of 2^BITS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams that each language has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = model_names = shared.value.languages

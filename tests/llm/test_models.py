@@ -56,6 +56,18 @@ def test_mixtures_and_selection(spark):
     assert set(got[1]) == {"en", "fr"} and 0.55 < got[1]["en"] < 0.9 and set(got[2]) == {"de"}
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = [["".join(w) for w in letters[rng.integers(0, 26, (30, 7))]] for _ in range(100)]
+    rows = [(100 * i + k, " ".join(rng.choice(vocabulary[k], 40)), f"l{k}") for k in range(100) for i in range(9 if k < 64 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {d: lang for d, _, lang in rows}
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify_documents(docs).collect()}
+    assert {want[d] for d in got if got[d] == want[d]} == set(want.values())
+    assert np.mean([got[d] == want[d] for d in want]) > 0.97
+
+
 @pytest.mark.parametrize("text", [None, "", "123 !!", "· —"])
 def test_no_letters(spark, text):
     model = language.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
