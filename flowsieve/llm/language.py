@@ -106,6 +106,12 @@ def _em(like: np.ndarray, cuts: np.ndarray, of: np.ndarray, allowed: np.ndarray,
     return shares, np.add.reduceat(total, cuts)
 
 
+def _slack(like: np.ndarray, cuts: np.ndarray, of: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """How far the log-likelihood of any shares can lie above that of ``shares``, at most."""
+    slopes = np.add.reduceat(like / np.maximum((like * shares[of]).sum(axis=1, keepdims=True), 1e-300), cuts)
+    return slopes.max(axis=1) - np.diff(np.append(cuts, len(like)))
+
+
 def mixtures(word_log: np.ndarray, words_of: np.ndarray, docs: np.ndarray, steps: int = 8, penalty: float = 0.5) -> np.ndarray:
     """Selected shares (documents x languages) of the documents ``docs``."""
     take = np.concatenate([np.arange(words_of[d], words_of[d + 1]) for d in docs]) if len(docs) < len(words_of) - 1 else slice(None)
@@ -124,20 +130,23 @@ def mixtures(word_log: np.ndarray, words_of: np.ndarray, docs: np.ndarray, steps
     full, full_ll = _em(like, cuts, of, np.ones((len(docs), n_lang)), steps)
     cost = penalty * np.log(np.maximum(counts, 2))
     value = single[np.arange(len(docs)), best]
-    mixed = np.flatnonzero(full_ll - cost > value)  # more languages can only lose elsewhere: the full set bounds every likelihood
-    if not len(mixed):
-        return chosen
-    own = np.concatenate([np.arange(cuts[i], cuts[i] + counts[i]) for i in mixed])
-    sub_like, sub_counts = like[own], counts[mixed]
-    sub_cuts, sub_of = np.cumsum(sub_counts) - sub_counts, np.repeat(np.arange(len(mixed)), sub_counts)
-    order = np.argsort(-full[mixed], axis=1, kind="stable")
+    # The likelihood is concave in the shares, so its slopes at any shares bound it over all sets, converged or not.
+    bound = np.minimum(full_ll + _slack(like, cuts, of, full), value + _slack(like, cuts, of, chosen))
+    order = np.argsort(-full, axis=1, kind="stable")
+    mixed = np.arange(len(docs))
     for k in range(2, n_lang + 1):
-        allowed = np.zeros((len(mixed), n_lang))
-        np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        shares, ll = _em(sub_like, sub_cuts, sub_of, allowed, steps)
+        mixed = mixed[bound[mixed] - cost[mixed] * (k - 1) > value[mixed]]  # no set of k or more languages can win elsewhere
+        if not len(mixed):
+            break
+        own = np.concatenate([np.arange(cuts[i], cuts[i] + counts[i]) for i in mixed])
+        sub_counts = counts[mixed]
+        sub_cuts, sub_of = np.cumsum(sub_counts) - sub_counts, np.repeat(np.arange(len(mixed)), sub_counts)
+        named = order[mixed, :k]
+        shares, ll = _em(like[own[:, None], named[sub_of]], sub_cuts, sub_of, np.ones((len(mixed), k)), steps)
         gain = ll - cost[mixed] * (k - 1)
         won = gain > value[mixed]
-        chosen[mixed[won]] = shares[won]
+        chosen[mixed[won]] = 0
+        chosen[mixed[won][:, None], named[won]] = shares[won]
         value[mixed[won]] = gain[won]
     return chosen
 

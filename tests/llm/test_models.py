@@ -68,6 +68,26 @@ def test_every_language_is_learnt(spark):
     assert np.mean([got[d] == want[d] for d in want]) > 0.97
 
 
+@pytest.mark.parametrize("n_lang", [4, 12])
+def test_no_winning_set_is_left_out(n_lang):
+    rng = np.random.default_rng(n_lang)
+    counts = rng.integers(5, 120, 300)
+    words_of = np.append(0, np.cumsum(counts))
+    log = rng.normal(0, 1, (words_of[-1], n_lang)) * np.repeat(rng.uniform(0.3, 2.5, 300), counts)[:, None]
+    got = language.mixtures(log, words_of, np.arange(300))
+    for i in range(300):
+        own = np.exp(log[words_of[i] : words_of[i + 1]] - log[words_of[i] : words_of[i + 1]].max(axis=1, keepdims=True))
+        cut, of = np.zeros(1, int), np.zeros(len(own), int)
+        order = np.argsort(-language._em(own, cut, of, np.ones((1, n_lang)), 8)[0][0], kind="stable")
+        single = np.log(own).sum(axis=0)
+        want, value = np.eye(n_lang)[single.argmax()], single.max()
+        for k in range(2, n_lang + 1):
+            shares, ll = language._em(own, cut, of, np.isin(np.arange(n_lang), order[:k])[None].astype(float), 8)
+            if ll[0] - 0.5 * np.log(len(own)) * (k - 1) > value:
+                want, value = shares[0], ll[0] - 0.5 * np.log(len(own)) * (k - 1)
+        assert np.allclose(got[i], want)
+
+
 @pytest.mark.parametrize("text", [None, "", "123 !!", "· —"])
 def test_no_letters(spark, text):
     model = language.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
