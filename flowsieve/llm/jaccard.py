@@ -384,7 +384,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH,
         found.filter(F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("first_th"))).groupBy(F.col(doc_id).alias("__kid"), F.col("__th").alias("__kth")).agg(F.count(F.lit(1)).alias("__rows"), F.max("n_shingles").alias("__n")), "kept"
     )
     rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    left = rows.join(kept.select("__kid", "__kth").hint("shuffle_hash"), rows[doc_id].eqNullSafe(F.col("__kid")) & (rows["__th"] == F.col("__kth")), "left_semi")
+    left = rows.join(kept.select("__kid", "__kth", "__n").hint("shuffle_hash"), rows[doc_id].eqNullSafe(F.col("__kid")) & (rows["__th"] == F.col("__kth")))
     if not kept.filter("__rows > 1 and __n > 0").isEmpty():  # the same id and text more than once
-        left = left.dropDuplicates([doc_id, "__th"])
+        left = left.filter("__n > 0").dropDuplicates([doc_id, "__th"]).unionByName(left.filter("__n = 0"))
     return left.select(*docs.columns)

@@ -98,6 +98,13 @@ def test_every_similar_pair_shares_a_key():
             assert keys[0] & keys[1]
 
 
+def test_repeated_rows_without_words_stay(spark):
+    rows = [(1, "", "a"), (1, "", "b"), (None, None, "c"), (None, None, "d"), (2, " \n", "e"), (2, " \n", "f"), (3, "one two three", "g"), (3, "one two three", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = sorted(r["source"] for r in jaccard.drop_near_duplicates(docs).collect())
+    assert left[:6] == list("abcdef") and len(left) == 7
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 200)] + [(7, 7)]
