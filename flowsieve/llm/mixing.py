@@ -174,16 +174,22 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3,
     )
 
 
-def mix(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", extra: bool = False) -> DataFrame:
-    """The mixed corpus: each document as often as ``plan`` says, one partition for each shard, shuffled within it. ``shards`` is the plan's number. ``extra`` keeps mix_shard and mix_epoch."""
-    shared = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("__pid"), F.col("th").alias("__pth")).agg(F.flatten(F.collect_list("shards")).alias("__to"), F.count(F.lit(1)).alias("__rows"))
-    shared = Workspace(docs.sparkSession, "mix").write(shared, "plan")
+def mix(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", extra: bool = False) -> DataFrame:
+    """The mixed corpus: each document as often as ``plan`` says, one partition for each shard, shuffled within it. ``shards`` is the plan's number. ``extra`` keeps mix_shard and mix_epoch.
+
+    Rows of the same id, text and source take the plan's rows in turn, by their other columns."""
+    dealt = F.sort_array(F.collect_list(F.when(F.col("copies") > 0, F.col("shards"))))
+    shared = plan.groupBy(F.col("doc_id").alias("__pid"), F.col("th").alias("__pth"), F.col("source").alias("__ps")).agg(dealt.alias("__to"), F.count(F.lit(1)).alias("__rows"))
+    shared = Workspace(docs.sparkSession, "mix").write(shared.filter(F.size("__to") > 0), "plan")
     rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    if not shared.filter("__rows > 1").isEmpty():  # the same id and text more than once: one row stands for all their copies
-        rows = rows.dropDuplicates([doc_id, "__th"])
-    joined = rows.join(shared.hint("shuffle_hash"), rows[doc_id].cast("long").eqNullSafe(F.col("__pid")) & (rows["__th"] == F.col("__pth")))
-    copies = joined.select(*docs.columns, "__th", F.posexplode("__to").alias("mix_epoch", "mix_shard"))
+    same = rows[doc_id].cast("long").eqNullSafe(F.col("__pid")) & (rows["__th"] == F.col("__pth")) & rows[source].cast("string").eqNullSafe(F.col("__ps"))
+    joined = rows.join(shared.hint("shuffle_hash"), same).withColumn("__row", F.lit(1))
+    if not shared.filter("__rows > 1").isEmpty():  # the same id, text and source more than once
+        others = F.to_json(F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c != text]))
+        turn = F.row_number().over(Window.partitionBy("__pid", "__pth", "__ps").orderBy(others))
+        joined = joined.filter("__rows = 1").unionByName(joined.filter("__rows > 1").withColumn("__row", turn).filter(F.col("__row") <= F.size("__to")))
+    copies = joined.select(*docs.columns, "__th", "__row", F.posexplode(F.element_at("__to", F.col("__row"))).alias("mix_epoch", "mix_shard"))
     order = F.xxhash64(F.lit(seed + 2), F.col(doc_id), F.col("__th"), F.col("mix_epoch"))
     home = F.element_at(F.array(*[F.lit(b) for b in even_buckets(docs.sparkSession, shards)]), F.col("mix_shard") + 1)
-    mixed = copies.withColumn("__o", order).repartition(shards, home).sortWithinPartitions("mix_shard", "__o")
+    mixed = copies.withColumn("__o", order).repartition(shards, home).sortWithinPartitions("mix_shard", "__o", "__row")
     return mixed.select(*docs.columns, *(["mix_shard", "mix_epoch"] if extra else []))

@@ -88,6 +88,21 @@ def test_mix_has_the_copies_of_the_plan(spark):
             assert n == want[d, t]
 
 
+def test_rows_of_one_id_and_text_keep_their_sources(spark):
+    rows = [(i, "a b c d", s, lang) for i in range(40) for s, lang in (("s0", "en"), ("s0", "de"), ("s1", "en"), ("s2", "fr"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    plan = mixing.mix_plan(docs, shards=4, block_words=8)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in plan.collect():
+        want[r["doc_id"], r["source"]] += r["copies"]
+    mixed = [tuple(r) for r in mixing.mix(docs, plan, shards=4).collect()]
+    for d, _, s, _ in mixed:
+        got[d, s] += 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert {r[3] for r in mixed if r[2] == "s0"} == {"en", "de"}
+    assert sorted(mixed) == sorted(tuple(r) for r in mixing.mix(docs.repartition(3), plan, shards=4).collect())
+
+
 def test_tree_keeps_quotas():
     quotas = np.array([1000, 7, 0, 333])
     dealt = mixing.splitting_tree(quotas, 7, 1)
