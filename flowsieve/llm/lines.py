@@ -4,9 +4,9 @@
 2. Distinct hashes of each document are counted with map-side combining, so a line that a third of
    all documents share reaches the reducers as one row per map task. That gives the keys over the limit
    and the first (document, position) of each.
-3. Occurrences of those keys are range-partitioned by (hash, document) with a secondary sort by document
-   and position. The range includes the document, so one hot line is cut over many tasks; the stream
-   passes every occurrence but the kept ones on.
+3. Occurrences of those keys are joined with the counts and range-partitioned by (hash, document), so one hot
+   line is cut over many tasks; every occurrence but the kept ones is passed on. The counts and firsts of step 2
+   decide, not an order of rows: Spark takes the sort out where the bitmaps are folded at once (keep "none").
 4. Their positions are folded into 64-bit words, one sparse bitmap per document.
 5. The bitmaps meet the text once, by a hash join on the document.
 """
