@@ -1,22 +1,23 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 1. Sizes (words) are summed by source; targets share the total by weight, stopping at ``cap`` times a source's size.
-2. Each source's documents are put in an order by hash, with running word counts. A source takes every document as
-   often as its target holds its size, then documents from the start of the order until one does not fit, then the few
-   that best fit the gap that is left, then in rounds whatever else lessens it, until no document does.
-3. The copies that a source takes lie in blocks (runs of ``block_words`` in the order, one set of blocks per round). The
-   tree halves the output shards again and again: a node's blocks of every source are dealt between its halves by one
-   multivariate-hypergeometric draw, so quotas stay exact at every node down to the shards.
-4. Blocks are permuted within their source; a shard takes the next run of its quota, so no block is drawn twice.
-   Within a shard, documents go by hash.
-
-Only sizes and keys are shuffled for the plan; the driver sees one row per source.
+2. Each source's documents are put in an order by hash. Runs of about 1/``blocks`` of the source's words are its blocks; a longer
+   document is a block of its own, so a source has at most 2 * ``blocks`` of them, whatever its size. Blocks of like size (within a
+   factor of two) form a class.
+3. A source's quota of each class is exact: every block as often as the target holds the source, and of the rest a share of
+   each class, the longest first. What a class can't take in whole blocks goes on to the shorter ones; what then is left is closed by the
+   next blocks of any class (from the next round, where a class is through with this one) while one lessens it.
+4. The splitting tree halves the output shards again and again: a node's quotas of all sources and classes are dealt between its halves
+   by one multivariate-hypergeometric draw, so they stay exact at every node down to the shards.
+5. The blocks of a class are permuted anew for each round through it; a shard takes the next run of its quota, so no block is drawn twice
+   in a round, and a block beyond all shards' quotas is not taken. Within a shard, documents go by hash.
+
+Only sizes and keys are shuffled for the plan; the driver sees a row for each class of each source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .sharding import number_within
 from .workspace import Workspace, arrow_map, even_buckets, shuffle_width
 
 WEIGHTS = (5, 2, 1)
-#: Documents beyond the first of the order that are picked singly, by fit; rounds over the order take the others.
-FITS = 3
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,28 +79,54 @@ def _running(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return joined.select(*rows.columns, (F.col("k") + F.col("n0")).alias("k"), (F.col("start") + F.col("s0")).alias("start"))
 
 
-def _fill(space: Workspace, placed: DataFrame, gaps: DataFrame, fits: DataFrame) -> DataFrame:
-    """f (source) and fit (k) of the documents beyond ``fits`` that lessen the sources' gaps; in the end no document left would.
-
-    A round goes through the order with the documents of half the gap or less; a source without any takes the one that fits best.
-    So a round halves the gap or leaves only documents over half of it, of which one fits: rounds grow with the gap's logarithm."""
-    left = placed.filter("not extra and size > 0 and rest > 0").select("source", "k", "size", "h")
-    done, rounds = fits, fits.limit(0)
-    for n in count():
-        apart = left.join(done, left["source"].eqNullSafe(done["f"]) & (left["k"] == done["fit"]), "left_anti")
-        near = apart.join(gaps, apart["source"].eqNullSafe(gaps["g"])).withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter("off < gap")
-        left = space.write(near.select("source", "k", "size", "h", "gap", "off"), f"left{n}")
-        if left.isEmpty():
-            return rounds
-        order = _running(left.filter("size <= gap / 2").select("source", F.col("k").alias("at"), "size", "h", "gap"), ["at"]).filter("start + size <= gap")
-        best = left.groupBy("source", "gap").agg(F.min("size").alias("least"), F.min(F.struct("off", "k", "size")).alias("best")).filter("least > gap / 2")
-        picked = order.select(F.col("source").alias("f"), F.col("at").alias("fit"), "size").unionByName(best.select(F.col("source").alias("f"), F.col("best.k").alias("fit"), "best.size"))
-        picked = space.write(picked, f"picked{n}")
-        sums = picked.groupBy("f").agg(F.sum("size").alias("f_size"))
-        gaps = space.write(gaps.join(sums, gaps["g"].eqNullSafe(sums["f"])).select("g", (F.col("gap") - F.col("f_size")).alias("gap")), f"left_gaps{n}")
-        done = picked.select("f", "fit")
-        rounds = rounds.unionByName(done)
-        left = left.select("source", "k", "size", "h")
+def partial_quotas(words: Sequence[np.ndarray], rest: float) -> list[int]:
+    """How many of the first blocks of each class make up ``rest`` words. ``words``: the blocks' words by class, a row for each round
+    left, in the order of its draw; classes from the shortest blocks to the longest."""
+    sums = [np.concatenate([[0], np.cumsum(w[0])]) for w in words]
+    share = rest / max(1, sum(int(s[-1]) for s in sums))
+    taken, gap = [0] * len(sums), 0.0
+    for c in reversed(range(len(sums))):
+        gap += share * float(sums[c][-1])
+        taken[c] = int(np.searchsorted(sums[c], gap, side="right")) - 1
+        gap -= float(sums[c][taken[c]])
+    drawn = [w.ravel() for w in words]
+    while True:  # the next blocks of the classes: those that fit, the longest first, and at last one that overshoots by less
+        ahead = [(float(w[k]), c) for c, (w, k) in enumerate(zip(drawn, taken, strict=True)) if k < len(w)]
+        fits = max((x for x in ahead if x[0] <= gap), default=None) or min((x for x in ahead if x[0] < 2 * gap), default=None)
+        if fits is None:
+            return taken
+        taken[fits[1]] += 1
+        gap -= fits[0]
+
+
+_DRAWN = "source string, block long, class int, blocks long, quota long, places array<long>"
+
+
+def _draw_blocks(cap: int):
+    """Of one source's blocks (block, h, words, source_size, target): class, blocks and quota of the class, and the place in each round's permutation."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, h, words = (table[c].to_numpy() for c in ("block", "h", "words"))
+        size, target = int(table["source_size"][0].as_py()), float(table["target"][0].as_py())
+        full = min(cap, int(target // size))
+        by_block = np.argsort(block)
+        block, h, words = block[by_block], h[by_block].view(np.uint64), words[by_block]
+        own = np.frexp(words.astype(float))[1]
+        classes, at, sizes = np.unique(own, return_inverse=True, return_counts=True)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        places, orders = np.zeros((len(block), cap), np.int64), []
+        for e in range(cap):
+            drawn = np.lexsort((block, tn.mix64(h + np.uint64(e)), own))
+            places[drawn, e] = np.arange(len(block)) - cuts[at[drawn]]
+            orders.append(words[drawn])
+        quota = full * sizes
+        if full < cap:
+            left = np.stack(orders[full:])
+            quota = quota + np.array(partial_quotas([left[:, a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], target - full * size), np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * cap, pa.int32()), pa.array(places.ravel()))
+        return pa.table([table["source"].combine_chunks().take(pa.array(by_block)), pa.array(block), pa.array(own.astype(np.int32)), pa.array(sizes[at]), pa.array(quota[at]), lists], names=["source", "block", "class", "blocks", "quota", "places"])
+
+    return run
 
 
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -131,51 +155,42 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, shards: int = 16, block_words: int = 1 << 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, shards: int = 16, blocks: int = 1 << 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, th, source, size, source_size, target, copies, shards (one for each copy) and taken (words).
 
+    A source's taken words differ from its target by less than its shortest block that could still be taken: at most 1/``blocks`` of
+    the source's words, or one document where all are longer.
     A pure function of the rows and parameters. Null or empty texts have size 0 and take nothing; a null source is one source, the last.
     Repeated rows are documents each. Other columns are not read. An empty table gives an empty result."""
     spark = docs.sparkSession
     space = Workspace(spark, "mixing")
     sizes = space.write(word_sizes(docs, doc_id, text, source), "sizes")
-    targets = space.write(source_targets(sizes, weights, cap), "targets")
-    rounds = targets.select(F.col("source").alias("g"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("full"))
-    rounds = rounds.withColumn("rest", F.when(F.col("full") < cap, F.col("target") - F.col("full") * F.col("source_size")).otherwise(F.lit(0.0)))
+    targets = space.write(source_targets(sizes, weights, cap), "targets", 1)
     placed = _running(sizes.withColumn("h", _order_hash(seed, F.col("doc_id"))), ["doc_id", "th", "size"])
-    placed = space.write(placed.join(rounds, placed["source"].eqNullSafe(rounds["g"])).drop("g").withColumn("extra", (F.col("start") + F.col("size") <= F.col("rest")) & (F.col("rest") > 0) & (F.col("size") > 0)), "placed")
-    filled = placed.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)).alias("filled"), F.first("rest").alias("g_rest")).select(F.col("source").alias("g"), (F.col("g_rest") - F.col("filled")).alias("gap"))
-    gaps, fits = space.write(filled, "gaps0"), None
-    for n in range(FITS):
-        apart = placed.filter("not extra and size > 0 and rest > 0")
-        if fits is not None:
-            apart = apart.join(fits, apart["source"].eqNullSafe(fits["f"]) & (apart["k"] == fits["fit"]), "left_anti")
-        near = apart.join(gaps, apart["source"].eqNullSafe(gaps["g"])).withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter("off < gap")
-        best = space.write(near.groupBy("source").agg(F.min(F.struct("off", "k", "size")).alias("best")).select(F.col("source").alias("f"), F.col("best.k").alias("fit"), F.col("best.size").alias("f_size")), f"fits{n}")
-        gaps = space.write(gaps.join(best, gaps["g"].eqNullSafe(best["f"])).select("g", (F.col("gap") - F.col("f_size")).alias("gap")), f"gaps{n + 1}")
-        fits = best.select("f", "fit") if fits is None else fits.unionByName(best.select("f", "fit"))
-    fits = fits.unionByName(_fill(space, placed, gaps, fits))
-    taken = placed.join(fits, placed["source"].eqNullSafe(fits["f"]) & (placed["k"] == fits["fit"]), "left").drop("f")
-    copies = F.when(F.col("size") > 0, F.col("full") + F.when(F.col("extra") | F.col("fit").isNotNull(), 1).otherwise(0)).otherwise(0).cast("int")
-    taken = space.write(taken.select("doc_id", "th", "source", "size", "source_size", "target", "k", "start", copies.alias("copies")), "taken")
-
-    runs = F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = taken.withColumn("epoch", runs).withColumn("block", F.expr(f"start div {block_words}"))
-    blocks = each.filter("epoch is not null").select("source", "epoch", "block").distinct()
-    blocks = space.write(number_within(blocks, "source", _order_hash(seed + 1, F.col("source"), F.col("epoch"), F.col("block")), [F.col("epoch"), F.col("block")], "place"), "blocks")
-    quotas = sorted(((r["source"], r["n"]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    dealt = splitting_tree(np.array([n for _, n in quotas], np.int64), shards, seed).cumsum(axis=0).T if quotas else np.zeros((0, shards))
-    ends = spark.createDataFrame([(s, [int(x) for x in row]) for (s, _), row in zip(quotas, dealt, strict=True)], "g string, ends array<long>")
-    homes = blocks.join(ends, blocks["source"].eqNullSafe(ends["g"])).select(F.col("source").alias("bs"), F.col("epoch").alias("be"), F.col("block").alias("bb"), F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("shard"))
-    sent = each.join(homes, each["source"].eqNullSafe(homes["bs"]) & (each["epoch"] == homes["be"]) & (each["block"] == homes["bb"]), "left")
-    kept = ["doc_id", "th", "source", "size", "source_size", "target", "k"]
-    return sent.groupBy(*kept).agg(F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"])).alias("shards")).select(
-        *kept[:-1], F.size("shards").alias("copies"), "shards", (F.size("shards") * F.col("size")).cast("long").alias("taken")
-    )
+    unit = F.greatest(F.lit(1), F.ceil(F.col("source_size") / blocks))
+    block = F.when(F.col("size") >= unit, -1 - F.col("k")).when(F.col("size") > 0, F.expr("start div unit"))
+    known = targets.withColumnRenamed("source", "g")
+    placed = placed.join(known, placed["source"].eqNullSafe(known["g"])).withColumn("unit", unit).withColumn("block", block)
+    placed = space.write(placed.select("doc_id", "th", "source", "size", "source_size", "target", "k", "block"), "placed")
+    made = placed.filter("block is not null").groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    made = made.withColumn("h", F.xxhash64(F.lit(seed + 1), "source", "block"))
+    drawn = space.write(made.groupBy("source").applyInArrow(_draw_blocks(cap), _DRAWN), "blocks")
+    quotas = sorted(((r["source"], r["class"], r["quota"]) for r in drawn.groupBy("source", "class").agg(F.first("quota").alias("quota")).collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    dealt = splitting_tree(np.array([n for *_, n in quotas], np.int64), shards, seed).cumsum(axis=0).T if quotas else np.zeros((0, shards))
+    ends = spark.createDataFrame([(s, c, [int(x) for x in row]) for (s, c, _), row in zip(quotas, dealt, strict=True)], "g string, gc int, ends array<long>")
+    # the place of a copy in its class, round after round; shards whose quotas end before it are passed, and with the last shard the copy itself
+    shard = lambda p, e: F.size(F.filter("ends", lambda x: x <= p + e * F.col("blocks")))
+    homes = drawn.join(ends, drawn["source"].eqNullSafe(ends["g"]) & (drawn["class"] == ends["gc"]))
+    homes = homes.select(F.col("source").alias("bs"), F.col("block").alias("bb"), F.filter(F.transform("places", shard), lambda s: s < shards).alias("shards"))
+    sent = placed.join(homes, placed["source"].eqNullSafe(homes["bs"]) & (placed["block"] == homes["bb"]), "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+    return sent.select("doc_id", "th", "source", "size", "source_size", "target", F.size("shards").alias("copies"), "shards", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", extra: bool = False) -> DataFrame:
-    """The mixed corpus: each document as often as ``plan`` says, one partition for each shard, shuffled within it. ``shards`` is the plan's number. ``extra`` keeps mix_shard and mix_epoch.
+    """The mixed corpus: each document as often as ``plan`` says, shard after shard, shuffled within it. ``shards`` is the plan's number. ``extra`` keeps mix_shard and mix_epoch.
+
+    A shard is cut into as many ranges of its order as the session's shuffle partitions ask for; a range is a partition, so a task
+    holds no whole shard and the order of the corpus doesn't depend on the session.
 
     Rows of the same id, text and source take the plan's rows in turn, by their other columns."""
     dealt = F.sort_array(F.collect_list(F.when(F.col("copies") > 0, F.col("shards"))))
@@ -190,6 +205,9 @@ def mix(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 7, doc_i
         joined = joined.filter("__rows = 1").unionByName(joined.filter("__rows > 1").withColumn("__row", turn).filter(F.col("__row") <= F.size("__to")))
     copies = joined.select(*docs.columns, "__th", "__row", F.posexplode(F.element_at("__to", F.col("__row"))).alias("mix_epoch", "mix_shard"))
     order = F.xxhash64(F.lit(seed + 2), F.col(doc_id), F.col("__th"), F.col("mix_epoch"))
-    home = F.element_at(F.array(*[F.lit(b) for b in even_buckets(docs.sparkSession, shards)]), F.col("mix_shard") + 1)
-    mixed = copies.withColumn("__o", order).repartition(shards, home).sortWithinPartitions("mix_shard", "__o", "__row")
+    ranges = max(1, -(-shuffle_width(docs.sparkSession) // shards))
+    at = F.col("mix_shard") * ranges + F.floor((F.shiftrightunsigned("__o", 32) * ranges) / F.lit(2**32)).cast("int")
+    home = F.element_at(F.array(*[F.lit(b) for b in even_buckets(docs.sparkSession, shards * ranges)]), at + 1)
+    turn = F.shiftrightunsigned("__o", 32), F.col("__o"), F.col("__row")
+    mixed = copies.withColumn("__o", order).repartition(shards * ranges, home).sortWithinPartitions("mix_shard", *turn)
     return mixed.select(*docs.columns, *(["mix_shard", "mix_epoch"] if extra else []))

@@ -36,7 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(documents(spark, sf_dir))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,38 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
 
-def _fits(n: int) -> str:
-    """SQL of the rounds that close a source's gap, as in ``mixing.mix_plan``."""
-    out = "g0 as (select source, rest - coalesce(sum(size) filter (where extra), 0)::double gap from x group by source, rest)"
-    for i in range(n):
-        done = "".join(f" and not exists (select 1 from b{j} where b{j}.source is not distinct from x.source and b{j}.k = x.k)" for j in range(i))
-        out += (
-            f",\nb{i} as (select x.source, x.k, x.size, gap from x join g{i} g on x.source is not distinct from g.source where not extra and size > 0 and rest > 0 and abs(size - gap) < gap{done}"
-            " qualify row_number() over (partition by x.source order by abs(size - gap), k) = 1)"
-            f",\ng{i + 1} as (select source, gap - size gap from b{i})"
-        )
-    return out + ",\nb as (" + " union all ".join(f"select source, k from b{i}" for i in range(n)) + ")"
-
 
 SQL: dict[str, str] = {
-    "op4_mixing": r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, ('0x' || substr(md5('mix:7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint h from documents),
-s as (select source, sum(size)::bigint s, row_number() over (order by source nulls last) r from d group by source),
-w as (select source, s, case (r - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end w from s),
-o as (select *, 3.0::double * s / w stop from w),
-l as (select *, ((sum(s) over ())::double - 3.0::double * coalesce(sum(s) over p, 0)::double) / ((sum(w) over ()) - coalesce(sum(w) over p, 0.0::double)) level from o window p as (order by stop, source nulls last rows between unbounded preceding and 1 preceding)),
-c as (select arg_min(level, rn) share from (select *, row_number() over (order by stop, source nulls last) rn from l) where level <= stop),
-t as (select source, s source_size, least(3.0::double * s, share * w) target from l, c),
-f as (select *, case when source_size > 0 then floor(target / source_size) else 0 end full_times from t),
-q as (select *, case when full_times < 3 then target - full_times * source_size else 0.0::double end rest from f),
-x as (select *, (start + size <= rest and rest > 0 and size > 0) extra from (select d.*, source_size, target, full_times, rest,
-  row_number() over (partition by d.source order by h, doc_id) - 1 k, sum(size) over (partition by d.source order by h, doc_id rows unbounded preceding) - size start from d join q on d.source is not distinct from q.source)),
-"""
-    + _fits(mixing.FITS)
-    + r"""
-select doc_id, size, source_size, target, (copies * size)::bigint taken, copies from (
-  select x.*, case when size > 0 then full_times + case when extra or b.k is not null then 1 else 0 end else 0 end::int copies from x left join b on x.source is not distinct from b.source and x.k = b.k)
-""",
     "op5_jaccard_join": r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
 g as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]

@@ -1,5 +1,5 @@
-import hashlib
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 
 import numpy as np
 from util import awkward, crowded, empty, words
@@ -28,53 +28,88 @@ def test_plan(spark):
         sizes[r["source"]] += len(words(r["text"]))
     want = targets(sizes)
     assert len(rows) == docs.count()
-    taken, largest = defaultdict(int), defaultdict(int)
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
-        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
-        taken[r["source"]] += r["taken"]
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
-    for s, t in want.items():
-        assert abs(taken[s] - t) <= largest[s]
+    near_targets(rows)
+    through_the_tree(rows, 16)
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_plan(docs.repartition(3)).collect()), key=repr)
 
 
-def place(doc_id):
-    return int(hashlib.md5(f"mix:7:{doc_id}".encode()).hexdigest()[:8], 16)
+def near_targets(rows, cap=3):
+    """Each source is at its target to the percent, or to the shortest document that it could still take."""
+    by = defaultdict(list)
+    for r in rows:
+        assert r["taken"] == r["copies"] * r["size"] <= cap * r["size"] and r["copies"] == len(r["shards"])
+        by[r["source"]].append(r)
+    for own in by.values():
+        target, taken = own[0]["target"], sum(r["taken"] for r in own)
+        free = min((r["size"] for r in own if r["size"] and r["copies"] < cap), default=0)
+        assert abs(taken - target) <= max(target / 100, free)
 
 
-def filled(spark, b):
-    """Plan of source b's documents of so many words by id, beside a source a of 108,000 words; target and words taken of b."""
-    rows = [(i, "a", 3000) for i in range(1_000_000, 1_000_036)] + [(i, "b", n) for i, n in b.items()]
+def through_the_tree(rows, shards, seed=7):
+    """Where each document is a block, a shard holds as many of each source and class (power of two of the size) as the tree's leaf does."""
+    quotas, held = Counter(), Counter()
+    for r in rows:
+        kind = r["source"] is None, r["source"] or "", math.frexp(r["size"])[1]
+        quotas[kind] += r["copies"] if r["size"] else 0
+        for s in r["shards"]:
+            held[s, kind] += 1
+    kinds = sorted(k for k in {(r["source"] is None, r["source"] or "", math.frexp(r["size"])[1]) for r in rows if r["size"]})
+    dealt = mixing.splitting_tree(np.array([quotas[k] for k in kinds]), shards, seed)
+    assert [[held[s, k] for k in kinds] for s in range(shards)] == dealt.tolist()
+
+
+def planned(spark, **sources):
+    """Plan of sources' documents of so many words, as rows."""
+    rows, at = [], 0
+    for name, sizes in sources.items():
+        rows += [(at + i, name, int(n)) for i, n in enumerate(sizes)]
+        at += len(sizes) + 7
     docs = spark.createDataFrame(rows, "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('x ', n) text", "'en' lang")
-    plan = [r for r in mixing.mix_plan(docs).collect() if r["source"] == "b"]
-    return plan, plan[0]["target"], sum(r["taken"] for r in plan)
+    return mixing.mix_plan(docs).collect()
+
+
+def test_sources_with_one_very_long_document(spark):
+    for at in (0, 500, 1000):
+        rows = planned(spark, a=[3000] * 36, b=[10] * at + [26_000] + [10] * (1000 - at), c=[300] * 200 + [60_000])
+        near_targets(rows)
+        through_the_tree(rows, 16)
 
 
-def test_a_very_long_document_at_the_boundary(spark):
-    short = sorted(range(300), key=place)
-    low, high = place(short[149]), place(short[154])
-    long = next(i for i in range(1000, 1_000_000) if low < place(i) < high)  # too long for the gap, which is left to the short ones
-    plan, target, taken = filled(spark, {i: 300 for i in short} | {long: 60_000})
-    assert next(r for r in plan if r["doc_id"] == long)["copies"] == 0
-    assert abs(taken - target) <= 150
+def test_heavy_tailed_sizes(spark):
+    rng = np.random.default_rng(11)
+    for _ in range(3):
+        rows = planned(spark, **{s: np.minimum(1 + rng.pareto(0.8, n) * 5, 30_000) for s, n in (("a", 400), ("b", 300), ("c", 900), ("d", 3))})
+        near_targets(rows)
+        if all(r["source_size"] <= 1 << 16 for r in rows):
+            through_the_tree(rows, 16)
 
 
-def test_no_document_left_would_lessen_the_gap(spark):
-    short = sorted(range(200), key=place)
-    sizes = {i: 2 + i * i % 977 for i in short}
-    low, high = place(short[90]), place(short[92])
-    long = next(i for i in range(1000, 1_000_000) if low < place(i) < high)
-    plan, target, taken = filled(spark, sizes | {long: sum(sizes.values()) * 5 // 4})
-    assert next(r for r in plan if r["doc_id"] == long)["copies"] == 0
-    gap = target - taken
-    assert not [r for r in plan if r["copies"] == 0 and abs(r["size"] - gap) < gap]
-    assert abs(gap) < 50
+def test_partial_quotas():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        words = [rng.integers(1 << c, 2 << c, (int(rng.integers(1, 4)), int(rng.integers(1, 30)))) for c in sorted(rng.choice(14, int(rng.integers(1, 6)), replace=False))]
+        rest = float(rng.random() * sum(int(w[0].sum()) for w in words))
+        taken = mixing.partial_quotas(words, rest)
+        left = [int(x) for w, k in zip(words, taken, strict=True) for x in w.ravel()[k:]]
+        assert abs(rest - sum(int(w.ravel()[:k].sum()) for w, k in zip(words, taken, strict=True))) <= min(left, default=max(int(w.max()) for w in words))
+
+
+def test_few_blocks_hold_many_documents(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('s', id % 2) source", "repeat('x ', cast(1 + id % 7 as int)) text", "'en' lang")
+    rows = mixing.mix_plan(docs, blocks=50).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= own[0]["source_size"] / 50 + 7
+        assert len({tuple(r["shards"]) for r in own}) > 10
 
 
 def test_mix_has_the_copies_of_the_plan(spark):
     docs = awkward(spark)
-    plan = mixing.mix_plan(docs, shards=4, block_words=500)
+    plan = mixing.mix_plan(docs, shards=4, blocks=200)
     mixed = mixing.mix(docs, plan, shards=4, extra=True)
     got, want = defaultdict(int), defaultdict(int)
     for r in mixed.collect():
@@ -91,7 +126,7 @@ def test_mix_has_the_copies_of_the_plan(spark):
 def test_rows_of_one_id_and_text_keep_their_sources(spark):
     rows = [(i, "a b c d", s, lang) for i in range(40) for s, lang in (("s0", "en"), ("s0", "de"), ("s1", "en"), ("s2", "fr"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    plan = mixing.mix_plan(docs, shards=4, block_words=8)
+    plan = mixing.mix_plan(docs, shards=4, blocks=20)
     want, got = defaultdict(int), defaultdict(int)
     for r in plan.collect():
         want[r["doc_id"], r["source"]] += r["copies"]
