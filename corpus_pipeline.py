@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm import bpe, jaccard, lines, mixing, rules
 from flowsieve.llm.queries import tokenizer_file
-from flowsieve.llm.workspace import Workspace, documents, shuffle_width
+from flowsieve.llm.workspace import Workspace, documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIX_SHARDS = 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks, in the order of the mix; as many shards as the session has shuffle partitions."""
-    shards = shuffle_width(spark)
-    return mixing.mix(docs.select(*COLUMNS), mixing.mix_plan(docs, shards=shards), shards=shards).select(*COLUMNS)
+    """Documents as often as their source's target asks, in the order of the mix."""
+    return mixing.mix(docs.select(*COLUMNS), mixing.mix_plan(docs, shards=MIX_SHARDS), shards=MIX_SHARDS).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
