@@ -11,11 +11,12 @@ keys. Which shingles are common is learned from a bounded sample; it decides how
 is at most the number of differing shingles as well, and at last the sets themselves. Every step but the last
 only rules out pairs that cannot be similar, so no link is lost.
 
-Equal sets meet as one class before any join. Keys are packed per map task and bucket and joined with numpy by
-sorting. In a group of more than ``PAIRED`` classes with one key, each is first held against the most central one, that
-with the smallest share of uncommon shingles (``late`` below). Members that turn out not to be in its component are
-then held against all that met the same central class, sketch against sketch and block by block; only pairs whose
-sketches allow a link leave a block.
+Equal sets meet as one class before any join. Keys are packed per map task, bucket and part, and joined with numpy by
+sorting, one part at a time and at most about ``HELD_KEYS`` unpacked keys at a time. In a group of more than ``PAIRED`` classes
+with one key, each is first held against the most central one, that with the smallest share of uncommon shingles (``late`` below).
+Members that turn out not to be in its component are then held against all that met the same central class, in blocks of bounded
+shingles that carry the sets themselves: a block verifies pairs of different components only, joins components as it finds links and
+returns no more links than it has members, so no step ever emits all pairs of a group.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .workspace import Workspace, arrow_map, even_buckets, shuffle_width
+from .workspace import Workspace, arrow_map, even_buckets, files_for, salted_join, shuffle_width
 
 WIDTH = 5
 PAIRED = 8
-#: Keys that a map task gathers before it writes them out; sketches on either side of a block.
-FLUSH_KEYS, BLOCK = 1 << 19, 4096
-SALTS = 16
+#: Keys that a map task gathers before it writes them out; parts of a bucket, joined one after the other; keys unpacked at once.
+FLUSH_KEYS, PARTS, HELD_KEYS = 1 << 19, 16, 1 << 20
+#: Shingles on either side of a block; bits of the map of wanted texts.
+BLOCK_SHINGLES, MAP_BITS = 1 << 20, 22
 SKETCH_WORDS = 16
 _U = tn.U64
 
@@ -112,10 +114,10 @@ def cell_keys(shingles: np.ndarray, rare: np.ndarray, band: int, t: int, cells:
 
 #: kind 0: a document; 1: packed keys of a bucket, later a candidate pair of classes.
 _SCHEMA = pa.schema([
-    ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
+    ("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
     ("bits", pa.list_(pa.int64())), ("keys", pa.binary()), ("sets", pa.binary()), ("runs", pa.binary()), ("ranks", pa.binary()),
 ])
-_DDL = "kind int, bucket int, doc_id long, th long, n long, a long, b long, bits array<long>, keys binary, sets binary, runs binary, ranks binary"
+_DDL = "kind int, bucket int, part int, doc_id long, th long, n long, a long, b long, bits array<long>, keys binary, sets binary, runs binary, ranks binary"
 
 
 def _rows(length: int, /, **columns) -> pa.RecordBatch:
@@ -150,16 +152,19 @@ def _sketcher(percent: int, width: int, codes: list[int], common):
         sizes = np.array([len(k) for k in keys])
         key, doc = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
         mark, rank = np.array(marks, np.int64), np.array(ranks, np.uint16)
-        bucket = (key % _U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        key, doc, bucket = key[order] >> _U(16), doc[order], bucket[order]
+        bucket = (key % _U(buckets)).astype(np.int64)
+        key = key >> _U(16)
+        cell = bucket * PARTS + (key % _U(PARTS)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        key, doc, cell = key[order], doc[order], cell[order]
         low = key.view(np.uint8).reshape(-1, 8)[:, :6]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        out = {"kind": [], "bucket": [], "keys": [], "sets": [], "runs": [], "ranks": []}
+        cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        out = {"kind": [], "bucket": [], "part": [], "keys": [], "sets": [], "runs": [], "ranks": []}
         for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
             run = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
             out["kind"].append(1)
-            out["bucket"].append(int(numbers[bucket[a]]))
+            out["bucket"].append(int(numbers[cell[a] // PARTS]))
+            out["part"].append(int(cell[a] % PARTS))
             out["keys"].append(low[a:b].tobytes())
             out["sets"].append(mark[doc[a:b][run]].tobytes())
             out["ranks"].append(rank[doc[a:b][run]].tobytes())
@@ -196,7 +201,7 @@ def _sketcher(percent: int, width: int, codes: list[int], common):
             if ns:
                 place = np.asarray(batch.column(0).fill_null(0)).astype(np.int64) ^ np.asarray(batch.column(1))  # copies of one text go apart
                 spots = numbers[(tn.mix64(place.view(_U)) % _U(buckets)).astype(np.int32)]
-                yield _rows(len(ns), kind=np.zeros(len(ns), np.int32), bucket=spots, doc_id=batch.column(0), th=batch.column(1), n=ns, a=own, bits=bits)
+                yield _rows(len(ns), kind=np.zeros(len(ns), np.int32), bucket=spots, part=np.full(len(ns), -1, np.int32), doc_id=batch.column(0), th=batch.column(1), n=ns, a=own, bits=bits)
         if keys:
             yield flush(keys, marks, ranks)
 
@@ -234,42 +239,66 @@ def group_pairs(key: np.ndarray, mark: np.ndarray, rank: np.ndarray) -> tuple[np
     return a[last], b[last], late[last]
 
 
-def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked(held: list[tuple[bytes, bytes, bytes, bytes]], share: int, shares: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, marks and ranks of packed rows whose keys fall into a share of all."""
     keys, marks, ranks = [], [], []
+    for packed, sets, runs, rank in held:
+        low = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+        full = np.zeros((len(low), 8), np.uint8)
+        full[:, :6] = low
+        key, runs = full.view(_U).ravel(), np.frombuffer(runs, np.uint32)
+        mark, own = np.repeat(np.frombuffer(sets, np.int64), runs), np.repeat(np.frombuffer(rank, np.uint16), runs)
+        if shares > 1:
+            mine = (key // _U(PARTS)) % _U(shares) == _U(share)
+            key, mark, own = key[mine], mark[mine], own[mine]
+        keys.append(key)
+        marks.append(mark)
+        ranks.append(own)
+    return np.concatenate(keys), np.concatenate(marks), np.concatenate(ranks)
+
+
+def _part_pairs(held: list[tuple[bytes, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Candidates of one part of a bucket; only a share of its keys is unpacked at a time."""
+    shares = -(-sum(len(h[0]) // 6 for h in held) // HELD_KEYS)
+    for share in range(shares):
+        a, b, late = group_pairs(*_unpacked(held, share, shares))
+        for i in range(0, len(a), 50_000):
+            to = slice(i, i + 50_000)
+            n = len(a[to])
+            yield _rows(n, kind=np.ones(n, np.int32), a=a[to], b=b[to], n=late[to].astype(np.int64))
+
+
+def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, part): documents pass, the packed keys of a part become its candidates."""
+    at, held = None, []
     for batch in batches:
         kind = np.asarray(batch.column(0))
         if (kind == 0).any():
             yield batch.filter(pa.array(kind == 0))
         for i in np.flatnonzero(kind == 1):
-            low = np.frombuffer(batch.column(8)[i].as_py(), np.uint8).reshape(-1, 6)
-            full = np.zeros((len(low), 8), np.uint8)
-            full[:, :6] = low
-            keys.append(full.view(_U).ravel())
-            runs = np.frombuffer(batch.column(10)[i].as_py(), np.uint32)
-            marks.append(np.repeat(np.frombuffer(batch.column(9)[i].as_py(), np.int64), runs))
-            ranks.append(np.repeat(np.frombuffer(batch.column(11)[i].as_py(), np.uint16), runs))
-    if keys:
-        key, mark, rank = np.concatenate(keys), np.concatenate(marks), np.concatenate(ranks)
-        keys, marks, ranks = [], [], []
-        a, b, late = group_pairs(key, mark, rank)
-        del key, mark, rank
-        for i in range(0, len(a), 50_000):
-            to = slice(i, i + 50_000)
-            n = len(a[to])
-            yield _rows(n, kind=np.ones(n, np.int32), a=a[to], b=b[to], n=late[to].astype(np.int64))
+            here = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            if here != at and held:
+                yield from _part_pairs(held)
+                held = []
+            at = here
+            held.append(tuple(batch.column(c)[i].as_py() for c in (9, 10, 11, 12)))
+    if held:
+        yield from _part_pairs(held)
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    table = lambda: pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sets, pa.binary())], ["mark", "shingles"])
     for batch in batches:
-        marks, sets = [], []
+        marks, sets, held = [], [], 0
         for _, s in shingle_sets(batch.column(0), width):
             marks.append(set_mark(s))
             sets.append(s.tobytes())
-            if len(sets) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sets, pa.binary())], ["mark", "shingles"])
-                marks, sets = [], []
+            held += len(s)
+            if held >= BLOCK_SHINGLES // 4:
+                yield table()
+                marks, sets, held = [], [], 0
         if sets:
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sets, pa.binary())], ["mark", "shingles"])
+            yield table()
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,63 +312,83 @@ def _hamming(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
 
 
-def verified_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int, tag: str) -> DataFrame:
-    """``pairs`` (a, b, late) with ``linked``: sketches first, then the sets of the classes that are left, read again from their texts."""
+def class_sets(wanted: DataFrame, most: int, docs: DataFrame, space: Workspace, width: int, tag: str) -> DataFrame:
+    """(mark, shingles) of the classes ``wanted`` (id, th of the text to read; at most ``most``). Texts that no class wants stay where they are: a map of
+    2^MAP_BITS bits, at most 2^(MAP_BITS - 6) rows whatever the input, rules them out before the shuffle; the exact join follows."""
+    wanted = space.write(wanted.distinct(), f"wanted{tag}", files_for(most))
+    n = wanted.count()
+    spot = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << MAP_BITS))
+    marked = wanted.select(spot("id", "th").alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
+    there = docs.withColumn("s", spot("__id", "__th")).withColumn("w", F.expr("cast(s div 64 as int)")).join(F.broadcast(marked), "w").filter("getbit(m, cast(s % 64 as int)) = 1")
+    texts = there.join(wanted.withColumnRenamed("th", "wth"), there["__id"].eqNullSafe(F.col("id")) & (there["__th"] == F.col("wth")), "left_semi").select("__text")
+    sets = arrow_map(texts, lambda it: _sets_of(it, width), "mark long, shingles binary")
+    return space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"sets{tag}", files_for(n, 1 << 12))
+
+
+def verified_links(pairs: DataFrame, n_pairs: int, classes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, late) among ``pairs``, and the pairs that are none (a, b, late): sketches first, then the sets of the classes that are left, read again from their texts."""
     side = lambda s: classes.select(F.col("mark").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"), F.col("at").alias(f"at{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", F.expr(f"((na + nb) * {100 - percent}) div {100 + percent}"))
+    near = salted_join(pairs, side("a"), "a", "b", n_pairs).join(side("b"), "b").withColumn("most", F.expr(f"((na + nb) * {100 - percent}) div {100 + percent}"))
     near = near.withColumn("maybe", (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming(F.col("bitsa"), F.col("bitsb")) <= F.col("most")))
-    near = space.write(near.select("a", "b", "late", "maybe", "ata", "atb"), f"near{tag}")
+    near = space.write(near.select("a", "b", "late", "maybe", "ata", "atb"), "near", files_for(n_pairs))
     maybe = near.filter("maybe")
-    wanted = maybe.select(F.col("a").alias("mark"), F.col("ata").alias("at")).unionByName(maybe.select(F.col("b").alias("mark"), F.col("atb").alias("at"))).distinct()
-    texts = docs.join(wanted.select("at.id", F.col("at.th").alias("wth")).distinct(), docs["__id"].eqNullSafe(F.col("id")) & (docs["__th"] == F.col("wth")), "left_semi").select("__text")
-    sets = arrow_map(texts, lambda it: _sets_of(it, width), "mark long, shingles binary")
-    sets = space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"sets{tag}")
-    full = maybe.select("a", "b", "late").join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("x")), "a")
-    known = arrow_map(full.select("a", "b", "late", "x", "y"), _common, "a long, b long, late boolean, common long, na long, nb long")
+    wanted = maybe.select("ata.id", "ata.th").unionByName(maybe.select("atb.id", "atb.th"))
+    sets = class_sets(wanted, 2 * n_pairs, docs, space, width, "1")
+    full = maybe.select("a", "b", "late").join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("y")), "b")
+    full = salted_join(full, sets.select(F.col("mark").alias("a"), F.col("shingles").alias("x")), "a", "b", n_pairs, counted=maybe).select("a", "b", "late", "x", "y")
+    known = arrow_map(full, _common, "a long, b long, late boolean, common long, na long, nb long")
     found = known.select("a", "b", "late", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
-    links = space.write(found.unionByName(near.filter("not maybe").select("a", "b", "late", F.lit(False).alias("linked"))), f"links{tag}")
-    space.drop(f"near{tag}")
-    space.drop(f"sets{tag}")
-    return links
+    held = space.write(found, "held", files_for(n_pairs))
+    space.drop("sets1")
+    return held.filter("linked").drop("linked"), near.filter("not maybe").select("a", "b", "late").unionByName(held.filter("not linked").drop("linked"))
 
 
-def _block_pairs(percent: int):
+def _block_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        column = lambda name, to: table[name].to_numpy()[side == to]
-        bits = table["bits"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(_U).reshape(-1, SKETCH_WORDS)
-        ym, yn, yc, yb = column("mark", 1), column("n", 1), column("component", 1), bits[side == 1]
-        xm, xn, xc, xb = column("mark", 0), column("n", 0), column("component", 0), bits[side == 0]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(ym) if len(xm) else 0):
-            apart = np.bitwise_count(xb ^ yb[i]).sum(axis=1, dtype=np.int64)
-            fits = (apart * (100 + percent) <= (xn + yn[i]) * (100 - percent)) & (100 * np.minimum(xn, yn[i]) >= percent * np.maximum(xn, yn[i])) & (xc != yc[i])
-            a.append(np.minimum(xm[fits], ym[i]))
-            b.append(np.maximum(xm[fits], ym[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        table = table.combine_chunks()
+        side, mark, own = (table[c].to_numpy() for c in ("side", "mark", "component"))
+        sets = [np.frombuffer(s.as_buffer(), _U) for s in table["shingles"].combine_chunks()] if len(table) else []
+        n = np.array([len(s) for s in sets], np.int64)
+        bits = np.stack([parity_bits(s).view(_U) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), _U)
+        root = np.unique(own, return_inverse=True)[1]  # the component of each row, as links are found
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        xb, xn, a, b = bits[x], n[x], [], []
+        for j in y:
+            apart = np.bitwise_count(xb ^ bits[j]).sum(axis=1, dtype=np.int64)
+            fits = (apart * (100 + percent) <= (xn + n[j]) * (100 - percent)) & (100 * np.minimum(xn, n[j]) >= percent * np.maximum(xn, n[j])) & (root[x] != root[j])
+            for i in x[fits][np.argsort(apart[fits], kind="stable")]:
+                if root[i] != root[j]:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= percent * (n[i] + n[j] - common):
+                        root[root == root[i]] = root[j]
+                        a.append(mark[i])
+                        b.append(mark[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def second_look(links: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that a link may still join: members that failed their central class, against all that met the same one.
+def second_look(met: DataFrame, classes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between members that failed their central class (``odd``) and all that met the same one, where components differ.
 
-    Sides are cut into blocks of about BLOCK sketches, so no task holds a whole group."""
-    label = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
-    met = links.filter("late").join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", F.col("b").alias("mark"), F.coalesce("cb", "b").alias("component"), (~F.col("linked") & (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).alias("odd"))
-    size = met.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("xs"), F.expr(f"cast(ceil(count_if(odd) / {BLOCK}) as int)").alias("ys")).filter("ys > 0")
-    # a central class may have met a third of all: its members meet its sizes in several tasks
-    met = met.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"])
-    met = met.join(classes.select("mark", "n", "bits"), "mark")
+    ``met``: a (the central class), mark, component, odd. Sides are cut into blocks of about BLOCK_SHINGLES shingles, so no task holds a whole group."""
+    n = met.count()
+    sized = met.join(classes.select("mark", "n", "at"), "mark")
+    blocks = lambda x: F.ceil(F.coalesce(x, F.lit(0)) / BLOCK_SHINGLES).cast("int")
+    size = sized.groupBy("a").agg(blocks(F.sum("n")).alias("xs"), blocks(F.sum(F.when(F.col("odd"), F.col("n")))).alias("ys")).filter("ys > 0")
+    groups = space.write(salted_join(met, size, "a", "mark", n), "groups", files_for(n))
+    sets = class_sets(groups.join(classes, "mark", "left_semi").select("mark").distinct().join(classes, "mark").select("at.id", "at.th"), n, docs, space, width, "2")
+    rows = groups.join(sets, "mark")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
-    kept = ["a", "mark", "component", "n", "bits"]
-    rows = met.select(*kept, other("ys").alias("y"), own("xs").alias("x"), F.lit(0).alias("side")).unionByName(met.filter("odd").select(*kept, own("ys").alias("y"), other("xs").alias("x"), F.lit(1).alias("side")))
-    return rows.groupBy("a", "y", "x").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
+    kept = ["a", "mark", "component", "shingles"]
+    sides = rows.select(*kept, other("ys").alias("y"), own("xs").alias("x"), F.lit(0).alias("side")).unionByName(rows.filter("odd").select(*kept, own("ys").alias("y"), other("xs").alias("x"), F.lit(1).alias("side")))
+    return space.write(sides.groupBy("a", "y", "x").applyInArrow(_block_links(percent), "a long, b long").distinct(), "second", files_for(n))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, __th (hash of its text), n_shingles, class_mark (equal sets), component_id and first_th.
+    """One row per document: doc_id, __th (hash of its text), n_shingles, class_mark (equal sets), component_id, first_th and __copies
+    (rows with its set).
 
     component_id is the lowest doc_id that links reach, itself included; documents without words link with nothing
     and keep their own id. Null texts are empty. Null ids count as the highest: they never name a component that has another id.
@@ -349,42 +398,56 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_
     bare = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
     buckets = shuffle_width(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(bare, width))
-    packed = arrow_map(bare, _sketcher(percent, width, even_buckets(docs.sparkSession, buckets), common), _DDL).repartition(buckets, "bucket")
-    table = space.write(arrow_map(packed, _join_buckets, _DDL), "joined")
+    packed = arrow_map(bare, _sketcher(percent, width, even_buckets(docs.sparkSession, buckets), common), _DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
+    table = space.write(arrow_map(packed, _join_buckets, _DDL), "joined", -(-buckets // 4))  # rows are small beside the texts that they come from
+    counts = dict(table.groupBy("kind").count().collect())  # two rows
+    n_docs, n_pairs = counts.get(0, 0), counts.get(1, 0)
     rows = table.filter("kind = 0").select("doc_id", "th", "n", F.col("a").alias("mark"), "bits")
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
-    classes = space.write(rows.filter("n > 0").groupBy("mark").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    grouped = rows.filter("n > 0").groupBy("mark").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
+    classes = space.write(grouped, "classes", files_for(n_docs))
     pairs = table.filter("kind = 1").groupBy("a", "b").agg(F.max(F.col("n") > 0).alias("late"))
-    links = verified_links(pairs, classes, bare, space, percent, width, "1")
-    comps = space.write(components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), space, "cc1"), "comps1")
-    near = space.write(second_look(links, comps, classes, percent), "second")
-    ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    near = near.join(links.select(*ordered), ["a", "b"], "left_anti").withColumn("late", F.lit(False))
-    again = verified_links(near, classes, bare, space, percent, width, "2")
-    if not again.filter("linked").isEmpty():
-        every = links.filter("linked").select("a", "b").unionByName(again.filter("linked").select("a", "b"))
-        comps = space.write(components(every.select(F.col("a").alias("u"), F.col("b").alias("v")), space, "cc2"), "comps2")
-    of_class = classes.join(comps.select(F.col("id").alias("mark"), "component"), "mark", "left").select("mark", "at", F.coalesce("component", "mark").alias("component"))
+    pairs = space.write(pairs, "pairs", files_for(n_pairs))
+    links, failed = verified_links(pairs, n_pairs, classes, bare, space, percent, width)
+    comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), space, "one")
+    label = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
+    late = failed.withColumn("odd", F.lit(True)).unionByName(links.withColumn("odd", F.lit(False))).filter("late")
+    late = salted_join(late, label("a"), "a", "b", n_pairs, how="left").join(label("b"), "b", "left")
+    met = late.select("a", F.col("b").alias("mark"), F.coalesce("cb", "b").alias("component"), (F.col("odd") & (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).alias("odd"))
+    met = space.write(met, "met", files_for(n_pairs))
+    if not met.filter("odd").isEmpty():
+        again = second_look(met, classes, bare, space, percent, width)
+        if not again.isEmpty():
+            every = comps.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(again.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            comps = components(every, space, "two")
+    of_class = classes.join(comps.select(F.col("id").alias("mark"), "component"), "mark", "left").select("mark", "at", "copies", F.coalesce("component", "mark").alias("component"))
+    of_class = space.write(of_class, "named", files_for(n_docs))
     firsts = of_class.groupBy("component").agg(F.min("at").alias("first"))
-    named = of_class.join(firsts, "component").select("mark", "first")
-    return rows.join(named, "mark", "left").select(
-        F.col("doc_id").alias(doc_id),
-        F.col("th").alias("__th"),
-        F.col("n").alias("n_shingles"),
-        F.col("mark").alias("class_mark"),
-        F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("first.th")).otherwise(F.col("th")).alias("first_th"),
+    named = salted_join(of_class, firsts, "component", "mark", n_docs).select("mark", "first", "copies")
+    worded = salted_join(rows.filter("n > 0"), named, "mark", "doc_id", n_docs)
+    result = lambda df, id, th, copies: df.select(
+        F.col("doc_id").alias(doc_id), F.col("th").alias("__th"), F.col("n").alias("n_shingles"), F.col("mark").alias("class_mark"), id.alias("component_id"), th.alias("first_th"), copies.alias("__copies")
     )
+    every = result(worded, F.col("first.id"), F.col("first.th"), F.col("copies")).unionByName(result(rows.filter("n = 0"), F.col("doc_id"), F.col("th"), F.lit(1).cast("long")))
+    return every.coalesce(files_for(n_docs, 1 << 14))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the lowest id; documents without words all stay."""
+    """``docs`` with one document of each component, that of the lowest id; documents without words all stay.
+
+    Only texts that may go, or may be there twice, are shuffled: a map of fixed size (see ``class_sets``) rules the others out."""
     found = near_duplicates(docs, percent, width, doc_id, text)
-    kept = Workspace(docs.sparkSession, "kept").write(
-        found.filter(F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("first_th"))).groupBy(F.col(doc_id).alias("__kid"), F.col("__th").alias("__kth")).agg(F.count(F.lit(1)).alias("__rows"), F.max("n_shingles").alias("__n")), "kept"
-    )
-    rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    left = rows.join(kept.select("__kid", "__kth", "__n").hint("shuffle_hash"), rows[doc_id].eqNullSafe(F.col("__kid")) & (rows["__th"] == F.col("__kth")))
-    if not kept.filter("__rows > 1 and __n > 0").isEmpty():  # the same id and text more than once
-        left = left.filter("__n > 0").dropDuplicates([doc_id, "__th"]).unionByName(left.filter("__n = 0"))
-    return left.select(*docs.columns)
+    space = Workspace(docs.sparkSession, "kept")
+    stays = F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("first_th"))
+    # of rows that stay only those with copies may be there twice
+    touched = found.filter("n_shingles > 0").filter(~stays | (F.col("__copies") > 1)).groupBy(F.col(doc_id).alias("__kid"), F.col("__th").alias("__kth")).agg(F.max(stays).alias("__stays"), F.count(F.lit(1)).alias("__rows"))
+    touched = space.write(touched.filter("not __stays or __rows > 1"), "touched", max(1, shuffle_width(docs.sparkSession) // 8))
+    spot = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << MAP_BITS))
+    marked = touched.select(spot("__kid", "__kth").alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("__m"))
+    rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__s", spot(F.col(doc_id).cast("long"), F.col("__th"))).withColumn("__w", F.expr("cast(__s div 64 as int)"))
+    rows = rows.join(F.broadcast(marked), "__w", "left").withColumn("__may", F.coalesce(F.getbit("__m", F.expr("cast(__s % 64 as int)")), F.lit(0)) == 1)
+    may = rows.filter("__may")
+    may = may.join(touched.hint("shuffle_hash"), may[doc_id].cast("long").eqNullSafe(F.col("__kid")) & (may["__th"] == F.col("__kth")), "left").filter("__stays is null or __stays")
+    if not touched.filter("__stays").isEmpty():  # the same id and text more than once
+        may = may.filter("__stays is null").unionByName(may.filter("__stays").dropDuplicates([doc_id, "__th"]))
+    return rows.filter("not __may").select(*docs.columns).unionByName(may.select(*docs.columns))

@@ -16,8 +16,11 @@ HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder of this process only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a local folder of this process, but only in local mode, where every task sees it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or _own_root()).rstrip("/")
 
 
 @lru_cache(maxsize=1)
@@ -44,9 +47,10 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/flowsieve/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
+    def write(self, df: DataFrame, table: str, files: int | None = None) -> DataFrame:
+        """The table as written; ``files`` bounds the number of its files (see ``files_for``)."""
         to = f"{self.path}/{table}"
-        df.write.mode("overwrite").parquet(to)
+        (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, table: str = "") -> None:
@@ -58,6 +62,29 @@ class Workspace:
         self.drop()
 
 
+def files_for(rows: int, rows_a_file: int = 1 << 16) -> int:
+    """Files that a table of at most so many rows is written to; small tables in many files cost more than they hold."""
+    return max(1, -(-rows // rows_a_file))
+
+
+#: Keys that may be hot at most: a key is if it has more than this part of all rows.
+HOT_KEYS = 1000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, total: int, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``left`` join ``right`` (one row a key) on ``key``; a key with over a thousandth of the ``total`` rows is dealt over many tasks by ``spread``.
+
+    At most HOT_KEYS keys can be hot, so their list is broadcast whatever the input, and ``right`` grows by 2 * HOT_KEYS rows at most.
+    ``left`` is read twice, or ``counted`` in its place where that has the same keys."""
+    most = max(1 << 12, total // HOT_KEYS)
+    sizes = (left if counted is None else counted).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    hot = F.broadcast(sizes.select("__hot", F.ceil(F.col("__n") / most).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(hot, left[key] == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__hot", "__salts")
+    copies = right.join(hot, right[key] == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__hot", "__salts")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions to deal rows into: the session's own setting, which grows with the cluster and input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

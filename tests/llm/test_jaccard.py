@@ -2,6 +2,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from util import awkward, crowded, empty, lower, words
@@ -125,3 +126,59 @@ def test_components(spark):
 def test_empty(spark):
     assert jaccard.near_duplicates(empty(spark)).count() == 0
     assert jaccard.drop_near_duplicates(empty(spark).withColumn("z", F.lit(1))).count() == 0
+
+
+def test_rival_clusters_in_one_group(spark):
+    """Two clusters of near copies that share a passage, so that they meet under one key, and a third that links them in part."""
+    rng = np.random.default_rng(3)
+    vocab = [f"v{i}" for i in range(4000)]
+    shared, rows = list(rng.choice(vocab, 60)), []
+    bases = [list(rng.choice(vocab, 240)) for _ in range(2)]
+    for n, base in enumerate(bases):
+        for _ in range(150):
+            text = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                text[int(rng.integers(len(text)))] = f"e{int(rng.integers(9999))}"
+            rows.append((len(rows), " ".join(text + shared)))
+    step = max(1, jaccard.BLOCK_SHINGLES)
+    try:
+        jaccard.BLOCK_SHINGLES = 20_000  # several blocks a side
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        jaccard.BLOCK_SHINGLES = step
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def block(members):
+    table = {"a": [0] * len(members), "mark": [m[0] for m in members], "component": [m[1] for m in members], "shingles": [m[2].tobytes() for m in members], "side": [m[3] for m in members]}
+    return jaccard._block_links(80)(pa.table(table))
+
+
+def test_a_block_returns_no_more_links_than_members():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.union1d(np.delete(base, rng.integers(len(base), size=3)), rng.integers(0, 2**63, 3).astype(np.uint64)) for _ in range(900)]
+    members = [(i, i, s, 0) for i, s in enumerate(sets)] + [(i, i, s, 1) for i, s in enumerate(sets)]
+    links = block(members)
+    assert len(links) == 899  # one component of all, and no more
+    far = [(i, i, np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)), i % 2) for i in range(50)]
+    assert len(block(far)) == 0
+
+
+def test_keys_of_a_part_are_joined_in_shares():
+    rng = np.random.default_rng(6)
+    keys, marks = rng.integers(0, 2**47, 4000).astype(np.uint64) * np.uint64(jaccard.PARTS), np.arange(8000)
+    keys = np.concatenate([keys, keys])
+    packed = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+    held = [(packed.tobytes(), marks.astype(np.int64).tobytes(), np.ones(8000, np.uint32).tobytes(), np.zeros(8000, np.uint16).tobytes())]
+    most = jaccard.HELD_KEYS
+    try:
+        jaccard.HELD_KEYS = 1000
+        got = {(a, b) for r in jaccard._part_pairs(held) for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist(), strict=True)}
+    finally:
+        jaccard.HELD_KEYS = most
+    low = keys & np.uint64((1 << 48) - 1)
+    by = {}
+    for k, m in zip(low.tolist(), marks.tolist(), strict=True):
+        by.setdefault(k, []).append(m)
+    assert got == {(x, y) for g in by.values() for x, y in combinations(g, 2)}
