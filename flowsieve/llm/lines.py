@@ -1,25 +1,26 @@
 """Line deduplication on hashes: only line hashes and per-document bitmaps are ever shuffled for the decision.
 
 1. Each document becomes an array of line-key hashes (96 bits; null where the key is empty).
-2. Distinct hashes of each document are counted with map-side combining, so a line that a third of
-   all documents share reaches the reducers as one row per map task. That gives the keys over the limit
-   and the first (document, position) of each.
-3. Occurrences of those keys are joined with the counts and range-partitioned by (hash, document), so one hot
-   line is cut over many tasks; every occurrence but the kept ones is passed on. The counts and firsts of step 2
-   decide, not an order of rows: Spark takes the sort out where the bitmaps are folded at once (keep "none").
-4. Their positions are folded into 64-bit words, one sparse bitmap per document.
-5. The bitmaps meet the text once, by a hash join on the document.
+2. All occurrences are range-partitioned by hash and sorted by hash, document and position. Going through them in that order, a
+   row begins a document of its key where the row before is of another one; that counts the documents of each key and
+   takes the first (document, position).
+3. A line that a third of all documents share must not be one task's. Keys found in ``HOT_DOCS`` documents of a sample are cut into
+   many ranges by a hash of the document, at most ``HOT_KEYS`` of them. The sample decides where rows go. Such keys
+   are known to be frequent, as the sample alone has enough documents; the first occurrence is then the lowest of their ranges'.
+4. The positions of dropped lines are folded into 64-bit words, one sparse bitmap per document.
+5. The bitmaps meet the text once, by a hash join on the document. What is returned of them is their run lengths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace, shuffle_width
 
 BLANKS = " \t\n\x0b\x0c\r"
-SALTS = 16
+#: Share of the documents in the sample, documents of it that make a key hot, and hot keys at most.
+SAMPLED, HOT_DOCS, HOT_KEYS = 64, 16, 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -46,25 +47,34 @@ def dropped_lines(docs: DataFrame, space: Workspace, min_docs: int = 10, min_cha
     hashed = docs.select(
         F.col(doc_id).alias("__id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"),
+        F.monotonically_increasing_id().alias("__row"),
         F.transform(line_keys(split_lines(F.col(text))), lambda k: F.when(F.char_length(k) >= max(1, min_chars), F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b")))).alias("keys"),
     )
     hashed = space.write(hashed, "keys")
-    each = hashed.select("__id", "__th", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k"), "keys")
-    each = each.select("k.a", "k.b", F.struct("__id", "__th", F.array_position("keys", F.col("k")).alias("pos")).alias("at")) if keep == "first" else each.select("k.a", "k.b", F.lit(None).cast("int").alias("at"))
-    counted = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("first")).filter(F.col("docs") >= min_docs).drop("docs")
-    at = hashed.select("__id", "__th", F.posexplode("keys").alias("pos", "k")).filter("k is not null").select("k.a", "k.b", "__id", "__th", "pos")
-    # one line may be in a third of all documents: its occurrences meet its count in several tasks
-    counted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    at = at.withColumn("salt", F.pmod(F.xxhash64("__id", "__th", "pos"), F.lit(SALTS)).cast("int"))
-    hits = at.join(counted, ["a", "b", "salt"]).repartitionByRange(shuffle_width(docs.sparkSession), "a", "b", "__id").sortWithinPartitions("a", "b", "__id", "pos")
+    sample = hashed.filter(F.pmod(F.xxhash64("__row"), F.lit(SAMPLED)) == 0).select(F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k"))
+    common = sample.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(HOT_DOCS, min_docs)).orderBy(F.desc("n"), "a", "b").limit(HOT_KEYS)
+    hot = F.broadcast(space.write(common.select("a", "b", F.lit(True).alias("hot")), "hot", 1))  # at most HOT_KEYS rows
+    width = shuffle_width(docs.sparkSession)
+    at = hashed.select("__id", "__th", "__row", F.posexplode("keys").alias("pos", "k")).filter("k is not null").select("k.a", "k.b", "__id", "__th", "__row", "pos")
+    at = at.join(hot, ["a", "b"], "left").withColumn("cut", F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("__row"), F.lit(width))).otherwise(0).cast("int"))
+    order = ["__id", "__th", "__row", "pos"]
+    placed = at.repartitionByRange(width, "a", "b", "cut").sortWithinPartitions("a", "b", "cut", *order)
+    key = Window.partitionBy("a", "b", "cut")
+    before = F.lag("__row").over(key.orderBy(*order))
+    begun = placed.withColumn("begins", before.isNull() | (before != F.col("__row")))
+    streamed = begun.withColumn("docs", F.count_if("begins").over(key)).filter(F.col("hot") | (F.col("docs") >= min_docs))
+    hits = streamed
     if keep == "first":
-        hits = hits.filter(~(F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__th") == F.col("first.__th")) & (F.col("pos") + 1 == F.col("first.pos"))))
+        here = F.struct("__id", "__th", "pos")
+        streamed = streamed.withColumn("first", F.min(here).over(key))
+        lowest = streamed.filter("hot").groupBy("a", "b").agg(F.min("first").alias("lowest"))  # at most HOT_KEYS rows
+        hits = streamed.join(F.broadcast(lowest), ["a", "b"], "left").filter(here != F.coalesce("lowest", "first"))
     words = hits.groupBy("__id", "__th", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
     return words.groupBy("__id", "__th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text's repeated lines taken out, and n_lines, n_dropped and keep_bitmap (array of 64-bit words).
+    """``docs`` with the text's repeated lines taken out, and n_lines, n_dropped and keep_bitmap (run lengths of kept and dropped lines in turn; kept first, 0 if none).
 
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` rows lose their lines everywhere;
     other lines stay in order, joined by \\n. Null or empty text: one empty line, kept (text ''). Blank lines are
@@ -79,7 +89,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     bit = lambda i: F.coalesce(F.getbit(F.col("__drop")[(i / 64).cast("int")], i % 64), F.lit(0)) == 1
     left = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~bit(i)), "\n"))
     n_lines = F.size(lines)
-    bitmap = F.transform(F.sequence(F.lit(0), F.floor((n_lines - 1) / 64).cast("int")), lambda w: F.bitwise_not(F.coalesce(F.col("__drop")[w], F.lit(0).cast("long"))))
+    every = F.sequence(F.lit(0), n_lines - 1)
+    turns = F.filter(every, lambda i: (i > 0) & (bit(i) != bit(i - 1)))  # where a run begins that is not the first
+    ends = F.concat(F.when(bit(F.lit(0)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), turns, F.array(n_lines))
+    runs = F.zip_with(ends, F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)), lambda end, start: end - start)
+    bitmap = F.when(F.col("__drop").isNull(), F.array(n_lines)).otherwise(runs)
     return joined.select(
         *[left.alias(text) if c == text else F.col(c) for c in clean.columns],
         n_lines.cast("long").alias("n_lines"),

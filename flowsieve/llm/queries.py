@@ -45,7 +45,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
-    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"), F.concat_ws(",", F.col("keep_bitmap").cast("array<string>")).alias("keep_bitmap"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +113,15 @@ select n.doc_id, n.n_shingles, min(r.b)::bigint component_id from n join r on n.
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) pos from d),
 k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
-f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+h as (select k.*, f.key is not null hit from k left join f using (key)),
+t as (select *, hit is distinct from lag(hit) over (partition by doc_id order by pos) turns from h),
+g as (select doc_id, pos, hit, sum(turns::int) over (partition by doc_id order by pos) run from t),
+r as (select doc_id, run, count(*) n, bool_or(hit) hit from g group by doc_id, run),
+b as (select doc_id, string_agg(case when run = 1 and hit then '0,' else '' end || n, ',' order by run) keep_bitmap from r group by doc_id)
 select doc_id, count(*)::bigint n_lines, (count(*) filter (where hit))::bigint n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not hit), '')) kept_sha256
-from (select k.*, f.key is not null hit from k left join f using (key)) group by doc_id
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not hit), '')) kept_sha256, any_value(b.keep_bitmap) keep_bitmap
+from h join b using (doc_id) group by doc_id
 """,
     "op7_sharding": r"""
 with bits as (select i, list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) v from range(256) r(i)),
