@@ -68,7 +68,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     messages = chat.conversation_messages(rows.unionByName(own))
     messages = Workspace(spark, "messages").write(messages, "messages")
-    made = chat.format_trees(messages)
+    made = chat.format_trees(messages, top=1)  # each root's best branch
     ids = messages.filter("parent is null").select(F.col("id").alias("root"), "conv_id")
     back = made.join(ids, "root").withColumn("turns", chat.parse_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     return back.select(
@@ -78,6 +78,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "rank",
     )
 
 
@@ -147,7 +148,7 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || t ||
     + _ESC.format(r"replace(replace(r, '\', '\\'), chr(10), '\n')")
     + ") + length("
     + _ESC.format("t")
-    + r"""))::bigint formatted_chars
+    + r"""))::bigint formatted_chars, 1::int "rank"
 from m group by conv_id
 """,
 }

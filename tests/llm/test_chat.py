@@ -53,3 +53,47 @@ def test_long_chain_and_ties_of_turns(spark):
 
 def test_empty(spark):
     assert chat.format_trees(spark.createDataFrame([], TREE)).count() == 0
+
+
+def test_roles_with_any_character(spark):
+    roles = ["a\0b", "\\", "\\n", "\n", "\\\n", "\\\\n\n", "\0\\\0", "<|turn|>"]
+    turns = F.array(*[F.struct(F.lit(r).alias("role"), F.lit("t").alias("text")) for r in roles])
+    got = spark.range(1).select(chat.parse_turns(chat.format_turns(turns)).alias("t")).first()["t"]
+    assert [r["role"] for r in got] == roles
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [("a", None, "user", "q", 1.0), ("b", "a", "assistant", "one", 1.0), ("b", "a", "assistant", "one", 1.0), ("b", "a", "assistant", "other", 2.0), ("b", "z", "assistant", "zed", 0.0), ("c", "b", "user", "end", 0.0)]
+    got = chat.format_trees(spark.createDataFrame(rows, TREE), score="score").collect()
+    assert [(r["root"], r["leaf"], r["n_turns"]) for r in got] == [("a", "c", 3)] and "one" in got[0]["formatted"]
+
+
+def test_nothing_hangs_on_a_cycle(spark):
+    rows = [("p", "q", "user", "x", 0.0), ("q", "p", "user", "x", 0.0), ("r", "q", "user", "x", 0.0), ("s", "s", "user", "x", 0.0), ("t", None, "user", "x", 0.0)]
+    assert [r["leaf"] for r in chat.format_trees(spark.createDataFrame(rows, TREE)).collect()] == ["t"]
+
+
+def test_a_bushy_tree_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    parent = {i: rng.randrange(i) if i >= 4 else None for i in range(300)}
+    score = {i: rng.randrange(9) / 2 for i in parent}
+    rows = [(str(i), None if p is None else str(p), "user", f"t{i}", score[i]) for i, p in parent.items()]
+    paths = defaultdict(list)
+    for leaf in set(parent) - set(parent.values()):
+        path = [leaf]
+        while parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        paths[path[-1]].append((-sum(score[i] for i in path) / len(path), str(leaf), len(path)))
+    want = {(str(root), leaf, k + 1, n) for root, own in paths.items() for k, (_, leaf, n) in enumerate(sorted(own)[:3])}
+    got = chat.format_trees(spark.createDataFrame(rows, TREE), top=3, score="score").collect()
+    assert {(r["root"], r["leaf"], r["rank"], r["n_turns"]) for r in got} == want
+
+
+def test_a_very_long_text_and_extra_columns(spark):
+    long = "[INST] word " * 400_000
+    rows = [(1, 0, "user", long, "x", 5), (1, 1, "assistant", long + "!", "y", 6)]
+    said = chat.conversation_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, id string, n long"))
+    r = chat.format_trees(said).withColumn("back", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert r["back"] == long + "!" and r["n_turns"] == 2
