@@ -72,7 +72,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np
     """(row, sorted distinct shingle hashes) of each text: runs of ``width`` words, A-Z lower-cased; a text of fewer words is one run."""
     for chunk in tn.string_chunks(column):
         starts, ends, of_doc = chunk.words()
-        words = tn.span_hashes(tn.LOWER[chunk.data], starts, ends)
+        words = tn.span_hashes(chunk.data, starts, ends, tn.LOWER)
         runs = tn.window_hashes(words, width)
         for i in range(chunk.n):
             a, b = of_doc[i], of_doc[i + 1]

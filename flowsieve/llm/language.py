@@ -1,7 +1,7 @@
 """Language identification by mixture inference.
 
 Each language is a distribution over byte trigrams within words, so every word has a likelihood in every language.
-A document is a mixture: expectation-maximisation over its words estimates the share of each language. The set of languages is
+A document is a mixture: expectation-maximisation over its distinct words and their counts estimates the share of each language. The set of languages is
 chosen by penalised likelihood: the k largest shares are fitted again for k = 1, 2, ... and the set wins whose log-likelihood less
 log(words) / 2 for each further language is highest. The largest share of that set names the document.
 """
@@ -26,27 +26,36 @@ OVERLAP = 3.0
 UNKNOWN = "und"
 #: Words times languages whose likelihoods are held at once; a document beyond that goes alone.
 CELLS = 1 << 21
+#: Words whose trigrams are held at once.
+WORDS = 1 << 16
 _MAP = tn.LOWER.copy()
 _MAP[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
 
-def _trigrams(chunk: tn.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram numbers of all word bytes, the first trigram of each word, and of each document the first word (one more at the end)."""
+def _trigrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram numbers of all bytes of the words [start, end), and the first trigram of each word."""
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    at = np.repeat(starts - first, sizes) + np.arange(sizes.sum())
+    own = raw[at].astype(np.uint64)
+    before, after = np.full(len(at), 32, np.uint64), np.full(len(at), 32, np.uint64)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    before[first], after[first + sizes - 1] = 32, 32
+    return (tn.mix64(before | own << np.uint64(8) | after << np.uint64(16)) >> np.uint64(64 - BITS)).astype(np.int64), first
+
+
+def _distinct_words(chunk: tn.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mapped bytes; start, end and count of each document's distinct words; of each document the first of them (one more at the end)."""
     raw = _MAP[chunk.data]
-    n = len(raw)
-    before, after = np.full(n, 32, np.uint8), np.full(n, 32, np.uint8)
-    before[1:], after[:-1] = raw[:-1], raw[1:]
-    filled = np.diff(chunk.offsets) > 0
-    before[chunk.offsets[:-1][filled]] = 32
-    after[chunk.offsets[1:][filled] - 1] = 32
-    word = raw != 32
-    at = np.flatnonzero(word)
-    first = np.flatnonzero(before[at] == 32)
-    key = before[at].astype(np.uint64) | raw[at].astype(np.uint64) << np.uint64(8) | after[at].astype(np.uint64) << np.uint64(16)
-    grams = (tn.mix64(key) >> np.uint64(64 - BITS)).astype(np.int64)
-    words_of = np.searchsorted(at[first], chunk.offsets)
-    return grams, first, words_of
+    starts, ends, of_doc = tn.Chunk(chunk.first, raw, chunk.offsets).words()
+    hashes = tn.span_hashes(raw, starts, ends)
+    docs = np.repeat(np.arange(chunk.n), np.diff(of_doc))
+    hashes ^= tn.mix64(docs.astype(np.uint64) + np.uint64(1))
+    _, place, counts = np.unique(hashes, return_index=True, return_counts=True)
+    order = np.argsort(place)
+    place, counts = place[order], counts[order]
+    return raw, starts[place], ends[place], counts, np.searchsorted(place, of_doc)
 
 
 def _has_letter(chunk: tn.Chunk) -> np.ndarray:
@@ -65,84 +74,84 @@ class Model:
     grams: np.ndarray
     logs: np.ndarray
 
-    def word_likelihoods(self, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """words x languages."""
-        out = np.empty((len(first), len(self.languages)))
-        table = np.empty(1 << BITS, np.float32)
-        for k, unseen in enumerate(self.unseen):
+    def word_likelihoods(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of words, words x languages; trigrams are held for WORDS words at a time."""
+        tables = np.repeat(self.unseen[:, None], 1 << BITS, axis=1)
+        for k in range(len(self.languages)):
             own = slice(self.cuts[k], self.cuts[k + 1])
-            table.fill(unseen)
-            table[self.grams[own]] = self.logs[own]
-            out[:, k] = np.add.reduceat(table[grams], first) if len(first) else 0
+            tables[k, self.grams[own]] = self.logs[own]
+        out = np.empty((len(starts), len(self.languages)))
+        for low in range(0, len(starts), WORDS):
+            grams, first = _trigrams(raw, starts[low : low + WORDS], ends[low : low + WORDS])
+            for k, table in enumerate(tables):
+                out[low : low + WORDS, k] = np.add.reduceat(table[grams], first)
         return out / OVERLAP
 
     def infer(self, chunk: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """documents x languages: shares after selection (rows of documents without letters are 0), and the chosen set."""
-        grams, first, words_of = _trigrams(chunk)
+        raw, starts, ends, counts, words_of = _distinct_words(chunk)
         shares = np.zeros((chunk.n, len(self.languages)))
         known = _has_letter(chunk) & (np.diff(words_of) > 0)
-        ends = np.append(first, len(grams))
         most, at = max(1, CELLS // max(1, len(self.languages))), 0
         while at < chunk.n and len(self.languages):
             to = max(at + 1, int(np.searchsorted(words_of, words_of[at] + most, side="right")) - 1)
             docs = np.flatnonzero(known[at:to])
             if len(docs):
                 low, high = words_of[at], words_of[to]
-                like = self.word_likelihoods(grams[ends[low] : ends[high]], first[low:high] - ends[low])
-                shares[at + docs] = mixtures(like, words_of[at : to + 1] - low, docs)
+                like = self.word_likelihoods(raw, starts[low:high], ends[low:high])
+                shares[at + docs] = mixtures(like, words_of[at : to + 1] - low, docs, counts[low:high])
             at = to
         return shares, shares > 0
 
 
-def _em(like: np.ndarray, cuts: np.ndarray, of: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and log-likelihoods (up to the rows' maxima) of documents whose words are like[cuts[i]:cuts[i + 1]]."""
-    counts = np.diff(np.append(cuts, len(like)))
+def _em(like: np.ndarray, cuts: np.ndarray, of: np.ndarray, n: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and log-likelihoods (up to the rows' maxima) of documents whose distinct words are like[cuts[i]:cuts[i + 1]], each there n times."""
+    total = np.add.reduceat(n, cuts)
     shares = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(steps):
         r = like * shares[of]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-        shares = np.add.reduceat(r, cuts) / counts[:, None]
-    total = np.log(np.maximum((like * shares[of]).sum(axis=1), 1e-300))
-    return shares, np.add.reduceat(total, cuts)
+        r *= (n / np.maximum(r.sum(axis=1), 1e-300))[:, None]
+        shares = np.add.reduceat(r, cuts) / total[:, None]
+    return shares, np.add.reduceat(n * np.log(np.maximum((like * shares[of]).sum(axis=1), 1e-300)), cuts)
 
 
-def _slack(like: np.ndarray, cuts: np.ndarray, of: np.ndarray, shares: np.ndarray) -> np.ndarray:
+def _slack(like: np.ndarray, cuts: np.ndarray, of: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """How far the log-likelihood of any shares can lie above that of ``shares``, at most."""
-    slopes = np.add.reduceat(like / np.maximum((like * shares[of]).sum(axis=1, keepdims=True), 1e-300), cuts)
-    return slopes.max(axis=1) - np.diff(np.append(cuts, len(like)))
+    slopes = np.add.reduceat(like * (n / np.maximum((like * shares[of]).sum(axis=1), 1e-300))[:, None], cuts)
+    return slopes.max(axis=1) - np.add.reduceat(n, cuts)
 
 
-def mixtures(word_log: np.ndarray, words_of: np.ndarray, docs: np.ndarray, steps: int = 8, penalty: float = 0.5) -> np.ndarray:
-    """Selected shares (documents x languages) of the documents ``docs``."""
+def mixtures(word_log: np.ndarray, words_of: np.ndarray, docs: np.ndarray, counts: np.ndarray, steps: int = 8, penalty: float = 0.5) -> np.ndarray:
+    """Selected shares (documents x languages) of the documents ``docs``, from their distinct words' log-likelihoods and how often each is there."""
     take = np.concatenate([np.arange(words_of[d], words_of[d + 1]) for d in docs]) if len(docs) < len(words_of) - 1 else slice(None)
-    log = word_log[take]
-    counts = np.diff(words_of)[docs]
-    cuts = np.cumsum(counts) - counts
-    of = np.repeat(np.arange(len(docs)), counts)
-    top = log.max(axis=1, keepdims=True)
-    like = np.exp(log - top)
-    n_lang = log.shape[1]
-    single = np.add.reduceat(log - top, cuts)
+    like, n = word_log[take], counts[take].astype(float)
+    held = np.diff(words_of)[docs]
+    cuts = np.cumsum(held) - held
+    of = np.repeat(np.arange(len(docs)), held)
+    like = like - like.max(axis=1, keepdims=True)
+    n_lang = like.shape[1]
+    single = np.add.reduceat(like * n[:, None], cuts)
+    np.exp(like, out=like)
     best = single.argmax(axis=1)
     chosen = np.eye(n_lang)[best]
     if n_lang == 1:
         return chosen
-    full, full_ll = _em(like, cuts, of, np.ones((len(docs), n_lang)), steps)
-    cost = penalty * np.log(np.maximum(counts, 2))
+    full, full_ll = _em(like, cuts, of, n, np.ones((len(docs), n_lang)), steps)
+    cost = penalty * np.log(np.maximum(np.add.reduceat(n, cuts), 2))
     value = single[np.arange(len(docs)), best]
     # The likelihood is concave in the shares, so its slopes at any shares bound it over all sets, converged or not.
-    bound = np.minimum(full_ll + _slack(like, cuts, of, full), value + _slack(like, cuts, of, chosen))
+    bound = np.minimum(full_ll + _slack(like, cuts, of, n, full), value + _slack(like, cuts, of, n, chosen))
     order = np.argsort(-full, axis=1, kind="stable")
     mixed = np.arange(len(docs))
     for k in range(2, n_lang + 1):
         mixed = mixed[bound[mixed] - cost[mixed] * (k - 1) > value[mixed]]  # no set of k or more languages can win elsewhere
         if not len(mixed):
             break
-        own = np.concatenate([np.arange(cuts[i], cuts[i] + counts[i]) for i in mixed])
-        sub_counts = counts[mixed]
-        sub_cuts, sub_of = np.cumsum(sub_counts) - sub_counts, np.repeat(np.arange(len(mixed)), sub_counts)
+        own = np.concatenate([np.arange(cuts[i], cuts[i] + held[i]) for i in mixed])
+        sub_held = held[mixed]
+        sub_cuts, sub_of = np.cumsum(sub_held) - sub_held, np.repeat(np.arange(len(mixed)), sub_held)
         named = order[mixed, :k]
-        shares, ll = _em(like[own[:, None], named[sub_of]], sub_cuts, sub_of, np.ones((len(mixed), k)), steps)
+        shares, ll = _em(like[own[:, None], named[sub_of]], sub_cuts, sub_of, n[own], np.ones((len(mixed), k)), steps)
         gain = ll - cost[mixed] * (k - 1)
         won = gain > value[mixed]
         chosen[mixed[won]] = 0
@@ -168,9 +177,14 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, parts: int = 8, smoothin
         for batch in batches:
             kinds = np.asarray(batch.column(1))
             for chunk in tn.string_chunks(batch.column(2)):
-                grams, first, words_of = _trigrams(chunk)
-                ends = np.append(first, len(grams))[words_of]
-                keys, counts = np.unique(np.repeat(kinds[chunk.first : chunk.first + chunk.n], np.diff(ends)) << BITS | grams, return_counts=True)
+                raw = _MAP[chunk.data]
+                starts, ends, of_doc = tn.Chunk(chunk.first, raw, chunk.offsets).words()
+                own = np.repeat(kinds[chunk.first : chunk.first + chunk.n], np.diff(of_doc))
+                found = []
+                for low in range(0, len(starts), WORDS):
+                    grams, _ = _trigrams(raw, starts[low : low + WORDS], ends[low : low + WORDS])
+                    found.append(np.unique(np.repeat(own[low : low + WORDS], (ends - starts)[low : low + WORDS]) << BITS | grams, return_counts=True))
+                keys, counts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
 
     counted = arrow_map(rows, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # the trigrams that the languages have
@@ -212,7 +226,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score and lang_shares of every row. Ids whose crc32 modulo 3 is 1 are held out of training, as are null ids.
 
-    Repeated rows are treated alike. An empty table gives an empty result."""
+    Texts that are null or have no letter are ``und`` with score 0. Equal texts get equal results; languages whose shares tie go by their names' order.
+    Repeated rows stay, each with its result. Other columns are not read. An empty table gives an empty result, and without any value
+    of ``lang`` every row is ``und``."""
     learn = F.coalesce(remainder(doc_id, 3) != 1, F.lit(False))
     model = fit(docs.filter(learn), text=text, lang=lang, doc_id=doc_id, **options)
     found = identify(docs.select(doc_id, F.col(text).alias("text")), model)

@@ -2,39 +2,43 @@
 
 A text's UTF-8 bytes are cut into LZ78 phrases: each is the shortest run not met before in the text. The set of
 phrases is kept as the lowest hashes of the set (a minimum-hash signature), and two signatures estimate the share of
-phrases that their texts have in common.
+phrases that their texts have in common. As compressors do, the parse starts a new dictionary when one is full (``PHRASES``), so its
+memory doesn't grow with the text.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .workspace import arrow_map, even_buckets, shuffle_width
 
 SIGNATURE = 128
+#: Phrases of one dictionary.
+PHRASES = 1 << 18
 
 
 class Parse:
     """The phrases of the bytes fed so far; ``fork`` lets two continuations share a beginning."""
 
-    __slots__ = ("children", "node", "ends", "data")
+    __slots__ = ("children", "node", "count", "ends", "data")
 
-    def __init__(self, children: dict[int, int] | None = None, node: int = 0, ends: list[int] | None = None, data: bytes = b""):
-        self.children, self.node, self.ends, self.data = children or {}, node, ends or [], data
+    def __init__(self, children: dict[int, int] | None = None, node: int = 0, count: int = 0, ends: array | None = None, data: bytes = b""):
+        self.children, self.node, self.count, self.ends, self.data = children or {}, node, count, ends or array("q"), data
 
     def fork(self) -> Parse:
-        return Parse(self.children.copy(), self.node, self.ends.copy(), self.data)
+        return Parse(self.children.copy(), self.node, self.count, self.ends[:], self.data)
 
     def feed(self, data: bytes) -> Parse:
         """The tree of phrases is a map from (phrase number, next byte) to phrase number; phrase 0 is the empty one."""
-        children, ends, node, count = self.children, self.ends, self.node, len(self.ends)
-        get, add = children.get, ends.append
+        children, node, count = self.children, self.node, self.count
+        get, add = children.get, self.ends.append
         for at, byte in enumerate(data, len(self.data) + 1):
             key = node << 8 | byte
             node = get(key, 0)
@@ -42,12 +46,15 @@ class Parse:
                 count += 1
                 children[key] = count
                 add(at)
-        self.node, self.data = node, self.data + data
+                if count == PHRASES:
+                    children.clear()
+                    count = 0
+        self.node, self.count, self.data = node, count, self.data + data
         return self
 
     def signature(self, size: int = SIGNATURE) -> np.ndarray:
         """The lowest distinct hashes of the phrases; bytes left over at the end of the text are a phrase as well."""
-        ends = np.array(self.ends, np.int64)
+        ends = np.frombuffer(self.ends, np.int64) if self.ends else np.zeros(0, np.int64)
         if len(self.data) > (self.ends[-1] if self.ends else 0):
             ends = np.append(ends, len(self.data))
         if not len(ends):
@@ -94,27 +101,39 @@ def fingerprint_likeness(a: str, b: str, size: int = SIGNATURE) -> float:
     return likeness(read(a), read(b), size)
 
 
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` lie below ``value``: first among every n-th of them, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
+    numbers = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    block = below(numbers(cuts[step - 1 :: step]))
+    return block * step + below(F.element_at(F.array(*[numbers(cuts[i : i + step]) for i in range(0, len(cuts) + 1, step)]), block + 1))
+
+
 def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (bucket, guest, doc_id, text) so that each document's next one by falling id is in its bucket, after it.
+    """Rows (bucket, guest, doc_id, text) so that each document's next one is in its bucket, after it: by falling id, null ids last by their texts' hashes.
 
-    Ids are cut into ranges by quantiles of the ids; each range's first document is also sent, as a guest, to the
-    range above it, and the very first to the lowest range. The driver sees one id per range."""
+    Ids are cut into ranges by quantiles of the ids and null ids by hash; each range's first document is also sent, as a guest, to the
+    range before it, and the very first to the last range. The driver sees a number per range."""
     ids = docs.select("doc_id").filter("doc_id is not null")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: F.col("doc_id") > c)), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket)  # null ids come last
-    tops = docs.select(bucket.alias("bucket"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")).alias("bare"))
-    tops = tops.groupBy("bucket").agg(F.max("doc_id").alias("top"), F.min("bare").alias("bare")).orderBy("bucket").collect()
-    bare = tops[0]["bare"] if tops and tops[0]["top"] is None else None
-    to = {r["bucket"]: tops[(i + 1) % len(tops)]["bucket"] for i, r in enumerate(tops)}
-    goes = F.create_map(*[F.lit(x) for pair in to.items() for x in pair]) if to else F.create_map().cast("map<int,int>")
-    top = F.create_map(*[F.lit(x) for r in tops if r["top"] is not None for x in (r["bucket"], r["top"])]) if any(r["top"] is not None for r in tops) else F.create_map().cast("map<int,bigint>")
-    own = docs.withColumn("bucket", bucket).withColumn("first", F.coalesce(F.col("doc_id") == top[F.col("bucket")], F.col("text") == F.lit(bare), F.lit(False)))
-    sent = F.when(F.col("first"), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")), F.struct(goes[F.col("bucket")].alias("b"), F.lit(1).alias("guest"))))
-    rows = own.withColumn("to", F.explode(sent.otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))))))
-    codes = even_buckets(docs.sparkSession, parts + 2)  # one for the null ids, one more for rounding
-    number = F.element_at(F.array(*[F.lit(c) for c in codes]), F.col("to.b") + 2)
-    return rows.select(number.alias("bucket"), F.col("to.guest").alias("guest"), "doc_id", "text").repartition(parts + 2, "bucket")
+    cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    hashed = docs.withColumn("th", F.xxhash64("text"))
+    bare = len(cuts) + 1 + F.floor((F.shiftrightunsigned("th", 32) * parts) / F.lit(2**32))  # in the order of unsigned hashes
+    last = F.lit(len(cuts))
+    hashed = hashed.withColumn("bucket", F.coalesce(last - _range_of(F.col("doc_id"), cuts), bare).cast("int"))
+    # the first of a range: its highest id, or its lowest hash
+    place = F.coalesce(F.bitwise_not("doc_id"), F.col("th").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    tops = hashed.groupBy("bucket").agg(F.min(place).alias("top")).orderBy("bucket").collect()  # a row for each range
+    ranges = docs.sparkSession.createDataFrame([(r["bucket"], r["top"], tops[i - 1]["bucket"]) for i, r in enumerate(tops)], "bucket int, top long, goes int")
+    own = hashed.join(F.broadcast(ranges), "bucket").withColumn("place", place)  # at most 2 * parts rows
+    there = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))
+    sent = F.when(F.col("place") == F.col("top"), F.array(there, F.struct(F.col("goes").alias("b"), F.lit(1).alias("guest")))).otherwise(F.array(there))
+    rows = own.withColumn("to", F.explode(sent))
+    codes = even_buckets(docs.sparkSession, len(cuts) + 1 + parts)
+    number = F.element_at(F.array(*[F.lit(c) for c in codes]), F.col("to.b") + 1)
+    return rows.select(number.alias("bucket"), F.col("to.guest").alias("guest"), "doc_id", "text", "place").repartition(len(codes), "bucket")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -136,7 +155,6 @@ def _edited_pairs(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        held: list[tuple] = []  # the document that waits for its next one
 
         def push(row: tuple) -> None:
             out.append((row[0], row[1], row[2], fingerprint(row[3]), fingerprint(row[4]), row[5], row[6]))
@@ -177,9 +195,9 @@ def edited_likeness(docs: DataFrame, size: int = SIGNATURE, doc_id: str = "doc_i
     """Each document against its edited text and against the next document by falling id (after the last: the first).
 
     The edited text's last floor(n/2) code points are the first as many (or all) of the next document. Null texts are empty.
-    Null ids come last, all in one range; rows of one id are in the order of their texts. A single document is its own next. Other columns are
+    Null ids come last, in the order of their texts' hashes; rows of one id are in the order of their texts. A single document is its own next. Other columns are
     not read. An empty table gives an empty result."""
     bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = shuffle_width(docs.sparkSession)
-    placed = _neighbours(bare, parts).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    placed = _neighbours(bare, parts).sortWithinPartitions("bucket", "guest", "place", "text").drop("place")
     return arrow_map(placed, _edited_pairs(size), _OUT)

@@ -51,7 +51,9 @@ def chunk_stats(chunk: tn.Chunk) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     lines = tn.span_hashes(data, line_starts, line_ends)
     words = tn.span_hashes(data, starts, ends)
+    del starts, ends
     windows = tn.window_hashes(words, 3)
+    del words
     line_cuts = np.searchsorted(line_docs, np.arange(chunk.n + 1))
     dup, repeat = np.zeros(chunk.n, np.int64), np.zeros(chunk.n, np.int64)
     for i in range(chunk.n):
@@ -62,7 +64,9 @@ def chunk_stats(chunk: tn.Chunk) -> dict[str, np.ndarray]:
         if b - a > 3:
             w = windows[a : b - 2]
             by = np.argsort(w, kind="stable")
-            same = w[by[1:]] == w[by[:-1]]
+            ordered = w[by]
+            same = ordered[1:] == ordered[:-1]
+            del ordered
             if same.any():
                 twice = np.zeros(len(w), bool)
                 twice[by[1:][same]] = True

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +33,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
+#: Bytes that are hashed at a time; tables of powers have this length, whatever the text's.
+BLOCK = 1 << 18
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first BLOCK + 1 powers of the base and of its inverse."""
     both = []
-    for base in (_BASE, inverse):
-        p = np.full(size + 1, base, U64)
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(BLOCK + 1, base, U64)
         p[0] = 1
         both.append(np.cumprod(p, dtype=U64))
     return both[0], both[1]
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_to(max(2 * CHUNK, 1 << int(size).bit_length()))
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``data``; equal bytes have equal hashes anywhere."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end) of ``data``, each byte read through ``table`` if given; equal bytes have equal hashes anywhere.
+
+    A span's hash is the difference of two running sums; they are taken at the spans' ends alone, block by block."""
+    up, down = _powers()
+    out = np.empty(len(starts), U64)
+    by_end = np.arange(len(ends)) if len(ends) < 2 or (ends[1:] >= ends[:-1]).all() else np.argsort(ends, kind="stable")
+    by_start = by_end if by_end is not None and (len(starts) < 2 or (starts[by_end][1:] >= starts[by_end][:-1]).all()) else np.argsort(starts, kind="stable")
+    ordered_starts, ordered_ends = starts[by_start], ends[by_end]
+    at_start, at_end = np.zeros(len(starts), U64), np.zeros(len(ends), U64)
+    total, power, begun = U64(0), 1, [1]
+    for low in range(0, max(1, len(data)), BLOCK):
+        block = data[low : low + BLOCK]
+        block = block if table is None else table[block]
+        sums = np.zeros(len(block) + 1, U64)
+        np.cumsum((block.astype(U64) + U64(1)) * up[: len(block)], out=sums[1:])
+        sums = total + sums * U64(power)
+        for places, own, found in ((ordered_starts, by_start, at_start), (ordered_ends, by_end, at_end)):
+            here = slice(np.searchsorted(places, low), np.searchsorted(places, low + len(block), side="right"))
+            found[own[here]] = sums[places[here] - low]
+        total = sums[-1]
+        power = power * int(up[BLOCK]) % (1 << 64)
+        begun.append(power)
+    inverse = np.array([pow(p, -1, 1 << 64) for p in begun], U64)
+    np.subtract(at_end, at_start, out=out)
+    out *= inverse[starts // BLOCK]
+    out *= down[starts % BLOCK]
+    out += (ends - starts).astype(U64)
+    return mix64(out)
 
 
 @dataclass
@@ -70,16 +93,21 @@ class Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each document the number of its first word (one more at the end)."""
-        word = IS_WORD[self.data]
-        inner = np.zeros(len(self.data) + 1, bool)  # a document ends before this byte
-        inner[self.offsets] = True
-        before, after = np.empty_like(word), np.empty_like(word)
-        if len(word):
-            before[0], after[-1] = False, False
-            before[1:], after[:-1] = word[:-1], word[1:]
-        starts = np.flatnonzero(word & (~before | inner[:-1]))
-        ends = np.flatnonzero(word & (~after | inner[1:])) + 1
-        return starts, ends, np.searchsorted(starts, self.offsets)
+        starts, ends, inner = [], [], np.unique(self.offsets)
+        for low in range(0, len(self.data), BLOCK):  # with the byte before and the byte after the block
+            high = min(low + BLOCK, len(self.data))
+            word = np.zeros(high - low + 2, bool)
+            word[1:-1] = IS_WORD[self.data[low:high]]
+            if low:
+                word[0] = IS_WORD[self.data[low - 1]]
+            if high < len(self.data):
+                word[-1] = IS_WORD[self.data[high]]
+            cut = np.zeros(high - low + 1, bool)  # a document ends before this byte
+            cut[inner[np.searchsorted(inner, low) : np.searchsorted(inner, high, side="right")] - low] = True
+            starts.append(np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1])) + low)
+            ends.append(np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + low + 1)
+        starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        return starts, np.concatenate(ends) if ends else np.zeros(0, np.int64), np.searchsorted(starts, self.offsets)
 
 
 def string_chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[Chunk]:
@@ -97,10 +125,9 @@ def string_chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iter
 
 
 def sums_between(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Sums of values[cuts[i]:cuts[i + 1]]."""
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[cuts[1:]] - total[cuts[:-1]]
+    """How many of values[cuts[i]:cuts[i + 1]] are set."""
+    hits = np.flatnonzero(values)
+    return np.diff(np.searchsorted(hits, cuts))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -108,5 +135,9 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     n = max(0, len(words) - width + 1)
     out = np.zeros(n, U64)
     for k, factor in enumerate(mix64(np.arange(1, width + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)):
-        out += words[k : k + n] * factor
-    return mix64(out)
+        for low in range(0, n, BLOCK):
+            high = min(low + BLOCK, n)
+            out[low:high] += words[low + k : high + k] * factor
+    for low in range(0, n, BLOCK):
+        out[low : low + BLOCK] = mix64(out[low : low + BLOCK])
+    return out

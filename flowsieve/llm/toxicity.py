@@ -26,42 +26,46 @@ _MAP = tn.LOWER.copy()
 _MAP[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
-def _features(chunk: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of a chunk, and the document of each: all whole words, then all pieces."""
+def _features(chunk: tn.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature numbers of a chunk, and the document of each, some at a time: first all whole words, then the pieces."""
     raw = _MAP[chunk.data]
-    word = raw != 32
-    inner = np.zeros(len(raw) + 1, bool)
-    inner[chunk.offsets] = True
-    shifted = np.concatenate([[False], word[:-1]])
-    starts = np.flatnonzero(word & (~shifted | inner[:-1]))
-    after = np.concatenate([word[1:], [False]])
-    ends = np.flatnonzero(word & (~after | inner[1:])) + 1
-    words = tn.span_hashes(raw, starts, ends)
+    starts, ends, of_doc = tn.Chunk(chunk.first, raw, chunk.offsets).words()
+    number = lambda hashes: (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    for low in range(0, len(starts), tn.BLOCK):
+        part = slice(low, low + tn.BLOCK)
+        yield number(tn.span_hashes(raw, starts[part], ends[part])), np.searchsorted(of_doc, np.arange(low, min(low + tn.BLOCK, len(starts))), side="right") - 1
     # one blank before and after every document, so pieces may touch a word's border but never another document
     padded = np.full(len(raw) + 2 * chunk.n, 32, np.uint8)
-    shift = np.repeat(2 * np.arange(chunk.n) + 1, np.diff(chunk.offsets))
-    padded[np.arange(len(raw)) + shift] = raw
-    n = max(0, len(padded) - GRAM + 1)
-    piece = np.zeros(n, np.uint64)
-    whole = np.ones(n, bool)
-    for k in range(GRAM):
-        b = padded[k : k + n]
-        piece |= b.astype(np.uint64) << np.uint64(8 * k)
-        if 0 < k < GRAM - 1:
-            whole &= b != 32
-    at = np.flatnonzero(whole)
-    pieces = tn.mix64(piece[at])
+    for i, (a, b) in enumerate(zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)):
+        padded[a + 2 * i + 1 : b + 2 * i + 1] = raw[a:b]
     doc_ends = chunk.offsets[1:] + 2 * np.arange(1, chunk.n + 1)
-    docs = np.concatenate([np.searchsorted(chunk.offsets, starts, side="right") - 1, np.searchsorted(doc_ends, at, side="right")])
-    return (np.concatenate([words, pieces]) >> np.uint64(64 - BITS)).astype(np.int64), docs
+    n = max(0, len(padded) - GRAM + 1)
+    for low in range(0, n, tn.BLOCK):
+        high = min(low + tn.BLOCK, n)
+        piece, whole = np.zeros(high - low, np.uint64), np.ones(high - low, bool)
+        for k in range(GRAM):
+            b = padded[low + k : high + k]
+            piece |= b.astype(np.uint64) << np.uint64(8 * k)
+            if 0 < k < GRAM - 1:
+                whole &= b != 32
+        at = np.flatnonzero(whole)
+        yield number(tn.mix64(piece[at])), np.searchsorted(doc_ends, at + low, side="right")
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of (cells, counts) and their counts in all."""
+    cells, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return cells, np.bincount(at, np.concatenate([n for _, n in found]) if found else None, len(cells)).astype(np.int64)
 
 
 def _counted(chunk: tn.Chunk, place: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, chosen feature, count) of a chunk; ``place`` has the chosen features' places and -1."""
-    ids, docs = _features(chunk)
-    own = place[ids]
-    hit = own >= 0
-    cell, count = np.unique(docs[hit] * kept + own[hit], return_counts=True)
+    found = []
+    for ids, docs in _features(chunk):
+        own = place[ids]
+        hit = own >= 0
+        found.append(np.unique(docs[hit] * kept + own[hit], return_counts=True))
+    cell, count = _merged(found)
     return cell // kept, cell % kept, count
 
 
@@ -113,9 +117,26 @@ def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float, most:
     return np.sort(top[worth[top] > 0])
 
 
+def document_frequencies(rows: DataFrame, kind: int) -> DataFrame:
+    """key (``kind`` above the feature number) and n, the texts of ``rows`` (text) with the feature; key -1 - kind has the texts in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            for chunk in tn.string_chunks(batch.column(0)):
+                seen += chunk.n
+                cells = [np.unique(docs << BITS | ids) for ids, docs in _features(chunk)]
+                held += np.bincount(np.unique(np.concatenate(cells)) & ((1 << BITS) - 1) if cells else np.zeros(0, np.int64), minlength=1 << BITS)
+        there = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there | kind << BITS, -1 - kind)), pa.array(np.append(held[there], seen))], ["key", "n"])
+
+    return arrow_map(rows, run, "key long, n long")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_any: int = 6000, features: int = 1024, parts: int = 8, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Trains on at most ``max_toxic`` confirmed rows and ``max_any`` of all rows, those with the lowest hashes of their ids. The prior is the toxic share of
-    all labelled rows. Without toxic labels nothing is toxic. The driver gets feature counts and chosen values, no texts."""
+    """Trains on at most ``max_toxic`` confirmed rows and ``max_any`` of all rows, those with the lowest hashes of their ids. Features are chosen by
+    their document frequencies in the confirmed rows and in all of ``docs``. The prior is the toxic share of all labelled rows. Without
+    toxic labels nothing is toxic. The driver gets the counts of at most 2 * 2^BITS features and the chosen values, no texts."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
@@ -125,23 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_any: int
     chosen = lowest(known.filter("toxic = 1").select("id"), max_toxic).withColumn("kind", F.lit(1)).unionByName(lowest(docs.select(F.col(doc_id).alias("id")).filter("id is not null").distinct(), max_any).withColumn("kind", F.lit(0)))
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("id")).select("id", "kind", F.col(text).alias("text"))  # at most max_toxic + max_any ids
     rows = rows.repartition(parts, "id").sortWithinPartitions("id", "kind", "text")
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-        for batch in batches:
-            kinds = np.asarray(batch.column(1))
-            for chunk in tn.string_chunks(batch.column(2)):
-                ids, of = _features(chunk)
-                for i in range(chunk.n):
-                    kind = kinds[chunk.first + i]
-                    seen[kind] += 1
-                    held[kind][np.unique(ids[of == i])] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(seen), pa.array([h.tobytes() for h in held], pa.binary())], ["kind", "seen", "df"])
-
-    df, seen = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in arrow_map(rows, frequencies, "kind long, seen long, df binary").toLocalIterator():
-        df[r["kind"]] += np.frombuffer(r["df"], np.int32)
-        seen[r["kind"]] += r["seen"]
+    found = document_frequencies(docs.select(F.col(text).alias("text")), 0).unionByName(document_frequencies(rows.filter("kind = 1").select("text"), 1))
+    found = found.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
+    df, seen = np.zeros((2, 1 << BITS), np.int64), [int(counts[keys == -1 - kind].sum()) for kind in (0, 1)]
+    df.ravel()[keys[keys >= 0]] = counts[keys >= 0]
     if not seen[0] or not seen[1]:
         return Model()
     top = choose(df[1], df[0], seen[1], seen[0], prior, features)
@@ -198,7 +207,8 @@ def remainder(doc_id: str, parts: int):
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Ids whose crc32 modulo 4 is 2 are held out of training, as are null ids.
 
-    Repeated rows are scored alike. An empty table gives an empty result."""
+    Null and empty texts get the score of no evidence. Equal texts have equal scores, whatever their ids; repeated rows stay, each with its score.
+    Other columns are not read, so their names are free. An empty table gives an empty result; without toxic labels every score is near 0."""
     learn = F.coalesce(remainder(doc_id, 4) != 2, F.lit(False))
     model = fit(docs.filter(learn), labels.filter(learn), doc_id=doc_id, text=text, **options)
     scored = toxicity(docs.select(doc_id, F.col(text).alias("text")), model)
