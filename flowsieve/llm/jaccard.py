@@ -73,13 +73,18 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np
     for chunk in tn.string_chunks(column):
         starts, ends, of_doc = chunk.words()
         words = tn.span_hashes(chunk.data, starts, ends, tn.LOWER)
+        del starts, ends
         runs = tn.window_hashes(words, width)
+        short = {int(i): tn.window_hashes(words[of_doc[i] : of_doc[i + 1]], int(of_doc[i + 1] - of_doc[i])) for i in np.flatnonzero((np.diff(of_doc) > 0) & (np.diff(of_doc) < width))}
+        del words
         for i in range(chunk.n):
-            a, b = of_doc[i], of_doc[i + 1]
+            a, b = int(of_doc[i]), int(of_doc[i + 1])
             if b - a >= width:
-                yield chunk.first + i, np.unique(runs[a : b - width + 1])
+                own = runs[a : b - width + 1]
+                own.sort()
+                yield chunk.first + i, own[np.append(True, own[1:] != own[:-1])]
             elif b > a:
-                yield chunk.first + i, tn.window_hashes(words[a:b], int(b - a)) ^ _U(b - a)
+                yield chunk.first + i, short[i] ^ _U(b - a)
             else:
                 yield chunk.first + i, np.zeros(0, _U)
 

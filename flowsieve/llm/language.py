@@ -49,10 +49,16 @@ def _distinct_words(chunk: tn.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Mapped bytes; start, end and count of each document's distinct words; of each document the first of them (one more at the end)."""
     raw = _MAP[chunk.data]
     starts, ends, of_doc = tn.Chunk(chunk.first, raw, chunk.offsets).words()
-    hashes = tn.span_hashes(raw, starts, ends)
-    docs = np.repeat(np.arange(chunk.n), np.diff(of_doc))
-    hashes ^= tn.mix64(docs.astype(np.uint64) + np.uint64(1))
-    _, place, counts = np.unique(hashes, return_index=True, return_counts=True)
+    found = []
+    for low in range(0, max(1, len(starts)), tn.BLOCK):
+        part = slice(low, low + tn.BLOCK)
+        docs = np.searchsorted(of_doc, np.arange(low, min(low + tn.BLOCK, len(starts))), side="right")
+        hashes = tn.span_hashes(raw, starts[part], ends[part]) ^ tn.mix64(docs.astype(np.uint64))
+        own, place, counts = np.unique(hashes, return_index=True, return_counts=True)
+        found.append((own, place + low, counts))
+    hashes, place, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    counts, place = np.bincount(at, counts, len(first)).astype(np.int64), place[first]
     order = np.argsort(place)
     place, counts = place[order], counts[order]
     return raw, starts[place], ends[place], counts, np.searchsorted(place, of_doc)

@@ -53,30 +53,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
 
     A span's hash is the difference of two running sums; they are taken at the spans' ends alone, block by block."""
     up, down = _powers()
-    out = np.empty(len(starts), U64)
-    by_end = np.arange(len(ends)) if len(ends) < 2 or (ends[1:] >= ends[:-1]).all() else np.argsort(ends, kind="stable")
-    by_start = by_end if by_end is not None and (len(starts) < 2 or (starts[by_end][1:] >= starts[by_end][:-1]).all()) else np.argsort(starts, kind="stable")
-    ordered_starts, ordered_ends = starts[by_start], ends[by_end]
-    at_start, at_end = np.zeros(len(starts), U64), np.zeros(len(ends), U64)
-    total, power, begun = U64(0), 1, [1]
+    out = np.zeros(len(starts), U64)
+    order = [None if len(places) < 2 or (places[1:] >= places[:-1]).all() else np.argsort(places, kind="stable") for places in (starts, ends)]
+    sides = [(places if own is None else places[own], own) for places, own in zip((starts, ends), order, strict=True)]
+    total, power, inverse, begun = U64(0), 1, 1, [1]
+    back = pow(int(up[BLOCK]), -1, 1 << 64)
     for low in range(0, max(1, len(data)), BLOCK):
         block = data[low : low + BLOCK]
         block = block if table is None else table[block]
         sums = np.zeros(len(block) + 1, U64)
         np.cumsum((block.astype(U64) + U64(1)) * up[: len(block)], out=sums[1:])
         sums = total + sums * U64(power)
-        for places, own, found in ((ordered_starts, by_start, at_start), (ordered_ends, by_end, at_end)):
-            here = slice(np.searchsorted(places, low), np.searchsorted(places, low + len(block), side="right"))
-            found[own[here]] = sums[places[here] - low]
+        last = low + BLOCK >= len(data)
+        for (places, own), sign in zip(sides, (np.subtract, np.add), strict=True):
+            here = slice(int(np.searchsorted(places, low)), int(np.searchsorted(places, low + len(block), side="right" if last else "left")))
+            at = here if own is None else own[here]
+            out[at] = sign(out[at], sums[places[here] - low])
         total = sums[-1]
-        power = power * int(up[BLOCK]) % (1 << 64)
-        begun.append(power)
-    inverse = np.array([pow(p, -1, 1 << 64) for p in begun], U64)
-    np.subtract(at_end, at_start, out=out)
-    out *= inverse[starts // BLOCK]
-    out *= down[starts % BLOCK]
-    out += (ends - starts).astype(U64)
-    return mix64(out)
+        power, inverse = power * int(up[BLOCK]) % (1 << 64), inverse * back % (1 << 64)
+        begun.append(inverse)
+    begun = np.array(begun, U64)
+    for low in range(0, len(out), BLOCK):
+        part = slice(low, low + BLOCK)
+        at = starts[part]
+        out[part] = mix64(out[part] * begun[at // BLOCK] * down[at % BLOCK] + (ends[part] - at).astype(U64))
+    return out
 
 
 @dataclass
@@ -94,6 +95,7 @@ class Chunk:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each document the number of its first word (one more at the end)."""
         starts, ends, inner = [], [], np.unique(self.offsets)
+        kind = np.int32 if len(self.data) < 1 << 31 else np.int64
         for low in range(0, len(self.data), BLOCK):  # with the byte before and the byte after the block
             high = min(low + BLOCK, len(self.data))
             word = np.zeros(high - low + 2, bool)
@@ -104,17 +106,18 @@ class Chunk:
                 word[-1] = IS_WORD[self.data[high]]
             cut = np.zeros(high - low + 1, bool)  # a document ends before this byte
             cut[inner[np.searchsorted(inner, low) : np.searchsorted(inner, high, side="right")] - low] = True
-            starts.append(np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1])) + low)
-            ends.append(np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + low + 1)
-        starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        return starts, np.concatenate(ends) if ends else np.zeros(0, np.int64), np.searchsorted(starts, self.offsets)
+            starts.append(np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1])).astype(kind) + kind(low))
+            ends.append(np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])).astype(kind) + kind(low + 1))
+        starts = np.concatenate(starts) if starts else np.zeros(0, kind)
+        ends = np.concatenate(ends) if ends else np.zeros(0, kind)
+        return starts, ends, np.searchsorted(starts, self.offsets)
 
 
 def string_chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[Chunk]:
     """Chunks of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
