@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 import re
+import signal
 import sys
+import threading
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .functions import suggest
 from .operators import disposition, evidence
@@ -35,7 +37,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--ignore-protocol", action="append", default=[])
     p.add_argument("--ignore-drop-reason", action="append", default=[])
     p.add_argument("--fail-on-infra-drops", action="store_true")
-    p.add_argument("--cluster-dedup", metavar="ATOMS", help="Parquet table of the atoms of live policies")
+    p.add_argument("--cluster-dedup", metavar="PATH", help="live policies: documents (.yaml or .json, as the cluster's client lists them) or a Parquet table of atoms")
     p.add_argument("--strict", action="store_true", help="envelopes with unknown fields are malformed")
 
 
@@ -49,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder")
     p.add_argument("--flush-interval", default="5 seconds")
     p.add_argument("--checkpoint", required=True)
+    p.add_argument("--max-files", type=int, help="files that one flush takes at most")
+    p.add_argument("--once", action="store_true", help="stop when all that is in the folder is through")
     _common(p)
     p = sub.add_parser("explain", help="why a policy has its rules")
     p.add_argument("target")
@@ -100,19 +104,35 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return 2
     spark = _spark()
+    known = stored.live_atoms(spark, a.cluster_dedup, options.manager, options.prefix) if a.cluster_dedup else None
     if a.command == "generate":
-        flows = capture.stream_flows(spark, a.folder, strict=a.strict).filter(capture.in_namespaces(a.namespace))
-        query = live.start(flows, options, a.checkpoint, a.flush_interval)
-        try:
-            query.awaitTermination()
-        except KeyboardInterrupt:
-            query.stop()
-        return 0
-    known = spark.read.parquet(a.cluster_dedup) if a.cluster_dedup else None
+        return _generate(spark, a, options, known)
     flows = capture.read_flows(spark, a.capture, a.strict).filter(capture.in_namespaces(a.namespace))
     return _show(session.run(flows, options, known), not a.no_diff)
 
 
+def _generate(spark: SparkSession, a: argparse.Namespace, options: session.Options, known: DataFrame | None) -> int:
+    """Follows a folder until a signal to stop; then the batch on its way ends, what has come meanwhile is flushed, and the session is closed."""
+    asked, codes, run = threading.Event(), [0], session.Session.begin()
+    flows = capture.stream_flows(spark, a.folder, a.max_files, strict=a.strict).filter(capture.in_namespaces(a.namespace))
+    show = lambda r: codes.append(_show(r, not a.no_diff))
+    before = {s: signal.signal(s, lambda *_: asked.set()) for s in (signal.SIGINT, signal.SIGTERM)} if threading.current_thread() is threading.main_thread() else {}
+    try:
+        query = live.start(flows, options, a.checkpoint, None if a.once else a.flush_interval, session=run, live=known, show=show)
+        while query.isActive and not asked.is_set():
+            query.awaitTermination(0.5)
+        if query.isActive:
+            live.stop_after_batch(query)
+            live.start(flows, options, a.checkpoint, None, session=run, live=known, show=show).awaitTermination()
+        elif query.exception():
+            raise query.exception()
+        session.finish(spark, run, options)
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+    return max(codes)
+
+
 def _explain(a: argparse.Namespace) -> int:
     namespace, workload = stored.target(a.target, session.Options().prefix)
     since = interval(a.since) if a.since else None
@@ -123,11 +143,12 @@ def _explain(a: argparse.Namespace) -> int:
     found = evidence.explain(every, direction, a.port, a.peer, a.peer_cidr, since, None, a.http_method, a.http_path, a.dns_pattern)
     matched = [r.asDict(recursive=True) for r in evidence.ordered(found).toLocalIterator()]
     form = "json" if a.json else a.format
+    sessions = [r.asDict(recursive=True) for r in stored.read_sessions(spark, path).orderBy("place").toLocalIterator()]
     if form == "text":
         listed = [r.asDict(recursive=True) for r in evidence.ordered(every).toLocalIterator()]
-        print(render.explain_text(f"{namespace}/{workload}", listed, matched, a.samples_limit), end="")
+        print(render.explain_text(f"{namespace}/{workload}", listed, matched, a.samples_limit, sessions), end="")
         return 0
-    doc = {"policy": {"namespace": namespace, "workload": workload}, "matched_rules": json.loads(json.dumps(matched, default=str))}
+    doc = {"policy": {"namespace": namespace, "workload": workload}, "sessions": json.loads(json.dumps(sessions, default=str)), "matched_rules": json.loads(json.dumps(matched, default=str))}
     if form == "json":
         print(json.dumps(doc, indent=2, ensure_ascii=False))
     else:

@@ -19,7 +19,7 @@ NAME_LIMIT = 63
 
 def _pairs(labels: Column) -> Column:
     """Key and value of labels that may select, in order; a label without ``=`` has an empty value."""
-    own = F.transform(F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.startswith(SOURCE)), lambda x: F.substring(x, len(SOURCE) + 1, 1 << 20))
+    own = F.transform(F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.startswith(SOURCE)), lambda x: F.substring(x, F.lit(len(SOURCE) + 1), F.length(x)))
     cut = F.transform(own, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise("").alias("value")))
 
     def allowed(p: Column) -> Column:
@@ -54,10 +54,13 @@ def label_key(labels: Column) -> Column:
 
 
 def workload_name(labels: Column) -> Column:
-    """Value of the best priority key, else all values sorted and joined by ``-`` (at most 63 characters), else ``unknown``."""
+    """Value of the best priority key, else all values sorted and joined by ``-``, else ``unknown``. Joined values are cut to 63 bytes of UTF-8,
+    or to the last whole character before that."""
     pairs = _pairs(labels)
     best = F.coalesce(*[_first(pairs, k)["value"] for k in PRIORITY_KEYS])
-    joined = F.substring(F.array_join(F.array_sort(F.transform(pairs, lambda p: p["value"])), "-"), 1, NAME_LIMIT)
+    joined = F.array_join(F.array_sort(F.transform(pairs, lambda p: p["value"])), "-")
+    first = lambda n: F.substring(joined.cast("binary"), 1, n).cast("string")
+    joined = F.when(F.octet_length(joined) <= NAME_LIMIT, joined).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(first(n)), first(n)) for n in range(NAME_LIMIT, NAME_LIMIT - 4, -1)]))
     return F.when(F.size(pairs) == 0, F.lit("unknown")).otherwise(F.coalesce(best, joined))
 
 

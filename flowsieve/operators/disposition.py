@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dropclass, flow
@@ -50,12 +50,29 @@ def dispose(flows: DataFrame, ignore_reasons: Sequence[str] = (), ignore_protoco
     return typed.withColumns({"namespace": ns, "workload": workload_name(F.col("target.labels")), "entity": entity, "disposition": case, "world": world})
 
 
-def unhandled(disposed: DataFrame) -> DataFrame:
-    """reason, flows and distinct_flows of the rejected flows; a distinct flow is its ends, port, protocol, direction and reason."""
+def flow_key() -> Column:
+    """What makes a rejected flow distinct: its ends, port, protocol, direction and reason."""
     name = F.coalesce(F.col("protocol"), F.lit("unknown"))
     number = F.when(F.col("protocol").isNull(), F.lit("0")).otherwise(F.col("port").cast("string"))
-    key = F.concat_ws("|", flow.endpoint_id(F.col("source")), flow.endpoint_id(F.col("destination")), number, name, F.col("direction"), F.col("disposition"))
-    return disposed.filter(F.col("disposition").isin(REJECTS)).groupBy(F.col("disposition").alias("reason")).agg(F.count(F.lit(1)).alias("flows"), F.count_distinct(key).alias("distinct_flows"))
+    return F.concat_ws("|", flow.endpoint_id(F.col("source")), flow.endpoint_id(F.col("destination")), number, name, F.col("direction"), F.col("disposition"))
+
+
+def unhandled(disposed: DataFrame) -> DataFrame:
+    """reason, flows and distinct_flows of the rejected flows (see ``flow_key``)."""
+    return disposed.filter(F.col("disposition").isin(REJECTS)).groupBy(F.col("disposition").alias("reason")).agg(F.count(F.lit(1)).alias("flows"), F.count_distinct(flow_key()).alias("distinct_flows"))
+
+
+def reserved_key() -> Column:
+    """First reserved label of a target and the direction: a warning of reserved identities is given once for each."""
+    return F.concat(F.get(F.filter("target.labels", lambda x: x.startswith("reserved:")), F.lit(0)), F.lit("/"), F.col("direction"))
+
+
+def lifetime_keys(disposed: DataFrame) -> DataFrame:
+    """Distinct (kind, key) that a stream reports once in its life: unhandled flows, warnings of reserved identities, workloads."""
+    rows = disposed.filter(F.col("disposition").isin(REJECTS)).select(F.lit("unhandled").alias("kind"), flow_key().alias("key"))
+    warned = disposed.filter("disposition = 'reserved_identity'").select(F.lit("reserved").alias("kind"), reserved_key().alias("key"))
+    reached = disposed.filter("disposition = 'policy'").select(F.lit("workload").alias("kind"), F.concat_ws("/", "namespace", "workload").alias("key"))
+    return rows.unionByName(warned).unionByName(reached).distinct()
 
 
 def session_stats(disposed: DataFrame) -> DataFrame:

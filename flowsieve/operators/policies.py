@@ -29,20 +29,22 @@ def rules(atoms: DataFrame) -> DataFrame:
     """One row per rule in order: POLICY, direction, rule_no, form (ports, icmp, fqdn, companion), the peer, and ports, icmps or names.
 
     Order: entities, address ranges, endpoints, each by first flow with ports before ICMP; then DNS rules; then the companion.
-    Ports are one entry unless one of them has HTTP rules (``per_port``). One aggregation by peer gathers all of its atoms."""
+    Ports are one entry unless one of them has HTTP rules (``per_port``). One aggregation by peer and port gathers a port's HTTP rules,
+    a second one the ports of each peer, so the work grows with the rules and not with ports times rules."""
     peer = [*POLICY, "direction", "peer_type", "peer_key"]
-    of = lambda kind, *parts: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("first_seq").alias("seq"), *parts))))
-    by = atoms.groupBy(*peer).agg(
-        F.min("first_seq").alias("begun"), F.min_by("selector", "first_seq").alias("selector"),
-        of("port", "port", "protocol").alias("p"), of("icmp", "protocol", "port").alias("i"), of("http", "port", "protocol", "method", "path").alias("h"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "fqdn", F.col("name")))).alias("n"),
+    only_kind = lambda kind, c: F.when(F.col("kind") == kind, c)
+    entries = atoms.groupBy(*peer, "port", "protocol").agg(
+        F.min("first_seq").alias("first"), F.min_by("selector", "first_seq").alias("selector"),
+        F.min(only_kind("port", F.col("first_seq"))).alias("p"), F.min(only_kind("icmp", F.col("first_seq"))).alias("i"),
+        F.array_sort(F.collect_list(only_kind("http", F.struct("first_seq", "method", "path")))).alias("h"), F.collect_set(only_kind("fqdn", F.col("name"))).alias("n"),
     )
-
-    def http(p: Column) -> Column:
-        own = F.filter("h", lambda x: (x["port"] == p["port"]) & (x["protocol"] == p["protocol"]))
-        return F.transform(own, lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path")))
-
-    ports = F.transform("p", lambda p: F.struct(p["seq"].alias("seq"), p["port"].alias("port"), p["protocol"].alias("protocol"), http(p).alias("http")))
+    http = F.transform("h", lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path")))
+    gathered = lambda seq, *parts: F.array_sort(F.collect_list(F.when(F.col(seq).isNotNull(), F.struct(F.col(seq).alias("seq"), *parts))))
+    by = entries.groupBy(*peer).agg(
+        F.min("first").alias("begun"), F.min_by("selector", "first").alias("selector"),
+        gathered("p", "port", "protocol", http.alias("http")).alias("p"), gathered("i", "protocol", "port").alias("i"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))).alias("n"),
+    )
+    ports = F.col("p")
     icmps = F.transform("i", lambda x: F.struct(F.when(x["protocol"] == "ICMPv6", "IPv6").otherwise("IPv4").alias("family"), x["port"].alias("type")))
     forms = F.array_compact(F.array(*[F.when(F.size(held) > 0, F.lit(form)) for form, held in (("ports", "p"), ("icmp", "i"), ("fqdn", "n"))]))
     only = lambda form, c: F.when(F.col("form") == form, c)

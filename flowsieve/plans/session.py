@@ -1,7 +1,7 @@
 """A whole run over a capture: policies, evidence and health, written next to what is stored.
 
-Everything up to the documents is a DataFrame; what reaches the driver is one row per rule of a policy (or per rule of evidence),
-and those are read partition by partition. State lives in Parquet tables of atoms and evidence beside the documents.
+Everything up to the documents is a DataFrame; the driver reads the rules of one policy at a time. State lives in Parquet tables beside
+the documents (``plans.state``); documents and tables may be on any file system that Spark reads.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,8 @@ from ..operators.policies import POLICY
 from ..operators.rules import ATOM_KEY
 from ..sources import stored as documents
 from . import render
+from .files import Files
+from .state import State
 
 
 @dataclass(frozen=True)
@@ -56,34 +57,37 @@ class Result:
     exit_code: int = 0
 
 
-def output_hash(folder: str) -> str:
-    """Names an output folder among evidence: twelve digits of its absolute path's SHA-256."""
-    return hashlib.sha256(os.path.abspath(folder).encode()).hexdigest()[:12]
+@dataclass
+class Session:
+    """One run: a replay, or all flushes of a stream. Counters are of the whole run; ``touched`` has the evidence documents that name it."""
+
+    name: str
+    started: datetime
+    flows_seen: int = 0
+    flows_unhandled: int = 0
+    touched: set[str] = field(default_factory=set)
+
+    @classmethod
+    def begin(cls) -> Session:
+        now = datetime.now(UTC)
+        return cls(f"{now:%Y-%m-%dT%H:%M:%SZ}-{hashlib.sha256(os.urandom(8)).hexdigest()[:4]}", now)
 
+    def document(self, source: dict[str, str]) -> dict[str, Any]:
+        return {"id": self.name, "started_at": self.started.isoformat(), "ended_at": datetime.now(UTC).isoformat(), "source": source, "flows_ingested": self.flows_seen, "flows_unhandled": self.flows_unhandled}
 
-def _replace(path: Path, text: str) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(f".{path.name}.part")
-    part.write_text(text, encoding="utf-8")
-    os.replace(part, path)
 
+@dataclass(frozen=True)
+class Batch:
+    """A flush of a stream: which one it is, and the run that it belongs to."""
 
-def _stored(spark: SparkSession, path: Path, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(str(path)) if path.exists() else spark.createDataFrame([], schema)
+    stream: str
+    number: int
+    session: Session
 
 
-def _store(df: DataFrame, path: Path) -> None:
-    """Replaces a table that ``df`` may itself read."""
-    part = path.with_name(f".{path.name}.part")
-    df.write.mode("overwrite").parquet(str(part))
-    old = path.with_name(f".{path.name}.old")
-    if path.exists():
-        os.replace(path, old)
-    os.replace(part, path)
-    for p in sorted(old.rglob("*"), reverse=True) if old.exists() else []:
-        p.unlink()
-    if old.exists():
-        old.rmdir()
+def output_hash(folder: str) -> str:
+    """Names an output folder among evidence: twelve digits of its absolute path's SHA-256."""
+    return hashlib.sha256((folder if "://" in folder else os.path.abspath(folder)).encode()).hexdigest()[:12]
 
 
 def _grouped(df: DataFrame, keys: list[str]) -> Iterator[tuple[tuple, list[dict[str, Any]]]]:
@@ -93,92 +97,120 @@ def _grouped(df: DataFrame, keys: list[str]) -> Iterator[tuple[tuple, list[dict[
         yield key, list(own)
 
 
-def _with_documents(spark: SparkSession, stored: DataFrame, out: Path, keys: list[tuple]) -> DataFrame:
+def _with_documents(spark: SparkSession, stored: DataFrame, out: str, files: Files, chosen: DataFrame) -> DataFrame:
     """Stored atoms and those of policy documents that no stored table knows, as another program may have written them."""
-    files = {k: p for k in keys if (p := out / k[0] / f"{k[1]}.yaml").exists()}
-    if files:
-        for r in stored.select(*POLICY).distinct().toLocalIterator():
-            files.pop(tuple(r), None)
-    found = [a for (namespace, workload), p in sorted(files.items()) for a in documents.policy_atoms(documents.load_policy(p), namespace, workload)]
+    unknown = chosen.select(*POLICY).join(stored.select(*POLICY).distinct(), POLICY, "left_anti").orderBy(*POLICY)
+    found = []
+    for namespace, workload in unknown.toLocalIterator():
+        if files.exists(path := f"{out}/{namespace}/{workload}.yaml"):
+            found += documents.policy_atoms(documents.parse_policy(files.read(path), path), namespace, workload)
     if not found:
         return stored
     read = spark.createDataFrame([tuple(a[c] for c in [*ATOM_KEY, "first_seq", "selector"]) for a in found], documents.ATOMS)
     return stored.unionByName(read.select(*stored.columns))
 
 
-def run(flows: DataFrame, options: Options, live: DataFrame | None = None) -> Result:
-    """Flows to documents. ``live`` has the atoms of policies in the cluster; equal ones are not written again."""
-    spark = flows.sparkSession
-    started = datetime.now(UTC)
-    out = Path(options.output_dir)
-    home = Path(options.evidence_dir) / output_hash(options.output_dir)
-    result = Result()
+FINGERPRINTS = "namespace string, workload string, fingerprint string"
+
+
+def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch: Batch | None = None) -> Result:
+    """Flows to documents. ``live`` has the atoms of policies in the cluster; equal ones are not written again. In a ``batch`` of a stream,
+    a policy equal to the one that the stream made last is left alone as well, and keys that the stream saw before count as old."""
+    spark, files, result = flows.sparkSession, Files(flows.sparkSession), Result()
+    session = batch.session if batch else Session.begin()
+    out, home = options.output_dir, f"{options.evidence_dir}/{output_hash(options.output_dir)}"
+    state = State(spark, out)
     disposed = disposition.dispose(flows, options.ignore_reasons, options.ignore_protocols).persist()
     result.stats = disposition.session_stats(disposed).first().asDict()
+    if batch and not options.dry_run:
+        new = disposition.lifetime_keys(disposed).join(state.seen(), ["kind", "key"], "left_anti")
+        result.stats["keys_first_seen"] = state.add_seen(new)
     seen = rules.observations(disposed, options.l7)
     fresh = rules.atoms(seen).persist()
     chosen = policies.selectors(disposed).persist()
-    selector = {tuple(r[k] for k in POLICY): r["selector"] for r in chosen.toLocalIterator()}
-    stored = _with_documents(spark, _stored(spark, out / ".atoms", fresh.schema), out, list(selector))
+    stored = _with_documents(spark, state.table("atoms", fresh.schema), out, files, chosen)
     merged = merge.merge(stored, fresh)
-    dry = fresh.limit(0)
-    fates = merge.dispositions(merge.fingerprints(fresh), merge.fingerprints(live if live is not None else dry), merge.fingerprints(dry))
-    fate = {tuple(r[k] for k in POLICY): r["disposition"] for r in fates.toLocalIterator()}
+    if not options.dry_run:
+        merged = state.put(merged, "atoms")
+    prints = merge.fingerprints(fresh).persist()
+    last = f"written:{batch.stream}" if batch else ""
+    written = state.table(last, FINGERPRINTS)
+    fates = merge.dispositions(prints, merge.fingerprints(live if live is not None else fresh.limit(0)), written)
     built = policies.rules(merged)
-    words = policies.comments(built)
-    full = built.join(words, [*POLICY, "direction", "rule_no"])
-    made = dict(_grouped(full.join(chosen.select(*POLICY), POLICY, "left_semi"), POLICY))
-    for key in sorted(selector):
-        namespace, workload = key
-        path = out / namespace / f"{workload}.yaml"
-        if fate.get(key, "write") != "write":
-            result.skipped.append(str(path))
+    full = built.join(policies.comments(built), [*POLICY, "direction", "rule_no"])
+    every = chosen.withColumnRenamed("selector", "own_selector").join(fates.select(*POLICY, "disposition"), POLICY, "left").join(full, POLICY, "left")
+    for (namespace, workload), own in _grouped(every, POLICY):
+        path = f"{out}/{namespace}/{workload}.yaml"
+        if (own[0]["disposition"] or "write") != "write":
+            result.skipped.append(path)
             continue
-        own = made.get(key, [])
-        text = "\n".join(render.to_yaml(render.policy(namespace, workload, selector[key], own, options.manager, options.prefix))) + "\n"
-        old = path.read_text(encoding="utf-8") if path.exists() else ""
+        own, selector = sorted((r for r in own if r["rule_no"] is not None), key=lambda r: r["rule_no"]), own[0]["own_selector"]
+        text = "\n".join(render.to_yaml(render.policy(namespace, workload, selector, own, options.manager, options.prefix))) + "\n"
+        old = files.read(path)
         if render.strip_comments(old) == text:
-            result.unchanged.append(str(path))
+            result.unchanged.append(path)
         elif options.dry_run:
-            result.diffs.append(render.unified(str(path), render.strip_comments(old), text, options.color))
+            result.diffs.append(render.unified(path, render.strip_comments(old), text, options.color))
         else:
-            own.sort(key=lambda r: r["rule_no"])
-            _replace(path, render.annotate(text, {way: [r["comment"] for r in own if r["direction"] == way] for way in ("ingress", "egress")}))
-            result.written.append(str(path))
-    if not options.dry_run:
-        _store(merged, out / ".atoms")
+            files.write(path, render.annotate(text, {way: [r["comment"] for r in own if r["direction"] == way] for way in ("ingress", "egress")}))
+            result.written.append(path)
+    if batch and not options.dry_run:
+        state.put(written.join(prints.select(*POLICY), POLICY, "left_anti").unionByName(prints.select(*POLICY, "fingerprint")), last)
+    session.flows_seen += result.stats["flows_seen"]
+    session.flows_unhandled += result.stats["flows_unhandled"]
     if options.keep_evidence and not options.dry_run:
-        _write_evidence(spark, seen, home, options, started, result)
-    drops = health.contributors(disposition.drop_events(disposed)).persist()
-    summary = [r.asDict(recursive=True) for r in health.summary_order(health.report(drops, dropclass.reasons(spark))).toLocalIterator()]
-    tops = {(r["reason"], r["dimension"]): r["top"] for r in health.top_text(drops).toLocalIterator()}
-    where = home / "cluster-health.json"
-    result.health = render.health_text(summary, tops, str(where), not options.dry_run)
-    if summary and options.keep_evidence and not options.dry_run:
-        listed = [{"reason": r["reason"], "class": r["class"], "count": r["drops"], **({"remediation": r["remediation"]} if r["remediation"] else {}), "by_node": r["by_node"], "by_workload": r["by_workload"]} for r in sorted(summary, key=lambda r: r["reason"])]
-        session = {"started": started.isoformat(), "ended": datetime.now(UTC).isoformat(), "flows_seen": result.stats["flows_seen"], "infra_drops_total": result.stats["infra_drop_total"]}
-        _replace(where, json.dumps({"schema_version": 1, "session": session, "drops": listed}, indent=2) + "\n")
+        _write_evidence(spark, seen, home, options, session, state, files)
+    _report_health(spark, disposed, home, options, session, result, files)
     result.exit_code = int(options.fail_on_infra_drops and result.stats["infra_drop_total"] > 0)
-    for df in (disposed, fresh, chosen, drops):
+    if not options.dry_run:
+        state.commit(*(batch.stream, batch.number) if batch else ())
+    for df in (disposed, fresh, chosen, prints):
         df.unpersist()
     return result
 
 
-def _write_evidence(spark: SparkSession, seen: DataFrame, home: Path, options: Options, started: datetime, result: Result) -> None:
-    name = f"{started:%Y-%m-%dT%H:%M:%SZ}-{hashlib.sha256(os.urandom(8)).hexdigest()[:4]}"
-    fresh = evidence.session_rules(rules.attribution(seen), rules.samples(seen, options.samples), name)
-    table = home / ".rules"
-    both = evidence.upsert(_stored(spark, table, fresh.schema), fresh, options.samples)
-    _store(both, table)
-    session = {"id": name, "started_at": started.isoformat(), "ended_at": datetime.now(UTC).isoformat(), "source": options.source, "flows_ingested": result.stats["flows_seen"], "flows_unhandled": result.stats["flows_unhandled"]}
-    touched = fresh.select(*POLICY).distinct()
-    for (namespace, workload), own in _grouped(spark.read.parquet(str(table)).join(touched, POLICY, "left_semi"), POLICY):
-        path = home / namespace / f"{workload}.json"
-        known = json.loads(path.read_text())["sessions"] if path.exists() else []
-        sessions = sorted([s for s in known if s["id"] != name] + [session], key=lambda s: s["started_at"])
-        sessions = sessions[-options.sessions :] if options.sessions > 0 else sessions
-        doc = {"schema_version": evidence.SCHEMA_VERSION, "policy": {"name": options.prefix + workload, "namespace": namespace, "workload": workload}, "sessions": sessions, "rules": [_rule_json(r) for r in sorted(own, key=lambda r: (r["direction"], r["rule_key"]))]}
-        _replace(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
+def _report_health(spark: SparkSession, disposed: DataFrame, home: str, options: Options, session: Session, result: Result, files: Files) -> None:
+    """The summary of drops that no policy causes; by reason alone where no evidence is kept, and written where it is."""
+    where, hints = f"{home}/cluster-health.json", dropclass.reasons(spark)
+    if not options.keep_evidence:
+        alone = health.reasons_only(disposed).join(F.broadcast(hints.select("reason", F.col("hint").alias("remediation"))), "reason", "left")
+        result.health = render.health_text([r.asDict() for r in health.summary_order(alone).toLocalIterator()], {}, where, False)
+        return
+    drops = health.contributors(disposition.drop_events(disposed)).persist()
+    summary = [r.asDict(recursive=True) for r in health.summary_order(health.report(drops, hints)).toLocalIterator()]
+    tops = {(r["reason"], r["dimension"]): r["top"] for r in health.top_text(drops).toLocalIterator()}
+    result.health = render.health_text(summary, tops, where, not options.dry_run)
+    if summary and not options.dry_run:
+        listed = [{"reason": r["reason"], "class": r["class"], "count": r["drops"], **({"remediation": r["remediation"]} if r["remediation"] else {}), "by_node": r["by_node"], "by_workload": r["by_workload"]} for r in sorted(summary, key=lambda r: r["reason"])]
+        about = {"started": session.started.isoformat(), "ended": datetime.now(UTC).isoformat(), "flows_seen": result.stats["flows_seen"], "infra_drops_total": result.stats["infra_drop_total"]}
+        files.write(where, json.dumps({"schema_version": 1, "session": about, "drops": listed}, indent=2) + "\n")
+    drops.unpersist()
+
+
+def _with_session(known: list[dict[str, Any]], session: Session, options: Options) -> list[dict[str, Any]]:
+    sessions = sorted([s for s in known if s["id"] != session.name] + [session.document(options.source)], key=lambda s: s["started_at"])
+    return sessions[-options.sessions :] if options.sessions > 0 else sessions
+
+
+def _write_evidence(spark: SparkSession, seen: DataFrame, home: str, options: Options, session: Session, state: State, files: Files) -> None:
+    fresh = evidence.session_rules(rules.attribution(seen), rules.samples(seen, options.samples), session.name)
+    name = f"rules:{home}"
+    table = state.put(evidence.upsert(state.table(name, fresh.schema), fresh, options.samples), name, home)
+    for (namespace, workload), own in _grouped(table.join(fresh.select(*POLICY).distinct(), POLICY, "left_semi"), POLICY):
+        path = f"{home}/{namespace}/{workload}.json"
+        known = json.loads(files.read(path) or '{"sessions": []}')["sessions"]
+        doc = {"schema_version": evidence.SCHEMA_VERSION, "policy": {"name": options.prefix + workload, "namespace": namespace, "workload": workload}, "sessions": _with_session(known, session, options), "rules": [_rule_json(r) for r in sorted(own, key=lambda r: (r["direction"], r["rule_key"]))]}
+        files.write(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
+        session.touched.add(path)
+
+
+def finish(spark: SparkSession, session: Session, options: Options) -> None:
+    """Gives every evidence document of a run the run's last counters."""
+    files = Files(spark)
+    for path in sorted(session.touched):
+        doc = json.loads(files.read(path))
+        doc["sessions"] = _with_session(doc["sessions"], session, options)
+        files.write(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
 
 
 def _time(t: datetime | None) -> str | None:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.files import Files
+
 _ENDPOINT = "struct<identity:bigint,namespace:string,labels:array<string>,pod_name:string>"
 #: The fields that are read; their names are as in the files, where case matters.
 FLOW = (
@@ -22,14 +28,34 @@ ENVELOPE = f"struct<flow:{FLOW},lost_events:struct<num_events_lost:bigint>>"
 _KNOWN = ["flow", "lost_events", "node_name", "time"]
 
 
+def _spooled(spark: SparkSession) -> str:
+    """Standard input as a file in the folder that executors share, written in chunks. Without such a folder a temporary one of this
+    machine, which only local mode can read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("reading standard input on a cluster needs spark.checkpoint.dir")
+    if not root:
+        folder = tempfile.mkdtemp(prefix="flowsieve-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+    path = f"{root.rstrip('/')}/stdin-{uuid.uuid4().hex}.jsonl"
+    raw = getattr(sys.stdin, "buffer", None)
+    read = (lambda: raw.read(1 << 20)) if raw else (lambda: sys.stdin.read(1 << 20).encode())
+    Files(spark).append_chunks(path, iter(read, b""))
+    return path
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines (value, seq) of a file, a folder or standard input (``-``). A missing path raises.
 
-    seq is the arrival order: by file, then by place in it. Large plain files are read in splits, and gzip in one task each."""
-    if path == "-":
-        rows = [(line.rstrip("\n"), i) for i, line in enumerate(sys.stdin)]
-        return spark.createDataFrame(rows, "value string, seq long")
-    return spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    seq is the arrival order, from 0 without gaps: by file name, then by place in the file, however the files are cut and packed into
+    tasks. A first pass counts the lines of each split; there are as many counts as splits. Gzip is read in one task a file."""
+    rows = spark.read.text(_spooled(spark) if path == "-" else path)
+    split = ["file", "begun"]
+    named = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begun"), F.monotonically_increasing_id().alias("at"))
+    counts = named.groupBy(*split).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return named.join(F.broadcast(counts.select(*split, (before - F.col("low")).alias("shift"))), split).select("value", (F.col("at") + F.col("shift")).alias("seq"))
 
 
 def parse(rows: DataFrame, strict: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from pathlib import Path
 from typing import Any
@@ -39,6 +40,12 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions of evidence documents, one row each with its place in the document."""
+    docs = spark.read.schema(EVIDENCE).option("multiLine", True).json(path)
+    return docs.select("policy.namespace", "policy.workload", F.posexplode("sessions").alias("place", "s")).select("namespace", "workload", "place", "s.*")
+
+
 def target(text: str, prefix: str) -> tuple[str, str]:
     """(namespace, workload) of ``NAMESPACE/WORKLOAD`` or of a policy file that this program wrote."""
     if text.endswith((".yaml", ".yml")):
@@ -54,16 +61,39 @@ def target(text: str, prefix: str) -> tuple[str, str]:
     return parts[0], parts[1]
 
 
+#: Fixed value: the label that names a policy's managing program.
+MANAGED_BY = "app.kubernetes.io/managed-by"
 ATOMS = ", ".join(f"{k} string" for k in ATOM_KEY) + ", first_seq long, selector string"
 
 
-def load_policy(path: Path) -> dict[str, Any]:
-    """A policy document. Reading YAML needs PyYAML; without it this raises, so that nothing stored is overwritten unread."""
+def _yaml(text: str, path: str) -> list[Any]:
+    """Documents of a YAML text. That needs PyYAML; without it this raises, so that nothing stored is overwritten unread."""
     try:
         import yaml
     except ImportError as e:
-        raise RuntimeError(f"{path} was not written from a stored table; merging into it needs PyYAML") from e
-    return yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+        raise RuntimeError(f"{path} was not written from a stored table; reading it needs PyYAML") from e
+    return list(yaml.safe_load_all(text))
+
+
+def parse_policy(text: str, path: str) -> dict[str, Any]:
+    """A policy document."""
+    return next(iter(_yaml(text, path)), None) or {}
+
+
+def live_atoms(spark: SparkSession, path: str, manager: str, prefix: str) -> DataFrame:
+    """Atoms of the policies in a cluster that ``manager`` owns: from policy documents (YAML or JSON, single ones or lists, as the cluster's
+    own client prints them), or from a Parquet table of atoms."""
+    if not path.endswith((".yaml", ".yml", ".json")):
+        return spark.read.parquet(path)
+    body = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).toLocalIterator())
+    docs = [json.loads(body)] if path.endswith(".json") else _yaml(body, path)
+    found: dict[tuple[str, str], list[dict[str, Any]]] = {}
+    for doc in (x for d in docs if d for x in (d.get("items") or []) + ([d] if d.get("spec") else [])):
+        meta = doc.get("metadata") or {}
+        if (meta.get("labels") or {}).get(MANAGED_BY) == manager and str(meta.get("name", "")).startswith(prefix):
+            key = meta.get("namespace", ""), meta["name"][len(prefix) :]
+            found[key] = policy_atoms(doc, *key)  # of equal names the last one counts
+    return spark.createDataFrame([tuple(a[c] for c in [*ATOM_KEY, "first_seq", "selector"]) for own in found.values() for a in own], ATOMS)
 
 
 def _selectors(endpoints: list[dict[str, Any]]) -> list[str]:

@@ -1,38 +1,57 @@
 """Flows as they arrive: each micro-batch goes through the same run as a whole capture.
 
-Batches merge into the stored atoms and evidence, so rule keys, counts and times do not depend on how the stream is cut. A batch that
-is delivered again after a failure is recognised by its number and skipped.
+Batches merge into the stored atoms and evidence, so rule keys, counts and times do not depend on how the stream is cut. The number of a
+batch is committed with the tables that hold it, under the id that the stream's checkpoint gives it: a batch that is delivered again is
+skipped, and another stream into the same output starts with its own first batch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.session import Options, Result, run
+from ..plans import session as runs
+from ..plans.session import Batch, Options, Result, Session
+from ..plans.state import State
 
 
-def _once(options: Options, step: Callable[[DataFrame], Result], results: list[Result] | None) -> Callable[[DataFrame, int], None]:
-    mark = Path(options.output_dir) / ".last_batch"
+def stream_id(spark, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint when it first started."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
-    def handle(batch: DataFrame, number: int) -> None:
-        done = int(mark.read_text()) if mark.exists() else -1
-        if number <= done or batch.isEmpty():
+
+def _step(options: Options, checkpoint: str, session: Session, live: DataFrame | None, results: list[Result] | None, show: Callable[[Result], None] | None) -> Callable[[DataFrame, int], None]:
+    def handle(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        stream = stream_id(spark, checkpoint)
+        if rows.isEmpty() or (not options.dry_run and number <= State(spark, options.output_dir).batch(stream)):
             return
-        result = step(batch.withColumn("seq", F.monotonically_increasing_id()))
+        result = runs.run(rows.withColumn("seq", F.monotonically_increasing_id()), options, live, Batch(stream, number, session))
         if results is not None:
             results.append(result)
-        mark.parent.mkdir(parents=True, exist_ok=True)
-        mark.write_text(str(number))
+        if show:
+            show(result)
 
     return handle
 
 
-def start(flows: DataFrame, options: Options, checkpoint: str, every: str | None = "5 seconds", results: list[Result] | None = None) -> StreamingQuery:
-    """Starts the run over a stream of flows: ``every`` so often, or over all that is there and no more where that is None."""
-    writer = flows.writeStream.foreachBatch(_once(options, lambda batch: run(batch, options), results)).option("checkpointLocation", checkpoint)
+def start(
+    flows: DataFrame, options: Options, checkpoint: str, every: str | None = "5 seconds", results: list[Result] | None = None, session: Session | None = None,
+    live: DataFrame | None = None, show: Callable[[Result], None] | None = None,
+) -> StreamingQuery:
+    """Starts the run over a stream of flows: ``every`` so often, or over all that is there and no more where that is None.
+
+    All its batches are one session of evidence; ``session`` goes on with one that was begun, and ``finish`` closes it."""
+    writer = flows.writeStream.foreachBatch(_step(options, checkpoint, session or Session.begin(), live, results, show)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def stop_after_batch(query: StreamingQuery) -> None:
+    """Stops a stream when the batch that is on its way is through."""
+    while query.isActive and query.status["isTriggerActive"]:
+        query.awaitTermination(0.2)
+    query.stop()

@@ -59,3 +59,28 @@ def test_snapshot_keeps_the_later_of_equal_names(spark):
     a = spark.createDataFrame([("n", "p", "me", 1), ("n", "q", "other", 1)], schema)
     b = spark.createDataFrame([("n", "p", "me", 2), ("m", "p", "me", 3)], schema)
     assert sorted(tuple(r) for r in capture.snapshot([a, b], "me").collect()) == [("m", "p", "me", 3), ("n", "p", "me", 2)]
+
+
+def test_arrival_order_goes_by_file_name(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("first")
+    (tmp_path / "b.jsonl").write_text("\n".join(f"{i:03d}" + "x" * 200 for i in range(50)))
+    (tmp_path / "c.jsonl.gz").write_bytes(gzip.compress(b"p\nq\n"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in (size, "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            rows = sorted((r["seq"], r["value"][:3]) for r in capture.lines(spark, str(tmp_path)).collect())
+            assert rows == list(enumerate(["fir", *(f"{i:03d}" for i in range(50)), "p", "q"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_long_and_wide_labels(spark):
+    from pyspark.sql import functions as F
+
+    from flowsieve.functions import labels
+
+    long = "x" * 1_100_000
+    rows = [([f"k8s:app={long}"],), (["k8s:b=" + "é" * 20, "k8s:a=" + "z" * 40],), (["k8s:a=" + "z" * 20, "k8s:b=" + "é" * 40],), (["k8s:a=" + "z" * 80],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "l array<string>").select(labels.workload_name(F.col("l"))).collect()]
+    assert got == [long, "z" * 40 + "-" + "é" * 11, "z" * 20 + "-" + "é" * 20 + "é", "z" * 63]

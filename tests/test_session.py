@@ -1,4 +1,5 @@
 import json
+import os
 import shutil
 
 import pytest
@@ -13,15 +14,24 @@ LINES = [line(0), line(1, port=8443), line(2, l7=http("GET", "/a.b")), line(3, w
 
 
 @pytest.fixture
-def place(tmp_path):
+def place(tmp_path, spark):
     (tmp_path / "c.jsonl").write_text("\n".join(LINES))
-    return tmp_path
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield tmp_path
+    spark.conf.set("spark.sql.shuffle.partitions", width)
 
 
 def options(place, **more):
     return session.Options(str(place / "out"), str(place / "ev"), **more)
 
 
+def table(spark, place, kind):
+    """A table of the state as it stands."""
+    (commit,) = (place / "out/.state").glob("commit-*.json")
+    return spark.read.parquet(next(p for n, p in json.loads(commit.read_text())["tables"].items() if n.split(":")[0] == kind))
+
+
 def replay(spark, place, **more):
     return session.run(capture.read_flows(spark, str(place / "c.jsonl")), options(place, **more))
 
@@ -87,17 +97,107 @@ def test_stream_equals_batch(spark, place):
     for i, x in enumerate(LINES):
         (folder / f"{i}.jsonl").write_text(x)
     whole = replay(spark, place, l7=True)
-    want = spark.read.parquet(str(place / "ev" / session.output_hash(str(place / "out")) / ".rules"))
+    want = table(spark, place, "rules")
     key = lambda df: sorted((r["rule_key"], r["flow_count"], r["first_seen"], r["last_seen"]) for r in df.collect())
-    want, atoms = key(want), sorted(tuple(r)[:11] for r in spark.read.parquet(str(place / "out/.atoms")).collect())
+    want, atoms = key(want), sorted(tuple(r)[:11] for r in table(spark, place, "atoms").collect())
     shutil.rmtree(place / "out")
     shutil.rmtree(place / "ev")
     results = []
     query = live.start(capture.stream_flows(spark, str(folder), 3), options(place, l7=True), str(place / "ck"), None, results)
     query.awaitTermination()
     assert len(results) == 2 and whole.written
-    assert key(spark.read.parquet(str(place / "ev" / session.output_hash(str(place / "out")) / ".rules"))) == want
-    assert sorted(tuple(r)[:11] for r in spark.read.parquet(str(place / "out/.atoms")).collect()) == atoms
+    assert key(table(spark, place, "rules")) == want
+    assert sorted(tuple(r)[:11] for r in table(spark, place, "atoms").collect()) == atoms
+
+
+def stream(spark, place, folder, checkpoint, texts, **more):
+    """Runs a stream over files of so many lines each, one file a batch; its results."""
+    (place / folder).mkdir(exist_ok=True)
+    for i, x in enumerate(texts):
+        path = place / folder / f"{i:03d}.jsonl"
+        path.write_text(x)
+        os.utime(path, (1_700_000_000 + i,) * 2)  # files come in the order of their times
+    results, run = [], session.Session.begin()
+    made = options(place, l7=True, **more)
+    live.start(capture.stream_flows(spark, str(place / folder), 1), made, str(place / checkpoint), None, results, run).awaitTermination()
+    session.finish(spark, run, made)
+    return results
+
+
+def evidence_of(place):
+    return json.loads((place / "ev" / session.output_hash(str(place / "out")) / "prod/server.json").read_text())
+
+
+def test_another_stream_into_the_same_output(spark, place):
+    stream(spark, place, "a", "ck1", [line(0), line(1), line(2)])
+    stream(spark, place, "b", "ck2", [line(3, port=9999)])
+    text = (place / "out/prod/server.yaml").read_text()
+    assert 'port: "9999"' in text and 'port: "8080"' in text
+
+
+def test_a_batch_that_failed_before_its_commit_counts_once(spark, place, monkeypatch):
+    from flowsieve.plans.state import State
+
+    commit = State.commit
+
+    def fail(self, *a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(State, "commit", fail)
+    with pytest.raises(Exception, match="lost"):
+        stream(spark, place, "a", "ck", [line(0)])
+    monkeypatch.setattr(State, "commit", commit)
+    assert len(stream(spark, place, "a", "ck", [])) == 1
+    assert [r["flow_count"] for r in evidence_of(place)["rules"]] == [1]
+    assert stream(spark, place, "a", "ck", []) == []
+
+
+def test_flushes_of_a_run_are_one_session(spark, place):
+    results = stream(spark, place, "a", "ck", [line(i) for i in range(5)], sessions=3)
+    doc = evidence_of(place)
+    assert len(results) == 5 and len(doc["sessions"]) == 1 and doc["sessions"][0]["flows_ingested"] == 5
+    assert doc["rules"][0]["flow_count"] == 5 and doc["rules"][0]["contributing_sessions"] == [doc["sessions"][0]["id"]]
+    assert len(results[0].written) == 1 and all(len(r.skipped) == 1 for r in results[1:])  # equal to what the flush before made
+
+
+def test_keys_are_new_once_in_the_life_of_a_stream(spark, place):
+    odd = line(0, proto=None)
+    host = line(1, own=["reserved:host"], own_ns="")
+    results = stream(spark, place, "a", "ck", [odd, odd, odd + "\n" + host, host])
+    assert [r.stats["keys_first_seen"] for r in results] == [1, 0, 2, 0]
+    assert [r.stats["flows_unhandled"] for r in results] == [1, 1, 2, 1]
+
+
+def test_generate_from_the_command_line(spark, place, capsys):
+    folder = place / "in"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text("\n".join(LINES))
+    (folder / "b.jsonl").write_text(line(5, port=1234))
+    where = ["generate", str(folder), "-o", str(place / "out"), "--evidence-dir", str(place / "ev"), "--checkpoint", str(place / "ck"), "--once", "--max-files", "1"]
+    assert cli.main([*where, "--fail-on-infra-drops"]) == 1
+    assert capsys.readouterr().out.count('"policies_written": 1') == 2
+    pytest.importorskip("yaml")
+    shutil.rmtree(place / "ck")
+    (folder / "b.jsonl").unlink()
+    shutil.copytree(place / "out", place / "live")
+    shutil.rmtree(place / "out")
+    (folder / "a.jsonl").write_text("\n".join([*LINES, line(5, port=1234)]))
+    assert cli.main([*where, "--cluster-dedup", str(place / "live/prod/server.yaml")]) == 0
+    assert '"policies_skipped": 1' in capsys.readouterr().out and not (place / "out/prod").exists()
+
+
+def test_live_policies_from_documents(spark, place):
+    meta = {"name": "fs-server", "namespace": "prod", "labels": {"app.kubernetes.io/managed-by": "flowsieve"}}
+    spec = {"ingress": [{"fromEntities": ["host"], "toPorts": [{"ports": [{"port": "1", "protocol": "TCP"}]}]}]}
+    other = {"metadata": meta | {"labels": {}, "name": "fs-x"}, "spec": spec}
+    (place / "live.json").write_text(json.dumps({"items": [{"metadata": meta, "spec": spec}, other]}))
+    rows = stored.live_atoms(spark, str(place / "live.json"), "flowsieve", "fs-").collect()
+    assert [(r["namespace"], r["workload"], r["peer_key"], r["port"]) for r in rows] == [("prod", "server", "host", "1")]
+
+
+def test_health_without_evidence_goes_by_reason(spark, place):
+    got = replay(spark, place, keep_evidence=False)
+    assert "FIB_LOOKUP_FAILED: 1" in got.health and "by node" not in got.health and not (place / "ev").exists()
 
 
 def test_command_line(spark, place, capsys):
@@ -105,9 +205,12 @@ def test_command_line(spark, place, capsys):
     assert cli.main(["replay", str(place / "c.jsonl"), "--l7", *where]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[0])["policies_written"] == 1
     assert cli.main(["explain", "prod/server", *where, "--http-method", "get"]) == 0
-    assert r"L7:          HTTP GET ^/a\.b$" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert r"requests GET ^/a\.b$" in said and "newest session" in said and "from replay, 5 flows" in said
+    assert cli.main(["explain", "prod/server", *where, "--json"]) == 0
+    assert len(json.loads(capsys.readouterr().out)["sessions"]) == 1
     assert cli.main(["explain", str(place / "out/prod/server.yaml"), *where, "--port", "1"]) == 0
-    assert "Available rules:" in capsys.readouterr().out
+    assert "0 of 4 rules" in (said := capsys.readouterr().out) and said.count("not matched") == 4
     assert cli.main(["replay", "x", "--ignore-protocol", "foo"]) == 2
 
 
