@@ -117,26 +117,32 @@ def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float, most:
     return np.sort(top[worth[top] > 0])
 
 
-def document_frequencies(rows: DataFrame, kind: int) -> DataFrame:
-    """key (``kind`` above the feature number) and n, the texts of ``rows`` (text) with the feature; key -1 - kind has the texts in all."""
+def document_frequencies(rows: DataFrame, among: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """How many texts of ``rows`` (text) have each feature, and the texts in all. ``among``: which features count (default: all); the
+    others are not shuffled or sent to the driver."""
+    shared = None if among is None else rows.sparkSession.sparkContext.broadcast(among)  # 2^BITS flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             for chunk in tn.string_chunks(batch.column(0)):
                 seen += chunk.n
-                cells = [np.unique(docs << BITS | ids) for ids, docs in _features(chunk)]
+                cells = [np.unique((docs << BITS | ids)[slice(None) if shared is None else shared.value[ids]]) for ids, docs in _features(chunk)]
                 held += np.bincount(np.unique(np.concatenate(cells)) & ((1 << BITS) - 1) if cells else np.zeros(0, np.int64), minlength=1 << BITS)
         there = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(there | kind << BITS, -1 - kind)), pa.array(np.append(held[there], seen))], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(held[there], seen))], ["key", "n"])
 
-    return arrow_map(rows, run, "key long, n long")
+    found = arrow_map(rows, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2^BITS + 1 rows
+    keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
+    out = np.zeros(1 << BITS, np.int64)
+    out[keys[keys >= 0]] = counts[keys >= 0]
+    return out, int(counts[keys < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_any: int = 6000, features: int = 1024, parts: int = 8, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Trains on at most ``max_toxic`` confirmed rows and ``max_any`` of all rows, those with the lowest hashes of their ids. Features are chosen by
     their document frequencies in the confirmed rows and in all of ``docs``. The prior is the toxic share of all labelled rows. Without
-    toxic labels nothing is toxic. The driver gets the counts of at most 2 * 2^BITS features and the chosen values, no texts."""
+    toxic labels nothing is toxic. The driver gets the counts of the confirmed rows' features and the chosen values, no texts."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
@@ -146,14 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_any: int
     chosen = lowest(known.filter("toxic = 1").select("id"), max_toxic).withColumn("kind", F.lit(1)).unionByName(lowest(docs.select(F.col(doc_id).alias("id")).filter("id is not null").distinct(), max_any).withColumn("kind", F.lit(0)))
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("id")).select("id", "kind", F.col(text).alias("text"))  # at most max_toxic + max_any ids
     rows = rows.repartition(parts, "id").sortWithinPartitions("id", "kind", "text")
-    found = document_frequencies(docs.select(F.col(text).alias("text")), 0).unionByName(document_frequencies(rows.filter("kind = 1").select("text"), 1))
-    found = found.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
-    df, seen = np.zeros((2, 1 << BITS), np.int64), [int(counts[keys == -1 - kind].sum()) for kind in (0, 1)]
-    df.ravel()[keys[keys >= 0]] = counts[keys >= 0]
-    if not seen[0] or not seen[1]:
+    in_p, seen_p = document_frequencies(rows.filter("kind = 1").select("text"))
+    in_u, seen_u = document_frequencies(docs.select(F.col(text).alias("text")), in_p > 0)  # others can't be chosen
+    if not seen_p or not seen_u:
         return Model()
-    top = choose(df[1], df[0], seen[1], seen[0], prior, features)
+    top = choose(in_p, in_u, seen_p, seen_u, prior, features)
     if not len(top):
         return Model()
     place = np.full(1 << BITS, -1, np.int32)
