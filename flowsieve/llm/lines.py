@@ -37,7 +37,7 @@ def line_keys(lines: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, space: Workspace, min_docs: int = 10, min_chars: int = 1, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with a dropped line: __id, __th (hash of its text) and ``drop``, a map from word number to 64 drop bits.
+    """One row per document with a dropped line: __id, __th (hash of its text) and ``drop``, an array of words of 64 drop bits that ends with the last dropped line.
 
     A row of ``docs`` is a document, also where ids repeat; documents are told apart by id and text.
     ``keep``: "none" drops all lines of a key found in ``min_docs`` documents or more, "first" spares the
@@ -70,7 +70,11 @@ def dropped_lines(docs: DataFrame, space: Workspace, min_docs: int = 10, min_cha
         lowest = streamed.filter("hot").groupBy("a", "b").agg(F.min("first").alias("lowest"))  # at most HOT_KEYS rows
         hits = streamed.join(F.broadcast(lowest), ["a", "b"], "left").filter(here != F.coalesce("lowest", "first"))
     words = hits.groupBy("__id", "__th", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
-    return words.groupBy("__id", "__th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop"))
+    listed = words.groupBy("__id", "__th").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    # words without a dropped line, between those that have one, are 0
+    gap = lambda x, i: x["word"] - F.when(i == 0, F.lit(-1)).otherwise(F.get("held", i - 1)["word"]) - 1
+    filled = F.flatten(F.transform("held", lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("long"), gap(x, i)), F.array(x["bits"]))))
+    return listed.select("__id", "__th", filled.alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,7 +90,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     rows = clean.withColumn("__rt", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = rows.join(drop.hint("shuffle_hash"), rows[doc_id].eqNullSafe(drop["__id"]) & (rows["__rt"] == drop["__th"]), "left")
     lines = split_lines(F.col(text))
-    bit = lambda i: F.coalesce(F.getbit(F.col("__drop")[(i / 64).cast("int")], i % 64), F.lit(0)) == 1
+    bit = lambda i: F.coalesce(F.getbit(F.get("__drop", (i / 64).cast("int")), i % 64), F.lit(0)) == 1
     left = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~bit(i)), "\n"))
     n_lines = F.size(lines)
     every = F.sequence(F.lit(0), n_lines - 1)
@@ -97,6 +101,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     return joined.select(
         *[left.alias(text) if c == text else F.col(c) for c in clean.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate(F.map_values("__drop"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.aggregate("__drop", F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
         bitmap.alias("keep_bitmap"),
     )

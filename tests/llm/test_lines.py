@@ -77,5 +77,12 @@ def test_a_very_long_text(spark):
     assert got == {1: (300_001, 300_000, "once"), 2: (2, 1, "else")}
 
 
+def test_dropped_lines_far_apart(spark):
+    text = "\n".join("common" if i in (70, 71, 500, 1999) else f"own {i}" for i in range(2000))
+    rows = [(1, text), (2, "common"), (3, "x\n" * 130 + "common"), (4, "common\n" + "y")]
+    got = [tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 2).select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert sorted(got, key=repr) == brute(rows, 2, "none")
+
+
 def test_empty(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
