@@ -99,6 +99,7 @@ SQL: dict[str, str] = {
     "class_sizes": "select * from (values ('policy', 4::bigint, 0::bigint), ('transient', 9, 0), ('noise', 6, 0), ('infra', 57, 6)) v(class, reasons, hints)",
     "capture_counters": _FLOWS + "select count(*)::bigint lines_read, (count(*) filter (where id % 101 <> 0 and id % 103 <> 0 and id % 107 <> 0 and verdict = 'DROPPED'))::bigint flows_emitted, (count(*) filter (where id % 101 <> 0 and id % 103 <> 0 and id % 107 <> 0 and verdict <> 'DROPPED'))::bigint non_dropped, (count(*) filter (where id % 101 = 0 or (id % 103 <> 0 and id % 107 = 0)))::bigint malformed, (3 * count(*) filter (where id % 101 <> 0 and id % 103 <> 0 and id % 107 = 0))::bigint lost_events from d",
     "capture_round_trip": _FLOWS + "select namespace, workload, rule_key, count(*)::bigint flow_count from r group by all",
+    "capture_files": _FLOWS + "select namespace, workload, rule_key, count(*)::bigint flow_count from r group by all",
     "namespace_filter": _FLOWS + "select direction, count(*)::bigint flows from d where verdict = 'DROPPED' and ((not no_target and ns0 in ('ns-1', 'ns-3')) or (not no_peer and peer_type = 'endpoint' and id % 3 = 1)) group by all",
     "lost_by_window": "with w as (select time_bucket(interval '1 hour', ts) window_start, sum(event_id % 5)::bigint lost from events where event_type = 'error' group by 1 having lost > 0) select window_start, lost, (sum(lost) over (order by window_start))::bigint running_total from w",
     "policy_atoms": _ATOMS + f"select {_KEY}, first_seq, selector from atoms",
@@ -119,6 +120,18 @@ union all select 'egress', 'companion', false, count(*), sum(n)::bigint, 0 from
     "merged_policies": _ATOMS + "select namespace, workload, count(*)::bigint atoms, (count(*) filter (where kind = 'http'))::bigint http, (count(*) filter (where kind = 'fqdn'))::bigint fqdn from atoms group by all",
     "merge_added": _ATOMS + f"select {_KEY} from a0 group by all having count(*) filter (where id % 3 <> 0) = 0",
     "policy_dedup": _FLOWS + f", al as ({_prints('true')}), li as ({_prints('id < 2000')}), wr as ({_prints('''workload = 'app-3' ''')}) select al.namespace, al.workload, case when li.p is not null then 'skip_live' when wr.p is not null then 'skip_written' else 'write' end disposition from al left join li on al.namespace = li.namespace and al.workload = li.workload and al.p = li.p left join wr on al.namespace = wr.namespace and al.workload = wr.workload and al.p = wr.p",
+    "policy_dedup_live": _FLOWS + f", al as ({_prints('true')}), li as ({_prints("namespace = 'ns-1' or (namespace = 'ns-2' and id % 4 < 2)")}), wr as ({_prints("namespace in ('ns-1', 'ns-3')")}) select al.namespace, al.workload, case when li.p is not null then 'skip_live' when wr.p is not null then 'skip_written' else 'write' end disposition from al left join li on al.namespace = li.namespace and al.workload = li.workload and al.p = li.p left join wr on al.namespace = wr.namespace and al.workload = wr.workload and al.p = wr.p",
+    "lifetime_keys": _FLOWS + f"""select 'unhandled' kind, count(*)::bigint keys from (select distinct disposition, concat_ws('|', case when direction = 'EGRESS' then {_OWN} else {_OTHER} end, case when direction = 'EGRESS' then {_OTHER} else {_OWN} end, coalesce(port, '0'), coalesce(proto, 'unknown'), direction) k from d where disposition in {_REJECTS}) having count(*) > 0
+  union all select 'reserved', count(distinct direction) from d where disposition = 'reserved_identity' having count(*) > 0
+  union all select 'workload', count(distinct ns || '/' || workload) from d where disposition = 'policy' having count(*) > 0""",
+    "policy_documents": _RULES + "select namespace, workload, words || case direction when 'ingress' then ' from ' else ' to ' end || case peer_type when 'entity' then 'entity ' || peer_key when 'cidr' then 'CIDR ' || peer_key else replace(selector, ',', ', ') end as comment from rl",
+    "evidence_documents": _FLOWS + """,
+n as (select *, row_number() over (partition by namespace, workload, rule_key order by id desc) place from r)
+select namespace, workload, rule_key, count(*)::bigint flow_count, min(ts) first_seen, max(ts) last_seen, 1::bigint sessions, least(count(*), 3)::bigint samples, max(ts) filter (where place <= 3) last_sample from n group by all""",
+    "latest_sessions": _FLOWS + f""",
+s as (select id % 3 = 0 late, (count(*) filter (where disposition in ('infra', 'transient') or disposition in {_POLICY_LIKE}))::bigint seen, (count(*) filter (where disposition in {_REJECTS}))::bigint un from d group by all),
+w as (select namespace, workload, count(distinct id % 3 = 0)::bigint sessions, bool_or(id % 3 = 0) late from o group by all)
+select namespace, workload, sessions, seen flows_ingested, un flows_unhandled from w join s using (late)""",
     "evidence_upsert": _FLOWS + r""",
 k as (select *, case when id % 3 = 0 then 2 else 1 end s from r),
 n as (select *, row_number() over (partition by namespace, workload, rule_key, s order by id desc) place from k),

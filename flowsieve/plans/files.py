@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``, which executors share. Without that setting a temporary one of this machine, which
+    only local mode can read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError(f"{name} on a cluster needs spark.checkpoint.dir")
+    if not root:
+        folder = tempfile.mkdtemp(prefix="flowsieve-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import dropclass, flow, labels, suggest
 from .operators import disposition, evidence, health, merge, policies, rules
-from .sources import capture
+from .plans import session
+from .plans.files import shared_folder
+from .sources import capture, stored
 
 PREFIX = "fs-"
 _NULL_ENDPOINT = "cast(null as struct<identity:bigint,namespace:string,labels:array<string>,pod_name:string>)"
@@ -100,19 +102,34 @@ def class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropclass.reasons(spark).groupBy("class").agg(F.count(F.lit(1)).alias("reasons"), F.count("hint").alias("hints"))
 
 
+def _capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows as lines (value, seq) of a capture."""
+    named = event_flows(spark, sf_dir).withColumnsRenamed({"direction": "traffic_direction", "drop_reason": "drop_reason_desc", "ip": "IP"})
+    return named.select(F.to_json(F.struct(F.struct([c for c in named.columns if c != "seq"]).alias("flow"))).alias("value"), "seq")
+
+
 def capture_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows written as lines of a capture, some spoilt, some blank, some of lost events, and scanned again."""
-    named = event_flows(spark, sf_dir).withColumnsRenamed({"direction": "traffic_direction", "drop_reason": "drop_reason_desc", "ip": "IP"})
-    line = F.to_json(F.struct(F.struct([c for c in named.columns if c != "seq"]).alias("flow")))
+    line = F.col("value")
     spoilt = F.when(F.col("seq") % 101 == 0, "not json").when(F.col("seq") % 103 == 0, "  ").when(F.col("seq") % 107 == 0, '{"lost_events":{"num_events_lost":3}}').otherwise(line)
-    parsed = capture.parse(named.select(spoilt.alias("value"), "seq"))
+    parsed = capture.parse(_capture_lines(spark, sf_dir).withColumn("value", spoilt))
     return capture.scan_counters(parsed).crossJoin(F.broadcast(capture.lost_events(parsed)))  # one row each
 
 
+def _attributed(flows: DataFrame) -> DataFrame:
+    return rules.attribution(rules.observations(disposition.dispose(flows))).select(*rules.RULE, "flow_count")
+
+
 def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = event_flows(spark, sf_dir).withColumnsRenamed({"direction": "traffic_direction", "drop_reason": "drop_reason_desc", "ip": "IP"})
-    lines = named.select(F.to_json(F.struct(F.struct([c for c in named.columns if c != "seq"]).alias("flow"))).alias("value"), "seq")
-    return rules.attribution(rules.observations(disposition.dispose(capture.flows(capture.parse(lines))))).select(*rules.RULE, "flow_count")
+    return _attributed(capture.flows(capture.parse(_capture_lines(spark, sf_dir))))
+
+
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows written as plain and as gzip files of one capture folder, and read from there."""
+    folder, lines = shared_folder(spark, "capture"), _capture_lines(spark, sf_dir)
+    lines.filter("seq % 2 = 0").select("value").write.text(folder)
+    lines.filter("seq % 2 <> 0").select("value").write.mode("append").text(folder, compression="gzip")
+    return _attributed(capture.read_flows(spark, folder))
 
 
 def namespace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +196,53 @@ def policy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.dispositions(merge.fingerprints(rules.atoms(seen)), early, written).select("namespace", "workload", "disposition")
 
 
+def policy_dedup_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One namespace is live as it is, one with half of its flows' rules, one was written before; all of them grow with the flows."""
+    seen = _observed(spark, sf_dir)
+    live = seen.filter("namespace = 'ns-1' or (namespace = 'ns-2' and seq % 4 < 2)")
+    written = seen.filter("namespace in ('ns-1', 'ns-3')")
+    return merge.dispositions(*[merge.fingerprints(rules.atoms(x)) for x in (seen, live, written)]).select("namespace", "workload", "disposition")
+
+
+def lifetime_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disposition.lifetime_keys(_disposed(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def _documents(spark: SparkSession, flows: DataFrame, after: session.Options | None = None) -> session.Options:
+    """A run over the flows that writes its documents to a new folder, or to that of the run before."""
+    folder = shared_folder(spark, "run")
+    options = after or session.Options(f"{folder}/policies", f"{folder}/evidence", samples=3)
+    session.run(flows, options)
+    return options
+
+
+def _evidence_files(options: session.Options) -> str:
+    return f"{options.evidence_dir}/{session.output_hash(options.output_dir)}/*/*.json"
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the policy documents that a run writes, by their comments, read back from the files."""
+    options = _documents(spark, event_flows(spark, sf_dir))
+    lines = spark.read.text(f"{options.output_dir}/*/*.yaml").select("value", F.col("_metadata.file_path").alias("path")).filter("value like '  # %'")
+    part = lambda n: F.element_at(F.split("path", "/"), n)
+    return lines.select(part(-2).alias("namespace"), F.replace(part(-1), F.lit(".yaml"), F.lit("")).alias("workload"), F.substr("value", F.lit(5)).alias("comment"))
+
+
+def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the evidence documents that a run writes, read back from the files."""
+    read = stored.read_evidence(spark, _evidence_files(_documents(spark, event_flows(spark, sf_dir))))
+    return read.select(*rules.RULE, "flow_count", "first_seen", "last_seen", F.size("sessions").cast("long").alias("sessions"), F.size("samples").cast("long").alias("samples"), F.element_at("samples", -1)["time"].alias("last_sample"))
+
+
+def latest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest session of each evidence document after two runs, and how many the document names."""
+    flows, late = event_flows(spark, sf_dir), F.col("seq") % 3 == 0
+    options = _documents(spark, flows.filter(late), _documents(spark, flows.filter(~late)))
+    read = stored.read_sessions(spark, _evidence_files(options)).groupBy("namespace", "workload")
+    newest = lambda c: F.max_by(c, "place").alias(c)
+    return read.agg(F.count(F.lit(1)).alias("sessions"), newest("flows_ingested"), newest("flows_unhandled"))
+
+
 def _session(seen: DataFrame, name: str) -> DataFrame:
     return evidence.session_rules(rules.attribution(seen), rules.samples(seen, 2), name)
 
@@ -259,8 +323,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rule_attribution, rule_attribution_l7, rule_samples, dispositions, dispositions_ignoring, ignored_flows, unhandled_flows, session_stats, drop_classes,
-        class_sizes, capture_counters, capture_round_trip, namespace_filter, lost_by_window, policy_atoms, policy_selectors, policy_rules, policy_rules_l7, dns_rules,
-        rule_comments, peer_selectors, merged_policies, merge_added, policy_dedup, evidence_upsert, evidence_sessions, explain_port, explain_cidr, explain_l7, explain_since,
+        class_sizes, capture_counters, capture_round_trip, capture_files, namespace_filter, lost_by_window, policy_atoms, policy_selectors, policy_rules, policy_rules_l7, dns_rules,
+        rule_comments, peer_selectors, merged_policies, merge_added, policy_dedup, policy_dedup_live, lifetime_keys, policy_documents, evidence_documents, latest_sessions, evidence_upsert, evidence_sessions, explain_port, explain_cidr, explain_l7, explain_since,
         health_counts, health_report, health_top, health_reasons, suggestions, label_names, page_paths, output_paths,
     )
 }

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.files import Files
+from ..plans.files import Files, shared_folder
 
 _ENDPOINT = "struct<identity:bigint,namespace:string,labels:array<string>,pod_name:string>"
 #: The fields that are read; their names are as in the files, where case matters.
@@ -29,16 +25,8 @@ _KNOWN = ["flow", "lost_events", "node_name", "time"]
 
 
 def _spooled(spark: SparkSession) -> str:
-    """Standard input as a file in the folder that executors share, written in chunks. Without such a folder a temporary one of this
-    machine, which only local mode can read."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("reading standard input on a cluster needs spark.checkpoint.dir")
-    if not root:
-        folder = tempfile.mkdtemp(prefix="flowsieve-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = f"file://{folder}"
-    path = f"{root.rstrip('/')}/stdin-{uuid.uuid4().hex}.jsonl"
+    """Standard input as a file in the folder that executors share, written in chunks."""
+    path = f"{shared_folder(spark, 'stdin')}.jsonl"
     raw = getattr(sys.stdin, "buffer", None)
     read = (lambda: raw.read(1 << 20)) if raw else (lambda: sys.stdin.read(1 << 20).encode())
     Files(spark).append_chunks(path, iter(read, b""))
