@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,14 +37,22 @@ def _first(pairs: Column, key: str) -> Column:
     return F.get(F.filter(pairs, lambda p: p["key"] == key), F.lit(0))
 
 
-def selected_pairs(labels: Column) -> Column:
-    """(key, value) that select the endpoint, sorted by key: the first label of the best priority key, else all (the last of a repeated key)."""
-    pairs = _pairs(labels)
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once a row, however often ``made`` names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _selected(pairs: Column) -> Column:
     best = F.coalesce(*[_first(pairs, k) for k in PRIORITY_KEYS])
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.transform(pairs, lambda q, j: (q["key"] == p["key"]) & (j > i)), lambda hit: hit))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.when(best.isNotNull(), F.array(best)).otherwise(F.array_sort(last))
 
 
+def selected_pairs(labels: Column) -> Column:
+    """(key, value) that select the endpoint, sorted by key: the first label of the best priority key, else all (the last of a repeated key)."""
+    return _once(_pairs(labels), _selected)
+
+
 def join_pairs(pairs: Column) -> Column:
     """``k=v`` of each, joined by commas."""
     return F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",")
@@ -56,16 +66,15 @@ def label_key(labels: Column) -> Column:
 def workload_name(labels: Column) -> Column:
     """Value of the best priority key, else all values sorted and joined by ``-``, else ``unknown``. Joined values are cut to 63 bytes of UTF-8,
     or to the last whole character before that."""
-    pairs = _pairs(labels)
-    best = F.coalesce(*[_first(pairs, k)["value"] for k in PRIORITY_KEYS])
-    joined = F.array_join(F.array_sort(F.transform(pairs, lambda p: p["value"])), "-")
-    first = lambda n: F.substring(joined.cast("binary"), 1, n).cast("string")
-    joined = F.when(F.octet_length(joined) <= NAME_LIMIT, joined).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(first(n)), first(n)) for n in range(NAME_LIMIT, NAME_LIMIT - 4, -1)]))
-    return F.when(F.size(pairs) == 0, F.lit("unknown")).otherwise(F.coalesce(best, joined))
+    first = lambda name, n: F.substring(name.cast("binary"), 1, n).cast("string")
+    cut = lambda name: F.when(F.octet_length(name) <= NAME_LIMIT, name).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(first(name, n)), first(name, n)) for n in range(NAME_LIMIT, NAME_LIMIT - 4, -1)]))
+    joined = lambda pairs: _once(F.array_join(F.array_sort(F.transform(pairs, lambda p: p["value"])), "-"), cut)
+    best = lambda pairs: F.coalesce(*[_first(pairs, k)["value"] for k in PRIORITY_KEYS], joined(pairs))
+    return _once(_pairs(labels), lambda pairs: F.when(F.size(pairs) == 0, F.lit("unknown")).otherwise(best(pairs)))
 
 
 def peer_selector(labels: Column, peer_namespace: Column, namespace: Column) -> Column:
     """Selecting labels as text for a policy: with the peer's namespace where it is not the policy's own."""
-    pairs = selected_pairs(labels)
     other = F.array(F.struct(F.lit(NAMESPACE_KEY).alias("key"), F.coalesce(peer_namespace, F.lit("")).alias("value")))
-    return join_pairs(F.when(F.coalesce(peer_namespace, F.lit("")) == namespace, pairs).otherwise(F.array_sort(F.concat(pairs, other))))
+    own = F.coalesce(peer_namespace, F.lit("")) == namespace
+    return _once(selected_pairs(labels), lambda pairs: join_pairs(F.when(own, pairs).otherwise(F.array_sort(F.concat(pairs, other)))))
