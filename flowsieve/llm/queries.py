@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, language, lines, lz, mixing, rules, sharding, toxicity
+from . import audit, bpe, chat, jaccard, language, lines, lz, mixing, rules, sharding, toxicity
 from .workspace import Workspace, documents
 
 N_SHARDS = 24
@@ -82,6 +82,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interaction_audit(audit.document_failures(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
@@ -150,5 +155,23 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || t ||
     + _ESC.format("t")
     + r"""))::bigint formatted_chars, 1::int "rank"
 from m group by conv_id
+""",
+    "op12_filter_audit": r"""
+with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+f as (select doc_id, part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+  + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int m from d),
+l as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+c as (select part, m, count(*) n, count(*) filter (where good) good, count(*) filter (where toxic) toxic from f left join l using (doc_id) group by part, m),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) letter, unnest([1, 2, 4, 8, 16]) b),
+o as (select x1.letter || x2.letter || x3.letter || x4.letter || x5.letter filter_order, [x1.b, x2.b, x3.b, x4.b, x5.b] bits
+  from x x1, x x2, x x3, x x4, x x5 where (x1.b | x2.b | x3.b | x4.b | x5.b) = 31),
+s as (select filter_order, step, bits[step] b, coalesce(list_sum(bits[1:step - 1]), 0)::int earlier from o, range(1, 6) r(step)),
+r as (select part, filter_order, step, b,
+  coalesce(sum(n) filter (where (m & (earlier | b)) = 0), 0) kept, coalesce(sum(n) filter (where (m & earlier) = 0 and (m & b) <> 0), 0) removed,
+  coalesce(sum(n) filter (where (m & earlier) <> 0 and (m & b) <> 0), 0) redundant, coalesce(sum(n) filter (where m = b), 0) unique_fails,
+  coalesce(sum(good) filter (where (m & earlier) = 0 and (m & b) <> 0), 0) good_lost, coalesce(sum(toxic) filter (where (m & earlier) = 0 and (m & b) <> 0), 0) toxic_lost
+  from c, s group by part, filter_order, step, b)
+select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails,
+  good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, b))::bigint shapley from r
 """,
 }
