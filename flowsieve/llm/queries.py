@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, jaccard, language, lines, lz, mixing, rules, sharding, toxicity
+from . import audit, bpe, chat, jaccard, language, lines, lz, mixing, packing, rules, sharding, toxicity
 from .workspace import Workspace, documents
 
 N_SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -86,6 +87,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interaction_audit(audit.document_failures(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer_file(PACKING_TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
     "op12_filter_audit": op12_filter_audit,
+    "op13_packing": op13_packing,
 }
 
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"

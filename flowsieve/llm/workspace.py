@@ -47,10 +47,10 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/flowsieve/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, table: str, files: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, table: str, files: int | None = None, compression: str | None = None) -> DataFrame:
         """The table as written; ``files`` bounds the number of its files (see ``files_for``)."""
         to = f"{self.path}/{table}"
-        (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(to)
+        (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(to, compression=compression)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, table: str = "") -> None:
