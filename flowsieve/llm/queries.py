@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, jaccard, language, lines, lz, mixing, packing, rules, sharding, toxicity
+from . import audit, bpe, chat, jaccard, language, lines, lz, mixing, negatives, packing, rules, sharding, toxicity
 from .workspace import Workspace, documents
 
 N_SHARDS = 24
@@ -83,6 +83,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interaction_audit(audit.document_failures(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_filter_audit": op12_filter_audit,
     "op13_packing": op13_packing,
 }
@@ -162,6 +168,16 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || t ||
     + _ESC.format("t")
     + r"""))::bigint formatted_chars, 1::int "rank"
 from m group by conv_id
+""",
+    "op11_hard_negatives": r"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id a, b.vec_id b, a.l = b.l same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint s
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a anchor_id, p.b positive_id, (row_number() over (partition by p.a, p.b order by n.s desc, n.b))::int "rank", n.b negative_id, p.s positive_score, n.s negative_score
+from p join s n on n.a = p.a and not n.same and 80 * p.s <= 100 * n.s and 100 * n.s <= 100 * p.s
+qualify row_number() over (partition by p.a, p.b order by n.s desc, n.b) <= 5
 """,
     "op12_filter_audit": r"""
 with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
