@@ -15,6 +15,8 @@ once, to their places.
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -29,37 +31,61 @@ from .workspace import Workspace, arrow_map
 LENGTH, END = 2048, 1
 #: Documents in a run of a source's queue on average; windows in a run of the whole order; runs in a group of runs.
 RUN_DOCS, RUN_WINDOWS, GROUP = 4096, 64, 1024
-#: Bytes of text at once; distinct words that a worker remembers.
-CHUNK, CACHE = 1 << 20, 200_000
+#: Bytes of text at once; distinct words that a worker remembers; words that go through the library as one text.
+CHUNK, CACHE, JOINED = 1 << 20, 200_000, 1000
 
 
 class Encoder:
     """Token ids of texts by a tokenizer that takes words between white space apart, each by itself.
 
-    The library encodes each distinct word once; a worker remembers about CACHE of them."""
+    The library encodes each distinct word once; a worker remembers between CACHE and twice as many of them, those met last."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
+        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = plain[0] if plain else None
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words. Words without the tokenizer's mark, a special token, go through the library joined by it, many at once: it cuts there before anything else."""
+        joined = [w for w in words if self.mark[1] not in w] if self.mark else []
+        alone = [w for w in words if self.mark[1] in w] if self.mark else words
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield w, array("I", e.ids).tobytes()
+        groups = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark[1].join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark[0])
+            raw, begins, ends = ids.tobytes(), [0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(ids) * 4]
+            yield from zip(group, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each with ``end`` after it, and where each text's ids end."""
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten()
         coded = flat.dictionary_encode()
-        names, which = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        names, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
         if len(self.known) > CACHE:
-            self.known = {}
-        new = [w for w in names if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        each = [self.known[w] for w in names]
-        pool = np.concatenate([*each, np.array([end], np.uint32)])
-        sizes = np.array([*map(len, each), 1])
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in names:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        known.update(self._encode_words(new))
+        each = [known[w] for w in names]
+        pool = np.frombuffer(b"".join([*each, array("I", [end]).tobytes()]), np.uint32)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        sizes = np.append(sizes, 1)
         begins = np.cumsum(sizes) - sizes
         counts = np.diff(words.offsets.to_numpy() if len(words) else np.zeros(1, np.int32))
         # the words of all texts, and after each text's the end, which is the pool's last entry
