@@ -15,9 +15,10 @@ once, to their places.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -32,27 +33,59 @@ LENGTH, END = 2048, 1
 #: Documents in a run of a source's queue on average; windows in a run of the whole order; runs in a group of runs.
 RUN_DOCS, RUN_WINDOWS, GROUP = 4096, 64, 1024
 #: Bytes of text at once; distinct words that a worker remembers; words that go through the library as one text.
-CHUNK, CACHE, JOINED = 1 << 20, 200_000, 1000
+CHUNK, CACHE, JOINED = 1 << 20, 150_000, 1000
+
+
+# How the public word tokenizer normalises and cuts text, and the characters for which Python's own tables give the same.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PLAIN = "[\\x21-\\x7e\\xa1-\\u012f\\u0131-\\u02ff]+"
+
+
+class Recent:
+    """A dictionary of between ``CACHE`` and twice as many entries, those met last."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those that aren't remembered; all others are in ``young`` from now on."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 class Encoder:
     """Token ids of texts by a tokenizer that takes words between white space apart, each by itself.
 
-    The library encodes each distinct word once; a worker remembers between CACHE and twice as many of them, those met last."""
+    The library encodes each distinct word that isn't remembered, or, for the public word tokenizer and words of Latin letters, each distinct part that it cuts them into."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
-        self.mark = plain[0] if plain else None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = marks[0] if marks else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, cuts = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = normal == _NORMAL and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[0].get("invert") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.plain, self.cut = regex.compile(_PLAIN).fullmatch if known else lambda w: None, regex.compile(_CUT).findall
+        self.words, self.parts = Recent(), Recent()
+
+    def _by_library(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words. Words without the tokenizer's mark, a special token, go through the library joined by it, many at once: it cuts there before anything else."""
         joined = [w for w in words if self.mark[1] not in w] if self.mark else []
         alone = [w for w in words if self.mark[1] in w] if self.mark else words
@@ -65,27 +98,32 @@ class Encoder:
             raw, begins, ends = ids.tobytes(), [0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(ids) * 4]
             yield from zip(group, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True)
 
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        cut, whole = [], []
+        for w in words:
+            if "<|" not in w and self.plain(w):
+                cut.append((w, self.cut(w.lower())))
+            else:
+                whole.append(w)
+        yield from self._by_library(whole)
+        new = self.parts.missing({p for _, parts in cut for p in parts})
+        self.parts.young.update(self._by_library(new))
+        ids = self.parts.young
+        for w, parts in cut:
+            yield w, b"".join([ids[p] for p in parts])
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each with ``end`` after it, and where each text's ids end."""
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten()
         coded = flat.dictionary_encode()
         names, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for w in names:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        known.update(self._encode_words(new))
+        new = self.words.missing(names)
+        self.words.young.update(self._encode_words(new))
+        known = self.words.young
         each = [known[w] for w in names]
         pool = np.frombuffer(b"".join([*each, array("I", [end]).tobytes()]), np.uint32)
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        sizes = np.append(sizes, 1)
+        sizes = np.append(np.fromiter(map(len, each), np.int64, len(each)) // 4, 1)
         begins = np.cumsum(sizes) - sizes
         counts = np.diff(words.offsets.to_numpy() if len(words) else np.zeros(1, np.int32))
         # the words of all texts, and after each text's the end, which is the pool's last entry

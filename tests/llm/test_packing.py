@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -37,6 +38,14 @@ def test_encodes_as_the_library(library, monkeypatch):
         assert got == [want_ids(library, t) for t in texts[a : a + 40]]
 
 
+def test_latin_words_are_cut_as_the_library_does(library):
+    rnd = random.Random(5)
+    letters = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA0, 0x300)])) + "'''aeioust'" + "$<|"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(4000)] + ["it's", "I'LL", "'s't", "x'", "<|", "A1b22'd", "<|ENDOFTEXT|>", "İstanbul", "ǅ", "ª1²"]
+    ids, ends = packing.Encoder(PATH).encode(pa.array(words), 1)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [want_ids(library, w) for w in words]
+
+
 def test_long_texts_in_parts(library, monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 100)
     text = "some words, \n and more's 12 " * 300 + "z" * 500 + " end"
