@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
@@ -39,7 +41,7 @@ CHUNK, CACHE, JOINED = 1 << 20, 150_000, 1000
 # How the public word tokenizer normalises and cuts text, and the characters for which Python's own tables give the same.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_PLAIN = "[\\x21-\\x7e\\xa1-\\u012f\\u0131-\\u02ff]+"
+_PLAIN = [c for c in (*range(0x21, 0x7F), *range(0xA1, 0x300)) if all(0x20 < ord(x) < 0x300 for x in chr(c).lower())]
 
 
 class Recent:
@@ -69,7 +71,6 @@ class Encoder:
     The library encodes each distinct word that isn't remembered, or, for the public word tokenizer and words of Latin letters, each distinct part that it cuts them into."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -82,7 +83,10 @@ class Encoder:
             spec = json.load(f)
         normal, cuts = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         known = normal == _NORMAL and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[0].get("invert") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
-        self.plain, self.cut = regex.compile(_PLAIN).fullmatch if known else lambda w: None, regex.compile(_CUT).findall
+        of = lambda kind: "".join(f"\\u{c:04x}" for c in _PLAIN if unicodedata.category(chr(c))[0] == kind)
+        every = "".join(f"\\u{c:04x}" for c in _PLAIN)
+        self.plain = re.compile(f"[{every}]+").fullmatch if known else lambda w: None
+        self.cut = re.compile("\n|" + _CUT.replace("[^\\s\\p{L}\\p{N}]", f"[^\n{of('L')}{of('N')}]").replace("\\p{L}", of("L")).replace("\\p{N}", of("N"))).findall
         self.words, self.parts = Recent(), Recent()
 
     def _by_library(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -99,18 +103,20 @@ class Encoder:
             yield from zip(group, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True)
 
     def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        cut, whole = [], []
-        for w in words:
-            if "<|" not in w and self.plain(w):
-                cut.append((w, self.cut(w.lower())))
-            else:
-                whole.append(w)
-        yield from self._by_library(whole)
-        new = self.parts.missing({p for _, parts in cut for p in parts})
+        plain = [w for w in words if "<|" not in w and self.plain(w)]
+        chosen = set(plain)
+        yield from self._by_library([w for w in words if w not in chosen])
+        if not plain:
+            return
+        parts = self.cut("\n".join(plain).lower())  # each word's parts, then a line feed
+        new = self.parts.missing({*parts} - {"\n"})
         self.parts.young.update(self._by_library(new))
-        ids = self.parts.young
-        for w, parts in cut:
-            yield w, b"".join([ids[p] for p in parts])
+        self.parts.young["\n"] = b""
+        ids = [self.parts.young[p] for p in parts]
+        at = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = [*at[[i for i, p in enumerate(parts) if p == "\n"]].tolist(), int(at[-1])]
+        raw = b"".join(ids)
+        yield from zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each with ``end`` after it, and where each text's ids end."""
