@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions import suggest
 from .operators import disposition, evidence
 from .plans import render, session
-from .sources import capture, stored
+from .sources import capture, relay, stored
 from .streaming import live
 
 
@@ -47,8 +47,9 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("replay", help="policies from a capture file, folder or - for standard input")
     p.add_argument("capture")
     _common(p)
-    p = sub.add_parser("generate", help="policies from captures as they come into a folder")
-    p.add_argument("folder")
+    p = sub.add_parser("generate", help="policies from flows as they come: from a relay, or captures in a folder")
+    p.add_argument("folder", nargs="?")
+    p.add_argument("--server", metavar="HOST:PORT", help="a live relay instead of a folder; it is asked for dropped flows of the namespaces only")
     p.add_argument("--flush-interval", default="5 seconds")
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--max-files", type=int, help="files that one flush takes at most")
@@ -91,6 +92,8 @@ def _show(result: session.Result, diffs: bool) -> int:
         print(d, end="")
     print(json.dumps({**result.stats, "policies_written": len(result.written), "policies_skipped": len(result.skipped), "policies_unchanged": len(result.unchanged), "policies_would_write": len(result.diffs)}))
     print(result.health, end="")
+    for w in result.warnings:
+        print(f"warning: {w}", file=sys.stderr)
     return result.exit_code
 
 
@@ -99,7 +102,9 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.command == "explain":
             return _explain(a)
-        options = _options(a, {"type": "replay", "file": a.capture} if a.command == "replay" else {"type": "live", "server": a.folder})
+        options = _options(a, {"type": "replay", "file": a.capture} if a.command == "replay" else {"type": "live", "server": a.server or a.folder})
+        if a.command == "generate" and bool(a.folder) == bool(a.server):
+            raise ValueError("generate follows a folder or --server, one of them")
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
@@ -107,26 +112,32 @@ def main(argv: list[str] | None = None) -> int:
     known = stored.live_atoms(spark, a.cluster_dedup, options.manager, options.prefix) if a.cluster_dedup else None
     if a.command == "generate":
         return _generate(spark, a, options, known)
-    flows = capture.read_flows(spark, a.capture, a.strict).filter(capture.in_namespaces(a.namespace))
-    return _show(session.run(flows, options, known), not a.no_diff)
+    parsed, scan = capture.observed(capture.parse(capture.lines(spark, a.capture), a.strict))
+    result = session.run(capture.flows(parsed).filter(capture.in_namespaces(a.namespace)), options, known, scan=scan)
+    code = _show(result, not a.no_diff)
+    if result.stats["lost_events"]:
+        print(f"warning: {result.stats['lost_events']} events lost in all", file=sys.stderr)
+    return code
 
 
 def _generate(spark: SparkSession, a: argparse.Namespace, options: session.Options, known: DataFrame | None) -> int:
-    """Follows a folder until a signal to stop; then the batch on its way ends, what has come meanwhile is flushed, and the session is closed."""
+    """Follows a relay or folder until a signal to stop; then the batch on its way ends, what has come meanwhile is flushed, and the session is closed."""
     asked, codes, run = threading.Event(), [0], session.Session.begin()
-    flows = capture.stream_flows(spark, a.folder, a.max_files, strict=a.strict).filter(capture.in_namespaces(a.namespace))
+    lines = relay.stream(spark, a.server, a.namespace) if a.server else capture.stream_lines(spark, a.folder, a.max_files)
+    more = {"session": run, "live": known, "namespaces": a.namespace, "strict": a.strict}
     show = lambda r: codes.append(_show(r, not a.no_diff))
     before = {s: signal.signal(s, lambda *_: asked.set()) for s in (signal.SIGINT, signal.SIGTERM)} if threading.current_thread() is threading.main_thread() else {}
     try:
-        query = live.start(flows, options, a.checkpoint, None if a.once else a.flush_interval, session=run, live=known, show=show)
+        query = live.start(lines, options, a.checkpoint, None if a.once else a.flush_interval, show=show, **more)
         while query.isActive and not asked.is_set():
             query.awaitTermination(0.5)
         if query.isActive:
             live.stop_after_batch(query)
-            live.start(flows, options, a.checkpoint, None, session=run, live=known, show=show).awaitTermination()
+            live.start(lines, options, a.checkpoint, None, show=show, **more).awaitTermination()
         elif query.exception():
             raise query.exception()
-        session.finish(spark, run, options)
+        if lost := session.finish(spark, run, options):
+            print(f"warning: {lost}", file=sys.stderr)
     finally:
         for s, handler in before.items():
             signal.signal(s, handler)

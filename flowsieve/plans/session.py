@@ -10,12 +10,13 @@ import hashlib
 import itertools
 import json
 import os
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dropclass
@@ -46,6 +47,10 @@ class Options:
     source: dict[str, str] = field(default_factory=dict)
 
 
+#: Seconds between two reports of lost events.
+LOSS_PERIOD = 30.0
+
+
 @dataclass
 class Result:
     stats: dict[str, Any] = field(default_factory=dict)
@@ -54,6 +59,7 @@ class Result:
     unchanged: list[str] = field(default_factory=list)
     diffs: list[str] = field(default_factory=list)
     health: str = ""
+    warnings: list[str] = field(default_factory=list)
     exit_code: int = 0
 
 
@@ -66,6 +72,17 @@ class Session:
     flows_seen: int = 0
     flows_unhandled: int = 0
     touched: set[str] = field(default_factory=set)
+    lost: int = 0
+    lost_lately: int = 0
+    said: float = field(default_factory=time.monotonic)
+
+    def count_lost(self, events: int, now: float | None = None, period: float = LOSS_PERIOD) -> str:
+        """Adds events that the source lost; what to say of them, once a period and only if there are any."""
+        self.lost, self.lost_lately, now = self.lost + events, self.lost_lately + events, time.monotonic() if now is None else now
+        if now - self.said < period:
+            return ""
+        lately, self.lost_lately, self.said = self.lost_lately, 0, now
+        return f"{lately} events lost lately, {self.lost} in all; a larger buffer at the source may help" if lately else ""
 
     @classmethod
     def begin(cls) -> Session:
@@ -113,15 +130,18 @@ def _with_documents(spark: SparkSession, stored: DataFrame, out: str, files: Fil
 FINGERPRINTS = "namespace string, workload string, fingerprint string"
 
 
-def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch: Batch | None = None) -> Result:
+def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch: Batch | None = None, scan: Observation | None = None) -> Result:
     """Flows to documents. ``live`` has the atoms of policies in the cluster; equal ones are not written again. In a ``batch`` of a stream,
-    a policy equal to the one that the stream made last is left alone as well, and keys that the stream saw before count as old."""
+    a policy equal to the one that the stream made last is left alone as well, and keys that the stream saw before count as old. ``scan`` are the counters of
+    the lines (``capture.observed``) that the flows come from; the run's first pass fills them."""
     spark, files, result = flows.sparkSession, Files(flows.sparkSession), Result()
     session = batch.session if batch else Session.begin()
     out, home = options.output_dir, f"{options.evidence_dir}/{output_hash(options.output_dir)}"
     state = State(spark, out)
     disposed = disposition.dispose(flows, options.ignore_reasons, options.ignore_protocols).persist()
-    result.stats = disposition.session_stats(disposed).first().asDict()
+    result.stats = disposition.session_stats(disposed).first().asDict() | (scan.get if scan else {})
+    if lost := session.count_lost(result.stats.get("lost_events", 0)):
+        result.warnings.append(lost)
     if batch and not options.dry_run:
         new = disposition.lifetime_keys(disposed).join(state.seen(), ["kind", "key"], "left_anti")
         result.stats["keys_first_seen"] = state.add_seen(new)
@@ -204,13 +224,14 @@ def _write_evidence(spark: SparkSession, seen: DataFrame, home: str, options: Op
         session.touched.add(path)
 
 
-def finish(spark: SparkSession, session: Session, options: Options) -> None:
-    """Gives every evidence document of a run the run's last counters."""
+def finish(spark: SparkSession, session: Session, options: Options) -> str:
+    """Gives every evidence document of a run the run's last counters. What to say of events lost in all."""
     files = Files(spark)
     for path in sorted(session.touched):
         doc = json.loads(files.read(path))
         doc["sessions"] = _with_session(doc["sessions"], session, options)
         files.write(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
+    return f"{session.lost} events lost in all" if session.lost else ""
 
 
 def _time(t: datetime | None) -> str | None:

@@ -28,9 +28,16 @@ class State:
         self.now: dict[str, Any] = json.loads(self.files.read(f"{self.root}/commit-{self.number}.json")) if commits else {}
 
     def table(self, name: str, schema) -> DataFrame:
-        """The table as last committed; empty where there is none."""
+        """The table as last committed; empty where none was. One that the commit names and that is gone raises: going on would lose what was stored."""
         path = self.now.get("tables", {}).get(name)
-        return self.spark.read.schema(schema).parquet(path) if path and self.files.exists(path) else self.spark.createDataFrame([], schema)
+        if path is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._there(path))
+
+    def _there(self, path: str) -> str:
+        if not self.files.exists(path):
+            raise FileNotFoundError(f"the state in {self.root} names {path}, which is gone")
+        return path
 
     def put(self, df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
         """Writes the table that the next commit names."""
@@ -44,7 +51,7 @@ class State:
         return self.now.get("batches", {}).get(stream, -1)
 
     def seen(self) -> DataFrame:
-        paths = [p for p in self.now.get("seen", []) if self.files.exists(p)]
+        paths = [self._there(p) for p in self.now.get("seen", [])]
         return self.spark.read.schema(SEEN).parquet(*paths) if paths else self.spark.createDataFrame([], SEEN)
 
     def add_seen(self, new: DataFrame) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,17 +33,62 @@ def _spooled(spark: SparkSession) -> str:
     return path
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (value, seq) of a file, a folder or standard input (``-``). A missing path raises.
+#: Splits that the driver sums and broadcasts at most, some 200 bytes each; runs of splits that are summed apart where there are more.
+SPLITS, RUNS = 50_000, 256
+
+
+def _running(counts: DataFrame, order: list[str]) -> DataFrame:
+    """``counts`` (order, n) with ``before``: the sum of n over all earlier rows. Rows fall into about RUNS runs between keys that a sample of at most that many
+    gives; sums are taken within runs and over the runs, so no window holds all rows."""
+    key = F.struct(*order)
+    bounds = [tuple(r) for r in counts.orderBy(F.xxhash64(*order), *order).limit(RUNS).select(*order).collect()]
+    if not bounds:
+        return counts.withColumn("before", F.lit(0).cast("long"))
+    places = F.broadcast(counts.sparkSession.createDataFrame([(sorted(bounds),)], f"bounds array<{counts.select(key.alias('k')).schema['k'].dataType.simpleString()}>"))  # one row
+    cut = counts.join(places).withColumn("run", F.size(F.filter("bounds", lambda b: b <= key))).drop("bounds")
+    sums = cut.groupBy("run").agg(F.sum("n").alias("s"))
+    first = sums.select("run", F.coalesce(F.sum("s").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # RUNS + 1 rows at most
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("inside", inside).join(F.broadcast(first), "run").withColumn("before", F.col("first") + F.col("inside")).drop("run", "first", "inside")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Lines (value, seq) of rows with value, file and begun (lines of files) or value, node and position (events of a relay).
+
+    seq is the arrival order, from 0 without gaps: by file name and place in the file, or by node and place there, however Spark cuts and packs them into
+    tasks. A first pass counts the lines of each split. Up to SPLITS of them are summed by the driver and broadcast; more are summed by Spark and joined."""
+    live = "node" in rows.columns
+    split = ["node"] if live else ["file", "begun"]
+    if live:
+        within = F.row_number().over(Window.partitionBy("node").orderBy("position")).cast("long") - 1  # a node's events of one batch
+        named = rows.select("value", "node", within.alias("at"))
+        counts = rows.groupBy("node").agg(F.lit(0).cast("long").alias("low"), F.count(F.lit(1)).alias("n"))
+    else:
+        named = rows.select("value", *split, F.monotonically_increasing_id().alias("at"))
+        counts = named.groupBy(*split).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    taken = counts.limit(SPLITS + 1).collect()
+    if len(taken) <= SPLITS:
+        before, shifts = 0, []
+        for r in sorted(taken, key=lambda r: tuple(r[c] for c in split)):
+            shifts.append((*[r[c] for c in split], before - r["low"]))
+            before += r["n"]
+        kinds = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in split)
+        joined = named.join(F.broadcast(rows.sparkSession.createDataFrame(shifts, f"{kinds}, shift long")), split)
+    else:
+        written = shared_folder(rows.sparkSession, "splits")
+        counts.write.parquet(written)
+        held = _running(rows.sparkSession.read.schema(counts.schema).parquet(written), split)
+        joined = named.join(held.select(*split, (F.col("before") - F.col("low")).alias("shift")), split)
+    return joined.select("value", (F.col("at") + F.col("shift")).alias("seq"))
+
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begun"))
+
 
-    seq is the arrival order, from 0 without gaps: by file name, then by place in the file, however the files are cut and packed into
-    tasks. A first pass counts the lines of each split; there are as many counts as splits. Gzip is read in one task a file."""
-    rows = spark.read.text(_spooled(spark) if path == "-" else path)
-    split = ["file", "begun"]
-    named = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begun"), F.monotonically_increasing_id().alias("at"))
-    counts = named.groupBy(*split).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return named.join(F.broadcast(counts.select(*split, (before - F.col("low")).alias("shift"))), split).select("value", (F.col("at") + F.col("shift")).alias("seq"))
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value, seq) of a file, a folder or standard input (``-``); see ``numbered``. A missing path raises. Gzip is read in one task a file."""
+    return numbered(_with_place(spark.read.text(_spooled(spark) if path == "-" else path)))
 
 
 def parse(rows: DataFrame, strict: bool = False) -> DataFrame:
@@ -60,10 +105,22 @@ def parse(rows: DataFrame, strict: bool = False) -> DataFrame:
     return got.withColumn("line_kind", kind).drop("__text")
 
 
+def counters() -> list[Column]:
+    """lines_read, flows_emitted, non_dropped, malformed and lost_events over parsed lines. Blank lines count as read and nothing else."""
+    count = lambda name, *kinds: F.count_if(F.col("line_kind").isin(*kinds)).alias(name)
+    lost = F.coalesce(F.sum("envelope.lost_events.num_events_lost"), F.lit(0)).alias("lost_events")
+    return [F.count(F.lit(1)).alias("lines_read"), count("flows_emitted", "flow"), count("non_dropped", "non_dropped"), count("malformed", "malformed", "lost"), lost]
+
+
 def scan_counters(parsed: DataFrame) -> DataFrame:
-    """One row: lines_read, flows_emitted, non_dropped, malformed. Blank lines count as read and nothing else."""
-    count = lambda *kinds: F.count_if(F.col("line_kind").isin(*kinds)).alias
-    return parsed.agg(F.count(F.lit(1)).alias("lines_read"), count("flow")("flows_emitted"), count("non_dropped")("non_dropped"), count("malformed", "lost")("malformed"))
+    """One row: lines_read, flows_emitted, non_dropped, malformed."""
+    return parsed.agg(*counters()).drop("lost_events")
+
+
+def observed(parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    """``parsed`` that counts as it is read for the first time: the observation has the ``counters`` then, without a scan of their own."""
+    watch = Observation()
+    return parsed.observe(watch, *counters()), watch
 
 
 def flows(parsed: DataFrame) -> DataFrame:
@@ -81,10 +138,10 @@ def read_flows(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return flows(parse(lines(spark, path), strict))
 
 
-def stream_flows(spark: SparkSession, folder: str, max_files: int | None = None, strict: bool = False) -> DataFrame:
-    """Flows of files as they come into a folder. seq is 0 here: ``streaming.live`` numbers the rows of each micro-batch."""
+def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Lines of files as they come into a folder, with their file and place; ``streaming.live`` numbers and parses those of each micro-batch."""
     reader = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
-    return flows(parse(reader.text(folder).withColumn("seq", F.lit(0).cast("long")), strict))
+    return _with_place(reader.text(folder))
 
 
 def in_namespaces(names: Sequence[str]) -> Column:

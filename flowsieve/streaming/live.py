@@ -8,15 +8,15 @@ skipped, and another stream into the same output starts with its own first batch
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import session as runs
 from ..plans.session import Batch, Options, Result, Session
 from ..plans.state import State
+from ..sources import capture
 
 
 def stream_id(spark, checkpoint: str) -> str:
@@ -24,13 +24,20 @@ def stream_id(spark, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def _step(options: Options, checkpoint: str, session: Session, live: DataFrame | None, results: list[Result] | None, show: Callable[[Result], None] | None) -> Callable[[DataFrame, int], None]:
+def _step(options: Options, checkpoint: str, session: Session, live: DataFrame | None, results: list[Result] | None, show: Callable[[Result], None] | None, namespaces: Sequence[str], strict: bool) -> Callable[[DataFrame, int], None]:
     def handle(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         stream = stream_id(spark, checkpoint)
-        if rows.isEmpty() or (not options.dry_run and number <= State(spark, options.output_dir).batch(stream)):
+        if not options.dry_run and number <= State(spark, options.output_dir).batch(stream):
             return
-        result = runs.run(rows.withColumn("seq", F.monotonically_increasing_id()), options, live, Batch(stream, number, session))
+        kept = rows.persist()  # a relay is asked once for a batch
+        try:
+            if kept.isEmpty():
+                return
+            parsed, scan = capture.observed(capture.parse(capture.numbered(kept), strict))
+            result = runs.run(capture.flows(parsed).filter(capture.in_namespaces(namespaces)), options, live, Batch(stream, number, session), scan)
+        finally:
+            kept.unpersist()
         if results is not None:
             results.append(result)
         if show:
@@ -40,13 +47,13 @@ def _step(options: Options, checkpoint: str, session: Session, live: DataFrame |
 
 
 def start(
-    flows: DataFrame, options: Options, checkpoint: str, every: str | None = "5 seconds", results: list[Result] | None = None, session: Session | None = None,
-    live: DataFrame | None = None, show: Callable[[Result], None] | None = None,
+    lines: DataFrame, options: Options, checkpoint: str, every: str | None = "5 seconds", results: list[Result] | None = None, session: Session | None = None,
+    live: DataFrame | None = None, show: Callable[[Result], None] | None = None, namespaces: Sequence[str] = (), strict: bool = False,
 ) -> StreamingQuery:
-    """Starts the run over a stream of flows: ``every`` so often, or over all that is there and no more where that is None.
+    """Starts the run over a stream of lines (``capture.stream_lines`` or ``relay.stream``): ``every`` so often, or over all that is there and no more where that is None.
 
     All its batches are one session of evidence; ``session`` goes on with one that was begun, and ``finish`` closes it."""
-    writer = flows.writeStream.foreachBatch(_step(options, checkpoint, session or Session.begin(), live, results, show)).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(_step(options, checkpoint, session or Session.begin(), live, results, show, namespaces, strict)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

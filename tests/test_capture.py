@@ -61,7 +61,10 @@ def test_snapshot_keeps_the_later_of_equal_names(spark):
     assert sorted(tuple(r) for r in capture.snapshot([a, b], "me").collect()) == [("m", "p", "me", 3), ("n", "p", "me", 2)]
 
 
-def test_arrival_order_goes_by_file_name(spark, tmp_path):
+@pytest.mark.parametrize("few", [50_000, 1])
+def test_arrival_order_goes_by_file_name(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(capture, "SPLITS", few)
+    monkeypatch.setattr(capture, "RUNS", 4)
     (tmp_path / "a.jsonl").write_text("first")
     (tmp_path / "b.jsonl").write_text("\n".join(f"{i:03d}" + "x" * 200 for i in range(50)))
     (tmp_path / "c.jsonl.gz").write_bytes(gzip.compress(b"p\nq\n"))
@@ -75,6 +78,14 @@ def test_arrival_order_goes_by_file_name(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_counters_come_with_the_first_pass(spark, tmp_path):
+    path = tmp_path / "c.jsonl"
+    path.write_text("\n".join([line(0), "", line(1, verdict="FORWARDED"), "no json", '{"lost_events":{"num_events_lost":7}}']))
+    parsed, scan = capture.observed(capture.parse(capture.lines(spark, str(path))))
+    assert capture.flows(parsed).count() == 1
+    assert scan.get == {"lines_read": 5, "flows_emitted": 1, "non_dropped": 1, "malformed": 2, "lost_events": 7}
+
+
 def test_long_and_wide_labels(spark):
     from pyspark.sql import functions as F
 

@@ -103,7 +103,7 @@ def test_stream_equals_batch(spark, place):
     shutil.rmtree(place / "out")
     shutil.rmtree(place / "ev")
     results = []
-    query = live.start(capture.stream_flows(spark, str(folder), 3), options(place, l7=True), str(place / "ck"), None, results)
+    query = live.start(capture.stream_lines(spark, str(folder), 3), options(place, l7=True), str(place / "ck"), None, results)
     query.awaitTermination()
     assert len(results) == 2 and whole.written
     assert key(table(spark, place, "rules")) == want
@@ -119,7 +119,7 @@ def stream(spark, place, folder, checkpoint, texts, **more):
         os.utime(path, (1_700_000_000 + i,) * 2)  # files come in the order of their times
     results, run = [], session.Session.begin()
     made = options(place, l7=True, **more)
-    live.start(capture.stream_flows(spark, str(place / folder), 1), made, str(place / checkpoint), None, results, run).awaitTermination()
+    live.start(capture.stream_lines(spark, str(place / folder), 1), made, str(place / checkpoint), None, results, run).awaitTermination()
     session.finish(spark, run, made)
     return results
 
@@ -195,6 +195,46 @@ def test_live_policies_from_documents(spark, place):
     assert [(r["namespace"], r["workload"], r["peer_key"], r["port"]) for r in rows] == [("prod", "server", "host", "1")]
 
 
+def test_a_stream_numbers_lines_by_file_and_place(spark, place):
+    (place / "in").mkdir()
+    (place / "in/a.jsonl").write_text(line(0, own=["k8s:app=server", "k8s:v=first"]))
+    (place / "in/b.jsonl").write_text("\n".join(line(i % 60, own=["k8s:app=server", "k8s:v=late"]) for i in range(1, 51)))
+    live.start(capture.stream_lines(spark, str(place / "in")), options(place), str(place / "ck"), None).awaitTermination()
+    stored = table(spark, place, "atoms").agg({"first_seq": "max"}).first()[0]
+    assert stored == 0 and "app: server" in (place / "out/prod/server.yaml").read_text()
+    rows = sorted((r["seq"], r["value"]) for r in capture.lines(spark, str(place / "in")).collect())
+    assert [n for n, _ in rows] == list(range(51)) and "first" in rows[0][1]
+
+
+def test_losses_are_told_once_a_period_and_in_all(spark, place, monkeypatch):
+    lost = lambda n: '{"lost_events":{"num_events_lost":%d}}' % n
+    monkeypatch.setattr(session, "LOSS_PERIOD", 0.0)
+    run = session.Session.begin()
+    run.said -= 60
+    assert run.count_lost(4, run.said + 10) == "" and "9 events lost lately, 9 in all" in run.count_lost(5, run.said + 31)
+    assert run.count_lost(0, run.said + 31) == "" and "1 events lost lately, 10 in all" in run.count_lost(1, run.said + 62)
+    results = stream(spark, place, "a", "ck", [line(0) + "\n" + lost(3) + "\n" + lost(2), line(1), line(2) + "\n" + lost(7)])
+    assert [r.stats["lost_events"] for r in results] == [5, 0, 7] and [r.stats["lines_read"] for r in results] == [3, 1, 2]
+
+
+def test_replay_tells_what_it_read(spark, place, capsys):
+    (place / "c.jsonl").write_text("\n".join([*LINES, "", "odd", line(9, verdict="FORWARDED"), '{"lost_events":{"num_events_lost":3}}']))
+    assert cli.main(["replay", str(place / "c.jsonl"), "-o", str(place / "out"), "--no-evidence"]) == 0
+    said = capsys.readouterr()
+    told = json.loads(said.out.splitlines()[0])
+    assert {k: told[k] for k in ("lines_read", "flows_emitted", "non_dropped", "malformed", "lost_events")} == {"lines_read": 9, "flows_emitted": 5, "non_dropped": 1, "malformed": 2, "lost_events": 3}
+    assert "3 events lost in all" in said.err
+
+
+def test_a_state_table_that_is_gone_raises(spark, place):
+    replay(spark, place)
+    for folder in (place / "out/.state").iterdir():
+        if folder.is_dir():
+            shutil.rmtree(folder)
+    with pytest.raises(FileNotFoundError, match="gone"):
+        replay(spark, place)
+
+
 def test_health_without_evidence_goes_by_reason(spark, place):
     got = replay(spark, place, keep_evidence=False)
     assert "FIB_LOOKUP_FAILED: 1" in got.health and "by node" not in got.health and not (place / "ev").exists()
