@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from .dropclass import CLASS_OF, VALID_REASONS
 
 
-def closest(candidates: DataFrame, column: str, typed: str, n: int = 5) -> DataFrame:
-    """Up to ``n`` candidates by edit distance, then name; none further than half the typed length and two (ten at most)."""
-    far = min(10, len(typed.encode()) // 2 + 2)
-    return candidates.select(F.col(column).alias("name"), F.levenshtein(F.lit(typed), F.col(column)).alias("distance")).filter(F.col("distance") <= far).orderBy("distance", "name").limit(n)
+def closest(typed: DataFrame, column: str = "typed", n: int = 5) -> DataFrame:
+    """The rows of ``typed`` (a row for each name), each with up to ``n`` valid reasons by edit distance, then name: name, distance and place (from 1).
+
+    None is further than half the typed length and two (ten at most); names without one have no row. The valid reasons are a fixed list of 76, so each name is held against
+    all of them where it is."""
+    far = F.least(F.lit(10), F.expr(f"octet_length(`{column}`) div 2 + 2"))
+    near = F.transform(F.array(*[F.lit(r) for r in VALID_REASONS]), lambda r: F.struct(F.levenshtein(F.col(column), r).alias("distance"), r.alias("name")))
+    best = F.slice(F.array_sort(F.filter(near, lambda x: x["distance"] <= far)), 1, n)
+    return typed.select("*", F.posexplode(best).alias("place", "near")).select(*typed.columns, "near.name", "near.distance", (F.col("place") + 1).alias("place"))
 
 
 def _distance(a: str, b: str) -> int:

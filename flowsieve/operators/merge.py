@@ -19,9 +19,12 @@ def merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def fingerprints(atoms: DataFrame) -> DataFrame:
-    """POLICY, atoms and fingerprint: equal policies have equal fingerprints, whatever the order of their rules."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ATOM_KEY], F.coalesce("selector", F.lit("")))
-    return atoms.groupBy(*POLICY).agg(F.count(F.lit(1)).alias("atoms"), F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n"), 256).alias("fingerprint"))
+    """POLICY, atoms and fingerprint: equal policies have equal fingerprints, whatever the order of their rules.
+
+    A fingerprint is the number of atoms and the sum of their 128-bit hashes, so it is made by partial aggregation and no list of a policy's atoms is held; atoms of a policy are distinct."""
+    held = [F.coalesce(F.col(c), F.lit("")) for c in (*ATOM_KEY, "selector")]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *held).cast("decimal(38,0)")).cast("string")
+    return atoms.groupBy(*POLICY).agg(F.count(F.lit(1)).alias("atoms"), F.concat_ws("/", F.count(F.lit(1)), total(1), total(2)).alias("fingerprint"))
 
 
 def dispositions(incoming: DataFrame, live: DataFrame, written: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from .functions.dropclass import CLASS_OF, HINTS
+
+#: The known reasons as rows: reason, class, hint.
+_KNOWN = ", ".join(f"('{r}', '{c}', " + (f"'{HINTS[r]}'" if r in HINTS else "null") + ")" for r, c in sorted(CLASS_OF.items()))
+
 _FLOWS = r"""
 with e as (select event_id id, ts, user_id u, event_type t from events),
 f as (select id, ts, u,
@@ -96,7 +101,7 @@ SQL: dict[str, str] = {
     "unhandled_flows": _FLOWS + f"select disposition reason, count(*)::bigint flows, count(distinct concat_ws('|', case when direction = 'EGRESS' then {_OWN} else {_OTHER} end, case when direction = 'EGRESS' then {_OTHER} else {_OWN} end, coalesce(port, '0'), coalesce(proto, 'unknown'), direction))::bigint distinct_flows from d where disposition in {_REJECTS} group by all",
     "session_stats": _FLOWS + f"select (count(*) filter (where disposition in ('infra', 'transient') or disposition in {_POLICY_LIKE}))::bigint flows_seen, (count(*) filter (where verdict = 'DROPPED' and method is not null))::bigint l7_http_count, (count(*) filter (where verdict = 'DROPPED' and is_dns))::bigint l7_dns_count, 0::bigint ignored_by_reason, 0::bigint ignored_by_protocol, (count(*) filter (where disposition in ('infra', 'transient')))::bigint infra_drop_total, (count(*) filter (where disposition in {_REJECTS}))::bigint flows_unhandled, count(distinct case when disposition in {_POLICY_LIKE} then ns || '/' || workload end)::bigint workloads from d",
     "drop_classes": _FLOWS + "select reason drop_reason, class drop_class, case reason when 'CT_MAP_INSERTION_FAILED' then 'https://docs.cilium.io/en/stable/operations/troubleshooting/#handling-drop-ct-map-insertion-failed' end hint, count(*)::bigint flows from d where verdict = 'DROPPED' group by all",
-    "class_sizes": "select * from (values ('policy', 4::bigint, 0::bigint), ('transient', 9, 0), ('noise', 6, 0), ('infra', 57, 6)) v(class, reasons, hints)",
+    "class_sizes": _FLOWS + f"select v.class, count(*)::bigint reasons, count(v.hint)::bigint hints, count(n)::bigint seen, coalesce(sum(n), 0)::bigint flows from (values {_KNOWN}) v(reason, class, hint) left join (select reason, count(*) n from d where verdict = 'DROPPED' group by reason) using (reason) group by v.class",
     "capture_counters": _FLOWS + "select count(*)::bigint lines_read, (count(*) filter (where id % 101 <> 0 and id % 103 <> 0 and id % 107 <> 0 and verdict = 'DROPPED'))::bigint flows_emitted, (count(*) filter (where id % 101 <> 0 and id % 103 <> 0 and id % 107 <> 0 and verdict <> 'DROPPED'))::bigint non_dropped, (count(*) filter (where id % 101 = 0 or (id % 103 <> 0 and id % 107 = 0)))::bigint malformed, (3 * count(*) filter (where id % 101 <> 0 and id % 103 <> 0 and id % 107 = 0))::bigint lost_events from d",
     "capture_round_trip": _FLOWS + "select namespace, workload, rule_key, count(*)::bigint flow_count from r group by all",
     "capture_files": _FLOWS + "select namespace, workload, rule_key, count(*)::bigint flow_count from r group by all",
@@ -119,7 +124,6 @@ union all select 'egress', 'companion', false, count(*), sum(n)::bigint, 0 from
     "peer_selectors": _FLOWS + "select namespace, peer_key, selector, count(*)::bigint flows from o where peer_type = 'endpoint' group by all",
     "merged_policies": _ATOMS + "select namespace, workload, count(*)::bigint atoms, (count(*) filter (where kind = 'http'))::bigint http, (count(*) filter (where kind = 'fqdn'))::bigint fqdn from atoms group by all",
     "merge_added": _ATOMS + f"select {_KEY} from a0 group by all having count(*) filter (where id % 3 <> 0) = 0",
-    "policy_dedup": _FLOWS + f", al as ({_prints('true')}), li as ({_prints('id < 2000')}), wr as ({_prints('''workload = 'app-3' ''')}) select al.namespace, al.workload, case when li.p is not null then 'skip_live' when wr.p is not null then 'skip_written' else 'write' end disposition from al left join li on al.namespace = li.namespace and al.workload = li.workload and al.p = li.p left join wr on al.namespace = wr.namespace and al.workload = wr.workload and al.p = wr.p",
     "policy_dedup_live": _FLOWS + f", al as ({_prints('true')}), li as ({_prints("namespace = 'ns-1' or (namespace = 'ns-2' and id % 4 < 2)")}), wr as ({_prints("namespace in ('ns-1', 'ns-3')")}) select al.namespace, al.workload, case when li.p is not null then 'skip_live' when wr.p is not null then 'skip_written' else 'write' end disposition from al left join li on al.namespace = li.namespace and al.workload = li.workload and al.p = li.p left join wr on al.namespace = wr.namespace and al.workload = wr.workload and al.p = wr.p",
     "lifetime_keys": _FLOWS + f"""select 'unhandled' kind, count(*)::bigint keys from (select distinct disposition, concat_ws('|', case when direction = 'EGRESS' then {_OWN} else {_OTHER} end, case when direction = 'EGRESS' then {_OTHER} else {_OWN} end, coalesce(port, '0'), coalesce(proto, 'unknown'), direction) k from d where disposition in {_REJECTS}) having count(*) > 0
   union all select 'reserved', count(distinct direction) from d where disposition = 'reserved_identity' having count(*) > 0
@@ -149,7 +153,16 @@ from k join t using (namespace, workload, rule_key) group by namespace, workload
 k as (select *, rank() over (partition by reason, dimension order by drops desc) k, count(*) over (partition by reason, dimension) n from hc where dimension <> 'reason')
 select reason, dimension, string_agg(name || ' (' || drops || ')', ', ' order by drops desc, name) || case when max(n) > count(*) then ' (+' || (max(n) - count(*)) || ' more)' else '' end top from k where k <= 3 group by reason, dimension""",
     "health_reasons": _DROPS + "select reason, class, drops from hc where dimension = 'reason'",
-    "suggestions": "select 'CT_MAP_INSERTION_FAILED' as name, 1::int distance union all select 'CT_NO_MAP_FOUND', 0 where false",
+    "suggestions": _FLOWS + f""",
+t as (select reason[1:(id % length(reason))::bigint] || reason[(id % length(reason) + 2)::bigint:] typed, count(*)::bigint flows from d where verdict = 'DROPPED' group by 1),
+n as (select typed, flows, v.reason as name, levenshtein(typed, v.reason)::int distance from t, (values {_KNOWN}) v(reason, class, hint)),
+k as (select *, (row_number() over (partition by typed order by distance, name))::int place from n where distance <= least(10, length(typed) // 2 + 2))
+select * from k where place <= 3""",
+    "range_matches": """
+with e as (select event_id id, user_id u from events),
+r as (select false v6, case when id % 2 = 0 then 24 else 8 end length, ((u % 256) >> 6) = 1 inside, 10 least_length from e
+  union all select true, case id % 3 when 0 then 128 when 1 then 64 else 32 end, ((u % 4096) >> 9) = 5, 39 from e)
+select v6, length::int length, count(*)::bigint ranges, (count(*) filter (where inside and length >= least_length))::bigint covered from r group by v6, length""",
     "label_names": "select n_nationkey k, case when least('a', 'b') = 'a' then array_to_string(list_sort(['a', 'b', n_name]), '-') end workload, 'team=' || n_name || ',zone=a' selector from nation",
     "page_paths": r"select page_id, '^' || regexp_replace(case when p = '' then '/' else p end, '([\\.+*?()|\[\]{}^$])', '\\\1', 'g') || '$' path from (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '') p from pages)",
     "output_paths": _FLOWS + f"select ns as namespace, workload, substr(sha256('/policies'), 1, 12) || '/' || ns || '/' || workload || '.json' path from d where disposition in {_POLICY_LIKE} group by all",

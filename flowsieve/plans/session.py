@@ -18,11 +18,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dropclass
 from ..operators import disposition, evidence, health, merge, policies, rules
 from ..operators.policies import POLICY
-from ..operators.rules import ATOM_KEY
+from ..operators.rules import ATOM_KEY, RULE
 from ..sources import stored as documents
 from . import render
 from .files import Files
@@ -127,7 +128,7 @@ def _with_documents(spark: SparkSession, stored: DataFrame, out: str, files: Fil
     return stored.unionByName(read.select(*stored.columns))
 
 
-FINGERPRINTS = "namespace string, workload string, fingerprint string"
+FINGERPRINTS = T.StructType([T.StructField(c, T.StringType()) for c in (*POLICY, "fingerprint")])
 
 
 def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch: Batch | None = None, scan: Observation | None = None) -> Result:
@@ -148,13 +149,13 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch
     seen = rules.observations(disposed, options.l7)
     fresh = rules.atoms(seen).persist()
     chosen = policies.selectors(disposed).persist()
-    stored = _with_documents(spark, state.table("atoms", fresh.schema), out, files, chosen)
-    merged = merge.merge(stored, fresh)
+    tabled = state.stored("atoms", fresh.schema, ATOM_KEY, chosen)
+    merged = merge.merge(_with_documents(spark, tabled, out, files, chosen), fresh).persist()  # of the policies that flows reached
     if not options.dry_run:
-        merged = state.put(merged, "atoms")
+        state.add(merge.added(tabled, merged), "atoms", ATOM_KEY)
     prints = merge.fingerprints(fresh).persist()
     last = f"written:{batch.stream}" if batch else ""
-    written = state.table(last, FINGERPRINTS)
+    written = state.stored(last, FINGERPRINTS, POLICY, chosen)
     fates = merge.dispositions(prints, merge.fingerprints(live if live is not None else fresh.limit(0)), written)
     built = policies.rules(merged)
     full = built.join(policies.comments(built), [*POLICY, "direction", "rule_no"])
@@ -175,7 +176,7 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch
             files.write(path, render.annotate(text, {way: [r["comment"] for r in own if r["direction"] == way] for way in ("ingress", "egress")}))
             result.written.append(path)
     if batch and not options.dry_run:
-        state.put(written.join(prints.select(*POLICY), POLICY, "left_anti").unionByName(prints.select(*POLICY, "fingerprint")), last)
+        state.add(prints.select(*POLICY, "fingerprint"), last, POLICY)
     session.flows_seen += result.stats["flows_seen"]
     session.flows_unhandled += result.stats["flows_unhandled"]
     if options.keep_evidence and not options.dry_run:
@@ -184,7 +185,7 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch
     result.exit_code = int(options.fail_on_infra_drops and result.stats["infra_drop_total"] > 0)
     if not options.dry_run:
         state.commit(*(batch.stream, batch.number) if batch else ())
-    for df in (disposed, fresh, chosen, prints):
+    for df in (disposed, fresh, chosen, merged, prints):
         df.unpersist()
     return result
 
@@ -215,13 +216,15 @@ def _with_session(known: list[dict[str, Any]], session: Session, options: Option
 def _write_evidence(spark: SparkSession, seen: DataFrame, home: str, options: Options, session: Session, state: State, files: Files) -> None:
     fresh = evidence.session_rules(rules.attribution(seen), rules.samples(seen, options.samples), session.name)
     name = f"rules:{home}"
-    table = state.put(evidence.upsert(state.table(name, fresh.schema), fresh, options.samples), name, home)
-    for (namespace, workload), own in _grouped(table.join(fresh.select(*POLICY).distinct(), POLICY, "left_semi"), POLICY):
+    full = evidence.upsert(state.stored(name, fresh.schema, RULE, fresh), fresh, options.samples).persist()  # all rules of the policies that flows reached
+    state.add(full.join(fresh.select(*RULE), RULE, "left_semi"), name, RULE, home)
+    for (namespace, workload), own in _grouped(full, POLICY):
         path = f"{home}/{namespace}/{workload}.json"
         known = json.loads(files.read(path) or '{"sessions": []}')["sessions"]
         doc = {"schema_version": evidence.SCHEMA_VERSION, "policy": {"name": options.prefix + workload, "namespace": namespace, "workload": workload}, "sessions": _with_session(known, session, options), "rules": [_rule_json(r) for r in sorted(own, key=lambda r: (r["direction"], r["rule_key"]))]}
         files.write(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
         session.touched.add(path)
+    full.unpersist()
 
 
 def finish(spark: SparkSession, session: Session, options: Options) -> str:

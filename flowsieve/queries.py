@@ -99,7 +99,10 @@ def drop_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dropclass.reasons(spark).groupBy("class").agg(F.count(F.lit(1)).alias("reasons"), F.count("hint").alias("hints"))
+    """The classes of known reasons, and what of them the flows have."""
+    seen = event_flows(spark, sf_dir).filter("verdict = 'DROPPED'").groupBy(F.col("drop_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    known = dropclass.reasons(spark).join(seen, "reason", "left").groupBy("class")
+    return known.agg(F.count(F.lit(1)).alias("reasons"), F.count("hint").alias("hints"), F.count("n").alias("seen"), F.coalesce(F.sum("n"), F.lit(0)).alias("flows"))
 
 
 def _capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +192,6 @@ def merge_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.added(stored, merge.merge(stored, fresh)).select(*rules.ATOM_KEY)
 
 
-def policy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _observed(spark, sf_dir)
-    early = merge.fingerprints(rules.atoms(seen.filter("seq < 2000")))
-    written = merge.fingerprints(rules.atoms(seen.filter("workload = 'app-3'")))
-    return merge.dispositions(merge.fingerprints(rules.atoms(seen)), early, written).select("namespace", "workload", "disposition")
-
-
 def policy_dedup_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One namespace is live as it is, one with half of its flows' rules, one was written before; all of them grow with the flows."""
     seen = _observed(spark, sf_dir)
@@ -301,7 +297,19 @@ def health_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.closest(dropclass.reasons(spark), "reason", "CT_MAP_INSERTION_FAILD")
+    """Valid reasons for the flows' reasons with one letter left out, another one by flow."""
+    typed = event_flows(spark, sf_dir).filter("verdict = 'DROPPED'").select(F.expr("overlay(drop_reason placing '' from cast(seq % length(drop_reason) as int) + 1 for 1)").alias("typed"))
+    return suggest.closest(typed.groupBy("typed").agg(F.count(F.lit(1)).alias("flows")), n=3)
+
+
+def range_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address ranges of both versions made from events, and how many a wanted range of each version covers, by prefix length."""
+    four = "concat('10.', user_id % 256, '.', event_id % 256, '.0/', if(event_id % 2 = 0, 24, 8))"
+    six = "concat('2001:db8:', lower(hex(user_id % 4096)), if(event_id % 5 = 0, ':0:0:0:0:', '::'), lower(hex(event_id % 65536)), '/', case event_id % 3 when 0 then 128 when 1 then 64 else 32 end)"
+    ranges = _table(spark, sf_dir, "events").selectExpr(f"explode(array({four}, {six})) range")
+    covered = evidence.in_cidr(F.col("range"), "10.64.0.0/10") | evidence.in_cidr(F.col("range"), "2001:db8:a00::/39")
+    length = F.substring_index("range", "/", -1).cast("int")
+    return ranges.groupBy(F.contains("range", F.lit(":")).alias("v6"), length.alias("length")).agg(F.count(F.lit(1)).alias("ranges"), F.count_if(covered).alias("covered"))
 
 
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rule_attribution, rule_attribution_l7, rule_samples, dispositions, dispositions_ignoring, ignored_flows, unhandled_flows, session_stats, drop_classes,
         class_sizes, capture_counters, capture_round_trip, capture_files, namespace_filter, lost_by_window, policy_atoms, policy_selectors, policy_rules, policy_rules_l7, dns_rules,
-        rule_comments, peer_selectors, merged_policies, merge_added, policy_dedup, policy_dedup_live, lifetime_keys, policy_documents, evidence_documents, latest_sessions, evidence_upsert, evidence_sessions, explain_port, explain_cidr, explain_l7, explain_since,
-        health_counts, health_report, health_top, health_reasons, suggestions, label_names, page_paths, output_paths,
+        rule_comments, peer_selectors, merged_policies, merge_added, policy_dedup_live, lifetime_keys, policy_documents, evidence_documents, latest_sessions, evidence_upsert, evidence_sessions, explain_port, explain_cidr, explain_l7, explain_since,
+        health_counts, health_report, health_top, health_reasons, suggestions, range_matches, label_names, page_paths, output_paths,
     )
 }

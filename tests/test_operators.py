@@ -172,6 +172,44 @@ def test_cidr_containment(spark, cidr, wanted, inside):
     assert spark.createDataFrame([(cidr,)], "c string").select(evidence.in_cidr(F.col("c"), wanted)).first()[0] is inside
 
 
+def test_ipv6_ranges_as_the_standard_library_has_them(spark):
+    import ipaddress
+    import random
+
+    rnd = random.Random(3)
+    nets = [ipaddress.IPv6Network((rnd.getrandbits(128) >> (128 - n) << (128 - n), n)) for n in (0, 1, 7, 32, 45, 64, 99, 127, 128)]
+    texts = ["", "x/64", "::/0", "1::2::3/64", "1:2:3/64", "::ffff:10.1.2.3/128", "2001:DB8::1/64", "fe80::1%eth0/64", "1:2:3:4:5:6:7:8:9/128", "12345::/32", "10.0.0.0/8", "::1", "::1/129"]
+    for net in nets:
+        for _ in range(12):
+            address = ipaddress.IPv6Address(int(net.network_address) | rnd.getrandbits(max(1, 128 - net.prefixlen)) % (1 << (128 - net.prefixlen)) ^ (rnd.random() < 0.3) << rnd.randrange(128))
+            texts.append(f"{rnd.choice([address.compressed, address.exploded])}/{rnd.randrange(129)}")
+    rows = spark.createDataFrame([(x,) for x in texts], "c string").repartition(2)
+    for net in nets:
+        def inside(text):
+            try:
+                own = ipaddress.ip_interface(text)
+            except ValueError:
+                return False
+            return "/" in text and own.version == 6 and own.ip in net and own.network.prefixlen >= net.prefixlen  # noqa: B023
+        got = {r[0]: r[1] for r in rows.select("c", evidence.in_cidr(F.col("c"), str(net))).collect()}
+        assert got == {x: inside(x) for x in texts}
+    assert "Python" not in rows.select(evidence.in_cidr(F.col("c"), "2001:db8::/32"))._jdf.queryExecution().toString()
+
+
+def test_fingerprints_hold_no_list(spark):
+    other = {c: F.lit("x") for c in rules.ATOM_KEY if c not in ("namespace", "workload", "port")} | {"selector": F.lit(None).cast("string")}
+    atoms = lambda numbers: spark.createDataFrame([("n", "w", f"{i}") for i in numbers], "namespace string, workload string, port string").withColumns(other)
+    prints = [merge.fingerprints(atoms(x)).first()["fingerprint"] for x in (range(50), reversed(range(50)), range(49), [*range(49), 50])]
+    assert prints[0] == prints[1] and len(set(prints)) == 3
+    assert "collect_" not in merge.fingerprints(atoms([1]))._jdf.queryExecution().toString()
+
+
+def test_closest_reasons_of_many_names(spark):
+    typed = spark.createDataFrame([("POLICY_DENID",), ("zzzzzzzzzzzzzzzzzzzzzzzzzz",), ("",), ("NAT46",)], "typed string")
+    got = [tuple(r) for r in suggest.closest(typed, n=2).orderBy("typed", "place").collect()]
+    assert got == [("NAT46", "NAT46", 0, 1), ("NAT46", "NAT64", 2, 2), ("POLICY_DENID", "POLICY_DENIED", 1, 1), ("POLICY_DENID", "POLICY_DENY", 2, 2)]
+
+
 def test_explain_filters_and_together(spark):
     seen = rules.observations(disposition.dispose(flows(spark, line(0, l7=http("GET", "/a")), line(1), line(2, way="EGRESS", proto="UDP", port=53, l7=dns("x.org")))), True)
     every = rules.attribution(seen)

@@ -6,7 +6,9 @@ import pytest
 from flows import dns, http, line
 
 from flowsieve import cli
+from flowsieve.operators.rules import ATOM_KEY, RULE
 from flowsieve.plans import render, session
+from flowsieve.plans.state import FAN, State, bucket
 from flowsieve.sources import capture, stored
 from flowsieve.streaming import live
 
@@ -28,8 +30,10 @@ def options(place, **more):
 
 def table(spark, place, kind):
     """A table of the state as it stands."""
-    (commit,) = (place / "out/.state").glob("commit-*.json")
-    return spark.read.parquet(next(p for n, p in json.loads(commit.read_text())["tables"].items() if n.split(":")[0] == kind))
+    state = State(spark, str(place / "out"))
+    (name,) = [n for n in state.now["parts"] if n.split(":")[0] == kind]
+    rows = spark.read.parquet(*[f"{p['folder']}/bucket={b}" for p in state.now["parts"][name] for b in p["buckets"]])
+    return state.stored(name, rows.schema, RULE if kind == "rules" else ATOM_KEY)
 
 
 def replay(spark, place, **more):
@@ -228,13 +232,50 @@ def test_replay_tells_what_it_read(spark, place, capsys):
 
 def test_a_state_table_that_is_gone_raises(spark, place):
     replay(spark, place)
-    for folder in (place / "out/.state").iterdir():
-        if folder.is_dir():
-            shutil.rmtree(folder)
+    for folder in (place / "out/.state").glob("atoms-*/*"):
+        shutil.rmtree(folder)
     with pytest.raises(FileNotFoundError, match="gone"):
         replay(spark, place)
 
 
+def stored_atoms(spark, policies):
+    return spark.range(policies * 3).selectExpr(
+        "concat('ns-', id % 7) namespace", "concat('app-', id div 3) workload", "'ingress' direction", "'cidr' peer_type", "concat('10.0.0.', id % 3, '/32') peer_key", "'port' kind", "'80' port", "'TCP' protocol",
+        "'' method", "'' path", "'' name", "id first_seq", "cast(null as string) selector",
+    )
+
+
+def test_a_flush_reads_and_writes_what_it_touches(spark, place):
+    state = State(spark, str(place / "out"))
+    many = stored_atoms(spark, 3000)
+    state.add(many, "atoms", ATOM_KEY)
+    state.commit()
+    before = state.now["parts"]["atoms"]
+    assert replay(spark, place).written
+    after = State(spark, str(place / "out")).now["parts"]["atoms"]
+    assert after[:1] == before and len(after) == 2 and len(after[1]["buckets"]) == 1  # one policy, so one bucket of one new part
+    assert spark.read.parquet(after[1]["folder"]).count() == 3
+    touched = spark.createDataFrame([("prod", "server")], "namespace string, workload string")
+    files = State(spark, str(place / "out")).stored("atoms", many.schema, ATOM_KEY, touched).inputFiles()
+    (own,) = {r[0] for r in touched.select(bucket()).collect()}
+    assert len(files) == 2 and all(f"/bucket={own}/" in f for f in files)
+    assert replay(spark, place).written == []
+    assert State(spark, str(place / "out")).now["parts"]["atoms"] == after  # nothing new, no part
+
+
+def test_parts_are_merged_and_the_newest_row_counts(spark, place):
+    state, schema = State(spark, str(place / "out")), session.FINGERPRINTS
+    for i in range(FAN + 3):
+        state.add(spark.createDataFrame([("n", "always", f"v{i}"), ("n", f"w{i}", "x")], schema), "t", session.POLICY)
+        state.commit()
+    parts = State(spark, str(place / "out")).now["parts"]["t"]
+    assert [p["level"] for p in parts] == [1, 0, 0, 0]
+    rows = {r["workload"]: r["fingerprint"] for r in State(spark, str(place / "out")).stored("t", schema, session.POLICY).collect()}
+    assert rows == {"always": f"v{FAN + 2}"} | {f"w{i}": "x" for i in range(FAN + 3)}
+    left = {str(p.parent) for p in (place / "out/.state").glob("t-*/*/bucket=*")}
+    assert left == {p["folder"] for p in parts}  # parts that were merged are gone
+
+
 def test_health_without_evidence_goes_by_reason(spark, place):
     got = replay(spark, place, keep_evidence=False)
     assert "FIB_LOOKUP_FAILED: 1" in got.health and "by node" not in got.health and not (place / "ev").exists()
