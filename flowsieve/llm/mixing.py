@@ -129,6 +129,27 @@ def _draw_blocks(cap: int):
     return run
 
 
+#: numpy draws hypergeometric numbers from fewer of either kind.
+NUMPY_MOST = 10**9
+
+
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` things drawn out of ``good`` and ``bad`` ones are good.
+
+    Beyond numpy's range by inversion of the law, over the counts within 14 standard deviations of its mean: what lies beyond has less weight than a double can tell."""
+    if good < NUMPY_MOST and bad < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, sample))
+    total, low, high = good + bad, max(0, sample - bad), min(good, sample)
+    share = good / total
+    spread = (sample * share * (1 - share) * ((total - sample) / max(1, total - 1))) ** 0.5
+    low, high = max(low, int(sample * share - 14 * spread) - 20), min(high, int(sample * share + 14 * spread) + 20)
+    k = np.arange(high - low, dtype=np.float64)  # counts above the lowest
+    steps = np.log(good - low - k) + np.log(sample - low - k) - np.log(low + k + 1) - np.log(bad - sample + low + k + 1)
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(weights - weights.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """shards x sources table of blocks whose columns sum to ``quotas``; shards' totals differ by the rounding of halves only."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -146,7 +167,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             if left == 0:
                 break
             total -= int(own)
-            drawn[s] = left if total == 0 else rng.hypergeometric(int(own), total, left)
+            drawn[s] = left if total == 0 else _hypergeometric(rng, int(own), total, left)
             left -= int(drawn[s])
         deal(low, middle, drawn)
         deal(middle, high, held - drawn)

@@ -152,3 +152,23 @@ def test_empty(spark):
     assert mixing.mix(empty(spark), mixing.mix_plan(empty(spark))).count() == 0
     only = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.mix_plan(only).collect()] == [0, 0]
+
+
+def test_draws_from_very_many_blocks():
+    quotas = np.array([10**10, 3 * 10**9, 7, 0, 10**10, *[196_608] * 300], np.int64)
+    out = mixing.splitting_tree(quotas, 6, 1)
+    assert (out.sum(axis=0) == quotas).all() and (out >= 0).all() and np.ptp(out.sum(axis=1)) <= 3
+    assert (abs(out[:, 0] - 10**10 / 6) < 10 * (10**10 / 6) ** 0.5).all()
+    many = mixing.splitting_tree(np.full(6000, 196_608), 4, 2)  # sources of full size, beyond a thousand million blocks in all
+    assert (many.sum(axis=0) == 196_608).all() and abs(many - 49_152).max() < 10 * 49_152**0.5
+
+
+def test_draws_beyond_numpy_follow_its_law(monkeypatch):
+    rng, cases = np.random.default_rng(3), [(50, 30, 20), (5, 1000, 600), (1000, 5, 999), (3, 4, 7), (9, 1, 0)]
+    own = lambda *c: np.array([mixing._hypergeometric(rng, *c) for _ in range(4000)])
+    numpys = [own(*c) for c in cases]
+    monkeypatch.setattr(mixing, "NUMPY_MOST", 0)
+    for (good, bad, sample), theirs in zip(cases, numpys, strict=True):
+        drawn = own(good, bad, sample)
+        assert drawn.min() >= max(0, sample - bad) and drawn.max() <= min(good, sample)
+        assert abs(drawn.mean() - theirs.mean()) < 0.2 * max(0.5, theirs.std()) and abs(drawn.std() - theirs.std()) < 0.1 * max(1, theirs.std())
