@@ -75,6 +75,18 @@ def lifetime_keys(disposed: DataFrame) -> DataFrame:
     return rows.unionByName(warned).unionByName(reached).distinct()
 
 
+def unknown_reasons(disposed: DataFrame) -> DataFrame:
+    """Distinct (kind, key) of drop reasons that aren't in the dimension."""
+    return disposed.filter("verdict = 'DROPPED' and drop_class = 'unknown'").select(F.lit("unknown_reason").alias("kind"), F.col("drop_reason").alias("key")).distinct()
+
+
+def warnings(keys: DataFrame, most: int = 20) -> list[str]:
+    """What to say of new keys: reserved identities and unknown reasons, the first ``most`` of them."""
+    rows = keys.filter("kind in ('reserved', 'unknown_reason')").orderBy("kind", "key").limit(most + 1).collect()
+    said = [f"drop reason {r['key']} isn't known; its flows count as denied by policy" if r["kind"] == "unknown_reason" else f"no policy for a reserved identity: {r['key']}" for r in rows[:most]]
+    return [*said, *(["and more"] if len(rows) > most else [])]
+
+
 def session_stats(disposed: DataFrame) -> DataFrame:
     """One row of a session's counters. L7 records count before any flow is ignored, whether or not L7 rules are made."""
     dropped = F.col("verdict") == "DROPPED"

@@ -143,9 +143,12 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch
     result.stats = disposition.session_stats(disposed).first().asDict() | (scan.get if scan else {})
     if lost := session.count_lost(result.stats.get("lost_events", 0)):
         result.warnings.append(lost)
+    keys = disposition.lifetime_keys(disposed).unionByName(disposition.unknown_reasons(disposed))
     if batch and not options.dry_run:
-        new = disposition.lifetime_keys(disposed).join(state.seen(), ["kind", "key"], "left_anti")
-        result.stats["keys_first_seen"] = state.add_seen(new)
+        keys = keys.join(state.seen(), ["kind", "key"], "left_anti")
+        result.stats["keys_first_seen"] = state.add_seen(keys)
+    if result.stats.get("keys_first_seen", 1):
+        result.warnings += disposition.warnings(keys)
     seen = rules.observations(disposed, options.l7)
     fresh = rules.atoms(seen).persist()
     chosen = policies.selectors(disposed).persist()

@@ -1,6 +1,10 @@
 import json
 import os
 import shutil
+import signal
+import subprocess
+import sys
+import time
 
 import pytest
 from flows import dns, http, line
@@ -172,6 +176,39 @@ def test_keys_are_new_once_in_the_life_of_a_stream(spark, place):
     assert [r.stats["flows_unhandled"] for r in results] == [1, 1, 2, 1]
 
 
+def test_warnings_are_given_once_in_the_life_of_a_stream(spark, place):
+    host, new = line(1, own=["reserved:host"], own_ns=""), line(2, reason="BRAND_NEW")
+    results = stream(spark, place, "a", "ck", [host, host + "\n" + new, new])
+    assert [[w.split()[-1] if "reserved" in w else w.split()[2] for w in r.warnings] for r in results] == [["reserved:host/INGRESS"], ["BRAND_NEW"], []]
+    (place / "a/999.jsonl").write_text(new + "\n" + line(3, reason="NEWER"))
+    (again,) = stream(spark, place, "a", "ck", [])  # another run from the same checkpoint
+    assert len(again.warnings) == 1 and "NEWER" in again.warnings[0]
+
+
+def test_a_signal_ends_generate_after_what_has_come(tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text(line(0))
+    command = ["-m", "flowsieve", "generate", str(folder), "-o", str(tmp_path / "out"), "--evidence-dir", str(tmp_path / "ev"), "--checkpoint", str(tmp_path / "ck"), "--flush-interval", "1 second"]
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=1 --conf spark.ui.enabled=false pyspark-shell"}
+    run = subprocess.Popen([sys.executable, *command], env=env, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True)
+    try:
+        until = time.time() + 240
+        while not (tmp_path / "out/prod/server.yaml").exists() and time.time() < until:
+            time.sleep(0.2)
+        (folder / "b.jsonl").write_text("\n".join([line(1, port=1234), line(2, port=1234), "odd"]))
+        run.send_signal(signal.SIGTERM)
+        said, _ = run.communicate(timeout=240)
+    finally:
+        run.kill()
+    assert run.returncode == 0 and 'port: "1234"' in (tmp_path / "out/prod/server.yaml").read_text()
+    (home,) = (tmp_path / "ev").iterdir()
+    (kept,) = json.loads((home / "prod/server.json").read_text())["sessions"]
+    assert kept["flows_ingested"] == 3 and kept["ended_at"] > kept["started_at"]
+    told = [json.loads(x) for x in said.splitlines() if x.startswith("{")]
+    assert sum(x["lines_read"] for x in told) == 4 and sum(x["malformed"] for x in told) == 1
+
+
 def test_generate_from_the_command_line(spark, place, capsys):
     folder = place / "in"
     folder.mkdir()
