@@ -109,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return 2
     spark = _spark()
-    known = stored.live_atoms(spark, a.cluster_dedup, options.manager, options.prefix) if a.cluster_dedup else None
+    known = stored.live_atoms(spark, a.cluster_dedup, options.manager, options.prefix).persist() if a.cluster_dedup else None
     if a.command == "generate":
         return _generate(spark, a, options, known)
     parsed, scan = capture.observed(capture.parse(capture.lines(spark, a.capture), a.strict))

@@ -129,6 +129,7 @@ union all select 'egress', 'companion', false, count(*), sum(n)::bigint, 0 from
   union all select 'reserved', count(distinct direction) from d where disposition = 'reserved_identity' having count(*) > 0
   union all select 'workload', count(distinct ns || '/' || workload) from d where disposition = 'policy' having count(*) > 0""",
     "policy_documents": _RULES + "select namespace, workload, words || case direction when 'ingress' then ' from ' else ' to ' end || case peer_type when 'entity' then 'entity ' || peer_key when 'cidr' then 'CIDR ' || peer_key else replace(selector, ',', ', ') end as comment from rl",
+    "merged_documents": _ATOMS + "select distinct namespace, workload, direction, case kind when 'fqdn' then 'endpoint' else peer_type end peer_type, case kind when 'fqdn' then '' else peer_key end peer_key, kind, port, protocol, method, path, name from atoms",
     "evidence_documents": _FLOWS + """,
 n as (select *, row_number() over (partition by namespace, workload, rule_key order by id desc) place from r)
 select namespace, workload, rule_key, count(*)::bigint flow_count, min(ts) first_seen, max(ts) last_seen, 1::bigint sessions, least(count(*), 3)::bigint samples, max(ts) filter (where place <= 3) last_sample from n group by all""",

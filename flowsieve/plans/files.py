@@ -33,6 +33,11 @@ class Files:
         fs.setWriteChecksum(False)
         return fs, at
 
+    def qualified(self, path: str) -> str:
+        """A path's whole address, as all nodes know it."""
+        fs, at = self._at(path)
+        return fs.makeQualified(at).toUri().toString()
+
     def exists(self, path: str) -> bool:
         fs, at = self._at(path)
         return fs.exists(at)

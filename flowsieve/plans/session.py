@@ -1,17 +1,17 @@
 """A whole run over a capture: policies, evidence and health, written next to what is stored.
 
-Everything up to the documents is a DataFrame; the driver reads the rules of one policy at a time. State lives in Parquet tables beside
-the documents (``plans.state``); documents and tables may be on any file system that Spark reads.
+Everything up to the documents is a DataFrame, and the tasks that hold a policy's rows write its documents (``plans.documents``); the driver gets one line of outcome for each.
+State lives in Parquet tables beside the documents (``plans.state``); documents and tables may be on any file system that Spark reads.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import os
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
@@ -24,8 +24,8 @@ from ..functions import dropclass
 from ..operators import disposition, evidence, health, merge, policies, rules
 from ..operators.policies import POLICY
 from ..operators.rules import ATOM_KEY, RULE
-from ..sources import stored as documents
-from . import render
+from ..sources import stored
+from . import documents, render
 from .files import Files
 from .state import State
 
@@ -66,13 +66,12 @@ class Result:
 
 @dataclass
 class Session:
-    """One run: a replay, or all flushes of a stream. Counters are of the whole run; ``touched`` has the evidence documents that name it."""
+    """One run: a replay, or all flushes of a stream. Counters are of the whole run."""
 
     name: str
     started: datetime
     flows_seen: int = 0
     flows_unhandled: int = 0
-    touched: set[str] = field(default_factory=set)
     lost: int = 0
     lost_lately: int = 0
     said: float = field(default_factory=time.monotonic)
@@ -108,24 +107,17 @@ def output_hash(folder: str) -> str:
     return hashlib.sha256((folder if "://" in folder else os.path.abspath(folder)).encode()).hexdigest()[:12]
 
 
-def _grouped(df: DataFrame, keys: list[str]) -> Iterator[tuple[tuple, list[dict[str, Any]]]]:
-    """Rows by key, one key in memory at a time."""
-    rows = (r.asDict(recursive=True) for r in df.orderBy(*keys).toLocalIterator())
-    for key, own in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-        yield key, list(own)
+def _with_documents(tabled: DataFrame, out: str, chosen: DataFrame) -> DataFrame:
+    """Stored atoms and those of policy documents that no stored table knows, as another program may have written them. Tasks look for a
+    document of each unknown policy and read it."""
+    unknown = chosen.select(*POLICY).join(tabled.select(*POLICY).distinct(), POLICY, "left_anti")
 
+    def read(store: Any, namespace: str, workload: str, rows: list[dict[str, Any]]) -> Iterable[tuple]:
+        if text := store.read(name := f"{namespace}/{workload}.yaml"):
+            for atom in stored.policy_atoms(stored.parse_policy(text, name), namespace, workload):
+                yield tuple(atom[c] for c in stored.ATOM_COLUMNS)
 
-def _with_documents(spark: SparkSession, stored: DataFrame, out: str, files: Files, chosen: DataFrame) -> DataFrame:
-    """Stored atoms and those of policy documents that no stored table knows, as another program may have written them."""
-    unknown = chosen.select(*POLICY).join(stored.select(*POLICY).distinct(), POLICY, "left_anti").orderBy(*POLICY)
-    found = []
-    for namespace, workload in unknown.toLocalIterator():
-        if files.exists(path := f"{out}/{namespace}/{workload}.yaml"):
-            found += documents.policy_atoms(documents.parse_policy(files.read(path), path), namespace, workload)
-    if not found:
-        return stored
-    read = spark.createDataFrame([tuple(a[c] for c in [*ATOM_KEY, "first_seq", "selector"]) for a in found], documents.ATOMS)
-    return stored.unionByName(read.select(*stored.columns))
+    return tabled.unionByName(documents.by_policy(unknown, out, read, stored.ATOMS).select(*tabled.columns))
 
 
 FINGERPRINTS = T.StructType([T.StructField(c, T.StringType()) for c in (*POLICY, "fingerprint")])
@@ -135,11 +127,21 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch
     """Flows to documents. ``live`` has the atoms of policies in the cluster; equal ones are not written again. In a ``batch`` of a stream,
     a policy equal to the one that the stream made last is left alone as well, and keys that the stream saw before count as old. ``scan`` are the counters of
     the lines (``capture.observed``) that the flows come from; the run's first pass fills them."""
-    spark, files, result = flows.sparkSession, Files(flows.sparkSession), Result()
+    with ExitStack() as held:
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.callback(df.unpersist)
+            return df.persist()
+
+        return _run(flows, options, live, batch, scan, keep)
+
+
+def _run(flows: DataFrame, options: Options, live: DataFrame | None, batch: Batch | None, scan: Observation | None, keep: Callable[[DataFrame], DataFrame]) -> Result:
+    spark, result = flows.sparkSession, Result()
     session = batch.session if batch else Session.begin()
     out, home = options.output_dir, f"{options.evidence_dir}/{output_hash(options.output_dir)}"
     state = State(spark, out)
-    disposed = disposition.dispose(flows, options.ignore_reasons, options.ignore_protocols).persist()
+    disposed = keep(disposition.dispose(flows, options.ignore_reasons, options.ignore_protocols))
     result.stats = disposition.session_stats(disposed).first().asDict() | (scan.get if scan else {})
     if lost := session.count_lost(result.stats.get("lost_events", 0)):
         result.warnings.append(lost)
@@ -150,49 +152,56 @@ def run(flows: DataFrame, options: Options, live: DataFrame | None = None, batch
     if result.stats.get("keys_first_seen", 1):
         result.warnings += disposition.warnings(keys)
     seen = rules.observations(disposed, options.l7)
-    fresh = rules.atoms(seen).persist()
-    chosen = policies.selectors(disposed).persist()
+    fresh = keep(rules.atoms(seen))
+    chosen = keep(policies.selectors(disposed))
     tabled = state.stored("atoms", fresh.schema, ATOM_KEY, chosen)
-    merged = merge.merge(_with_documents(spark, tabled, out, files, chosen), fresh).persist()  # of the policies that flows reached
+    merged = keep(merge.merge(keep(_with_documents(tabled, out, chosen)), fresh))  # of the policies that flows reached
     if not options.dry_run:
         state.add(merge.added(tabled, merged), "atoms", ATOM_KEY)
-    prints = merge.fingerprints(fresh).persist()
+    prints = keep(merge.fingerprints(fresh))
     last = f"written:{batch.stream}" if batch else ""
     written = state.stored(last, FINGERPRINTS, POLICY, chosen)
     fates = merge.dispositions(prints, merge.fingerprints(live if live is not None else fresh.limit(0)), written)
     built = policies.rules(merged)
     full = built.join(policies.comments(built), [*POLICY, "direction", "rule_no"])
     every = chosen.withColumnRenamed("selector", "own_selector").join(fates.select(*POLICY, "disposition"), POLICY, "left").join(full, POLICY, "left")
-    for (namespace, workload), own in _grouped(every, POLICY):
-        path = f"{out}/{namespace}/{workload}.yaml"
-        if (own[0]["disposition"] or "write") != "write":
-            result.skipped.append(path)
-            continue
-        own, selector = sorted((r for r in own if r["rule_no"] is not None), key=lambda r: r["rule_no"]), own[0]["own_selector"]
-        text = "\n".join(render.to_yaml(render.policy(namespace, workload, selector, own, options.manager, options.prefix))) + "\n"
-        old = files.read(path)
-        if render.strip_comments(old) == text:
-            result.unchanged.append(path)
-        elif options.dry_run:
-            result.diffs.append(render.unified(path, render.strip_comments(old), text, options.color))
-        else:
-            files.write(path, render.annotate(text, {way: [r["comment"] for r in own if r["direction"] == way] for way in ("ingress", "egress")}))
-            result.written.append(path)
+    made = documents.by_policy(every, out, _policy_document(options), "outcome string, path string, diff string", ["direction", "rule_no"])
+    for outcome, path, diff in sorted(made.collect(), key=lambda r: r["path"]):  # a line for each policy
+        {"skipped": result.skipped, "unchanged": result.unchanged, "diff": result.diffs, "written": result.written}[outcome].append(diff or path)
     if batch and not options.dry_run:
         state.add(prints.select(*POLICY, "fingerprint"), last, POLICY)
     session.flows_seen += result.stats["flows_seen"]
     session.flows_unhandled += result.stats["flows_unhandled"]
     if options.keep_evidence and not options.dry_run:
-        _write_evidence(spark, seen, home, options, session, state, files)
-    _report_health(spark, disposed, home, options, session, result, files)
+        _write_evidence(seen, home, options, session, state, keep)
+    _report_health(spark, disposed, home, options, session, result, Files(spark))
     result.exit_code = int(options.fail_on_infra_drops and result.stats["infra_drop_total"] > 0)
     if not options.dry_run:
         state.commit(*(batch.stream, batch.number) if batch else ())
-    for df in (disposed, fresh, chosen, merged, prints):
-        df.unpersist()
     return result
 
 
+def _policy_document(options: Options) -> documents.Work:
+    """Writes a policy's document where it is to be written and differs; what became of it, and in a dry run the difference."""
+
+    def work(store: Any, namespace: str, workload: str, rows: list[dict[str, Any]]) -> Iterable[tuple]:
+        name = f"{namespace}/{workload}.yaml"
+        path = f"{options.output_dir}/{name}"
+        if (rows[0]["disposition"] or "write") != "write":
+            return [("skipped", path, None)]
+        own = sorted((r for r in rows if r["rule_no"] is not None), key=lambda r: r["rule_no"])
+        text = "\n".join(render.to_yaml(render.policy(namespace, workload, rows[0]["own_selector"], own, options.manager, options.prefix))) + "\n"
+        old = render.strip_comments(store.read(name))
+        if old == text:
+            return [("unchanged", path, None)]
+        if options.dry_run:
+            return [("diff", path, render.unified(path, old, text, options.color))]
+        store.write(name, render.annotate(text, {way: [r["comment"] for r in own if r["direction"] == way] for way in ("ingress", "egress")}))
+        return [("written", path, None)]
+
+    return work
+
+
 def _report_health(spark: SparkSession, disposed: DataFrame, home: str, options: Options, session: Session, result: Result, files: Files) -> None:
     """The summary of drops that no policy causes; by reason alone where no evidence is kept, and written where it is."""
     where, hints = f"{home}/cluster-health.json", dropclass.reasons(spark)
@@ -211,37 +220,56 @@ def _report_health(spark: SparkSession, disposed: DataFrame, home: str, options:
     drops.unpersist()
 
 
-def _with_session(known: list[dict[str, Any]], session: Session, options: Options) -> list[dict[str, Any]]:
-    sessions = sorted([s for s in known if s["id"] != session.name] + [session.document(options.source)], key=lambda s: s["started_at"])
-    return sessions[-options.sessions :] if options.sessions > 0 else sessions
+def _with_session(known: list[dict[str, Any]], session: dict[str, Any], most: int) -> list[dict[str, Any]]:
+    sessions = sorted([s for s in known if s["id"] != session["id"]] + [session], key=lambda s: s["started_at"])
+    return sessions[-most:] if most > 0 else sessions
+
 
+def _document_text(doc: dict[str, Any]) -> str:
+    return json.dumps(doc, indent=2, ensure_ascii=False) + "\n"
 
-def _write_evidence(spark: SparkSession, seen: DataFrame, home: str, options: Options, session: Session, state: State, files: Files) -> None:
+
+def _write_evidence(seen: DataFrame, home: str, options: Options, session: Session, state: State, keep: Callable[[DataFrame], DataFrame]) -> None:
     fresh = evidence.session_rules(rules.attribution(seen), rules.samples(seen, options.samples), session.name)
     name = f"rules:{home}"
-    full = evidence.upsert(state.stored(name, fresh.schema, RULE, fresh), fresh, options.samples).persist()  # all rules of the policies that flows reached
+    full = keep(evidence.upsert(state.stored(name, fresh.schema, RULE, fresh), fresh, options.samples))  # all rules of the policies that flows reached
     state.add(full.join(fresh.select(*RULE), RULE, "left_semi"), name, RULE, home)
-    for (namespace, workload), own in _grouped(full, POLICY):
-        path = f"{home}/{namespace}/{workload}.json"
-        known = json.loads(files.read(path) or '{"sessions": []}')["sessions"]
-        doc = {"schema_version": evidence.SCHEMA_VERSION, "policy": {"name": options.prefix + workload, "namespace": namespace, "workload": workload}, "sessions": _with_session(known, session, options), "rules": [_rule_json(r) for r in sorted(own, key=lambda r: (r["direction"], r["rule_key"]))]}
-        files.write(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
-        session.touched.add(path)
-    full.unpersist()
+    now, most, prefix = session.document(options.source), options.sessions, options.prefix
+
+    def work(store: Any, namespace: str, workload: str, rows: list[dict[str, Any]]) -> Iterable[tuple]:
+        file = f"{namespace}/{workload}.json"
+        known = json.loads(store.read(file) or '{"sessions": []}')["sessions"]
+        about = {"name": prefix + workload, "namespace": namespace, "workload": workload}
+        listed = [_rule_json(r) for r in sorted(rows, key=lambda r: (r["direction"], r["rule_key"]))]
+        store.write(file, _document_text({"schema_version": evidence.SCHEMA_VERSION, "policy": about, "sessions": _with_session(known, now, most), "rules": listed}))
+        return [(1,)]
+
+    documents.by_policy(full, home, work, "documents int", ["direction", "rule_key"]).count()
+
+
+#: The part of stored rules that says which sessions they come from.
+NAMED = T.StructType([*(T.StructField(c, T.StringType()) for c in RULE), T.StructField("sessions", T.ArrayType(T.StringType()))])
 
 
 def finish(spark: SparkSession, session: Session, options: Options) -> str:
-    """Gives every evidence document of a run the run's last counters. What to say of events lost in all."""
-    files = Files(spark)
-    for path in sorted(session.touched):
-        doc = json.loads(files.read(path))
-        doc["sessions"] = _with_session(doc["sessions"], session, options)
-        files.write(path, json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
+    """Gives every evidence document of a run the run's last counters: those of policies with a stored rule that names the run. What to say of events lost in all."""
+    home = f"{options.evidence_dir}/{output_hash(options.output_dir)}"
+    if options.keep_evidence and not options.dry_run and session.flows_seen:
+        rows = State(spark, options.output_dir).stored(f"rules:{home}", NAMED, RULE).filter(F.array_contains("sessions", session.name))
+        now, most = session.document(options.source), options.sessions
+
+        def work(store: Any, namespace: str, workload: str, rows: list[dict[str, Any]]) -> Iterable[tuple]:
+            doc = json.loads(store.read(file := f"{namespace}/{workload}.json"))
+            doc["sessions"] = _with_session(doc["sessions"], now, most)
+            store.write(file, _document_text(doc))
+            return [(1,)]
+
+        documents.by_policy(rows.select(*POLICY).distinct(), home, work, "documents int").count()
     return f"{session.lost} events lost in all" if session.lost else ""
 
 
 def _time(t: datetime | None) -> str | None:
-    return None if t is None else t.replace(tzinfo=UTC).isoformat().replace("+00:00", "Z")
+    return None if t is None else (t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC)).isoformat().replace("+00:00", "Z")
 
 
 def _rule_json(r: dict[str, Any]) -> dict[str, Any]:

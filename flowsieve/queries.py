@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import dropclass, flow, labels, suggest
 from .operators import disposition, evidence, health, merge, policies, rules
 from .plans import session
-from .plans.files import shared_folder
+from .plans.files import Files, shared_folder
 from .sources import capture, stored
 
 PREFIX = "fs-"
@@ -224,6 +224,18 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(part(-2).alias("namespace"), F.replace(part(-1), F.lit(".yaml"), F.lit("")).alias("workload"), F.substr("value", F.lit(5)).alias("comment"))
 
 
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the policy documents of two runs allow, read back from the files. The second run finds no state of the first, only its documents, as if
+    another program had written them, and merges into them."""
+    flows, late = event_flows(spark, sf_dir), F.col("seq") % 3 == 0
+    folder = shared_folder(spark, "run")
+    options = session.Options(f"{folder}/policies", f"{folder}/evidence", l7=True, keep_evidence=False)
+    session.run(flows.filter(~late), options)
+    Files(spark).delete(f"{options.output_dir}/.state")
+    session.run(flows.filter(late), options)
+    return stored.live_atoms(spark, f"{options.output_dir}/*/*.yaml", options.manager, options.prefix).select(*rules.ATOM_KEY)
+
+
 def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of the evidence documents that a run writes, read back from the files."""
     read = stored.read_evidence(spark, _evidence_files(_documents(spark, event_flows(spark, sf_dir))))
@@ -332,7 +344,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rule_attribution, rule_attribution_l7, rule_samples, dispositions, dispositions_ignoring, ignored_flows, unhandled_flows, session_stats, drop_classes,
         class_sizes, capture_counters, capture_round_trip, capture_files, namespace_filter, lost_by_window, policy_atoms, policy_selectors, policy_rules, policy_rules_l7, dns_rules,
-        rule_comments, peer_selectors, merged_policies, merge_added, policy_dedup_live, lifetime_keys, policy_documents, evidence_documents, latest_sessions, evidence_upsert, evidence_sessions, explain_port, explain_cidr, explain_l7, explain_since,
+        rule_comments, peer_selectors, merged_policies, merge_added, policy_dedup_live, lifetime_keys, policy_documents, merged_documents, evidence_documents, latest_sessions, evidence_upsert, evidence_sessions, explain_port, explain_cidr, explain_l7, explain_since,
         health_counts, health_report, health_top, health_reasons, suggestions, range_matches, label_names, page_paths, output_paths,
     )
 }

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.labels import NAMESPACE_KEY
 from ..operators import evidence
-from ..operators.policies import DNS_SELECTOR
+from ..operators.policies import DNS_SELECTOR, POLICY
 from ..operators.rules import ATOM_KEY
 
 _END = "struct<namespace:string,workload:string,pod:string,ip:string>"
@@ -64,6 +68,7 @@ def target(text: str, prefix: str) -> tuple[str, str]:
 #: Fixed value: the label that names a policy's managing program.
 MANAGED_BY = "app.kubernetes.io/managed-by"
 ATOMS = ", ".join(f"{k} string" for k in ATOM_KEY) + ", first_seq long, selector string"
+ATOM_COLUMNS = [*ATOM_KEY, "first_seq", "selector"]
 
 
 def _yaml(text: str, path: str) -> list[Any]:
@@ -72,7 +77,7 @@ def _yaml(text: str, path: str) -> list[Any]:
         import yaml
     except ImportError as e:
         raise RuntimeError(f"{path} was not written from a stored table; reading it needs PyYAML") from e
-    return list(yaml.safe_load_all(text))
+    return list(yaml.load_all(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
 
 
 def parse_policy(text: str, path: str) -> dict[str, Any]:
@@ -80,20 +85,36 @@ def parse_policy(text: str, path: str) -> dict[str, Any]:
     return next(iter(_yaml(text, path)), None) or {}
 
 
+def _owned(text: str, path: str, manager: str, prefix: str) -> Iterator[tuple]:
+    """Rows of ATOMS for the policies in a file that ``manager`` owns, with the policy's place in the file; one without atoms for a policy that has none."""
+    docs = [json.loads(text)] if path.endswith(".json") else _yaml(text, path)
+    for place, doc in enumerate(x for d in docs if d for x in (d.get("items") or []) + ([d] if d.get("spec") else [])):
+        meta = doc.get("metadata") or {}
+        if (meta.get("labels") or {}).get(MANAGED_BY) == manager and str(meta.get("name", "")).startswith(prefix):
+            key = meta.get("namespace", ""), meta["name"][len(prefix) :]
+            for atom in policy_atoms(doc, *key) or [dict.fromkeys(ATOM_COLUMNS) | dict(zip(POLICY, key, strict=True))]:
+                yield *(atom[c] for c in ATOM_COLUMNS), path, place
+
+
 def live_atoms(spark: SparkSession, path: str, manager: str, prefix: str) -> DataFrame:
     """Atoms of the policies in a cluster that ``manager`` owns: from policy documents (YAML or JSON, single ones or lists, as the cluster's
-    own client prints them), or from a Parquet table of atoms."""
+    own client prints them; a path with wildcards names many, and tasks parse them), or from a Parquet table of atoms. Of policies with equal
+    names the last one counts, by file name and place."""
     if not path.endswith((".yaml", ".yml", ".json")):
         return spark.read.parquet(path)
-    body = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).toLocalIterator())
-    docs = [json.loads(body)] if path.endswith(".json") else _yaml(body, path)
-    found: dict[tuple[str, str], list[dict[str, Any]]] = {}
-    for doc in (x for d in docs if d for x in (d.get("items") or []) + ([d] if d.get("spec") else [])):
-        meta = doc.get("metadata") or {}
-        if (meta.get("labels") or {}).get(MANAGED_BY) == manager and str(meta.get("name", "")).startswith(prefix):
-            key = meta.get("namespace", ""), meta["name"][len(prefix) :]
-            found[key] = policy_atoms(doc, *key)  # of equal names the last one counts
-    return spark.createDataFrame([tuple(a[c] for c in [*ATOM_KEY, "first_seq", "selector"]) for own in found.values() for a in own], ATOMS)
+    columns = f"{ATOMS}, file string, place long"
+    schema = to_arrow_schema(spark.createDataFrame([], columns).schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = _owned(row["value"], row["file"], manager, prefix)
+                while some := list(itertools.islice(rows, 1000)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in some], schema)
+
+    found = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).mapInArrow(parse, columns)
+    last = F.max(F.struct("file", "place")).over(Window.partitionBy(*POLICY))
+    return found.withColumn("__last", last).filter((F.col("__last.file") == F.col("file")) & (F.col("__last.place") == F.col("place")) & F.col("kind").isNotNull()).select(*ATOM_COLUMNS)
 
 
 def _selectors(endpoints: list[dict[str, Any]]) -> list[str]:
@@ -102,8 +123,8 @@ def _selectors(endpoints: list[dict[str, Any]]) -> list[str]:
 
 
 def policy_atoms(doc: dict[str, Any], namespace: str, workload: str) -> list[dict[str, Any]]:
-    """Atoms of a policy document, in its order. The rule towards the name service that goes with DNS rules is made anew, so it is left out."""
-    out: list[dict[str, Any]] = []
+    """Atoms of a policy document, in its order, each once. The rule towards the name service that goes with DNS rules is made anew, so it is left out."""
+    out: dict[tuple, dict[str, Any]] = {}
     spec = doc.get("spec") or {}
     for way, side in (("ingress", "from"), ("egress", "to")):
         rules = spec.get(way) or []
@@ -128,5 +149,5 @@ def policy_atoms(doc: dict[str, Any], namespace: str, workload: str) -> list[dic
             for kind, key, selector in peers:
                 for part in parts:
                     values = (namespace, workload, way, kind, key, *part, len(out), selector)
-                    out.append(dict(zip([*ATOM_KEY, "first_seq", "selector"], values, strict=True)))
-    return out
+                    out.setdefault(values[: len(ATOM_KEY)], dict(zip(ATOM_COLUMNS, values, strict=True)))
+    return list(out.values())

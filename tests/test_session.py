@@ -11,7 +11,8 @@ from flows import dns, http, line
 
 from flowsieve import cli
 from flowsieve.operators.rules import ATOM_KEY, RULE
-from flowsieve.plans import render, session
+from flowsieve.plans import documents, render, session
+from flowsieve.plans.files import Files
 from flowsieve.plans.state import FAN, State, bucket
 from flowsieve.sources import capture, stored
 from flowsieve.streaming import live
@@ -236,6 +237,60 @@ def test_live_policies_from_documents(spark, place):
     assert [(r["namespace"], r["workload"], r["peer_key"], r["port"]) for r in rows] == [("prod", "server", "host", "1")]
 
 
+def test_of_live_policies_with_equal_names_the_last_counts(spark, place):
+    meta = {"name": "fs-server", "namespace": "prod", "labels": {"app.kubernetes.io/managed-by": "flowsieve"}}
+    rule = lambda *ports: {"ingress": [{"fromEntities": ["host"], "toPorts": [{"ports": [{"port": p, "protocol": "TCP"} for p in ports]}]}]}
+    (place / "live").mkdir()
+    files = {"a": [{"metadata": meta, "spec": rule("1")}], "b": [{"metadata": meta, "spec": rule("2")}, {"metadata": meta, "spec": rule("3", "4", "3")}], "c": [{"metadata": meta | {"name": "fs-x"}, "spec": rule("5")}]}
+    for name, items in files.items():
+        (place / f"live/{name}.json").write_text(json.dumps({"items": items}))
+    read = lambda: sorted((r["workload"], r["port"]) for r in stored.live_atoms(spark, str(place / "live/*.json"), "flowsieve", "fs-").collect())
+    assert read() == [("server", "3"), ("server", "4"), ("x", "5")]
+    (place / "live/d.json").write_text(json.dumps({"metadata": meta, "spec": {"endpointSelector": {}}}))
+    assert read() == [("x", "5")]  # the last one allows nothing
+
+
+def test_documents_are_written_by_tasks(spark, place, monkeypatch):
+    write = Files.write
+
+    def state_only(self, path, text):
+        assert not path.endswith((".yaml", "server.json"))
+        write(self, path, text)
+
+    monkeypatch.setattr(Files, "write", state_only)
+    owners = [["k8s:app=server", f"k8s:app=server-{i}"][i % 2 :][:1] if i < 2 else [f"k8s:app=server-{i}"] for i in range(40)]
+    (place / "c.jsonl").write_text("\n".join(line(i, own=own) for i, own in enumerate(owners)))
+    got = replay(spark, place)
+    made = sorted(str(p) for p in (place / "out/prod").glob("*"))
+    assert len(made) == 40 and got.written == made  # and nothing else is in the folder
+    assert len(list((place / "ev").glob("*/prod/*.json"))) == 40
+
+
+def test_a_write_that_fails_leaves_the_old_document(tmp_path, monkeypatch):
+    store = documents.Store(f"file://{tmp_path}")
+    store.write("n/w.yaml", "old")
+    store.write("n/w.yaml", "newer")
+
+    class Broken:
+        def __getattr__(self, name):
+            return getattr(inner, name)
+
+        def move(self, *a):
+            raise OSError("lost")
+
+    inner, store.fs = store.fs, Broken()
+    with pytest.raises(OSError, match="lost"):
+        store.write("n/w.yaml", "half")
+    assert [p.name for p in (tmp_path / "n").iterdir()] == ["w.yaml"] and store.read("n/w.yaml") == "newer" and store.read("n/x.yaml") == ""
+
+
+def test_where_tasks_have_no_access_the_driver_writes(spark, place, monkeypatch):
+    monkeypatch.setattr(documents, "SCHEMES", {})
+    got = replay(spark, place)
+    assert len(got.written) == 1 and 'port: "8443"' in (place / "out/prod/server.yaml").read_text()
+    assert replay(spark, place).unchanged == got.written and len(evidence_of(place)["sessions"]) == 2
+
+
 def test_a_stream_numbers_lines_by_file_and_place(spark, place):
     (place / "in").mkdir()
     (place / "in/a.jsonl").write_text(line(0, own=["k8s:app=server", "k8s:v=first"]))
