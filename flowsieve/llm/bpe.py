@@ -6,6 +6,11 @@ lowest-rank merge. A merge updates at most two leaves and their paths to the roo
 Distinct pretokens of a chunk of texts go through together: their trees are the rows of one array and each step merges one pair
 in every row. A pretoken that is too long for that has the same tree to itself.
 
+A pretoken of more than LONG bytes goes in overlapping windows, many side by side, so its trees stay small. Where merges only
+build on earlier ones (checked when the vocabulary is read), ranks never fall while a text is merged, and so a sequence of tokens
+is the encoding of its text exactly if each two neighbours are the encoding of theirs. Two windows are joined at a place where
+both begin the same token: each two neighbours of the joined sequence are then neighbours in the encoding of one window.
+
 The vocabulary file is a parameter (the JSON of the public ``tokenizers`` library). Ids follow that library: special tokens in
 a text become their id, the rest is cut by the byte-level pattern, and merges go by rank.
 """
@@ -15,7 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NONE = np.int32(2**31 - 1)
 #: Pretokens of more bytes get a tree of their own; distinct pretokens that a worker remembers; characters of text at once.
 ROW_BYTES, CACHE, CHUNK = 64, 160_000, 1 << 19
+#: Longest pretoken with one tree; bytes of a window and of its overlap with the next; windows side by side; pretokens of a text at once.
+LONG, WINDOW, OVERLAP, ABREAST, BLOCK = 1 << 17, 2048, 256, 256, 1 << 17
+#: Pretokens of more characters are not remembered.
+REMEMBERED = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,6 +70,10 @@ class Vocabulary:
         self.codes, self.ranks, self.results = code[first], first.astype(np.int32), result[first]
         self.result_of_rank = result
         self.rank_of = {int(c): int(r) for c, r in zip(self.codes, self.ranks, strict=True)}
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        made = np.full(self.width, -1, np.int64)  # the last merge that makes a token
+        np.maximum.at(made, result, np.arange(len(result)))
+        self.builds_up = bool((np.maximum(made[left], made[right]) < np.arange(len(result))).all())
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         code = left * self.width + right
@@ -187,6 +200,56 @@ def encode_rows(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
+class Window:
+    """The tokens of a part of a pretoken and the places where they begin."""
+
+    def __init__(self, vocab: Vocabulary, start: int, ids: np.ndarray):
+        sizes = vocab.lengths[ids]
+        self.ids, self.places, self.end = ids, start + np.cumsum(sizes) - sizes, start + int(sizes.sum())
+
+    def meets(self, other: Window, since: int) -> int | None:
+        """The first place from ``since`` on where both begin the same token."""
+        places, mine, its = np.intersect1d(self.places, other.places, assume_unique=True, return_indices=True)
+        same = places[(places >= since) & (self.ids[mine] == other.ids[its])]
+        return int(same[0]) if len(same) else None
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        return self.ids[np.searchsorted(self.places, a) : np.searchsorted(self.places, b)]
+
+
+def _window_after(vocab: Vocabulary, word: bytes, last: Window, since: int) -> tuple[Window, int] | None:
+    """A window that begins where a token of the last one's end begins, and with the same token."""
+    at = last.places[last.places >= max(since, last.end - OVERLAP)]
+    for place in at[:16].tolist():
+        found = Window(vocab, place, np.array(encode_long(vocab, word[place : place + WINDOW + OVERLAP]), np.int32))
+        if found.ids[0] == last.ids[np.searchsorted(last.places, place)]:
+            return found, place
+    return None
+
+
+def encode_windows(vocab: Vocabulary, word: bytes) -> list[int] | np.ndarray:
+    """One very long pretoken by windows; with one tree where the vocabulary doesn't allow that or windows can't be joined."""
+    if not vocab.builds_up:
+        return encode_long(vocab, word)
+    step, out, last, since = WINDOW - OVERLAP, [], None, 0
+    starts = range(0, max(1, len(word) - OVERLAP), step)
+    for a in range(0, len(starts), ABREAST):
+        own = starts[a : a + ABREAST]
+        for start, ids in zip(own, encode_rows(vocab, [word[s : s + WINDOW] for s in own]), strict=True):
+            here = Window(vocab, start, np.frombuffer(ids, np.int32))
+            if last is not None:
+                place = last.meets(here, since)
+                if place is None:
+                    found = _window_after(vocab, word, last, since)
+                    if found is None:
+                        return encode_long(vocab, word)
+                    here, place = found
+                out.append(last.between(since, place))
+                since = place
+            last = here
+    return np.concatenate([*out, last.between(since, len(word))])
+
+
 def encode_words(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
     """Ids of distinct pretokens as 32-bit numbers; trees of like size go together."""
     out = [b""] * len(words)
@@ -196,7 +259,7 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
     for size, own in by.items():
         if size == 99:
             for i in own:
-                out[i] = np.array(encode_long(vocab, words[i]), np.int32).tobytes()
+                out[i] = np.asarray((encode_windows if len(words[i]) > LONG else encode_long)(vocab, words[i]), np.int32).tobytes()
         else:
             for a in range(0, len(own), 20_000):
                 part = own[a : a + 20_000]
@@ -212,22 +275,41 @@ class Encoder:
         import regex
 
         self.vocab, self.known, self.older = vocab, {}, {}
-        self.words = regex.compile(PATTERN).findall
-        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) + ")").split if vocab.special else None
-
-    def pretokens(self, text: str) -> list[str]:
-        if self.split is None or not any(s in text for s in self.vocab.special):
-            return self.words(text)
-        out: list[str] = []
-        for part in self.split(text):
-            if part in self.vocab.special:
-                out.append("\0special" + part)
-            elif part:
-                out += self.words(part)
-        return out
+        self.words = regex.compile(PATTERN)
+        self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True))) if vocab.special else None
+
+    def _parts(self, text: str) -> Iterator[tuple[int, int, str | None]]:
+        """Runs of plain text and, between them, special tokens."""
+        at = 0
+        if self.specials is not None and any(s in text for s in self.vocab.special):
+            for found in self.specials.finditer(text):
+                yield at, found.start(), found.group()
+                at = found.end()
+        yield at, len(text), None
+
+    def pretokens(self, text: str) -> Iterator[str]:
+        for a, b, special in self._parts(text):
+            yield from (m.group() for m in self.words.finditer(text, a, b))
+            if special is not None:
+                yield "\0special" + special
+
+    def _cut(self, text: str) -> list[str]:
+        if self.specials is None or not any(s in text for s in self.vocab.special):
+            return self.words.findall(text)
+        return list(self.pretokens(text))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pretokens(t) for t in texts]
+        """Ids of each text. A text of more than CHUNK characters is cut and encoded a block of pretokens at a time."""
+        short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
+        out = dict(zip(short, self._encode([self._cut(texts[i]) for i in short]), strict=True))
+        for i in set(range(len(texts))) - set(short):
+            rest, done = self.pretokens(texts[i]), []
+            while block := list(islice(rest, BLOCK)):
+                done += self._encode([block])
+            out[i] = np.concatenate(done)
+        return [out[i] for i in range(len(texts))]
+
+    def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > CACHE // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -247,7 +329,11 @@ class Encoder:
         for w, ids in zip(plain, encode_words(self.vocab, [w.encode() for w in plain]), strict=True):
             known[w] = ids
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
+        made = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
+        for w in plain:
+            if len(w) > REMEMBERED:
+                del known[w]
+        return made
 
 
 @lru_cache(maxsize=1)
@@ -258,7 +344,7 @@ def worker_encoder(path: str) -> Encoder:
 
 def decode_all(pieces: np.ndarray, ids: list[np.ndarray]) -> list[str]:
     """Texts of id arrays; bytes that are no UTF-8 become U+FFFD."""
-    return [b"".join(pieces[x].tolist()).decode("utf-8", "replace") for x in ids]
+    return [b"".join(b"".join(pieces[x[a : a + BLOCK]].tolist()) for a in range(0, len(x), BLOCK)).decode("utf-8", "replace") for x in ids]
 
 
 def _encoder(path: str, at: int, names: list[str], out: str, decoded: str | None):

@@ -38,6 +38,26 @@ def test_trees_of_one_and_of_many_agree():
     assert [np.frombuffer(x, np.int32).tolist() for x in bpe.encode_words(vocab, tokens)] == [bpe.encode_long(vocab, t) for t in tokens]
 
 
+def test_windows_and_blocks_as_the_library(library, monkeypatch):
+    for name, value in (("LONG", 300), ("WINDOW", 128), ("OVERLAP", 64), ("ABREAST", 3), ("CHUNK", 400), ("BLOCK", 7)):
+        monkeypatch.setattr(bpe, name, value)
+    rnd, encoder = random.Random(5), bpe.Encoder(bpe.vocabulary(PATH))
+    made = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(301, 3000))) for letters in ("ab", "etaoinsh", "aA", "-", "é中", "helo") for _ in range(12)]
+    periods = [("".join(rnd.choice("abcdeh") for _ in range(n)) * 900)[: 2000 + n] for n in range(1, 40)]
+    texts = [*made, *periods, *odd_texts(), " ".join([*made, *periods]), "<|endoftext|>".join(made)]
+    assert [g.tolist() for g in encoder.encode(texts)] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(map(len, encoder.known)) <= bpe.REMEMBERED
+
+
+def test_windows_that_do_not_meet(monkeypatch):
+    vocab, word = bpe.vocabulary(PATH), b"haha" * 2000
+    whole = bpe.encode_long(vocab, word)
+    monkeypatch.setattr(bpe.Window, "meets", lambda *_: None)
+    assert bpe.encode_windows(vocab, word).tolist() == whole  # each window starts at a token of the one before
+    monkeypatch.setattr(bpe, "_window_after", lambda *_: None)
+    assert bpe.encode_windows(vocab, word) == whole  # one tree
+
+
 def test_query_columns(spark, library):
     docs = crowded(awkward(spark))
     got = bpe.bpe_decode(bpe.bpe_encode(docs, PATH), PATH).collect()
