@@ -37,8 +37,8 @@ WIDTH = 5
 PAIRED = 8
 #: Keys that a map task gathers before it writes them out; parts of a bucket, joined one after the other; keys unpacked at once.
 FLUSH_KEYS, PARTS, HELD_KEYS = 1 << 19, 16, 1 << 20
-#: Shingles on either side of a block; bits of the map of wanted texts.
-BLOCK_SHINGLES, MAP_BITS = 1 << 20, 22
+#: Shingles on either side of a block; least and most bits of the map of wanted texts, as powers of two.
+BLOCK_SHINGLES, LEAST_BITS, MOST_BITS = 1 << 20, 22, 25
 SKETCH_WORDS = 16
 _U = tn.U64
 
@@ -317,17 +317,24 @@ def _hamming(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
 
 
+def map_bits(wanted: int) -> int:
+    """Bits of the map, as a power of two: sixteen or more a wanted text while the map may grow."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * wanted - 1).bit_length()))
+
+
 def class_sets(wanted: DataFrame, most: int, docs: DataFrame, space: Workspace, width: int, tag: str) -> DataFrame:
-    """(mark, shingles) of the classes ``wanted`` (id, th of the text to read; at most ``most``). Texts that no class wants stay where they are: a map of
-    2^MAP_BITS bits, at most 2^(MAP_BITS - 6) rows whatever the input, rules them out before the shuffle; the exact join follows."""
+    """(mark, shingles) of the classes ``wanted`` (id, th of the text to read; at most ``most``). Texts that no class wants stay where they are: a map
+    rules them out before the shuffle; the exact join follows. The map grows with the wanted texts up to 2^MOST_BITS bits (2^(MOST_BITS - 6) rows); with many
+    more wanted texts than that it lets most pass, which costs a shuffle of their texts and changes no result."""
     wanted = space.write(wanted.distinct(), f"wanted{tag}", files_for(most))
     n = wanted.count()
-    spot = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << MAP_BITS))
+    bits = map_bits(n)
+    spot = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << bits))
     marked = wanted.select(spot("id", "th").alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
     there = docs.withColumn("s", spot("__id", "__th")).withColumn("w", F.expr("cast(s div 64 as int)")).join(F.broadcast(marked), "w").filter("getbit(m, cast(s % 64 as int)) = 1")
     texts = there.join(wanted.withColumnRenamed("th", "wth"), there["__id"].eqNullSafe(F.col("id")) & (there["__th"] == F.col("wth")), "left_semi").select("__text")
     sets = arrow_map(texts, lambda it: _sets_of(it, width), "mark long, shingles binary")
-    return space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"sets{tag}", files_for(n, 1 << 12))
+    return space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"sets{tag}")
 
 
 def verified_links(pairs: DataFrame, n_pairs: int, classes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +342,7 @@ def verified_links(pairs: DataFrame, n_pairs: int, classes: DataFrame, docs: Dat
     side = lambda s: classes.select(F.col("mark").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"), F.col("at").alias(f"at{s}"))
     near = salted_join(pairs, side("a"), "a", "b", n_pairs).join(side("b"), "b").withColumn("most", F.expr(f"((na + nb) * {100 - percent}) div {100 + percent}"))
     near = near.withColumn("maybe", (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming(F.col("bitsa"), F.col("bitsb")) <= F.col("most")))
-    near = space.write(near.select("a", "b", "late", "maybe", "ata", "atb"), "near", files_for(n_pairs))
+    near = space.write(near.select("a", "b", "late", "maybe", "ata", "atb"), "near")
     maybe = near.filter("maybe")
     wanted = maybe.select("ata.id", "ata.th").unionByName(maybe.select("atb.id", "atb.th"))
     sets = class_sets(wanted, 2 * n_pairs, docs, space, width, "1")
@@ -343,7 +350,7 @@ def verified_links(pairs: DataFrame, n_pairs: int, classes: DataFrame, docs: Dat
     full = salted_join(full, sets.select(F.col("mark").alias("a"), F.col("shingles").alias("x")), "a", "b", n_pairs, counted=maybe).select("a", "b", "late", "x", "y")
     known = arrow_map(full, _common, "a long, b long, late boolean, common long, na long, nb long")
     found = known.select("a", "b", "late", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
-    held = space.write(found, "held", files_for(n_pairs))
+    held = space.write(found, "held")  # a task verifies what one shuffle partition of sets holds, which Spark sizes by bytes
     space.drop("sets1")
     return held.filter("linked").drop("linked"), near.filter("not maybe").select("a", "b", "late").unionByName(held.filter("not linked").drop("linked"))
 
@@ -404,7 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_
     buckets = shuffle_width(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(bare, width))
     packed = arrow_map(bare, _sketcher(percent, width, even_buckets(docs.sparkSession, buckets), common), _DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
-    table = space.write(arrow_map(packed, _join_buckets, _DDL), "joined", -(-buckets // 4))  # rows are small beside the texts that they come from
+    table = space.write(arrow_map(packed, _join_buckets, _DDL), "joined")
     counts = dict(table.groupBy("kind").count().collect())  # two rows
     n_docs, n_pairs = counts.get(0, 0), counts.get(1, 0)
     rows = table.filter("kind = 0").select("doc_id", "th", "n", F.col("a").alias("mark"), "bits")
@@ -440,14 +447,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the lowest id; documents without words all stay.
 
-    Only texts that may go, or may be there twice, are shuffled: a map of fixed size (see ``class_sets``) rules the others out."""
+    Only texts that may go, or may be there twice, are shuffled: a map (see ``class_sets``) rules the others out."""
     found = near_duplicates(docs, percent, width, doc_id, text)
     space = Workspace(docs.sparkSession, "kept")
     stays = F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("first_th"))
     # of rows that stay only those with copies may be there twice
     touched = found.filter("n_shingles > 0").filter(~stays | (F.col("__copies") > 1)).groupBy(F.col(doc_id).alias("__kid"), F.col("__th").alias("__kth")).agg(F.max(stays).alias("__stays"), F.count(F.lit(1)).alias("__rows"))
     touched = space.write(touched.filter("not __stays or __rows > 1"), "touched", max(1, shuffle_width(docs.sparkSession) // 8))
-    spot = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << MAP_BITS))
+    bits = map_bits(touched.count())
+    spot = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << bits))
     marked = touched.select(spot("__kid", "__kth").alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("__m"))
     rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__s", spot(F.col(doc_id).cast("long"), F.col("__th"))).withColumn("__w", F.expr("cast(__s div 64 as int)"))
     rows = rows.join(F.broadcast(marked), "__w", "left").withColumn("__may", F.coalesce(F.getbit("__m", F.expr("cast(__s % 64 as int)")), F.lit(0)) == 1)
