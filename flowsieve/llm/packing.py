@@ -20,7 +20,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -34,16 +34,27 @@ from .workspace import Workspace, arrow_map
 LENGTH, END = 2048, 1
 #: Documents in a run of a source's queue on average; windows in a run of the whole order; runs in a group of runs.
 RUN_DOCS, RUN_WINDOWS, GROUP = 4096, 64, 1024
-#: Bytes of text at once; distinct words that a worker remembers; words that go through the library as one text.
-CHUNK, CACHE, JOINED = 1 << 20, 150_000, 1000
+#: Bytes of text at once; distinct words that a worker remembers; words that go through the library as one text; characters of a word that tables cut, at most.
+CHUNK, CACHE, JOINED, SHORT = 1 << 20, 150_000, 1000, 1 << 10
 
 
 # How the public word tokenizer normalises and cuts text, and the characters for which Python's own tables give the same.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _PLAIN = [c for c in (*range(0x21, 0x7F), *range(0xA1, 0x300)) if all(0x20 < ord(x) < 0x300 for x in chr(c).lower())]
 
 
+def _byte_names() -> dict[int, int]:
+    """The character by which a byte-level vocabulary names each byte: printable ones by themselves, the others in turn from 0x100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(others)}
+
+
+_NAMES = _byte_names()
+
+
 class Recent:
     """A dictionary of between ``CACHE`` and twice as many entries, those met last."""
 
@@ -51,24 +62,57 @@ class Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """Those that aren't remembered; all others are in ``young`` from now on."""
+    def values(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """What is remembered of distinct ``keys``, and what ``make`` gives for the others, in their order; all of them are in ``young`` from now on."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
+        young, out = self.young, list(map(self.young.get, keys))
+        gone = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(gone, list(map(self.old.get, [keys[i] for i in gone])), strict=True):
+            if x is not None:
+                out[i] = young[keys[i]] = x
+        gone = [i for i in gone if out[i] is None]
+        if gone:
+            for i, x in zip(gone, make([keys[i] for i in gone]), strict=True):
+                out[i] = young[keys[i]] = x
         return out
 
 
+def _cut(raw: bytes, ends: list[int], gap: int = 0) -> list[bytes]:
+    """``raw`` cut at ``ends``, without the ``gap`` bytes after each."""
+    return [raw[a:b] for a, b in zip([0, *[e + gap for e in ends[:-1]]], ends, strict=True)]
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """By code point to 0x300: 1 for letters, 2 for numbers, 3 for other characters and 0 for those that need more than a table, and the lower case."""
+    kind, low = np.zeros(0x301, np.uint8), np.zeros(0x301, np.uint32)
+    for c in _PLAIN:
+        if chr(c) not in "'<" and len(chr(c).lower()) == 1:
+            low[c] = ord(chr(c).lower())
+            kind[c] = {"L": 1, "N": 2}.get(unicodedata.category(chr(low[c]))[0], 3)
+    return kind, low
+
+
+_KIND, _LOW = _classes()
+
+
+def _spread(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool``, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all ``values`` on end, where each one's begin and how many they are."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    return np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes, sizes
+
+
 class Encoder:
     """Token ids of texts by a tokenizer that takes words between white space apart, each by itself.
 
-    The library encodes each distinct word that isn't remembered, or, for the public word tokenizer and words of Latin letters, each distinct part that it cuts them into."""
+    The library encodes each distinct word that isn't remembered. For the public word tokenizer and words of Latin letters, its model alone encodes each distinct part that the
+    tokenizer cuts them into: they are lower-cased and cut here, most by tables, many at once. The library's own steps for that cost more than its model."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,11 +126,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal, cuts = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        known = normal == _NORMAL and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[0].get("invert") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        known = normal == _NORMAL and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[0].get("invert") and cuts[1:] == [_BYTES] and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         of = lambda kind: "".join(f"\\u{c:04x}" for c in _PLAIN if unicodedata.category(chr(c))[0] == kind)
         every = "".join(f"\\u{c:04x}" for c in _PLAIN)
         self.plain = re.compile(f"[{every}]+").fullmatch if known else lambda w: None
         self.cut = re.compile("\n|" + _CUT.replace("[^\\s\\p{L}\\p{N}]", f"[^\n{of('L')}{of('N')}]").replace("\\p{L}", of("L")).replace("\\p{N}", of("N"))).findall
+        self.known, self.model = known, self.tokenizer.model
         self.words, self.parts = Recent(), Recent()
 
     def _by_library(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -99,49 +144,83 @@ class Encoder:
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark[1].join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark[0])
-            raw, begins, ends = ids.tobytes(), [0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(ids) * 4]
-            yield from zip(group, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True)
-
-    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+            yield from zip(group, _cut(ids.tobytes(), [*(ends * 4).tolist(), len(ids) * 4], 4), strict=True)
+
+    def _by_model(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts as the tokenizer cuts them, in their order, JOINED at a time."""
+        tokenize = self.model.tokenize
+        for a in range(0, len(parts), JOINED):
+            found = [tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_NAMES)) for p in parts[a : a + JOINED]]
+            ends = (np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4).tolist()
+            yield from _cut(array("I", [t.id for own in found for t in own]).tobytes(), ends)
+
+    def _encode_words(self, words: list[str]) -> Iterable[bytes]:
+        """Ids of distinct words, in their order."""
         plain = [w for w in words if "<|" not in w and self.plain(w)]
-        chosen = set(plain)
-        yield from self._by_library([w for w in words if w not in chosen])
         if not plain:
-            return
+            other = dict(self._by_library(words))
+            return [other[w] for w in words]
         parts = self.cut("\n".join(plain).lower())  # each word's parts, then a line feed
-        new = self.parts.missing({*parts} - {"\n"})
-        self.parts.young.update(self._by_library(new))
-        self.parts.young["\n"] = b""
-        ids = [self.parts.young[p] for p in parts]
+        names = list({*parts} - {"\n"})
+        known = dict(zip(names, self.parts.values(names, self._by_model), strict=True))
+        known["\n"] = b""
+        ids = [known[p] for p in parts]
         at = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         ends = [*at[[i for i, p in enumerate(parts) if p == "\n"]].tolist(), int(at[-1])]
-        raw = b"".join(ids)
-        yield from zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+        found = _cut(b"".join(ids), ends)
+        if len(plain) == len(words):
+            return found
+        chosen = dict(zip(plain, found, strict=True))
+        chosen.update(self._by_library([w for w in words if w not in chosen]))
+        return [chosen[w] for w in words]
+
+    def _encode_simple(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the distinct words ``names`` tables can cut into parts, the ids of those on end, and how many each has."""
+        sizes = np.asarray(pc.utf8_length(names)).astype(np.int64)
+        short = sizes <= SHORT
+        sizes, data = sizes[short], "".join(names.filter(pa.array(short)).to_numpy(zero_copy_only=False).tolist())
+        points = np.minimum(np.frombuffer(data.encode("utf-32-le"), "<u4"), 0x300)
+        odd, ends = np.append(0, np.cumsum(_KIND[points] == 0)), np.cumsum(sizes)
+        even = odd[ends] == odd[ends - sizes]
+        points, sizes = _LOW[points[np.repeat(even, sizes)]], sizes[even]
+        simple = short.copy()
+        simple[short] = even
+        if not len(points):
+            return simple, np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
+        kind, to = _KIND[points], np.cumsum(sizes)
+        new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
+        new[to[to < len(points)]] = True
+        # parts tile the words, so they are stretches of the lower-cased bytes
+        first = np.flatnonzero(new)
+        offsets = np.append((np.cumsum(1 + (points > 0x7F)) - (1 + (points > 0x7F)))[first], len(points) + np.count_nonzero(points > 0x7F)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.utf8(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(points.astype("<u4").tobytes().decode("utf-32-le").encode())]).dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pool, begins, long = _joined(self.parts.values(distinct, self._by_model))
+        which = np.asarray(parts.indices)
+        upto = np.append(0, np.cumsum(long[which]))[np.append(0, np.cumsum(new))[to]]  # ids to the end of each word
+        return simple, _spread(pool, begins[which], long[which]), np.diff(upto, prepend=0)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each with ``end`` after it, and where each text's ids end."""
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten()
         coded = flat.dictionary_encode()
-        names, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
-        new = self.words.missing(names)
-        self.words.young.update(self._encode_words(new))
-        known = self.words.young
-        each = [known[w] for w in names]
-        pool = np.frombuffer(b"".join([*each, array("I", [end]).tobytes()]), np.uint32)
-        sizes = np.append(np.fromiter(map(len, each), np.int64, len(each)) // 4, 1)
-        begins = np.cumsum(sizes) - sizes
+        names, which = coded.dictionary, np.asarray(coded.indices)
+        simple, ids, long = self._encode_simple(names) if self.known and len(names) else (np.zeros(len(names), bool), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        other, begun, rest = _joined(self.words.values(names.filter(pa.array(~simple)).to_pylist(), self._encode_words))
+        pool = np.concatenate([ids, other, np.array([end], np.uint32)])
+        begins, sizes = np.full(len(names) + 1, len(pool) - 1), np.ones(len(names) + 1, np.int64)
+        begins[:-1][simple], sizes[:-1][simple] = np.cumsum(long) - long, long
+        begins[:-1][~simple], sizes[:-1][~simple] = begun + len(ids), rest
         counts = np.diff(words.offsets.to_numpy() if len(words) else np.zeros(1, np.int32))
         # the words of all texts, and after each text's the end, which is the pool's last entry
         last = np.cumsum(counts + 1) - 1
-        order = np.full(len(which) + len(counts), len(each), np.int64)
+        order = np.full(len(which) + len(counts), len(names), np.int64)
         inside = np.ones(len(order), bool)
         inside[last] = False
         order[inside] = which
         long = sizes[order]
-        ends = np.cumsum(long)
-        ids = pool[np.repeat(begins[order] - (ends - long), long) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, ends[last]
+        return _spread(pool, begins[order], long), np.cumsum(long)[last]
 
 
 @lru_cache(maxsize=1)

@@ -46,6 +46,20 @@ def test_latin_words_are_cut_as_the_library_does(library):
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [want_ids(library, w) for w in words]
 
 
+def test_simple_words_are_cut_by_tables_and_take_the_model_alone(library, monkeypatch):
+    """No such word goes the way of words one by one; long ones and those with apostrophes do."""
+    rnd = random.Random(6)
+    letters = [chr(c) for c in packing._PLAIN if chr(c) not in "'<" and len(chr(c).lower()) == 1]
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(3000)] + ["A1b22", "x--Y", "ÀÉ", "²1½", "z" * packing.SHORT]
+    texts = [" ".join(words[a : a + 7]) for a in range(0, len(words), 7)] + ["", "  \n ", " a  B "]
+    encoder, slow = packing.Encoder(PATH), []
+    monkeypatch.setattr(encoder, "_encode_words", lambda words: slow.extend(words) or packing.Encoder._encode_words(encoder, words))
+    ids, ends = encoder.encode(pa.array([*texts, "it's <b> 中 " + "y" * (packing.SHORT + 1)]), 1)
+    assert sorted(w for w in slow if w) == sorted(["it's", "<b>", "中", "y" * (packing.SHORT + 1)])
+    assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [want_ids(library, t) for t in texts]
+    assert ids[ends[-2] :].tolist() == want_ids(library, "it's <b> 中 " + "y" * (packing.SHORT + 1))
+
+
 def test_long_texts_in_parts(library, monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 100)
     text = "some words, \n and more's 12 " * 300 + "z" * 500 + " end"
