@@ -7,11 +7,12 @@ each cell is the XOR of its shingles' hashes: the number of cells that differ is
 that differ, so at least P - t cells agree. Of two sets of P cells that agree in P - t, the first t + 1 in any one
 order of all possible cells meet. The order depends on a cell's content alone: cells with many shingles that are not
 common come first (the most telling), cells of common passages and empty ones last; only those t + 1 cells are join
-keys. Which shingles are common is learned from a bounded sample; it decides how fast the join is, never what it finds. Candidates then face the Hamming distance of 1024-bit parity sketches, which
+keys. A set's own t is what it and its largest possible partner in a scheme may differ in, as each of two sets finds their first common cell among as many of
+its own cells as differ, and one more. Which shingles are common is learned from a bounded sample; it decides how fast the join is, never what it finds. Candidates then face the Hamming distance of 1024-bit parity sketches, which
 is at most the number of differing shingles as well, and at last the sets themselves. Every step but the last
 only rules out pairs that cannot be similar, so no link is lost.
 
-Equal sets meet as one class before any join. Keys are packed per map task, bucket and part, and joined with numpy by
+Equal sets meet as one class before any join. Keys are packed per map task, bucket and part (fewer parts with more buckets: a class is named once in each that it has keys in), and joined with numpy by
 sorting, one part at a time and at most about ``HELD_KEYS`` unpacked keys at a time. In a group of more than ``PAIRED`` classes
 with one key, each is first held against the most central one, that with the smallest share of uncommon shingles (``late`` below).
 Members that turn out not to be in its component are then held against all that met the same central class, in blocks of bounded
@@ -35,8 +36,8 @@ from .workspace import Workspace, arrow_map, even_buckets, files_for, salted_joi
 
 WIDTH = 5
 PAIRED = 8
-#: Keys that a map task gathers before it writes them out; parts of a bucket, joined one after the other; keys unpacked at once.
-FLUSH_KEYS, PARTS, HELD_KEYS = 1 << 19, 16, 1 << 20
+#: Keys that a map task gathers before it writes them out; parts of a bucket, joined one after the other, at most and at least; parts of all buckets between those; keys unpacked at once.
+FLUSH_KEYS, PARTS, LEAST_PARTS, CELLS, HELD_KEYS = 1 << 19, 16, 4, 256, 1 << 20
 #: Shingles on either side of a block; least and most bits of the map of wanted texts, as powers of two.
 BLOCK_SHINGLES, LEAST_BITS, MOST_BITS = 1 << 20, 22, 25
 SKETCH_WORDS = 16
@@ -61,12 +62,23 @@ class Bands:
         return int(np.searchsorted(self.highs, n))
 
     def scheme(self, band: int) -> tuple[int, int]:
-        """Differences t allowed within a band and the one below, and the number of cells."""
+        """Differences t allowed between a band and the one below, or within the one below, and the number of cells."""
         while len(self.highs) <= band:
             self.of(self.highs[-1] + 1 if self.highs else 1)
-        t = differences(2 * self.highs[band], self.percent)
+        t = differences(self.highs[band] + (self.highs[band - 1] if band else 0), self.percent)
         return t, t + 1 + (t > 0) * (2 + t // 4)
 
+    def schemes(self, n: int) -> list[tuple[int, int, int]]:
+        """Schemes by which a set of n shingles meets all that are similar: band, differences t from any of them at most, and the number of cells.
+
+        Sets of its own band and the next meet it by the next band's, those of the band below by its own."""
+        band = self.of(n)
+        found = [(band + 1, differences(n + n * 100 // self.percent, self.percent), self.scheme(band + 1)[1])]
+        below = self.highs[band - 1] if band else 0
+        if 100 * below >= self.percent * n:
+            found.append((band, differences(n + below, self.percent), self.scheme(band)[1]))
+        return found
+
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text: runs of ``width`` words, A-Z lower-cased; a text of fewer words is one run."""
@@ -150,8 +162,14 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def parts_of(buckets: int) -> int:
+    """Parts of each bucket: a class is named once in each part that it has keys in, and a row is written for each part that a flush has keys in."""
+    return min(PARTS, max(LEAST_PARTS, CELLS // buckets))
+
+
 def _sketcher(percent: int, width: int, codes: list[int], common):
     buckets, numbers = len(codes), np.array(codes, np.int32)
+    parts = parts_of(buckets)
 
     def flush(keys: list, marks: list, ranks: list) -> pa.RecordBatch:
         sizes = np.array([len(k) for k in keys])
@@ -159,7 +177,7 @@ def _sketcher(percent: int, width: int, codes: list[int], common):
         mark, rank = np.array(marks, np.int64), np.array(ranks, np.uint16)
         bucket = (key % _U(buckets)).astype(np.int64)
         key = key >> _U(16)
-        cell = bucket * PARTS + (key % _U(PARTS)).astype(np.int64)
+        cell = bucket * parts + (key % _U(parts)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         key, doc, cell = key[order], doc[order], cell[order]
         low = key.view(np.uint8).reshape(-1, 8)[:, :6]
@@ -168,8 +186,8 @@ def _sketcher(percent: int, width: int, codes: list[int], common):
         for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
             run = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
             out["kind"].append(1)
-            out["bucket"].append(int(numbers[cell[a] // PARTS]))
-            out["part"].append(int(cell[a] % PARTS))
+            out["bucket"].append(int(numbers[cell[a] // parts]))
+            out["part"].append(int(cell[a] % parts))
             out["keys"].append(low[a:b].tobytes())
             out["sets"].append(mark[doc[a:b][run]].tobytes())
             out["ranks"].append(rank[doc[a:b][run]].tobytes())
@@ -192,9 +210,8 @@ def _sketcher(percent: int, width: int, codes: list[int], common):
                 if not len(s) or mark in seen:
                     continue  # its class has spoken in this flush
                 seen.add(mark)
-                band = bands.of(len(s))
                 rare = (~_among(s, common.value)).astype(np.int32)
-                mine = np.concatenate([cell_keys(s, rare, k, *bands.scheme(k)) for k in (band, band + 1)])
+                mine = np.concatenate([cell_keys(s, rare, *scheme) for scheme in bands.schemes(len(s))])
                 keys.append(mine)
                 marks.append(mark)
                 ranks.append(int(rare.sum()) * 65535 // len(s))
@@ -334,7 +351,12 @@ def class_sets(wanted: DataFrame, most: int, docs: DataFrame, space: Workspace,
     there = docs.withColumn("s", spot("__id", "__th")).withColumn("w", F.expr("cast(s div 64 as int)")).join(F.broadcast(marked), "w").filter("getbit(m, cast(s % 64 as int)) = 1")
     texts = there.join(wanted.withColumnRenamed("th", "wth"), there["__id"].eqNullSafe(F.col("id")) & (there["__th"] == F.col("wth")), "left_semi").select("__text")
     sets = arrow_map(texts, lambda it: _sets_of(it, width), "mark long, shingles binary")
-    return space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"sets{tag}")
+    sets = space.write(sets, f"sets{tag}")
+    if sets.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return sets
+    single = space.write(sets.groupBy("mark").agg(F.first("shingles").alias("shingles")), f"single{tag}")  # the same id and text more than once
+    space.drop(f"sets{tag}")
+    return single
 
 
 def verified_links(pairs: DataFrame, n_pairs: int, classes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -351,7 +373,8 @@ def verified_links(pairs: DataFrame, n_pairs: int, classes: DataFrame, docs: Dat
     known = arrow_map(full, _common, "a long, b long, late boolean, common long, na long, nb long")
     found = known.select("a", "b", "late", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
     held = space.write(found, "held")  # a task verifies what one shuffle partition of sets holds, which Spark sizes by bytes
-    space.drop("sets1")
+    for table in ("sets1", "single1"):
+        space.drop(table)
     return held.filter("linked").drop("linked"), near.filter("not maybe").select("a", "b", "late").unionByName(held.filter("not linked").drop("linked"))
 
 

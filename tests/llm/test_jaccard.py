@@ -99,6 +99,46 @@ def test_every_similar_pair_shares_a_key():
             assert keys[0] & keys[1]
 
 
+def test_a_set_takes_no_more_keys_than_its_own_differences():
+    """Similar pairs of any sizes and any number of differences still share a key; all keys of a set are under half its shingles, and a few."""
+    rng, bands = np.random.default_rng(9), jaccard.Bands(80)
+    keys = lambda s: [k for scheme in bands.schemes(len(s)) for k in jaccard.cell_keys(s, np.ones(len(s), np.int32), *scheme).tolist()]
+    for n in [*range(1, 60), *rng.integers(60, 900, 60).tolist()]:
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert len(keys(a)) <= 0.48 * n + 4
+        for lost in {0, n // 9, *rng.integers(0, n // 5 + 1, 3).tolist()}:  # most additions that n - lost shingles in common allow
+            b = np.union1d(rng.choice(a, n - lost, replace=False), rng.integers(0, 2**63, (n - lost) * 100 // 80 - n).astype(np.uint64)) if (n - lost) * 100 >= 80 * n else a
+            common = len(np.intersect1d(a, b))
+            assert 100 * common >= 80 * (len(a) + len(b) - common)
+            assert {*keys(a)} & {*keys(b)}
+
+
+def test_packed_keys_do_not_grow_with_buckets():
+    """Bytes of the keys of the same texts, dealt to few and to many buckets."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 600)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(texts)], ["__id", "__th", "__text"])
+
+    class common:
+        value = np.zeros(0, np.uint64)
+
+    def size(buckets):
+        rows = [r for b in jaccard._sketcher(80, 5, list(range(buckets)), common)(iter([batch])) for r in b.to_pylist() if r["kind"] == 1]
+        assert sum(len(r["keys"]) for r in rows) // 6 <= 300 * (0.48 * 600 + 4)
+        return sum(len(r[c]) for r in rows for c in ("keys", "sets", "ranks"))
+
+    assert size(51) < 1.1 * size(12)
+    assert [jaccard.parts_of(n) for n in (1, 12, 51, 3000)] == [16, 16, 5, 4]
+
+
+def test_rows_that_repeat_give_one_set(spark):
+    """A document there many times, with a near copy: its set is read once, and the result has a row for each."""
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, near)] * 40 + [(3, near + " x"), (9, "another text of six words")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 def test_repeated_rows_without_words_stay(spark):
     rows = [(1, "", "a"), (1, "", "b"), (None, None, "c"), (None, None, "d"), (2, " \n", "e"), (2, " \n", "f"), (3, "one two three", "g"), (3, "one two three", "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
